@@ -46,20 +46,22 @@ def status(error: Column, ended: Column, online: Column) -> Column:
 def exact_percentiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """Interpolated percentiles of a column: ``fraction, value``.
 
-    The column is sorted and numbered in parallel and only the rows next to each fraction are
-    read, so no task and not the driver holds all distinct values."""
+    Equal values are counted first, so a value that many rows share is one row from then on. The
+    distinct values are sorted and ranked in parallel and only those at the wanted ranks are read:
+    no task and not the driver holds them all."""
     spark = df.sparkSession
-    numbered, count = number_rows(df.select(value).filter(F.col(value).isNotNull()), [value], "_n")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked, count = number_rows(counted, [value], "_last", weight="_n")
     if count == 0:
         return spark.createDataFrame([(f, None) for f in fractions], "fraction double, value double")
     wanted = []
     for fraction in fractions:
         low, share = divmod(fraction * (count - 1), 1)
-        rows = {int(low) + 1, min(int(low) + 2, count)}
-        wanted += [(fraction, n, share) for n in rows]
-    places = spark.createDataFrame(wanted, "fraction double, _n long, _share double")
-    near = numbered.filter(F.col("_n").isin(sorted({n for _, n, _ in wanted})))
-    found = near.join(F.broadcast(places), "_n")  # two rows per fraction
+        wanted += [(fraction, rank, share) for rank in {int(low) + 1, min(int(low) + 2, count)}]
+    places = spark.createDataFrame(wanted, "fraction double, _rank long, _share double")
+    ranks = F.array(*[F.lit(r).cast("long") for r in sorted({r for _, r, _ in wanted})])
+    hit = F.filter(ranks, lambda r: (r <= F.col("_last")) & (r > F.col("_last") - F.col("_n")))
+    found = ranked.withColumn("_rank", F.explode(hit)).join(F.broadcast(places), "_rank")  # two rows per fraction
     ends = found.groupBy("fraction").agg(
         F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"),
         F.max("_share").alias("_share"),

@@ -9,50 +9,81 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowtide.functions.events import CHANGE, TABLE_DROPPED, UPDATE_POST
-from rowtide.settings import scratch_dir
+from rowtide.settings import BROADCAST_MAX_ROWS, join_small, tracked_dir
 
 # Rows of one key that share a piece at most, when the order column has no repeated value.
 CELL_WIDTH = 65_536
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
-_POSITION_MASK = (1 << _POSITION_BITS) - 1
 
-EVENT_ORDER = ["snapshot_id", "_rank", "table_id", "rowid", "_image"]
+_GROUP = ["snapshot_id", "_rank", "table_id"]
+_INSIDE = ["rowid", "_image"]
+EVENT_ORDER = [*_GROUP, *_INSIDE]
+
+
+def _staged(sorted_rows: DataFrame, stage: str | None) -> DataFrame:
+    """Write rows once with the partition (``_part``) and place (``_place``) they have there.
+
+    From then on both are plain columns, which a lost and repeated task cannot change."""
+    stage = stage or tracked_dir(sorted_rows.sparkSession, "sequence")
+    placed = sorted_rows.withColumn("_place", F.monotonically_increasing_id())
+    placed = placed.withColumn("_part", F.shiftright("_place", _POSITION_BITS).cast("long"))
+    placed.write.mode("overwrite").parquet(stage)
+    return sorted_rows.sparkSession.read.schema(placed.schema).parquet(stage)
 
 
 def number_rows(
-    df: DataFrame, order: list[str], out: str = "seq", base: int = 0, stage: str | None = None
+    df: DataFrame, order: list[str], out: str = "seq", base: int = 0, stage: str | None = None,
+    weight: str | None = None,
 ) -> tuple[DataFrame, int]:
-    """Number rows ``base+1, base+2, …`` in ``order``; give them and their count.
+    """Number rows ``base+1, base+2, …`` in the total order ``order``; give them and their count.
 
-    A range sort spreads the rows, also those of one snapshot or table, over all tasks. The sorted
-    rows are written once with their partition and position, so the numbers cannot move when a
-    lost task runs again. One count per partition, not per row, is gathered to place the partitions.
+    A range sort spreads the rows over all tasks, also those of one snapshot or table; ``order``
+    should tell all rows apart. With ``weight`` a row stands for that many rows and gets the
+    number of the last of them. Only one sum per partition is gathered, to place the partitions.
     """
     spark = df.sparkSession
-    stage = stage or scratch_dir(spark, "sequence")
-    (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .write.mode("overwrite").parquet(stage)
-    )
-    staged = spark.read.parquet(stage)
-    part = F.shiftright("_place", _POSITION_BITS).cast("long")
-    counts = sorted(
-        (r["_part"], r["n"]) for r in staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    ends = list(accumulate((n for _, n in counts), initial=base))
+    staged = _staged(df.repartitionByRange(*order).sortWithinPartitions(*order), stage)
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    sums = sorted((r["_part"], r["n"]) for r in staged.groupBy("_part").agg(size.alias("n")).collect())
+    ends = list(accumulate((n for _, n in sums), initial=base))
+    starts = spark.createDataFrame([(p, start) for (p, _), start in zip(sums, ends)], "_part long, _start long")
+    if weight:
+        inside = F.sum(weight).over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    else:
+        inside = F.col("_place") - F.shiftleft("_part", _POSITION_BITS) + 1
+    numbered = staged.withColumn("_inside", inside).join(F.broadcast(starts), "_part")  # one row per partition
+    numbered = numbered.withColumn(out, (F.col("_start") + F.col("_inside")).cast("long"))
+    return numbered.select(out, *[c for c in df.columns if c != out]), ends[-1] - base
+
+
+def number_groups(
+    df: DataFrame, groups: list[str], inside: list[str], out: str = "seq", base: int = 0, stage: str | None = None,
+) -> tuple[DataFrame, int]:
+    """Number rows ``base+1, base+2, …`` with the ``groups`` in order; give them and their count.
+
+    Rows stay in the partitions they come in and are sorted there only: no shuffle and no sampling
+    pass, and a group of any size is spread as its rows were. Within a group the partitions follow
+    one another, each ordered by ``inside``. ``groups`` must be few (snapshots and tables of a batch).
+    """
+    spark = df.sparkSession
+    staged = _staged(df.sortWithinPartitions(*groups, *inside), stage)
+    pieces = staged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    totals = pieces.groupBy(*groups).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("parts")).collect()
+    totals.sort(key=lambda r: tuple(r[g] for g in groups))
+    ends = list(accumulate((r["n"] for r in totals), initial=base))
+    if not totals:
+        return df.withColumn(out, F.lit(0).cast("long")).select(out, *[c for c in df.columns if c != out]).limit(0), 0
     starts = spark.createDataFrame(
-        [(p, start) for (p, _), start in zip(counts, ends)], "_part long, _start long"
-    )
-    position = F.col("_place").bitwiseAND(F.lit(_POSITION_MASK))
-    numbered = (
-        staged.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")  # one row per partition of the sort
-        .withColumn(out, F.col("_start") + position + 1)
-        .drop("_part", "_start", "_place")
+        [(*[r[g] for g in groups], start) for r, start in zip(totals, ends)],
+        type(df.schema)([*[df.schema[g] for g in groups]]).add("_start", "long"),
     )
+    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    placed = pieces.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(starts), groups)
+    offsets = placed.select(*groups, "_part", (F.col("_start") + F.col("_skip") - F.col("_first") + 1).alias("_offset"))
+    fits = sum(r["parts"] for r in totals) <= BROADCAST_MAX_ROWS
+    numbered = join_small(staged, offsets, [*groups, "_part"], salt="_place", how="inner", fits=fits)
+    numbered = numbered.withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
     return numbered.select(out, *[c for c in df.columns if c != out]), ends[-1] - base
 
 
@@ -67,9 +98,16 @@ def union_log(changes: DataFrame, markers: DataFrame) -> DataFrame:
     return events.withColumn("_rank", rank).withColumn("_image", image)
 
 
-def assign_seq(events: DataFrame, base: int = 0, stage: str | None = None) -> tuple[DataFrame, int]:
-    """Give the events of ``union_log`` the next numbers of the log."""
-    numbered, count = number_rows(events, EVENT_ORDER, "seq", base, stage)
+def assign_seq(
+    events: DataFrame, base: int = 0, stage: str | None = None, total_order: bool = False
+) -> tuple[DataFrame, int]:
+    """Give the events of ``union_log`` the next numbers of the log: snapshots ascending, markers
+    in their place, tables ascending. Within one commit to one table the order is free, so no
+    shuffle is spent on it; ``total_order`` sorts by row id there too."""
+    if total_order:
+        numbered, count = number_rows(events, EVENT_ORDER, "seq", base, stage)
+    else:
+        numbered, count = number_groups(events, _GROUP, _INSIDE, "seq", base, stage)
     return numbered.drop("_rank", "_image"), count
 
 

@@ -11,6 +11,7 @@ from rowtide.schemas import VIEW, VIEW_META, conform
 from rowtide.settings import join_small, written
 
 _NAMES = "array<string>"
+_LOOKED_UP = 1000  # places looked up by number; more are joined
 
 
 def _no_names() -> Column:
@@ -31,13 +32,20 @@ def stop_at_drop(events: DataFrame, points: DataFrame | None = None) -> DataFram
 
 def first_shapes(events: DataFrame) -> DataFrame:
     """Columns of the first change event of every table, whatever its kind: ``table_id,
-    shape_seq, shape``. The place is found on narrow columns; only that event's row is decoded."""
+    shape_seq, shape``.
+
+    The places are found on narrow columns. For few tables they are then looked up in the log by
+    number, which opens only the row groups that hold them."""
     changes = events.filter(F.col("type") == CHANGE)
     first = changes.groupBy("table_id").agg(F.min("seq").alias("shape_seq"))
-    rows = join_small(
-        changes.select("table_id", F.col("seq").alias("shape_seq"), "row"), first, ["table_id", "shape_seq"],
-        salt="shape_seq", how="inner",
-    )
+    few = first.limit(_LOOKED_UP + 1).collect()
+    rows = changes.select("table_id", F.col("seq").alias("shape_seq"), "row")
+    if len(few) <= _LOOKED_UP:
+        first = events.sparkSession.createDataFrame(few, first.schema)
+        rows = rows.filter(F.col("shape_seq").isin([r["shape_seq"] for r in few]))
+        rows = rows.join(F.broadcast(first), ["table_id", "shape_seq"])
+    else:
+        rows = join_small(rows, first, ["table_id", "shape_seq"], salt="shape_seq", how="inner")
     shape = F.coalesce(F.expr("json_object_keys(row)"), _no_names())
     # Copies of the first event have its place; one is kept.
     return rows.groupBy("table_id", "shape_seq").agg(F.first(shape).alias("shape"))
@@ -134,10 +142,16 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 class Materialized:
-    """View and metadata after a set of events, both as DataFrames."""
+    """View and metadata after a set of events. The metadata are computed when asked for."""
 
-    def __init__(self, rows: DataFrame, meta: DataFrame):
-        self.rows, self.meta = rows, meta
+    def __init__(self, rows: DataFrame, meta):
+        self.rows, self._meta = rows, meta
+
+    @property
+    def meta(self) -> DataFrame:
+        if callable(self._meta):
+            self._meta = self._meta()
+        return self._meta
 
 
 def materialize(
@@ -155,30 +169,31 @@ def materialize(
     A caller that knows the events to hold no marker says so with ``markers_expected``; one that
     passes ``saved_meta`` passes a row for every table the events are about.
     """
-    if not distinct:
-        events = first_copies(events)
-    points = None
+    markers = points = touched = shapes = deltas = None
     if saved_meta is not None:  # a table that ended earlier takes no more events
-        points = saved_meta.filter("ended").select("table_id", F.col("last_seq").alias("ended_seq"))
-    markers = events.filter(F.col("type") != CHANGE).select(
-        "table_id", "seq", "type", "columns",
-        *[F.col(c) for c in ("schema_json", "retyped") if c in events.columns],
-    )
+        over = saved_meta.filter("ended").select("table_id", F.col("last_seq").alias("ended_seq"))
+        points = None if over.isEmpty() else over
     if markers_expected:
-        markers = written(markers, "markers")
+        optional = [c for c in ("message_id", "schema_json", "retyped") if c in events.columns]
+        markers = events.filter(F.col("type") != CHANGE).select("table_id", "seq", "type", "columns", *optional)
+        markers = written(markers if distinct else first_copies(markers), "markers")
+        if markers.isEmpty():
+            markers = None
+    if markers is not None:
         found = drop_points(markers)
         points = found if points is None else points.unionByName(found).groupBy("table_id").agg(
             F.min("ended_seq").alias("ended_seq"))
-        live, markers = stop_at_drop(events, points), stop_at_drop(markers, points)
-    else:
-        live = events
-    shapes = written(first_shapes(live), "shapes") if _shape_needed(saved_meta) else None
-    deltas = touched = None
-    if markers_expected:
+        markers = stop_at_drop(markers, points)
+    live = events if points is None else stop_at_drop(events, points)
+    need_shapes = _shape_needed(saved_meta)
+    if markers is not None:
+        shapes = written(first_shapes(live), "shapes") if need_shapes else None
         deltas = marker_delta(markers, shapes, saved_meta)
         touched = written(touched_columns(deltas), "touched")
 
-    rows = last_changes(live).select(
+    # Only this branch carries payloads, so only here copies are removed: the place of the first
+    # copy is the least one in any case.
+    rows = last_changes(live if distinct else first_copies(live)).select(
         "table_id", "rowid", "change_type", decode_row("row").alias("row"), "seq"
     )
     if saved_rows is not None:
@@ -193,7 +208,12 @@ def materialize(
     rows = rows.filter(F.col("change_type").isNull() | (F.col("change_type") != DELETE)).drop("change_type")
     if touched is not None:
         rows = reshape(rows, touched)
-    return Materialized(conform(rows, VIEW), view_meta(live, markers, shapes, deltas, points, saved_meta))
+
+    def meta() -> DataFrame:
+        known = shapes if shapes is not None else (first_shapes(live) if need_shapes else None)
+        return view_meta(live, markers, known, deltas, points, saved_meta)
+
+    return Materialized(conform(rows, VIEW), meta)
 
 
 def _shape_needed(saved_meta: DataFrame | None) -> bool:

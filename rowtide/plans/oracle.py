@@ -379,9 +379,16 @@ identified AS (
     ELSE type || '-' || table_id || '-' || snapshot_id END AS message_id FROM captured)"""
 
 ORACLE["capture_stream"] = f"""
-WITH {_CAPTURED} SELECT row_number() OVER (ORDER BY snapshot_id, CASE type WHEN 'change' THEN 1 WHEN 'table_dropped' THEN 2 ELSE 0 END,
-    table_id, rowid, CASE WHEN change_type = 'update_postimage' THEN 1 ELSE 0 END) AS seq,
-  message_id, type, CAST(table_id AS BIGINT) AS table_id, CAST(snapshot_id AS BIGINT) AS snapshot_id, change_type FROM identified"""
+WITH {_CAPTURED} SELECT message_id, 'changes.' || table_id AS subject, type, CAST(table_id AS BIGINT) AS table_id,
+  CASE WHEN table_id = 2 THEN 'customer' ELSE 'orders' END AS "table", CAST(snapshot_id AS BIGINT) AS snapshot_id, change_type
+FROM identified"""
+
+ORACLE["capture_order"] = f"""
+WITH {_CAPTURED}, placed AS (
+  SELECT *, row_number() OVER (ORDER BY snapshot_id, CASE type WHEN 'change' THEN 1 WHEN 'table_dropped' THEN 2 ELSE 0 END, table_id) AS seq
+  FROM identified)
+SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id, type, CAST(table_id AS BIGINT) AS table_id, min(seq) AS first_seq,
+  max(seq) AS last_seq, count(*) AS events, count(*) AS places FROM placed GROUP BY snapshot_id, type, table_id"""
 
 ORACLE["capture_rows"] = f"""
 WITH {_CAPTURED} SELECT message_id, status, price, order_priority, priority, customer FROM identified WHERE type = 'change'"""

@@ -172,7 +172,7 @@ def log_seq(spark, sf):
     markers = ep.markers_of(ep.epochs(commits)).withColumn("snapshot_id", F.col("snapshot_id"))
     changes = w.event_log(spark, sf).drop("seq")
     marked = markers.withColumn("message_id", F.concat_ws("-", "type", "table_id", "snapshot_id"))
-    numbered, _ = assign_seq(union_log(changes, marked.drop("columns")))
+    numbered, _ = assign_seq(union_log(changes, marked.drop("columns")), total_order=True)
     return numbered.select("seq", "message_id")
 
 
@@ -458,7 +458,7 @@ def feed_top60(spark, sf):
 @query
 def feed_pairs(spark, sf):
     """Newest entries where updates have two halves: one entry at the place of the first."""
-    log = w.orders_log(spark, sf).filter(F.col("table_id") == w.ORDERS_ID)
+    log = w.orders_log(spark, sf, total_order=True).filter(F.col("table_id") == w.ORDERS_ID)
     status = lambda c: decode_row(c)["o_orderstatus"]
     return pairs.feed(log).select("kind", "rowid", status("before").alias("before"), status("after").alias("after"))
 
@@ -544,7 +544,16 @@ def columns_at(spark, sf):
 
 @query
 def capture_stream(spark, sf):
-    return _captured(spark, sf).read().select("seq", "message_id", "type", "table_id", "snapshot_id", "change_type")
+    return _captured(spark, sf).read().select("message_id", "subject", "type", "table_id", "table", "snapshot_id", "change_type")
+
+
+@query
+def capture_order(spark, sf):
+    """Sequences of the captured log: where each commit to each table begins and ends, without a
+    gap or a repetition."""
+    return _captured(spark, sf).read().groupBy("snapshot_id", "type", "table_id").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), _n().alias("events"),
+        F.countDistinct("seq").alias("places"))
 
 
 @query

@@ -80,10 +80,10 @@ def orders_changes(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(second).unionByName(other)
 
 
-def orders_log(spark: SparkSession, sf: str) -> DataFrame:
+def orders_log(spark: SparkSession, sf: str, total_order: bool = False) -> DataFrame:
     """The events of ``orders_changes`` in log order."""
     events = union_log(orders_changes(spark, sf), spark.createDataFrame([], EVENT))
-    return assign_seq(events)[0]
+    return assign_seq(events, total_order=total_order)[0]
 
 
 # --- events as a log ---

@@ -1,5 +1,6 @@
 """Where intermediate tables go, and when a side is small enough to broadcast."""
 
+import atexit
 import contextlib
 import contextvars
 import tempfile
@@ -32,8 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/rowtide/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, removed when this program ends."""
+    root = f"{shared_dir(spark)}/rowtide/{spark.conf.get('spark.app.id', 'local')}-{_RUN}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+_RUN = uuid.uuid4().hex
+_roots: set[str] = set()
+
+
+def _remove(path: str) -> None:
+    from rowtide.sources import files
+
+    files.delete(path)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -52,7 +67,7 @@ _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("rowti
 
 @contextlib.contextmanager
 def scratch_scope():
-    """Remove the tables ``written`` made inside, when the work that uses them is done."""
+    """Remove the scratch tables made inside, when the work that uses them is done."""
     from rowtide.sources import files
 
     paths: list[str] = []
@@ -65,14 +80,20 @@ def scratch_scope():
             files.delete(path)
 
 
+def tracked_dir(spark: SparkSession, label: str) -> str:
+    """``scratch_dir`` that goes with the current ``scratch_scope``, if there is one."""
+    path = scratch_dir(spark, label)
+    if _scope.get() is not None:
+        _scope.get().append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, for results used more than once.
 
     Unlike a cache it survives the loss of executors without being computed again.
     """
-    path = scratch_dir(df.sparkSession, label)
-    if _scope.get() is not None:
-        _scope.get().append(path)
+    path = tracked_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -59,7 +59,8 @@ class Subscription:
     # --- handlers ---
 
     def on_change(self, handler):
-        """``handler(changes)``: ``seq, type, snapshot, rowid, row, before``, rows as maps."""
+        """``handler(changes)``: ``seq, type, snapshot, rowid, row, before``, rows as maps. A batch
+        that holds nothing but the first halves of updates gives an empty DataFrame."""
         self._changed = handler
         return handler
 
@@ -97,27 +98,32 @@ class Subscription:
         # One marker per change of shape: bounded by the commits of a batch.
         markers = events.filter(F.col("type") != CHANGE).select("seq", "type", "columns").orderBy("seq").collect()
         changes = self.changes(events, after)
+        # Which stretches between markers hold changes: one number per stretch.
+        places = F.array(*[F.lit(m["seq"]).cast("long") for m in markers]).cast("array<long>")
+        stretch = F.size(F.filter(places, lambda place: place < F.col("seq")))
+        filled = {r["stretch"] for r in events.filter(F.col("type") == CHANGE).select(stretch.alias("stretch")).distinct().collect()}
         low = after
-        for marker in markers:
-            self._hand_over(changes, low, marker["seq"])
-            low = marker["seq"]
+        for number, marker in enumerate([*markers, None]):
+            high = upto if marker is None else marker["seq"]
+            if number in filled:
+                self._hand_over(changes, low, high)
+            if marker is None:
+                break
+            low = high
             if marker["type"] == SCHEMA_CHANGED:
                 self._reshaped(marker["columns"])
             else:
                 self._dropped()
-                self._save({**state, "position": marker["seq"], "ended": True})
+                self._save({**state, "position": high, "ended": True})
                 return
-        self._hand_over(changes, low, upto)
         self._save({**state, "position": upto})
 
     def _hand_over(self, changes: DataFrame, low: int, high: int) -> None:
         part = changes.filter((F.col("seq") > low) & (F.col("seq") <= high))
-        decoded = part.select(
+        self._changed(part.select(
             "seq", "table_id", "type", "snapshot", "rowid", decode_row("row").alias("row"),
             decode_row("before").alias("before"),
-        )
-        if not decoded.isEmpty():
-            self._changed(decoded)
+        ))
 
     def start(self, checkpoint: str, interval: str | None = None):
         after = ordinal_before(self.log, self.position)
