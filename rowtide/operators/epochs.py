@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED
 from rowtide.functions.rows import contains
-from rowtide.operators.sequence import look_along, running_count
+from rowtide.operators.sequence import look_along, running_count, with_cells
 from rowtide.settings import join_small, written
 
 _MAX_GRID = 4096
@@ -17,7 +17,7 @@ def epochs(commits: DataFrame) -> DataFrame:
     before. It ends where the next begins, or for good where the table is dropped. A rename changes
     neither id nor shape, so it ends nothing. Commits after the drop of an id are ignored.
     """
-    touched = commits.filter(F.col("table_id").isNotNull())
+    touched = with_cells(commits.filter(F.col("table_id").isNotNull()), "snapshot_id")
     seen = look_along(
         touched, ["table_id"], "snapshot_id",
         {

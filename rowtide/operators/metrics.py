@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.events import CHANGE
 from rowtide.operators.sequence import number_rows
+from rowtide.settings import local_table
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -53,12 +54,12 @@ def exact_percentiles(df: DataFrame, value: str, fractions: list[float]) -> Data
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     ranked, count = number_rows(counted, [value], "_last", weight="_n")
     if count == 0:
-        return spark.createDataFrame([(f, None) for f in fractions], "fraction double, value double")
+        return local_table(spark, [(f, None) for f in fractions], "fraction double, value double")
     wanted = []
     for fraction in fractions:
         low, share = divmod(fraction * (count - 1), 1)
         wanted += [(fraction, rank, share) for rank in {int(low) + 1, min(int(low) + 2, count)}]
-    places = spark.createDataFrame(wanted, "fraction double, _rank long, _share double")
+    places = local_table(spark, wanted, "fraction double, _rank long, _share double")
     ranks = F.array(*[F.lit(r).cast("long") for r in sorted({r for _, r, _ in wanted})])
     hit = F.filter(ranks, lambda r: (r <= F.col("_last")) & (r > F.col("_last") - F.col("_n")))
     found = ranked.withColumn("_rank", F.explode(hit)).join(F.broadcast(places), "_rank")  # two rows per fraction

@@ -6,14 +6,17 @@ the order into pieces, work on every piece in parallel, and carry a small summar
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from rowtide.functions.events import CHANGE, TABLE_DROPPED, UPDATE_POST
-from rowtide.settings import BROADCAST_MAX_ROWS, join_small, tracked_dir
+from rowtide.settings import join_small, local_table, tracked_dir
 
 # Rows of one key that share a piece at most, when the order column has no repeated value.
 CELL_WIDTH = 65_536
 
+# Places of groups in partitions worked out on the driver; more are worked out by Spark.
+_GATHERED = 50_000
+
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
 _GROUP = ["snapshot_id", "_rank", "table_id"]
@@ -47,7 +50,7 @@ def number_rows(
     size = F.sum(weight) if weight else F.count(F.lit(1))
     sums = sorted((r["_part"], r["n"]) for r in staged.groupBy("_part").agg(size.alias("n")).collect())
     ends = list(accumulate((n for _, n in sums), initial=base))
-    starts = spark.createDataFrame([(p, start) for (p, _), start in zip(sums, ends)], "_part long, _start long")
+    starts = local_table(spark, [(p, start) for (p, _), start in zip(sums, ends)], "_part long, _start long")
     if weight:
         inside = F.sum(weight).over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
     else:
@@ -69,30 +72,38 @@ def number_groups(
     spark = df.sparkSession
     staged = _staged(df.sortWithinPartitions(*groups, *inside), stage)
     pieces = staged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    totals = pieces.groupBy(*groups).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("parts")).collect()
-    totals.sort(key=lambda r: tuple(r[g] for g in groups))
-    ends = list(accumulate((r["n"] for r in totals), initial=base))
-    if not totals:
-        return df.withColumn(out, F.lit(0).cast("long")).select(out, *[c for c in df.columns if c != out]).limit(0), 0
-    starts = spark.createDataFrame(
-        [(*[r[g] for g in groups], start) for r, start in zip(totals, ends)],
-        type(df.schema)([*[df.schema[g] for g in groups]]).add("_start", "long"),
-    )
-    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    placed = pieces.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(starts), groups)
-    offsets = placed.select(*groups, "_part", (F.col("_start") + F.col("_skip") - F.col("_first") + 1).alias("_offset"))
-    fits = sum(r["parts"] for r in totals) <= BROADCAST_MAX_ROWS
-    numbered = join_small(staged, offsets, [*groups, "_part"], salt="_place", how="inner", fits=fits)
+    shape = T.StructType([df.schema[g] for g in groups])
+    few = pieces.limit(_GATHERED + 1).collect()
+    if len(few) <= _GATHERED:
+        few.sort(key=lambda r: (*[r[g] for g in groups], r["_part"]))
+        ends = list(accumulate((r["_n"] for r in few), initial=base))
+        offsets = local_table(
+            spark, [(*[r[g] for g in groups], r["_part"], start - r["_first"] + 1) for r, start in zip(few, ends)],
+            T.StructType([*shape.fields, T.StructField("_part", T.LongType()), T.StructField("_offset", T.LongType())]),
+        )
+        numbered = staged.join(F.broadcast(offsets), [*groups, "_part"])
+    else:
+        totals = pieces.groupBy(*groups).agg(F.sum("_n").alias("n")).collect()
+        totals.sort(key=lambda r: tuple(r[g] for g in groups))
+        ends = list(accumulate((r["n"] for r in totals), initial=base))
+        starts = local_table(
+            spark, [(*[r[g] for g in groups], start) for r, start in zip(totals, ends)],
+            T.StructType([*shape.fields, T.StructField("_start", T.LongType())]),
+        )
+        before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        placed = pieces.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(starts, groups)
+        offsets = placed.select(*groups, "_part", (F.col("_start") + F.col("_skip") - F.col("_first") + 1).alias("_offset"))
+        numbered = join_small(staged, offsets, [*groups, "_part"], salt="_place", how="inner", fits=False)
     numbered = numbered.withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
     return numbered.select(out, *[c for c in df.columns if c != out]), ends[-1] - base
 
 
-def union_log(changes: DataFrame, markers: DataFrame) -> DataFrame:
+def union_log(changes: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """Changes and markers as one set of events with the columns of ``EVENT_ORDER``.
 
     A schema marker comes before the changes of its snapshot, a drop marker after them.
     """
-    events = changes.unionByName(markers, allowMissingColumns=True)
+    events = changes if markers is None else changes.unionByName(markers, allowMissingColumns=True)
     rank = F.when(F.col("type") == CHANGE, 1).when(F.col("type") == TABLE_DROPPED, 2).otherwise(0)
     image = F.when(F.col("change_type") == UPDATE_POST, 1).otherwise(0)
     return events.withColumn("_rank", rank).withColumn("_image", image)
@@ -111,7 +122,9 @@ def assign_seq(
     return numbered.drop("_rank", "_image"), count
 
 
-def _cells(df: DataFrame, order: str, width: int) -> DataFrame:
+def with_cells(df: DataFrame, order: str, width: int = CELL_WIDTH) -> DataFrame:
+    """Add the piece of the order a row lies in (``_cell``). Calls below that find the column use
+    and keep it, so that several of them in a row share one shuffle of the rows."""
     return df.withColumn("_cell", F.floor(F.col(order) / F.lit(width)).cast("long"))
 
 
@@ -121,9 +134,10 @@ def look_along(
 ) -> DataFrame:
     """Add, per name in ``values``, its last non-null value strictly before the row within
     ``keys`` (or the first one after it, with ``ahead``). ``order`` is unique within ``keys``."""
+    given = "_cell" in df.columns
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    df = _cells(df, order, width)
+    df = df if given else with_cells(df, order, width)
     direction = (lambda c: F.col(c).desc()) if ahead else F.col
     pick = F.min_by if ahead else F.max_by
     near = W.partitionBy(*keys, "_cell").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, -1)
@@ -141,21 +155,25 @@ def look_along(
     joined = df.join(summary, [*keys, "_cell"], "left")
     for name in values:
         joined = joined.withColumn(name, F.coalesce(f"_n_{name}", f"_f_{name}"))
-    return joined.drop("_cell", *[f"_{x}_{n}" for n in values for x in "vnf"])
+    joined = joined.drop(*[f"_{x}_{n}" for n in values for x in "vnf"])
+    return joined if given else joined.drop("_cell")
 
 
 def running_count(
     df: DataFrame, keys: list[str], order: str, flag: Column, out: str, width: int = CELL_WIDTH
 ) -> DataFrame:
     """Number of rows with ``flag`` up to and including the row, within ``keys``."""
-    df = _cells(df.withColumn("_flag", flag.cast("long")), order, width)
+    given = "_cell" in df.columns
+    df = df.withColumn("_flag", flag.cast("long"))
+    df = df if given else with_cells(df, order, width)
     near = W.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     far = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     summary = df.groupBy(*keys, "_cell").agg(F.sum("_flag").alias("_sum"))
     summary = summary.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(far), F.lit(0)).alias("_before"))
-    return (
+    joined = (
         df.withColumn("_inside", F.sum("_flag").over(near))
         .join(summary, [*keys, "_cell"], "left")
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_cell", "_flag", "_inside", "_before")
+        .drop("_flag", "_inside", "_before")
     )
+    return joined if given else joined.drop("_cell")

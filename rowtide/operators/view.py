@@ -8,7 +8,7 @@ from rowtide.functions.events import (
 from rowtide.operators.dedup import first_copies
 from rowtide.operators.sequence import look_along
 from rowtide.schemas import VIEW, VIEW_META, conform
-from rowtide.settings import join_small, written
+from rowtide.settings import join_small, local_table, written
 
 _NAMES = "array<string>"
 _LOOKED_UP = 1000  # places looked up by number; more are joined
@@ -41,7 +41,7 @@ def first_shapes(events: DataFrame) -> DataFrame:
     few = first.limit(_LOOKED_UP + 1).collect()
     rows = changes.select("table_id", F.col("seq").alias("shape_seq"), "row")
     if len(few) <= _LOOKED_UP:
-        first = events.sparkSession.createDataFrame(few, first.schema)
+        first = local_table(events.sparkSession, [tuple(r) for r in few], first.schema)
         rows = rows.filter(F.col("shape_seq").isin([r["shape_seq"] for r in few]))
         rows = rows.join(F.broadcast(first), ["table_id", "shape_seq"])
     else:
@@ -177,17 +177,17 @@ def materialize(
         optional = [c for c in ("message_id", "schema_json", "retyped") if c in events.columns]
         markers = events.filter(F.col("type") != CHANGE).select("table_id", "seq", "type", "columns", *optional)
         markers = written(markers if distinct else first_copies(markers), "markers")
-        if markers.isEmpty():
-            markers = None
-    if markers is not None:
-        found = drop_points(markers)
-        points = found if points is None else points.unionByName(found).groupBy("table_id").agg(
-            F.min("ended_seq").alias("ended_seq"))
+        seen = markers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == TABLE_DROPPED).alias("drops")).first()
+        markers = markers if seen["n"] else None
+        if seen["drops"]:
+            found = drop_points(markers)
+            points = found if points is None else points.unionByName(found).groupBy("table_id").agg(
+                F.min("ended_seq").alias("ended_seq"))
+    if markers is not None and points is not None:
         markers = stop_at_drop(markers, points)
     live = events if points is None else stop_at_drop(events, points)
-    need_shapes = _shape_needed(saved_meta)
     if markers is not None:
-        shapes = written(first_shapes(live), "shapes") if need_shapes else None
+        shapes = written(first_shapes(live), "shapes") if _shape_needed(saved_meta) else None
         deltas = marker_delta(markers, shapes, saved_meta)
         touched = written(touched_columns(deltas), "touched")
 
@@ -210,7 +210,9 @@ def materialize(
         rows = reshape(rows, touched)
 
     def meta() -> DataFrame:
-        known = shapes if shapes is not None else (first_shapes(live) if need_shapes else None)
+        known = shapes
+        if markers is None and _shape_needed(saved_meta):
+            known = first_shapes(live)
         return view_meta(live, markers, known, deltas, points, saved_meta)
 
     return Materialized(conform(rows, VIEW), meta)
@@ -263,7 +265,7 @@ def view_meta(
 
 
 def _no_meta(like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame([], VIEW_META)
+    return local_table(like.sparkSession, [], VIEW_META)
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -301,4 +303,4 @@ def header_columns(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def empty_view(spark) -> DataFrame:
-    return spark.createDataFrame([], VIEW)
+    return local_table(spark, [], VIEW)

@@ -14,7 +14,7 @@ from rowtide.operators.dedup import first_copies, not_in_log
 from rowtide.operators.diff import diff_tables, duplicate_keys as repeated_keys, inserts, with_rowid
 from rowtide.operators.sequence import assign_seq, union_log
 from rowtide.plans import workload as w
-from rowtide.settings import scratch_dir
+from rowtide.settings import local_table, scratch_dir
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
 from rowtide.sources.viewstore import ViewStore
@@ -283,7 +283,7 @@ def stop_at_drop(spark, sf):
 @query
 def marker_delta(spark, sf):
     markers = w.marker_log(spark, sf)
-    none = spark.createDataFrame([], "table_id long, shape_seq long, shape array<string>")
+    none = local_table(spark, [], "table_id long, shape_seq long, shape array<string>")
     delta = view.marker_delta(markers, none)
     text = lambda c: F.concat_ws(",", F.sort_array(c))
     return delta.select(
@@ -539,7 +539,7 @@ def snapshot_history(spark, sf):
 def columns_at(spark, sf):
     lake = _lake(spark, sf)
     found = [(s, ",".join(c) if (c := lake.columns_at(1, s)) is not None else None) for s in range(1, lake.head() + 1)]
-    return spark.createDataFrame(found, "snapshot_id long, columns string")
+    return local_table(spark, found, "snapshot_id long, columns string")
 
 
 @query

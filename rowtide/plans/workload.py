@@ -5,7 +5,7 @@ open orders repriced, then columns dropped, added and renamed. ``events`` serves
 as a ready commit history.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.events import (
     CHANGE, DELETE, INSERT, SCHEMA_CHANGED, TABLE_DROPPED, UPDATE_POST, UPDATE_PRE, change_events, message_id,
@@ -82,7 +82,7 @@ def orders_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def orders_log(spark: SparkSession, sf: str, total_order: bool = False) -> DataFrame:
     """The events of ``orders_changes`` in log order."""
-    events = union_log(orders_changes(spark, sf), spark.createDataFrame([], EVENT))
+    events = union_log(orders_changes(spark, sf))
     return assign_seq(events, total_order=total_order)[0]
 
 
@@ -115,7 +115,7 @@ def _enveloped(events: DataFrame) -> DataFrame:
     return placed.withColumn("message_id", message_id())
 
 
-EVENT_WITH_SEQ = type(EVENT)([*EVENT.fields, *[f for f in type(EVENT).fromDDL("seq long").fields]])
+EVENT_WITH_SEQ = T.StructType([T.StructField("seq", T.LongType()), *EVENT.fields])
 
 
 def is_drop() -> Column:

@@ -3,10 +3,13 @@
 import atexit
 import contextlib
 import contextvars
+import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only after it was counted and found below both bounds.
 BROADCAST_MAX_ROWS = 500_000
@@ -51,6 +54,22 @@ def _remove(path: str) -> None:
     files.delete(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Small DataFrame of values the driver has anyway (manifests, offsets, flags). It is part of
+    the plan: reading it starts no job, and an empty one is optimized away."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def column(place: int, kind: pa.DataType) -> pa.Array:
+        values = [row[place] for row in rows]
+        if pa.types.is_timestamp(kind):
+            values = [v.astimezone(dt.timezone.utc) if isinstance(v, dt.datetime) else v for v in values]
+        return pa.array(values, type=kind)
+
+    arrays = [column(i, f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Count the rows and bytes of ``df`` and compare them with the bounds.
 

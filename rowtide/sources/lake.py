@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.operators.diff import duplicate_keys
 from rowtide.schemas import COMMITS
+from rowtide.settings import local_table
 from rowtide.sources import files
 
 _ID = "id"
@@ -131,16 +132,12 @@ class Lake:
         mine = self.commits().filter((F.col("table_id") == table_id) & (F.col("op") != "none"))
         if snapshot is not None:
             mine = mine.filter(F.col("snapshot_id") <= snapshot)
-        mine = mine.cache()
-        try:
-            last = mine.orderBy(F.desc("snapshot_id")).limit(1).collect()
-            if not last:
-                raise NoSuchTable(f"table {table_id} does not exist at snapshot {snapshot}")
-            removed = mine.select(F.explode("parts_removed").alias("part"))
-            live = mine.select(F.explode("parts_added").alias("part")).join(removed, "part", "left_anti")
-            parts = [] if last[0]["op"] == "drop" else sorted(r["part"] for r in live.collect())
-        finally:
-            mine.unpersist()
+        last = mine.orderBy(F.desc("snapshot_id")).limit(1).collect()
+        if not last:
+            raise NoSuchTable(f"table {table_id} does not exist at snapshot {snapshot}")
+        removed = mine.select(F.explode("parts_removed").alias("part"))
+        live = mine.select(F.explode("parts_added").alias("part")).join(removed, "part", "left_anti")
+        parts = [] if last[0]["op"] == "drop" else sorted(r["part"] for r in live.collect())
         row = last[0]
         return TableState(table_id, row["table"], shape_of(row["schema_json"]), list(row["key"]), parts, row["op"] == "drop")
 
@@ -172,7 +169,7 @@ class Lake:
         )
         named = [F.col(f"c{f.metadata[_ID]}").alias(f.name) for f in schema.fields]
         if not parts:
-            return self.spark.createDataFrame([], stored).select(*extra, *named)
+            return local_table(self.spark, [], stored).select(*extra, *named)
         base = self.table_path(table_id)
         paths = [f"{base}/snapshot_id={s}/bucket={b}" for s, b in (p.split("/") for p in parts)]
         return self.spark.read.schema(stored).option("basePath", base).parquet(*paths).select(*extra, *named)

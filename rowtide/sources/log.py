@@ -18,6 +18,7 @@ from rowtide.operators.dedup import first_copies, not_in_log
 from rowtide.operators.positions import log_bounds
 from rowtide.operators.sequence import assign_seq, union_log
 from rowtide.schemas import BATCHES, EVENT, LOG, conform
+from rowtide.settings import local_table
 from rowtide.sources import files
 
 
@@ -93,7 +94,7 @@ class EventLog:
         token = f"{last['ordinal'] + 1:012d}-{uuid.uuid4().hex}"
         stage = f"{self.path}/staging/{token}"
         try:
-            ordered = union_log(conform(events, EVENT), self.spark.createDataFrame([], EVENT))
+            ordered = union_log(conform(events, EVENT))
             numbered, rows = assign_seq(ordered, last["last_seq"], stage)
             if end_snapshot is None:
                 top = numbered.agg(F.max("snapshot_id").alias("s")).first()["s"]
@@ -139,7 +140,7 @@ class EventLog:
         min_snapshot: int | None = None,
     ) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], LOG)
+            return local_table(self.spark, [], LOG)
         found = (
             self.spark.read.schema(T.StructType(LOG.fields + [T.StructField("batch", T.StringType())]))
             .option("basePath", self.events_path)

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.schemas import VIEW, conform
+from rowtide.settings import local_table
 from rowtide.sources import files
 
 _STORED = T.StructType(VIEW.fields + [T.StructField("version", T.StringType()), T.StructField("bucket", T.IntegerType())])
@@ -37,7 +38,7 @@ class ViewStore:
         folders = (state or {}).get("folders", {})
         paths = [p for b, p in folders.items() if buckets is None or int(b) in buckets]
         if not paths:
-            return self.spark.createDataFrame([], VIEW)
+            return local_table(self.spark, [], VIEW)
         base = f"{self.path}/data"
         read = self.spark.read.schema(_STORED).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
         return read.select(VIEW.fieldNames())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED, change_events, marker_events
 from rowtide.operators.diff import deletes, inserts, snapshot_diff, with_rowid
 from rowtide.schemas import COMMITS, EVENT
-from rowtide.settings import BROADCAST_MAX_ROWS
+from rowtide.settings import BROADCAST_MAX_ROWS, local_table
 from rowtide.sources import files
 from rowtide.sources.lake import Lake, NoSuchTable, in_shape, retyped_columns, shape_of
 from rowtide.sources.log import EventLog
@@ -84,12 +84,12 @@ class Capture:
             if c["op"] not in ("none", "drop") and (c["parts_added"] or c["parts_removed"]):
                 groups[(c["table_id"], c["schema_json"], c["previous_schema_json"], tuple(c["key"]))].append(c)
         marked = boundary_markers(commits)
-        events = marker_events(self.spark.createDataFrame(marked, _MARKER), self.log.prefix) if marked else None
+        events = marker_events(local_table(self.spark, marked, _MARKER), self.log.prefix) if marked else None
         for (table_id, schema, previous, key), group in groups.items():
             changes = self._group_changes(table_id, schema, previous, list(key), group)
             found = change_events(changes, self.log.prefix)
             events = found if events is None else events.unionByName(found)
-        return events if events is not None else self.spark.createDataFrame([], EVENT)
+        return events if events is not None else local_table(self.spark, [], EVENT)
 
     def _group_changes(self, table_id: int, schema_json: str, previous: str | None, key: list[str], group: list[Row]) -> DataFrame:
         shape = shape_of(schema_json)
@@ -110,7 +110,7 @@ class Capture:
             if len(some) == 1:
                 rows = rows.withColumn("snapshot_id", F.lit(some[0]["snapshot_id"]).cast("long"))
             else:  # a part is removed once at most, so this adds a column and no rows
-                by = self.spark.createDataFrame(removed, "_added long, _bucket int, snapshot_id long")
+                by = local_table(self.spark, removed, "_added long, _bucket int, snapshot_id long")
                 rows = rows.join(F.broadcast(by) if len(removed) <= BROADCAST_MAX_ROWS else by, ["_added", "_bucket"])
             return with_rowid(in_shape(rows, old_shape, shape, ["snapshot_id"]), key, ["snapshot_id"])
 
@@ -129,8 +129,8 @@ class Capture:
             c = group[0]
             named = changes.withColumn("table", F.lit(c["table"])).withColumn("snapshot_time", F.lit(c["snapshot_time"]))
         else:  # one row per commit of the batch: at most max_commits
-            by = self.spark.createDataFrame(
-                [(c["snapshot_id"], c["table"], c["snapshot_time"]) for c in group],
+            by = local_table(
+                self.spark, [(c["snapshot_id"], c["table"], c["snapshot_time"]) for c in group],
                 "snapshot_id long, table string, snapshot_time timestamp",
             )
             named = changes.join(F.broadcast(by) if len(group) <= BROADCAST_MAX_ROWS else by, "snapshot_id")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.operators.pairs import PAIR, pair_with_pending
+from rowtide.settings import local_table
 from rowtide.sources import files
 
 _HALF = "seq long, table_id long, snapshot_id long, rowid long, type string, change_type string, row string"
@@ -33,7 +34,7 @@ def pair_stream(stream: DataFrame, path: str):
 
     def on_batch(batch: DataFrame, number: int) -> None:
         previous = f"{path}/pending/batch={number - 1}"
-        carried = spark.read.schema(_HALF).parquet(previous) if files.exists(previous) else spark.createDataFrame([], _HALF)
+        carried = spark.read.schema(_HALF).parquet(previous) if files.exists(previous) else local_table(spark, [], _HALF)
         complete, waiting = pair_with_pending(batch, carried)
         complete.write.mode("overwrite").parquet(f"{path}/pairs/batch={number}")
         waiting.write.mode("overwrite").parquet(f"{path}/pending/batch={number}")
@@ -52,5 +53,5 @@ def lone_halves(spark, path: str) -> DataFrame:
     """Halves still waiting for their partner."""
     numbers = [int(n.split("=")[1]) for n in files.subfolders(f"{path}/pending") if n.startswith("batch=")]
     if not numbers:
-        return spark.createDataFrame([], _HALF)
+        return local_table(spark, [], _HALF)
     return spark.read.schema(_HALF).parquet(f"{path}/pending/batch={max(numbers)}").filter(F.col("seq").isNotNull())

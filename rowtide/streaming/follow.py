@@ -8,7 +8,7 @@ from rowtide.operators.metrics import status, waiting
 from rowtide.operators.positions import PositionTooOld, check_position
 from rowtide.operators.view import empty_view, materialize
 from rowtide.schemas import BATCHES, VIEW_META
-from rowtide.settings import scratch_scope
+from rowtide.settings import local_table, scratch_scope
 from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
@@ -98,21 +98,18 @@ class Follower:
         if not found["n"]:
             return self.store.save({**state, "read_upto": upto})
         touched = None if found["marked"] else sorted(found["buckets"])
-        meta = self.spark.createDataFrame(
-            [(self.table_id, state["last_seq"], state["columns"], state["schema_json"], state["needs_reload"], state["ended"])],
-            VIEW_META,
-        )
+        meta = local_table(self.spark, [tuple(state[f] for f in VIEW_META.fieldNames())], VIEW_META)
         with scratch_scope():
             after = materialize(
                 events, self.store.rows(state, touched), meta, distinct=True, markers_expected=found["marked"]
             )
-            row = after.meta.filter(F.col("table_id") == self.table_id).first()
+            changed = {"last_seq": found["last"]}
+            if found["marked"] or not state["columns"]:  # else only the position moves
+                changed = after.meta.filter(F.col("table_id") == self.table_id).first().asDict()
             return self.store.save(
                 {
-                    **state, "last_seq": row["last_seq"], "read_upto": upto,
-                    "received": state["received"] + found["n"], "table": found["table"] or state["table"],
-                    "columns": list(row["columns"]), "schema_json": row["schema_json"],
-                    "needs_reload": row["needs_reload"], "ended": row["ended"],
+                    **state, **changed, "read_upto": upto, "received": state["received"] + found["n"],
+                    "table": found["table"] or state["table"],
                 },
                 rows=after.rows, touched=touched,
             )
@@ -161,8 +158,8 @@ class Follower:
         mine = self.log.read(self.table_id, after=state["read_upto"]).agg(F.count(F.lit(1)).alias("waiting_table"))
         rows = self.store.rows(state).agg(F.count(F.lit(1)).alias("rows"))
         online = self.query is not None and self.query.isActive
-        one = self.spark.createDataFrame(
-            [(self.error, state["ended"], online, self.table_id, state["table"] or "", f"{self.log.prefix}.{self.table_id}",
+        one = local_table(
+            self.spark, [(self.error, state["ended"], online, self.table_id, state["table"] or "", f"{self.log.prefix}.{self.table_id}",
               state["received"], state["last_seq"], head, state["needs_reload"], state["columns"],
               mine.first()["waiting_table"], rows.first()["rows"])],
             "error string, ended boolean, online boolean, table_id long, table string, channel string, received long, "
