@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED
 from rowtide.functions.rows import contains
-from rowtide.operators.sequence import look_along, running_count, with_cells
+from rowtide.operators.sequence import look_along, running_count
 from rowtide.settings import join_small, written
 
 _MAX_GRID = 4096
@@ -17,17 +17,22 @@ def epochs(commits: DataFrame) -> DataFrame:
     before. It ends where the next begins, or for good where the table is dropped. A rename changes
     neither id nor shape, so it ends nothing. Commits after the drop of an id are ignored.
     """
-    touched = with_cells(commits.filter(F.col("table_id").isNotNull()), "snapshot_id")
+    touched = commits.filter(F.col("table_id").isNotNull())
     seen = look_along(
         touched, ["table_id"], "snapshot_id",
         {
             "_shape": F.when(F.col("op") != "drop", F.coalesce("schema_json", F.lit(""))),
             "_gone": F.when(F.col("op") == "drop", F.col("snapshot_id")),
+            "_name": F.col("table"),
         },
     ).filter(F.col("_gone").isNull())
     shape = F.coalesce("schema_json", F.lit(""))
     begins = (F.col("op") != "drop") & ~shape.eqNullSafe(F.col("_shape"))
-    numbered = running_count(seen, ["table_id"], "snapshot_id", begins, "epoch")
+    # Commits that change neither shape nor name, nearly all of them, are done with here.
+    turning = begins | (F.col("op") == "drop") | ~F.col("table").eqNullSafe(F.col("_name"))
+    kept = ["table_id", "snapshot_id", "op", "table", "columns", "schema_json"]
+    points = written(seen.filter(turning).select(*kept, begins.alias("_begins")), "turning-points")
+    numbered = running_count(points, ["table_id"], "snapshot_id", F.col("_begins"), "epoch")
     grouped = numbered.filter(F.col("epoch") > 0).groupBy("table_id", "epoch").agg(
         F.min("snapshot_id").alias("start_snapshot"),
         F.min(F.when(F.col("op") == "drop", F.col("snapshot_id"))).alias("_dropped_at"),

@@ -23,8 +23,12 @@ from rowtide.sources import files
 
 
 class EventLog:
-    def __init__(self, spark: SparkSession, path: str, prefix: str = "changes"):
+    """``rows_in_order`` makes the writer sort each commit to a table by row id too, at the price of
+    a range shuffle; otherwise the rows of a commit are numbered as they come."""
+
+    def __init__(self, spark: SparkSession, path: str, prefix: str = "changes", rows_in_order: bool = False):
         self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+        self.rows_in_order = rows_in_order
 
     @property
     def batches_path(self) -> str:
@@ -95,7 +99,7 @@ class EventLog:
         stage = f"{self.path}/staging/{token}"
         try:
             ordered = union_log(conform(events, EVENT))
-            numbered, rows = assign_seq(ordered, last["last_seq"], stage)
+            numbered, rows = assign_seq(ordered, last["last_seq"], stage, self.rows_in_order)
             if end_snapshot is None:
                 top = numbered.agg(F.max("snapshot_id").alias("s")).first()["s"]
                 end_snapshot = max(last["end_snapshot"], top) if top is not None else last["end_snapshot"]

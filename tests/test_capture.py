@@ -29,7 +29,7 @@ def lake(spark, folder):
 
 @pytest.fixture
 def log(spark, folder):
-    return EventLog(spark, f"{folder}/log")
+    return EventLog(spark, f"{folder}/log", rows_in_order=True)
 
 
 def commits_of(lake):
@@ -253,12 +253,17 @@ def test_history_removed_before_capture(spark, lake, log):
         Capture(lake, log).publish_commits(commits_of(lake))
 
 
-def test_ten_thousand_rows_in_one_commit(spark, lake, log):
-    lake.create("t", spark.range(10_000).select("id", F.lit("x").alias("v")), ["id"])
-    log.create(0)
-    assert Capture(lake, log).publish_commits(commits_of(lake)) == 10_000
-    found = log.read().agg(F.min("seq"), F.max("seq"), F.countDistinct("seq"), F.countDistinct("rowid")).first()
-    assert tuple(found) == (1, 10_000, 10_000, 10_000)
+@pytest.mark.parametrize("ordered", [True, False])
+def test_ten_thousand_rows_in_one_commit(spark, lake, folder, ordered):
+    log = EventLog(spark, f"{folder}/log", rows_in_order=ordered).create(0)
+    t = lake.create("t", spark.range(10_000).select("id", F.lit("x").alias("v")), ["id"])
+    lake.replace(t, spark.range(5000).select("id", F.lit("y").alias("v")))
+    assert Capture(lake, log).publish_commits(commits_of(lake)) == 10_000 + 5_000 * 2 + 5_000
+    found = log.read().groupBy("snapshot_id").agg(F.min("seq"), F.max("seq"), F.countDistinct("seq"), F.countDistinct("rowid"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 10_000, 10_000, 10_000), (2, 10_001, 25_000, 15_000, 10_000)]
+    if ordered:
+        places = [r["rowid"] for r in log.read().filter("snapshot_id = 1").orderBy("seq").collect()]
+        assert places == sorted(places)
 
 
 def test_chunks_of_commits(spark, lake, log):
