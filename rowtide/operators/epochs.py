@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED
 from rowtide.functions.rows import contains
 from rowtide.operators.sequence import look_along, running_count
-from rowtide.settings import join_small, written
+from rowtide.settings import gathered, join_small, written
 
 _MAX_GRID = 4096
 
@@ -71,7 +71,7 @@ def assign_epoch(changes: DataFrame, epochs_df: DataFrame) -> DataFrame:
     Epochs are laid on a grid of snapshot ranges, so a change meets the few epochs of its own
     range instead of all epochs of its table. A row that no epoch covers gets NULL.
     """
-    epochs_df = written(epochs_df, "epochs")  # looked at twice, joined once
+    epochs_df, fits = gathered(epochs_df, "epochs")
     stats = epochs_df.agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("table_id").alias("tables"),
         F.min("start_snapshot").alias("lo"), F.max("start_snapshot").alias("hi"),
@@ -94,7 +94,7 @@ def assign_epoch(changes: DataFrame, epochs_df: DataFrame) -> DataFrame:
     )
     inside = (F.col("snapshot_id") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("snapshot_id") < F.col("_to")))
     placed = changes.withColumn("_cell", cell(F.col("snapshot_id")))
-    joined = join_small(placed, spread, ["table_id", "_cell"], salt="rowid", condition=inside)
+    joined = join_small(placed, spread, ["table_id", "_cell"], salt="rowid", condition=inside, fits=fits)
     return joined.drop("_cell", "_from", "_to")
 
 

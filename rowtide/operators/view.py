@@ -8,7 +8,7 @@ from rowtide.functions.events import (
 from rowtide.operators.dedup import first_copies
 from rowtide.operators.sequence import look_along
 from rowtide.schemas import VIEW, VIEW_META, conform
-from rowtide.settings import join_small, local_table, written
+from rowtide.settings import gathered, join_small, local_table
 
 _NAMES = "array<string>"
 _LOOKED_UP = 1000  # places looked up by number; more are joined
@@ -23,10 +23,11 @@ def drop_points(events: DataFrame) -> DataFrame:
     return events.filter(F.col("type") == TABLE_DROPPED).groupBy("table_id").agg(F.min("seq").alias("ended_seq"))
 
 
-def stop_at_drop(events: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """Cut every table's events after its drop marker."""
+def stop_at_drop(events: DataFrame, points: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
+    """Cut every table's events after its drop marker. ``fits`` says whether the points, if
+    measured already, may be broadcast."""
     points = drop_points(events) if points is None else points
-    joined = join_small(events, points, ["table_id"], salt="seq")
+    joined = join_small(events, points, ["table_id"], salt="seq", fits=fits)
     return joined.filter(F.col("ended_seq").isNull() | (F.col("seq") <= F.col("ended_seq"))).drop("ended_seq")
 
 
@@ -111,9 +112,11 @@ def touched_columns(deltas: DataFrame) -> DataFrame:
     )
 
 
-def reshape(rows: DataFrame, touched: DataFrame, row: str = "row", place: str = "seq") -> DataFrame:
+def reshape(
+    rows: DataFrame, touched: DataFrame, row: str = "row", place: str = "seq", fits: bool | None = None
+) -> DataFrame:
     """Bring stored rows (``table_id, row, seq``) to the shape after all markers."""
-    joined = join_small(rows, touched, ["table_id"], salt=place)
+    joined = join_small(rows, touched, ["table_id"], salt=place, fits=fits)
     gone = F.transform(
         F.filter("touched", lambda t: t.getField("removed_at") > F.col(place)), lambda t: t.getField("name")
     )
@@ -170,26 +173,28 @@ def materialize(
     passes ``saved_meta`` passes a row for every table the events are about.
     """
     markers = points = touched = shapes = deltas = None
+    points_fit = touched_fit = True
     if saved_meta is not None:  # a table that ended earlier takes no more events
         over = saved_meta.filter("ended").select("table_id", F.col("last_seq").alias("ended_seq"))
         points = None if over.isEmpty() else over
     if markers_expected:
         optional = [c for c in ("message_id", "schema_json", "retyped") if c in events.columns]
         markers = events.filter(F.col("type") != CHANGE).select("table_id", "seq", "type", "columns", *optional)
-        markers = written(markers if distinct else first_copies(markers), "markers")
+        markers, points_fit = gathered(markers if distinct else first_copies(markers), "markers")
         seen = markers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == TABLE_DROPPED).alias("drops")).first()
         markers = markers if seen["n"] else None
         if seen["drops"]:
             found = drop_points(markers)
             points = found if points is None else points.unionByName(found).groupBy("table_id").agg(
                 F.min("ended_seq").alias("ended_seq"))
-    if markers is not None and points is not None:
-        markers = stop_at_drop(markers, points)
-    live = events if points is None else stop_at_drop(events, points)
+    if points is not None:
+        points, points_fit = gathered(points, "drops")
+        markers = None if markers is None else stop_at_drop(markers, points, points_fit)
+    live = events if points is None else stop_at_drop(events, points, points_fit)
     if markers is not None:
-        shapes = written(first_shapes(live), "shapes") if _shape_needed(saved_meta) else None
+        shapes = gathered(first_shapes(live), "shapes")[0] if _shape_needed(saved_meta) else None
         deltas = marker_delta(markers, shapes, saved_meta)
-        touched = written(touched_columns(deltas), "touched")
+        touched, touched_fit = gathered(touched_columns(deltas), "touched")
 
     # Only this branch carries payloads, so only here copies are removed: the place of the first
     # copy is the least one in any case.
@@ -207,7 +212,7 @@ def materialize(
         )
     rows = rows.filter(F.col("change_type").isNull() | (F.col("change_type") != DELETE)).drop("change_type")
     if touched is not None:
-        rows = reshape(rows, touched)
+        rows = reshape(rows, touched, fits=touched_fit)
 
     def meta() -> DataFrame:
         known = shapes

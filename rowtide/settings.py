@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# Control data (markers, drops, epochs, column names) up to this many rows become part of the plan.
+GATHER_MAX_ROWS = 1_000
+
 # Copies of the small side, and so tasks per hot key, when it is too large to broadcast.
 JOIN_SALTS = 32
 
@@ -117,6 +120,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """Evaluate control data once; give it and whether it may be broadcast.
+
+    Up to ``GATHER_MAX_ROWS`` rows are taken up into the plan. Anything larger is written to the
+    shared folder and measured there, and stays on the executors."""
+    bound = min(GATHER_MAX_ROWS, BROADCAST_MAX_ROWS)
+    if bound >= 0:
+        rows = df.limit(bound + 1).collect()
+        if len(rows) <= bound:
+            return local_table(df.sparkSession, [tuple(r) for r in rows], df.schema), True
+    kept = written(df, label)
+    return kept, fits_broadcast(kept)
+
+
 def join_small(
     left: DataFrame, right: DataFrame, keys: list[str], salt: str, how: str = "left", condition=None,
     fits: bool | None = None,
