@@ -427,3 +427,11 @@ SELECT type, CAST(snapshot AS BIGINT) AS snapshot, rowid, status, status_before
 UNION ALL SELECT 'update', 5, o_orderkey, o_orderstatus, o_orderstatus FROM v4 WHERE priority IS NOT NULL"""
 
 ORACLE["dedup_window"] = "SELECT event_id, user_id, user_id || '-' || event_id AS message_id FROM events"
+
+ORACLE["activity_feed"] = f"""
+WITH {_LOG} SELECT seq, CASE WHEN change_type LIKE 'update%' THEN 'update' ELSE change_type END AS kind,
+  snapshot_id AS snapshot, rowid FROM log WHERE table_id = 3 ORDER BY seq DESC LIMIT 60"""
+
+ORACLE["ad_hoc_sql"] = f"""
+WITH {_V2} SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS customers
+FROM v2 JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""

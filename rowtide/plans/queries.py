@@ -17,11 +17,12 @@ from rowtide.plans import workload as w
 from rowtide.settings import local_table, scratch_dir
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
+from rowtide.sources.sql import register_views, run_sql
 from rowtide.sources.viewstore import ViewStore
 from rowtide.streaming import dedup as sd
 from rowtide.streaming.capture import Capture
 from rowtide.streaming.follow import Follower
-from rowtide.streaming.subscribe import Subscription
+from rowtide.streaming.subscribe import Subscription, activity_feed as newest_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,6 +464,12 @@ def feed_pairs(spark, sf):
     return pairs.feed(log).select("kind", "rowid", status("before").alias("before"), status("after").alias("after"))
 
 
+@query
+def activity_feed(spark, sf):
+    """Newest entries of one table, taken from the newest batches of the log on disk."""
+    return newest_entries(_published(spark, sf), 3).select("seq", "kind", "snapshot", "rowid")
+
+
 # --- metrics ---
 
 
@@ -618,6 +625,15 @@ def subscription(spark, sf):
     return spark.read.parquet(out).drop("seq")
 
 
+@query
+def ad_hoc_sql(spark, sf):
+    """SQL over the lake and the log by the names of their tables."""
+    register_views(spark, _lake(spark, sf), _captured(spark, sf))
+    return run_sql(spark, """
+        SELECT c.c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o.o_custkey) AS customers
+        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment""")[0]
+
+
 @query
 def dedup_window(spark, sf):
     """Every event twice on a stream; the second copy falls into the window of the first."""
