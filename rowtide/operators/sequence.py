@@ -9,12 +9,12 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from rowtide.functions.events import CHANGE, TABLE_DROPPED, UPDATE_POST
-from rowtide.settings import join_small, local_table, tracked_dir
+from rowtide.settings import local_table, tracked_dir
 
 # Rows of one key that share a piece at most, when the order column has no repeated value.
 CELL_WIDTH = 65_536
 
-# Places of groups in partitions worked out on the driver; more are worked out by Spark.
+# Counts of groups in partitions that may come to the driver.
 _GATHERED = 50_000
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -67,33 +67,23 @@ def number_groups(
 
     Rows stay in the partitions they come in and are sorted there only: no shuffle and no sampling
     pass, and a group of any size is spread as its rows were. Within a group the partitions follow
-    one another, each ordered by ``inside``. ``groups`` must be few (snapshots and tables of a batch).
+    one another, each ordered by ``inside``. That needs one count per group and partition, so it is
+    meant for few groups (snapshots and tables of a batch); for many the rows are sorted instead.
     """
     spark = df.sparkSession
-    staged = _staged(df.sortWithinPartitions(*groups, *inside), stage)
+    staged = _staged(df.sortWithinPartitions(*groups, *inside), stage and f"{stage}/placed")
     pieces = staged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     shape = T.StructType([df.schema[g] for g in groups])
     few = pieces.limit(_GATHERED + 1).collect()
-    if len(few) <= _GATHERED:
-        few.sort(key=lambda r: (*[r[g] for g in groups], r["_part"]))
-        ends = list(accumulate((r["_n"] for r in few), initial=base))
-        offsets = local_table(
-            spark, [(*[r[g] for g in groups], r["_part"], start - r["_first"] + 1) for r, start in zip(few, ends)],
-            T.StructType([*shape.fields, T.StructField("_part", T.LongType()), T.StructField("_offset", T.LongType())]),
-        )
-        numbered = staged.join(F.broadcast(offsets), [*groups, "_part"])
-    else:
-        totals = pieces.groupBy(*groups).agg(F.sum("_n").alias("n")).collect()
-        totals.sort(key=lambda r: tuple(r[g] for g in groups))
-        ends = list(accumulate((r["n"] for r in totals), initial=base))
-        starts = local_table(
-            spark, [(*[r[g] for g in groups], start) for r, start in zip(totals, ends)],
-            T.StructType([*shape.fields, T.StructField("_start", T.LongType())]),
-        )
-        before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-        placed = pieces.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(starts, groups)
-        offsets = placed.select(*groups, "_part", (F.col("_start") + F.col("_skip") - F.col("_first") + 1).alias("_offset"))
-        numbered = join_small(staged, offsets, [*groups, "_part"], salt="_place", how="inner", fits=False)
+    if len(few) > _GATHERED:  # groups are not few after all: sort, which needs one number per partition
+        return number_rows(staged.select(*df.columns), [*groups, *inside], out, base, stage and f"{stage}/sorted")
+    few.sort(key=lambda r: (*[r[g] for g in groups], r["_part"]))
+    ends = list(accumulate((r["_n"] for r in few), initial=base))
+    offsets = local_table(
+        spark, [(*[r[g] for g in groups], r["_part"], start - r["_first"] + 1) for r, start in zip(few, ends)],
+        T.StructType([*shape.fields, T.StructField("_part", T.LongType()), T.StructField("_offset", T.LongType())]),
+    )
+    numbered = staged.join(F.broadcast(offsets), [*groups, "_part"])  # at most _GATHERED rows of numbers
     numbered = numbered.withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
     return numbered.select(out, *[c for c in df.columns if c != out]), ends[-1] - base
 

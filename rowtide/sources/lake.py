@@ -186,11 +186,11 @@ class Lake:
     def commit(self, changes: list[TableChange], time: dt.datetime | None = None, validate: bool = True) -> int:
         """Write the parts, then the manifest that makes them a snapshot."""
         snapshot = self.head() + 1
-        time = time or dt.datetime.now(dt.timezone.utc)
         created = [c.table for c in changes if c.created]
+        written = [self._write(c, snapshot, validate) if c.add is not None else [] for c in changes]
+        time = time or dt.datetime.now(dt.timezone.utc)  # when the snapshot comes into being
         rows = []
-        for change in changes:
-            parts = self._write(change, snapshot, validate) if change.add is not None else []
+        for change, parts in zip(changes, written):
             rows.append({
                 "snapshot_id": snapshot, "snapshot_time": time, "table_id": change.table_id, "table": change.table,
                 "op": change.op, "schema_json": change.schema.json(),
