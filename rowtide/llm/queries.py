@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, quality
+from rowtide.llm import bpe, minhash, quality
 
 #: Name of the tokenizer file; its folder is that of the installed ``public_tokenizers``.
 TOKENIZER = "word_bpe_49k.json"
@@ -37,7 +37,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents, and which document of each stays."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op6_quality": op6_quality,
+    "op10_minhash": op10_minhash,
 }
