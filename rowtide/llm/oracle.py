@@ -1,3 +1,64 @@
 """The same results in DuckDB's SQL, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP2 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS keeper FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL AS again FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN keeper END AS refers_to
+FROM r
+"""
+
+OP8 = """
+WITH d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w,
+             2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS total,
+             coalesce(sum(cap) OVER (ORDER BY cap / w, coalesce('=' || source, 'null')
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS given,
+             sum(w) OVER (ORDER BY cap / w, coalesce('=' || source, 'null')
+                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM w),
+f AS (SELECT *, (total - given) * w >= cap * left_w AS is_full FROM o),
+g AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0.0 END) OVER () AS used,
+             sum(CASE WHEN is_full THEN 0.0 ELSE w END) OVER () AS free_w FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE w * (total - used) / free_w END AS target FROM g),
+m AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS middle
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (CAST(target >= middle AS INTEGER) + CAST(target - source_size >= middle AS INTEGER)) AS BIGINT) AS taken
+FROM m
+"""
+
+OP10 = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+      FROM (SELECT * FROM g SEMI JOIN k USING (s)) a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)),
+l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+z AS (SELECT u AS doc_id, min(v) AS low FROM r GROUP BY u)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(z.low, t.doc_id)) AS component_id,
+       t.doc_id = least(t.doc_id, coalesce(z.low, t.doc_id)) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_warc": OP2,
+    "op8_mix": OP8,
+    "op10_minhash": OP10,
+}

@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, minhash, quality
+from rowtide.llm import bpe, merkle, minhash, mix, quality, warc
+from rowtide.settings import scratch_dir
 
 #: Name of the tokenizer file; its folder is that of the installed ``public_tokenizers``.
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +31,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into archives and read back."""
+    path = scratch_dir(spark, "archives")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, posterior probability of being good, and the verdict per document."""
     judged = quality.judge(_table(spark, sf_dir, "documents"))
@@ -37,6 +45,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes: its size for each shard that draws it."""
+    plan = mix.drawn(_table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how alike they are."""
+    return merkle.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, and which document of each stays."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,6 +64,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op6_quality": op6_quality,
+    "op8_mix": op8_mix,
+    "op9_merkle": op9_merkle,
     "op10_minhash": op10_minhash,
 }
