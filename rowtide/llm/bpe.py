@@ -20,6 +20,7 @@ columns are left out unless named in ``keep``; an empty table gives an empty tab
 """
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ from rowtide.llm.words import SPACE, Slice, prefix_sums, regrouped, slices, stre
 BLOCK_BYTES = 8 * 1024 * 1024
 
 
-def _tokenizer(path: str):
+def _load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -43,9 +45,20 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+_loaded: dict[str, object] = {}
+
+
+def _shared(path: str):
+    """The tokenizer of a task, loaded once for all its groups. Not for the driver: what is held here
+    travels with the functions that name it."""
+    if path not in _loaded:
+        _loaded[path] = _load(path)
+    return _loaded[path]
+
+
 def check_tokenizer(path: str) -> None:
     """Refuse a tokenizer whose ids of a text are not those of its words one after another."""
-    tokenizer = _tokenizer(path)
+    tokenizer = _load(path)
     ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     for a, b in (("Go", "home's"), ("(a1", "b!!"), ("ÀÉ", "́x"), ("x<", "|endoftext|>")):
         for space in (" ", "\n\t ", "\r\n"):
@@ -109,7 +122,7 @@ def _block(part: Slice, buckets: int) -> tuple[str, pa.Array, np.ndarray, np.nda
     return digest.hexdigest(), table, bucket, number[coded.indices.to_numpy(zero_copy_only=False)], bounds
 
 
-def _encoded(tokenizer, words: pa.Array, batch: int = 20_000) -> pa.Array:
+def _encoded(tokenizer, words: pa.Array, batch: int = 5_000) -> pa.Array:
     """Ids per word; each is encoded once."""
     ids, ends = [], [0]
     for at in range(0, len(words), batch):
@@ -164,7 +177,7 @@ def encode(
         """All blocks' words of one bucket: encode each distinct one, answer every block in its order."""
         parts = [_unpack(b.as_py()).column(0) for b in asked.column("words")]
         coded = pa.chunked_array(parts).combine_chunks().dictionary_encode()
-        ids = _encoded(_tokenizer(tokenizer_path), coded.dictionary)
+        ids = _encoded(_shared(tokenizer_path), coded.dictionary)
         answers, at = [], 0
         for part in parts:
             answer = ids.take(coded.indices.slice(at, len(part)))
@@ -215,7 +228,7 @@ def _lead(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 def pieces(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     """The vocabulary as a table ``id, piece``: at most its number of entries, whatever the corpus."""
-    vocabulary = _tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
+    vocabulary = _load(tokenizer_path).get_vocab(with_added_tokens=True)
     return spark.createDataFrame(
         pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(list(vocabulary), pa.string())}))
 
