@@ -168,3 +168,13 @@ def near_duplicates(
     return some.union(none).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component its smallest doc_id, of equal rows one."""
+    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+        F.col("text").alias("_text"))
+    met = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return met.dropDuplicates(["_id", "_text"]).select("_row.*")

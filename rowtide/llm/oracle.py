@@ -13,6 +13,19 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM r
 """
 
+OP7 = """
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS UBIGINT) AS BIGINT) AS hash
+  FROM documents),
+e AS (SELECT *, hash >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(0, 31)) AS depth)),
+s AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM e GROUP BY depth, prefix),
+l AS (SELECT e.doc_id, min(e.depth) AS depth FROM e JOIN s USING (depth, prefix) WHERE s.bytes <= 2097152 GROUP BY e.doc_id)
+SELECT doc_id, n_bytes, right(lpad(bin(prefix), 60, '0'), CAST(depth AS INTEGER)) AS shard, CAST(depth AS INTEGER) AS depth,
+       s.bytes AS shard_bytes
+FROM e JOIN l USING (doc_id, depth) JOIN s USING (depth, prefix)
+"""
+
 OP8 = """
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
@@ -59,6 +72,7 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
 
 ORACLE: dict[str, str] = {
     "op2_warc": OP2,
+    "op7_shards": OP7,
     "op8_mix": OP8,
     "op10_minhash": OP10,
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, merkle, minhash, mix, quality, warc
+from rowtide.llm import bpe, linedup, lines, merkle, minhash, mix, quality, shards, suffixes, warc
 from rowtide.settings import scratch_dir
 
 #: Name of the tokenizer file; its folder is that of the installed ``public_tokenizers``.
@@ -38,6 +38,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines and sentences that stand earlier, and where they were."""
+    return lines.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 100 bytes that start earlier."""
+    found = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the lines of every text that equal, or nearly equal, an earlier line."""
+    return linedup.marked(_table(spark, sf_dir, "documents")).withColumn("n_removed", F.size("removed").cast("long"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, posterior probability of being good, and the verdict per document."""
     judged = quality.judge(_table(spark, sf_dir, "documents"))
@@ -45,6 +61,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return shards.assigned(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes: its size for each shard that draws it."""
     plan = mix.drawn(_table(spark, sf_dir, "documents"))
@@ -65,7 +86,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_lines": op3_lines,
+    "op4_suffixes": op4_suffixes,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op7_shards": op7_shards,
     "op8_mix": op8_mix,
     "op9_merkle": op9_merkle,
     "op10_minhash": op10_minhash,
