@@ -8,10 +8,12 @@ above, and links of a group support one another.
 
 1. Equal sets become one node (its smallest doc_id). Of the A and B tuples only those that some other node
    shares can make a key that is shared, so only their pairs are formed.
-2. In each key every node is compared with a pivot, in a few rounds with other pivots each, wherever the key
-   still holds several components. What a round links, later rounds and other keys need not compare.
-3. Whatever is then left in one key but in different components is compared pair by pair, so that no link
-   which a key shows is lost: pairs inside a component are never formed.
+2. In each key every node is compared with a pivot. Alike ones are linked; for others near the pivot it is kept
+   what they have that the pivot lacks. Nodes far from it meet a second pivot among themselves.
+3. No link that a key shows is lost: nodes of one key that are still in different components are compared
+   where what they have beyond the pivot says they may be alike (see ``_sharing``; d(x, z) <= d(x, y) + d(y, z)
+   for the Jaccard distance says that near and far nodes cannot be), and pair by pair where two pivots were far
+   from both. Pairs inside a component are never formed.
 
 Candidates are confirmed on the full shingle sets. Defined results: null or empty texts, and texts
 without words, have an empty set and are linked with nothing; rows of one doc_id count as one document of
@@ -33,7 +35,7 @@ WORDS = 5
 PERCENT = 85
 TUPLES = 10
 WIDTH = 3
-ROUNDS = 3
+ROUNDS = 2
 
 _SIGNED = "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"
 # Orders of the nodes that give the pivots of the rounds: smallest, largest, then two scattered ones.
@@ -97,8 +99,10 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return shared("a").join(shared("b"), "node").select(key.alias("key"), "node", "n")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets are at least ``percent`` alike, by both texts."""
+def measured(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs ``u, v`` with ``alike``, whether their full shingle sets are ``percent`` alike, the numbers of
+    shingles only in ``v`` (``lost``) and only in ``u`` (``gained``), and these last as ``extra`` where at least
+    half of all are common. Both sets are made from the texts."""
     bounded_batches(pairs.sparkSession)
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("ut"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("vt"))
@@ -109,41 +113,94 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 rows = batch.slice(low, 512)
                 us = (s for part in slices(rows.column(2)) for s in shingle_sets(part, words))
                 vs = (s for part in slices(rows.column(3)) for s in shingle_sets(part, words))
-                alike = []
+                alike, lost, gained, extra = [], [], [], []
                 for x, y in zip(us, vs):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    alike.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield rows.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+                    only = np.setdiff1d(x, y, assume_unique=True)
+                    both = len(x) - len(only)
+                    either = len(y) + len(only)
+                    alike.append(100 * both >= percent * either)
+                    lost.append(len(y) - both)
+                    gained.append(len(only))
+                    extra.append(signed(only) if 2 * both >= either else None)
+                columns = [pa.array(alike, pa.bool_()), pa.array(lost, pa.int64()), pa.array(gained, pa.int64()),
+                           pa.array(extra, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), *columns], ["u", "v", "alike", "lost", "gained", "extra"])
+
+    met = pairs.join(left, "u").join(right, "v").select("u", "v", "ut", "vt")
+    return met.mapInArrow(work, "u long, v long, alike boolean, lost long, gained long, extra array<long>")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold nodes of more than one component."""
+    return rows.groupBy(key).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(key)
+
+
+def _sharing(near: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of different components that were both near one pivot and can be alike.
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "ut", "vt").mapInArrow(work, "u long, v long")
+    With p the pivot, let G be what a node has and p lacks, L what p has and the node lacks. Two nodes without a
+    common element in G differ in ``|G| + |G'| + abs(|L| - |L'|)`` shingles at least, and alike ones differ in
+    ``(100 - percent) / (100 + percent)`` of the sum of their sizes at most. So a pair is met through a common
+    element of G, which chance edits seldom give, or where these counts allow it to do without."""
+    known = _labelled(near, labels)
+    known = staged(known.join(_several(known, "pivot"), "pivot"), "near")
+    size = F.col("n") * (100 - percent)
+    side = known.select("pivot", "node", "label", "n", "lost", "gained")
+    other = side.select("pivot", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "lost", "gained")])
+    apart = (F.col("gained") + F.col("gained2") + F.abs(F.col("lost") - F.col("lost2"))) * (100 + percent)
+    counted = side.join(other, (side["pivot"] == other["pivot"]) & (F.col("node") < F.col("node2"))
+                        & (F.col("label") != F.col("label2")) & (apart <= size + F.col("n2") * (100 - percent)))
+    each = known.select("pivot", "node", "label", "n", F.explode("extra").alias("e"))
+    often = each.groupBy("pivot", "e").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    each = staged(each.join(often.select("pivot", "e"), ["pivot", "e"]), "extra")
+    twin = each.select("pivot", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n")])
+    common = each.join(twin, ["pivot", "e"]).where(
+        (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2"))
+        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
+    pairs = [c.select(F.col("node").alias("u"), F.col("node2").alias("v")) for c in (counted, common)]
+    return pairs[0].union(pairs[1])
 
 
 def links(keys: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """Confirmed links ``u, v`` that join all nodes which share a key and are alike, directly or not."""
-    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    labels, found = None, None
-    for turn in range(rounds + 1):
-        known = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").select(
-            "key", "node", "n", F.coalesce("label", "node").alias("label"))
-        several = known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"),
-                                           F.min(F.col("node").bitwiseXOR(F.lit(_ORDERS[turn % 4]))).alias("p"))
-        several = several.where("l0 <> l1").select("key", F.col("p").bitwiseXOR(F.lit(_ORDERS[turn % 4])).alias("pivot"))
-        if turn < rounds:
-            pivots = known.join(several, "key").where("node = pivot").select(
-                "key", "pivot", F.col("n").alias("m"), F.col("label").alias("other"))
-            met = known.join(pivots, "key")
-        else:  # the exact rest: nodes of different components that share a key
-            known = staged(known.join(several.select("key"), "key", "left_semi"), "open")
-            met = known.join(known.select("key", F.col("node").alias("pivot"), F.col("n").alias("m"),
-                                          F.col("label").alias("other")), "key")
-        pairs = met.where((F.col("label") != F.col("other")) & near).select(
-            F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        if turn and found is not None:
-            pairs = pairs.join(found, ["u", "v"], "left_anti")
-        new = staged(confirm(pairs, texts, words, percent), "confirmed")
+    """Labels ``node, label`` of the components of all nodes that share a key and are alike."""
+    open_, labels, found, near = keys, None, None, None
+    for turn in range(rounds):
+        known = _labelled(open_, labels)
+        order = F.lit(_ORDERS[turn % len(_ORDERS)])
+        several = known.groupBy("key").agg(
+            F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.col("node").bitwiseXOR(order)).alias("p"))
+        several = several.where("l0 <> l1").select("key", F.col("p").bitwiseXOR(order).alias("pivot"))
+        met = staged(known.join(several, "key").where("node <> pivot").select("key", "node", "n", "pivot"), "met")
+        star = staged(measured(
+            met.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), texts, words, percent), "star")
+        new = star.where("alike").select("u", "v")
         if not new.isEmpty():
-            found = new if found is None else staged(found.union(new), "confirmed")
+            found = new if found is None else found.union(new)
             labels = components(found)
+        met = met.join(star.select(F.col("u").alias("node"), F.col("v").alias("pivot"), "lost", "gained", "extra"),
+                       ["node", "pivot"])
+        close = met.where("extra IS NOT NULL").select("pivot", "node", "n", "lost", "gained", "extra").dropDuplicates(["pivot", "node"])
+        near = close if near is None else near.union(close)
+        # Two alike nodes are both at least half like the pivot, or both less than (150 - percent) % like it.
+        union = F.col("n") + F.col("lost")
+        open_ = staged(met.where((F.col("n") - F.col("gained")) * 100 < union * (150 - percent)).select("key", "node", "n"), "open")
+    rest = _labelled(open_, labels)
+    rest = staged(rest.join(_several(rest, "key"), "key"), "open")
+    twin = rest.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"))
+    left = rest.join(twin, "key").where(
+        (F.col("node") < F.col("v")) & (F.col("label") != F.col("other"))
+        & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select(F.col("node").alias("u"), "v")
+    pairs = left.union(_sharing(near, labels, percent)).distinct()
+    new = staged(measured(pairs, texts, words, percent).where("alike").select("u", "v"), "confirmed")
+    if not new.isEmpty():
+        labels = components(new if found is None else found.union(new))
     return labels if labels is not None else keys.select("node", F.col("node").alias("label")).limit(0)
 
 
