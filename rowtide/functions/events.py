@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtide.schemas import EVENT, ROW_MAP, conform
 
+# The kinds of events and of changes, and the texts a reader of the log is shown for markers.
 CHANGE = "change"
 SCHEMA_CHANGED = "schema_changed"
 TABLE_DROPPED = "table_dropped"
@@ -13,14 +14,18 @@ UPDATE_PRE = "update_preimage"
 UPDATE_POST = "update_postimage"
 DELETE = "delete"
 
+RESTARTS_HERE = "stream restarts here"
+ENDED = "stream ended"
+
 
 def subject(prefix: str, table_id: Column | str = "table_id") -> Column:
-    """Channel of one table. It uses the id, which a rename keeps."""
+    """Name of the stream of events of a table: the prefix and the table's number."""
     return F.concat_ws(".", F.lit(prefix), F.col(table_id) if isinstance(table_id, str) else table_id)
 
 
 def message_id() -> Column:
-    """Unique per event. The table id is part of it: two tables may share snapshot and row id."""
+    """What tells an event from all others, and a copy of it from nothing: for a change its table, snapshot,
+    row and kind, for a marker its kind, table and snapshot."""
     return F.when(
         F.col("type") == CHANGE, F.concat_ws("-", "table_id", "snapshot_id", "rowid", "change_type")
     ).otherwise(F.concat_ws("-", "type", "table_id", "snapshot_id"))
@@ -36,8 +41,8 @@ def change_events(changes: DataFrame, prefix: str) -> DataFrame:
 
 
 def marker_events(markers: DataFrame, prefix: str) -> DataFrame:
-    """Put markers (``type, table_id, table, snapshot_id[, columns, schema_json]``) into the
-    envelope. Only a schema change carries the new columns."""
+    """Markers (``type, table_id, table, snapshot_id[, columns, schema_json, retyped]``) as events. What
+    describes a new shape is left out of all others."""
     reshaped = F.col("type") == SCHEMA_CHANGED
     for name in ("columns", "schema_json", "retyped"):
         if name in markers.columns:
@@ -141,8 +146,8 @@ def describe(events: DataFrame) -> DataFrame:
         .otherwise(F.col("change_type"))
     )
     detail = (
-        F.when(F.col("type") == SCHEMA_CHANGED, "stream restarts here")
-        .when(F.col("type") == TABLE_DROPPED, "stream ended")
+        F.when(F.col("type") == SCHEMA_CHANGED, RESTARTS_HERE)
+        .when(F.col("type") == TABLE_DROPPED, ENDED)
         .otherwise(row_detail("row"))
     )
     return events.select(

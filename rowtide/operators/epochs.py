@@ -5,9 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED
 from rowtide.functions.rows import contains
 from rowtide.operators.sequence import look_along, running_count
-from rowtide.settings import gathered, join_small, written
-
-_MAX_GRID = 4096
+from rowtide.settings import written
 
 
 def epochs(commits: DataFrame) -> DataFrame:
@@ -68,34 +66,22 @@ def markers_of(epochs_df: DataFrame) -> DataFrame:
 def assign_epoch(changes: DataFrame, epochs_df: DataFrame) -> DataFrame:
     """Add ``epoch`` to every change: ``start_snapshot <= snapshot_id < end_snapshot``.
 
-    Epochs are laid on a grid of snapshot ranges, so a change meets the few epochs of its own
-    range instead of all epochs of its table. A row that no epoch covers gets NULL.
+    The snapshots that changed a table and the starts of its epochs are put in one order, and the last
+    epoch is carried forward along it, so a change meets its own epoch only, however many the table
+    has. A row that no epoch covers gets NULL.
     """
-    epochs_df, fits = gathered(epochs_df, "epochs")
-    stats = epochs_df.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("table_id").alias("tables"),
-        F.min("start_snapshot").alias("lo"), F.max("start_snapshot").alias("hi"),
-    ).first()
-    if not stats["n"]:
-        return changes.withColumn("epoch", F.lit(None).cast("int"))
-    grid = max(1, min(_MAX_GRID, stats["n"] // max(1, stats["tables"])))
-    width = max(1, -(-(stats["hi"] - stats["lo"] + 1) // grid))
-
-    def cell(position):
-        index = F.floor((position - F.lit(stats["lo"])) / F.lit(width)).cast("long")
-        return F.greatest(F.lit(0).cast("long"), F.least(index, F.lit(grid - 1).cast("long")))
-
-    last = F.coalesce(cell(F.col("end_snapshot") - 1), F.lit(grid - 1).cast("long"))
-    spread = epochs_df.filter(
+    starts = epochs_df.filter(
         F.col("end_snapshot").isNull() | (F.col("end_snapshot") > F.col("start_snapshot"))
     ).select(
-        "table_id", "epoch", F.col("start_snapshot").alias("_from"), F.col("end_snapshot").alias("_to"),
-        F.explode(F.sequence(cell(F.col("start_snapshot")), last)).alias("_cell"),
+        "table_id", (F.col("start_snapshot") * 2).alias("_place"), F.struct("epoch", "end_snapshot").alias("_epoch")
     )
-    inside = (F.col("snapshot_id") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("snapshot_id") < F.col("_to")))
-    placed = changes.withColumn("_cell", cell(F.col("snapshot_id")))
-    joined = join_small(placed, spread, ["table_id", "_cell"], salt="rowid", condition=inside, fits=fits)
-    return joined.drop("_cell", "_from", "_to")
+    places = changes.select("table_id", "snapshot_id").distinct().filter("table_id IS NOT NULL AND snapshot_id IS NOT NULL")
+    line = places.select("table_id", (F.col("snapshot_id") * 2 + 1).alias("_place"), "snapshot_id").unionByName(
+        starts, allowMissingColumns=True)
+    seen = look_along(line, ["table_id"], "_place", {"_last": F.col("_epoch")}).filter(F.col("snapshot_id").isNotNull())
+    covers = F.col("_last.end_snapshot").isNull() | (F.col("snapshot_id") < F.col("_last.end_snapshot"))
+    known = seen.select("table_id", "snapshot_id", F.when(covers, F.col("_last.epoch")).alias("epoch"))
+    return changes.join(known, ["table_id", "snapshot_id"], "left")
 
 
 def latest_epoch(epochs_df: DataFrame) -> DataFrame:

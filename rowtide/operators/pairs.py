@@ -75,23 +75,23 @@ def feed(events: DataFrame, length: int = FEED_LENGTH) -> DataFrame:
     """
     is_half = F.col("change_type").isin(UPDATE_PRE, UPDATE_POST)
     kind = F.when(F.col("type") != CHANGE, F.col("type")).when(is_half, "update").otherwise(F.col("change_type"))
-    slim = events.select("seq", kind.alias("kind"), "table_id", "snapshot_id", F.coalesce("rowid", F.lit(-1)).alias("rowid"))
-    places = slim.groupBy("kind", "table_id", "snapshot_id", "rowid").agg(F.min("seq").alias("seq"))
-    chosen = places.orderBy(F.desc("seq")).limit(length)  # at most `length` rows: safe to broadcast
-    wanted = F.broadcast(chosen.select(
-        "kind", "table_id", "snapshot_id", "rowid", F.col("seq").alias("place")))
-    payload = events.select(
-        "seq", kind.alias("kind"), "table_id", "snapshot_id", F.coalesce("rowid", F.lit(-1)).alias("rowid"),
-        "change_type", "row", "snapshot_time",
-    ).join(wanted, ["kind", "table_id", "snapshot_id", "rowid"])
+    place = ["kind", "table_id", "snapshot_id", "rowid"]
+    slim = events.select("seq", kind.alias("kind"), *place[1:])
+    chosen = slim.groupBy(*place).agg(F.min("seq").alias("place")).orderBy(F.desc("place")).limit(length)
+    wanted = chosen.select(*[F.col(c).alias(f"_{c}") for c in place], "place")
+    payload = events.select(kind.alias("kind"), *place[1:], "change_type", "row", "snapshot_time")
+    same = F.lit(True)
+    for c in place:  # a marker has no row id
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    payload = payload.join(F.broadcast(wanted), same)  # at most `length` rows
     before = F.col("change_type").isin(UPDATE_PRE, DELETE)
     after = F.col("change_type").isin(UPDATE_POST, INSERT)
-    entries = payload.groupBy("kind", "table_id", "snapshot_id", "rowid", "place").agg(
+    entries = payload.groupBy(*place, "place").agg(
         F.max(F.when(before, F.col("row"))).alias("before"),
         F.max(F.when(after, F.col("row"))).alias("after"),
         F.min("snapshot_time").alias("time"),
     )
     return entries.select(
         F.col("place").alias("seq"), "kind", "table_id", F.col("snapshot_id").alias("snapshot"),
-        F.when(F.col("rowid") >= 0, F.col("rowid")).alias("rowid"), "before", "after", "time",
+        "rowid", "before", "after", "time",
     ).orderBy(F.desc("seq"))

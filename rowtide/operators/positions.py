@@ -25,9 +25,9 @@ def check_position(last_seq: int, first_seq: int, head: int, saved_log: str | No
     if saved_log is not None and log is not None and saved_log != log:
         raise LogWasReset(f"position {last_seq} belongs to log {saved_log}, this is {log}")
     if first_seq > 0 and last_seq + 1 < first_seq:
-        raise PositionTooOld(f"saved position {last_seq} is older than the log start {first_seq}")
+        raise PositionTooOld(f"events {last_seq + 1} to {first_seq - 1} were removed from the log before they were read")
     if last_seq > head:
-        raise LogWasReset(f"saved position {last_seq} is past the log end {head}")
+        raise LogWasReset(f"the log ends at {head}, before position {last_seq}")
 
 
 def position_status(readers: DataFrame, first_seq: int, head: int) -> DataFrame:

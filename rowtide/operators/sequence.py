@@ -6,7 +6,7 @@ the order into pieces, work on every piece in parallel, and carry a small summar
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowtide.functions.events import CHANGE, TABLE_DROPPED, UPDATE_POST
 from rowtide.settings import local_table, tracked_dir
@@ -14,9 +14,6 @@ from rowtide.settings import local_table, tracked_dir
 # Rows of one key that share a piece at most, when the order column has no repeated value.
 CELL_WIDTH = 65_536
 
-# Counts of groups in partitions that may come to the driver.
-_GATHERED = 50_000
-
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
 _GROUP = ["snapshot_id", "_rank", "table_id"]
@@ -65,27 +62,23 @@ def number_groups(
 ) -> tuple[DataFrame, int]:
     """Number rows ``base+1, base+2, …`` with the ``groups`` in order; give them and their count.
 
-    Rows stay in the partitions they come in and are sorted there only: no shuffle and no sampling
-    pass, and a group of any size is spread as its rows were. Within a group the partitions follow
-    one another, each ordered by ``inside``. That needs one count per group and partition, so it is
-    meant for few groups (snapshots and tables of a batch); for many the rows are sorted instead.
+    Rows stay in the partitions they come in and are sorted there only, so a group of any size is spread
+    as its rows were. Within a group the partitions follow one another, each ordered by ``inside``. The
+    counts per group and partition are numbered like rows with a weight, whatever their number, and
+    joined back.
     """
-    spark = df.sparkSession
     staged = _staged(df.sortWithinPartitions(*groups, *inside), stage and f"{stage}/placed")
     pieces = staged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    shape = T.StructType([df.schema[g] for g in groups])
-    few = pieces.limit(_GATHERED + 1).collect()
-    if len(few) > _GATHERED:  # groups are not few after all: sort, which needs one number per partition
-        return number_rows(staged.select(*df.columns), [*groups, *inside], out, base, stage and f"{stage}/sorted")
-    few.sort(key=lambda r: (*[r[g] for g in groups], r["_part"]))
-    ends = list(accumulate((r["_n"] for r in few), initial=base))
-    offsets = local_table(
-        spark, [(*[r[g] for g in groups], r["_part"], start - r["_first"] + 1) for r, start in zip(few, ends)],
-        T.StructType([*shape.fields, T.StructField("_part", T.LongType()), T.StructField("_offset", T.LongType())]),
-    )
-    numbered = staged.join(F.broadcast(offsets), [*groups, "_part"])  # at most _GATHERED rows of numbers
-    numbered = numbered.withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
-    return numbered.select(out, *[c for c in df.columns if c != out]), ends[-1] - base
+    pieces = pieces.withColumnRenamed("_part", "_from")  # _part is taken while the pieces are numbered
+    ended, count = number_rows(pieces, [*groups, "_from"], "_end", base, stage and f"{stage}/pieces", weight="_n")
+    offsets = ended.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_from"),
+        (F.col("_end") - F.col("_n") + 1 - F.col("_first")).alias("_offset"))
+    same = staged["_part"] == offsets["_from"]
+    for i, g in enumerate(groups):
+        same = same & staged[g].eqNullSafe(offsets[f"_g{i}"])
+    numbered = staged.join(offsets, same).withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
+    return numbered.select(out, *[c for c in df.columns if c != out]), count
 
 
 def union_log(changes: DataFrame, markers: DataFrame | None = None) -> DataFrame:

@@ -8,10 +8,9 @@ from rowtide.functions.events import (
 from rowtide.operators.dedup import first_copies
 from rowtide.operators.sequence import look_along
 from rowtide.schemas import VIEW, VIEW_META, conform
-from rowtide.settings import gathered, join_small, local_table
+from rowtide.settings import local_table, written
 
 _NAMES = "array<string>"
-_LOOKED_UP = 1000  # places looked up by number; more are joined
 
 
 def _no_names() -> Column:
@@ -23,11 +22,10 @@ def drop_points(events: DataFrame) -> DataFrame:
     return events.filter(F.col("type") == TABLE_DROPPED).groupBy("table_id").agg(F.min("seq").alias("ended_seq"))
 
 
-def stop_at_drop(events: DataFrame, points: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
-    """Cut every table's events after its drop marker. ``fits`` says whether the points, if
-    measured already, may be broadcast."""
+def stop_at_drop(events: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """Cut every table's events after its drop marker."""
     points = drop_points(events) if points is None else points
-    joined = join_small(events, points, ["table_id"], salt="seq", fits=fits)
+    joined = events.join(points, "table_id", "left")
     return joined.filter(F.col("ended_seq").isNull() | (F.col("seq") <= F.col("ended_seq"))).drop("ended_seq")
 
 
@@ -35,21 +33,12 @@ def first_shapes(events: DataFrame) -> DataFrame:
     """Columns of the first change event of every table, whatever its kind: ``table_id,
     shape_seq, shape``.
 
-    The places are found on narrow columns. For few tables they are then looked up in the log by
-    number, which opens only the row groups that hold them."""
-    changes = events.filter(F.col("type") == CHANGE)
-    first = changes.groupBy("table_id").agg(F.min("seq").alias("shape_seq"))
-    few = first.limit(_LOOKED_UP + 1).collect()
-    rows = changes.select("table_id", F.col("seq").alias("shape_seq"), "row")
-    if len(few) <= _LOOKED_UP:
-        first = local_table(events.sparkSession, [tuple(r) for r in few], first.schema)
-        rows = rows.filter(F.col("shape_seq").isin([r["shape_seq"] for r in few]))
-        rows = rows.join(F.broadcast(first), ["table_id", "shape_seq"])
-    else:
-        rows = join_small(rows, first, ["table_id", "shape_seq"], salt="shape_seq", how="inner")
+    One event per table and task is kept before the shuffle."""
     shape = F.coalesce(F.expr("json_object_keys(row)"), _no_names())
-    # Copies of the first event have its place; one is kept.
-    return rows.groupBy("table_id", "shape_seq").agg(F.first(shape).alias("shape"))
+    first = F.min_by(F.struct(F.col("seq"), F.col("row")), F.col("seq"))
+    changes = events.filter(F.col("type") == CHANGE).groupBy("table_id").agg(first.alias("f"))
+    return changes.select("table_id", F.col("f.seq").alias("shape_seq"), F.col("f.row").alias("row")).select(
+        "table_id", "shape_seq", shape.alias("shape"))
 
 
 def marker_delta(markers: DataFrame, shapes: DataFrame | None, saved: DataFrame | None = None) -> DataFrame:
@@ -112,11 +101,9 @@ def touched_columns(deltas: DataFrame) -> DataFrame:
     )
 
 
-def reshape(
-    rows: DataFrame, touched: DataFrame, row: str = "row", place: str = "seq", fits: bool | None = None
-) -> DataFrame:
+def reshape(rows: DataFrame, touched: DataFrame, row: str = "row", place: str = "seq") -> DataFrame:
     """Bring stored rows (``table_id, row, seq``) to the shape after all markers."""
-    joined = join_small(rows, touched, ["table_id"], salt=place, fits=fits)
+    joined = rows.join(touched, "table_id", "left")
     gone = F.transform(
         F.filter("touched", lambda t: t.getField("removed_at") > F.col(place)), lambda t: t.getField("name")
     )
@@ -173,14 +160,13 @@ def materialize(
     passes ``saved_meta`` passes a row for every table the events are about.
     """
     markers = points = touched = shapes = deltas = None
-    points_fit = touched_fit = True
     if saved_meta is not None:  # a table that ended earlier takes no more events
         over = saved_meta.filter("ended").select("table_id", F.col("last_seq").alias("ended_seq"))
         points = None if over.isEmpty() else over
     if markers_expected:
         optional = [c for c in ("message_id", "schema_json", "retyped") if c in events.columns]
         markers = events.filter(F.col("type") != CHANGE).select("table_id", "seq", "type", "columns", *optional)
-        markers, points_fit = gathered(markers if distinct else first_copies(markers), "markers")
+        markers = written(markers if distinct else first_copies(markers), "markers")
         seen = markers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == TABLE_DROPPED).alias("drops")).first()
         markers = markers if seen["n"] else None
         if seen["drops"]:
@@ -188,13 +174,13 @@ def materialize(
             points = found if points is None else points.unionByName(found).groupBy("table_id").agg(
                 F.min("ended_seq").alias("ended_seq"))
     if points is not None:
-        points, points_fit = gathered(points, "drops")
-        markers = None if markers is None else stop_at_drop(markers, points, points_fit)
-    live = events if points is None else stop_at_drop(events, points, points_fit)
+        points = written(points, "drops")
+        markers = None if markers is None else stop_at_drop(markers, points)
+    live = events if points is None else stop_at_drop(events, points)
     if markers is not None:
-        shapes = gathered(first_shapes(live), "shapes")[0] if _shape_needed(saved_meta) else None
+        shapes = written(first_shapes(live), "shapes") if _shape_needed(saved_meta) else None
         deltas = marker_delta(markers, shapes, saved_meta)
-        touched, touched_fit = gathered(touched_columns(deltas), "touched")
+        touched = written(touched_columns(deltas), "touched")
 
     # Only this branch carries payloads, so only here copies are removed: the place of the first
     # copy is the least one in any case.
@@ -212,7 +198,7 @@ def materialize(
         )
     rows = rows.filter(F.col("change_type").isNull() | (F.col("change_type") != DELETE)).drop("change_type")
     if touched is not None:
-        rows = reshape(rows, touched, fits=touched_fit)
+        rows = reshape(rows, touched)
 
     def meta() -> DataFrame:
         known = shapes

@@ -1,4 +1,6 @@
-"""Where intermediate tables go, and when a side is small enough to broadcast."""
+"""Where intermediate tables go.
+
+How tables are joined is left to adaptive execution, which sees their sizes when they are there."""
 
 import atexit
 import contextlib
@@ -8,20 +10,9 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A side is broadcast only after it was counted and found below both bounds.
-BROADCAST_MAX_ROWS = 500_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-
-# Control data (markers, drops, epochs, column names) up to this many rows become part of the plan.
-GATHER_MAX_ROWS = 1_000
-
-# Copies of the small side, and so tasks per hot key, when it is too large to broadcast.
-JOIN_SALTS = 32
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
@@ -38,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def check_path(spark: SparkSession, path: str) -> str:
+    """``path`` without a slash at the end. One without a scheme is refused where Spark would take it for a path
+    of another file system than this process does."""
+    if "://" not in path and not path.startswith("file:"):
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if not default.startswith("file:"):
+            raise ValueError(f"{path}: give the file system too, as in {default.rstrip('/')}{path}")
+    return path.rstrip("/")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder, removed when this program ends."""
     root = f"{shared_dir(spark)}/rowtide/{spark.conf.get('spark.app.id', 'local')}-{_RUN}"
@@ -73,17 +74,6 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Count the rows and bytes of ``df`` and compare them with the bounds.
-
-    Only one number per row is looked at, and no more rows than the bound allows, so a large side
-    is found out early.
-    """
-    sizes = df.select(F.length(F.to_json(F.struct("*"))).alias("b")).limit(BROADCAST_MAX_ROWS + 1)
-    found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
-    return found["n"] <= BROADCAST_MAX_ROWS and (found["b"] or 0) <= BROADCAST_MAX_BYTES
-
-
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("rowtide_scratch", default=None)
 
 
@@ -118,45 +108,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = tracked_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def gathered(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
-    """Evaluate control data once; give it and whether it may be broadcast.
-
-    Up to ``GATHER_MAX_ROWS`` rows are taken up into the plan. Anything larger is written to the
-    shared folder and measured there, and stays on the executors."""
-    bound = min(GATHER_MAX_ROWS, BROADCAST_MAX_ROWS)
-    if bound >= 0:
-        rows = df.limit(bound + 1).collect()
-        if len(rows) <= bound:
-            return local_table(df.sparkSession, [tuple(r) for r in rows], df.schema), True
-    kept = written(df, label)
-    return kept, fits_broadcast(kept)
-
-
-def join_small(
-    left: DataFrame, right: DataFrame, keys: list[str], salt: str, how: str = "left", condition=None,
-    fits: bool | None = None,
-) -> DataFrame:
-    """Join a large side with a usually small one on ``keys`` (and an optional condition).
-
-    The small side is broadcast when its measured size allows. Otherwise it is repeated
-    ``JOIN_SALTS`` times and the large side is spread by ``salt``, so that one key holding a
-    large share of the rows is served by many tasks.
-    """
-    if fits is None:
-        fits = fits_broadcast(right)
-    if fits:
-        right, on = F.broadcast(right), list(keys)
-    else:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(JOIN_SALTS)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-        on = [*keys, "_salt"]
-    if condition is None:
-        return left.join(right, on, how).drop("_salt")
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    equal = [left[k] == F.col(f"_r_{k}") for k in on]
-    return (
-        left.join(renamed if not fits else F.broadcast(renamed), [*equal, condition], how)
-        .drop(*[f"_r_{k}" for k in on], "_salt")
-    )

@@ -6,6 +6,7 @@ put in place whole. Only this metadata is touched here; table data is read and w
 
 import datetime as dt
 import json
+import os
 import uuid
 
 from pyarrow import fs as pafs
@@ -31,14 +32,32 @@ def _default(value):
     raise TypeError(f"cannot store {type(value).__name__}")
 
 
-def write_json(path: str, rows: list[dict]) -> None:
-    """Put a file of one JSON object per line in place at once."""
+class AlreadyThere(RuntimeError):
+    """Another writer put the file in place first."""
+
+
+def write_json(path: str, rows: list[dict], new: bool = False) -> None:
+    """Put a file of one JSON object per line in place at once. With ``new`` it must not be there yet: of two
+    writers of one manifest the later one fails."""
     fs, target = locate(path)
     fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
     temporary = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as out:
         out.write("".join(json.dumps(r, default=_default) + "\n" for r in rows).encode())
-    fs.move(temporary, target)
+    if not new:
+        fs.move(temporary, target)
+    elif isinstance(fs, pafs.LocalFileSystem):
+        try:
+            os.link(temporary, target)  # fails if it is there, unlike a move
+        except FileExistsError:
+            raise AlreadyThere(path) from None
+        finally:
+            os.unlink(temporary)
+    else:
+        if fs.get_file_info(target).type != pafs.FileType.NotFound:
+            fs.delete_file(temporary)
+            raise AlreadyThere(path)
+        fs.move(temporary, target)
 
 
 def read_json(path: str) -> list[dict]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.operators.diff import duplicate_keys
 from rowtide.schemas import COMMITS
-from rowtide.settings import local_table
+from rowtide.settings import check_path, local_table
 from rowtide.sources import files
 
 _ID = "id"
@@ -26,6 +26,14 @@ class DuplicateKey(ValueError):
     """A version would hold two rows with one key."""
 
 
+class NullKey(ValueError):
+    """A row has no value in a key column."""
+
+
+class NameInUse(ValueError):
+    """There is a live table with that name."""
+
+
 class NoSuchTable(ValueError):
     """The table does not exist at that snapshot."""
 
@@ -104,7 +112,7 @@ def in_shape(df: DataFrame, old: T.StructType, new: T.StructType, keep: list[str
 
 class Lake:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path, self.buckets = spark, check_path(spark, path), buckets
         files.make_dir(self.commits_path)
 
     @property
@@ -143,11 +151,7 @@ class Lake:
 
     def table_id(self, name: str, snapshot: int | None = None) -> int:
         """Id of the live table with this name."""
-        known = self.commits().filter(F.col("op") != "none")
-        if snapshot is not None:
-            known = known.filter(F.col("snapshot_id") <= snapshot)
-        last = known.groupBy("table_id").agg(F.max_by(F.struct("table", "op"), "snapshot_id").alias("l"))
-        found = last.filter((F.col("l.table") == name) & (F.col("l.op") != "drop")).select("table_id").collect()
+        found = self._live_names(snapshot).filter(F.col("table") == name).select("table_id").collect()
         if not found:
             raise NoSuchTable(f"there is no table {name}")
         return found[0]["table_id"]
@@ -184,8 +188,12 @@ class Lake:
     # --- commits ---
 
     def commit(self, changes: list[TableChange], time: dt.datetime | None = None, validate: bool = True) -> int:
-        """Write the parts, then the manifest that makes them a snapshot."""
+        """Write the parts, then the manifest that makes them a snapshot.
+
+        Tables that the commit creates get their ids here. A commit does one thing to a table. Of two
+        commits made at once, the one whose manifest comes later fails with ``AlreadyThere``."""
         snapshot = self.head() + 1
+        self._place(changes)
         created = [c.table for c in changes if c.created]
         written = [self._write(c, snapshot, validate) if c.add is not None else [] for c in changes]
         time = time or dt.datetime.now(dt.timezone.utc)  # when the snapshot comes into being
@@ -201,18 +209,53 @@ class Lake:
             })
         if not rows:  # an empty commit still is a snapshot
             rows = [{"snapshot_id": snapshot, "snapshot_time": time, "op": "none", "changes": {}}]
-        files.write_json(files.manifest_path(self.commits_path, snapshot), rows)
+        files.write_json(files.manifest_path(self.commits_path, snapshot), rows, new=True)
         return snapshot
 
+    def _place(self, changes: list[TableChange]) -> None:
+        """Give created tables their ids, and refuse what would not leave one table per id and name."""
+        created = [c for c in changes if c.created]
+        named = [c for c in changes if c.created or c.op == "rename"]
+        if created:
+            top = self.commits().agg(F.coalesce(F.max("table_id"), F.lit(0)).alias("t")).first()["t"]
+            for number, change in enumerate(created, top + 1):
+                change.table_id = number
+        ids = [c.table_id for c in changes]
+        if len(set(ids)) < len(ids):
+            raise ValueError("a commit can change a table once only")
+        wanted = [c.table for c in named]
+        if len(set(wanted)) < len(wanted):
+            raise NameInUse(f"two tables would be called {next(n for n in wanted if wanted.count(n) > 1)}")
+        if named:
+            leaving = {c.table_id for c in changes if c.op in ("drop", "rename")}
+            for row in self._live_names().filter(F.col("table").isin(wanted)).collect():  # one per new name at most
+                if row["table_id"] not in leaving:
+                    raise NameInUse(f"there is a table {row['table']} already")
+
+    def _live_names(self, snapshot: int | None = None) -> DataFrame:
+        """``table_id, table`` of the tables that exist."""
+        known = self.commits().filter(F.col("op") != "none")
+        if snapshot is not None:
+            known = known.filter(F.col("snapshot_id") <= snapshot)
+        last = known.groupBy("table_id").agg(F.max_by(F.struct("table", "op"), "snapshot_id").alias("l"))
+        return last.filter(F.col("l.op") != "drop").select("table_id", "l.table")
+
     def _write(self, change: TableChange, snapshot: int, validate: bool) -> list[str]:
         df = change.add.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in change.schema.fields])
         if validate:
+            empty = F.lit(False)
+            for name in change.key:
+                empty = empty | F.col(f"`{name}`").isNull()
+            if not df.filter(empty).isEmpty():
+                raise NullKey(f"{change.table}: a row has no key")
             twice = duplicate_keys(df, change.key).limit(1).collect()
             if twice:
                 raise DuplicateKey(f"{change.table}: key {twice[0].asDict()} occurs more than once")
         bucket = F.lit(0)
         if self.buckets > 1:
             bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in change.key]), F.lit(self.buckets)).cast("int")
+        if validate and not change.created:
+            self._check_live_keys(change, df, bucket)
         stored = df.select(
             bucket.alias("bucket"), *[F.col(f"`{f.name}`").alias(f"c{f.metadata[_ID]}") for f in change.schema.fields]
         )
@@ -222,11 +265,27 @@ class Lake:
         stored.write.mode("overwrite").partitionBy("bucket").parquet(path)
         return [f"{snapshot}/{name.split('=')[1]}" for name in files.subfolders(path) if name.startswith("bucket=")]
 
-    def creation(self, name: str, df: DataFrame, key: list[str], offset: int = 0) -> TableChange:
-        """Change that creates a table; its id is new also where the name was used before."""
-        top = self.commits().agg(F.coalesce(F.max("table_id"), F.lit(0)).alias("t")).first()["t"]
+    def _check_live_keys(self, change: TableChange, df: DataFrame, bucket) -> None:
+        """Keys of rows to be added must not be in the parts that stay. Only the parts of the buckets the
+        rows go to are read, and only their key columns."""
+        stays = [p for p in self.state(change.table_id).parts if p not in set(change.remove)]
+        if not stays:
+            return
+        used = {r["b"] for r in df.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` numbers
+        parts = [p for p in stays if int(p.split("/")[1]) in used]
+        if not parts:
+            return
+        shape = T.StructType([f for f in change.schema.fields if f.name in change.key])
+        names = [F.col(f"`{k}`") for k in change.key]
+        live = self.read_parts(change.table_id, shape, parts).select(*names)
+        both = df.select(*names).join(live, change.key, "left_semi").limit(1).collect()
+        if both:
+            raise DuplicateKey(f"{change.table}: key {both[0].asDict()} is in the table already")
+
+    def creation(self, name: str, df: DataFrame, key: list[str]) -> TableChange:
+        """Change that creates a table. ``commit`` gives it an id that was never used."""
         schema = with_column_ids(df.schema)
-        return TableChange(top + 1 + offset, name, "create", schema, key, add=df, created=True)
+        return TableChange(0, name, "create", schema, key, add=df, created=True)
 
     def create(self, name: str, df: DataFrame, key: list[str], time: dt.datetime | None = None) -> int:
         """Create a table with its first rows; gives the table id."""

@@ -18,7 +18,7 @@ from rowtide.operators.dedup import first_copies, not_in_log
 from rowtide.operators.positions import log_bounds
 from rowtide.operators.sequence import assign_seq, union_log
 from rowtide.schemas import BATCHES, EVENT, LOG, conform
-from rowtide.settings import local_table
+from rowtide.settings import check_path, local_table
 from rowtide.sources import files
 
 
@@ -27,7 +27,7 @@ class EventLog:
     a range shuffle; otherwise the rows of a commit are numbered as they come."""
 
     def __init__(self, spark: SparkSession, path: str, prefix: str = "changes", rows_in_order: bool = False):
-        self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+        self.spark, self.path, self.prefix = spark, check_path(spark, path), prefix
         self.rows_in_order = rows_in_order
 
     @property
@@ -48,12 +48,14 @@ class EventLog:
             self._put({
                 "ordinal": 1, "batch_id": start_snapshot, "path": None, "start_snapshot": start_snapshot,
                 "end_snapshot": start_snapshot, "first_seq": 1, "last_seq": 0, "rows": 0,
-                "log_id": uuid.uuid4().hex, "published_at": dt.datetime.now(dt.timezone.utc),
+                "log_id": uuid.uuid4().hex,
             })
         return self
 
     def _put(self, manifest: dict) -> dict:
-        files.write_json(files.manifest_path(self.batches_path, manifest["ordinal"]), [manifest])
+        """Make a batch visible. Its time of publication is taken here, when its rows are in place."""
+        manifest = {**manifest, "published_at": dt.datetime.now(dt.timezone.utc)}
+        files.write_json(files.manifest_path(self.batches_path, manifest["ordinal"]), [manifest], new=True)
         return manifest
 
     def exists(self) -> bool:
@@ -92,7 +94,9 @@ class EventLog:
         last = self.newest()
         if not distinct:
             low = events.agg(F.min("snapshot_id").alias("s")).first()["s"]
-            events = first_copies(events.withColumn("_at", F.lit(0)), order="_at").drop("_at")
+            # Copies of an id may differ in what they carry; the least by all columns stays.
+            payload = F.struct(*[F.col(f"`{c}`") for c in events.columns if c != "message_id"])
+            events = first_copies(events.withColumn("_at", payload), order="_at").drop("_at")
             if low is not None:
                 events = not_in_log(events, self.read(min_snapshot=low))
         token = f"{last['ordinal'] + 1:012d}-{uuid.uuid4().hex}"
@@ -119,7 +123,7 @@ class EventLog:
         return self._put({
             "ordinal": last["ordinal"] + 1, "batch_id": end_snapshot, "path": path,
             "start_snapshot": start_snapshot, "end_snapshot": end_snapshot, "first_seq": last["last_seq"] + 1,
-            "last_seq": last["last_seq"] + rows, "rows": rows, "log_id": last["log_id"], "published_at": published,
+            "last_seq": last["last_seq"] + rows, "rows": rows, "log_id": last["log_id"],
         })
 
     # --- reading ---
@@ -159,6 +163,17 @@ class EventLog:
                 found = found.filter(test)
         return found
 
+    def delivery(self, after: int | None = None) -> DataFrame:
+        """``seq, table_id, snapshot_time, published_at`` of the changes, with the time their batch became
+        visible: rows carry the time they were written, which is earlier."""
+        token = T.StructType(LOG.fields + [T.StructField("batch", T.StringType())])
+        rows = self.spark.read.schema(token).option("basePath", self.events_path).parquet(self.events_path)
+        rows = rows.filter((F.col("type") == CHANGE) & (F.col("seq") > F.lit(after or 0)))
+        times = self.batches().filter("rows > 0").select(
+            F.regexp_replace("path", "^batch=", "").alias("batch"), F.col("published_at").alias("visible_at"))
+        return rows.join(times, "batch").select(
+            "seq", "table_id", "snapshot_time", F.col("visible_at").alias("published_at"))
+
     def dump(self) -> DataFrame:
         """Every event held, readable, in order."""
         return describe(self.read()).orderBy("seq")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED, change_events, marker_events
 from rowtide.operators.diff import deletes, inserts, snapshot_diff, with_rowid
 from rowtide.schemas import COMMITS, EVENT
-from rowtide.settings import BROADCAST_MAX_ROWS, local_table
+from rowtide.settings import local_table
 from rowtide.sources import files
 from rowtide.sources.lake import Lake, NoSuchTable, in_shape, retyped_columns, shape_of
 from rowtide.sources.log import EventLog
@@ -111,7 +111,7 @@ class Capture:
                 rows = rows.withColumn("snapshot_id", F.lit(some[0]["snapshot_id"]).cast("long"))
             else:  # a part is removed once at most, so this adds a column and no rows
                 by = local_table(self.spark, removed, "_added long, _bucket int, snapshot_id long")
-                rows = rows.join(F.broadcast(by) if len(removed) <= BROADCAST_MAX_ROWS else by, ["_added", "_bucket"])
+                rows = rows.join(by, ["_added", "_bucket"])
             return with_rowid(in_shape(rows, old_shape, shape, ["snapshot_id"]), key, ["snapshot_id"])
 
         kept = ["snapshot_id"]
@@ -133,7 +133,7 @@ class Capture:
                 self.spark, [(c["snapshot_id"], c["table"], c["snapshot_time"]) for c in group],
                 "snapshot_id long, table string, snapshot_time timestamp",
             )
-            named = changes.join(F.broadcast(by) if len(group) <= BROADCAST_MAX_ROWS else by, "snapshot_id")
+            named = changes.join(by, "snapshot_id")
         return named.withColumn("table_id", F.lit(table_id).cast("long"))
 
     # --- publishing ---

@@ -141,7 +141,7 @@ class Follower:
         try:
             query = self.start(checkpoint, interval=interval)
         except PositionTooOld as error:
-            self.error = f"Too old, reload required: {error}"
+            self.error = f"reload the table: {error}"
             return None
         self.error = None
         return query

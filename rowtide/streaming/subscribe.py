@@ -65,12 +65,13 @@ class Subscription:
         return handler
 
     def on_schema_change(self, handler):
-        """``handler(columns)``: the new column names, None if unknown."""
+        """``handler(columns)`` is called between the changes before and after a new shape, with its column
+        names, or None where the marker names none."""
         self._reshaped = handler
         return handler
 
     def on_table_dropped(self, handler):
-        """``handler()``: the stream is over."""
+        """``handler()`` is called once, after the last change that will ever be delivered."""
         self._dropped = handler
         return handler
 
@@ -140,13 +141,14 @@ class Subscription:
 def activity_feed(log: EventLog, table_id: int, after: int = 0, length: int = FEED_LENGTH) -> DataFrame:
     """The newest entries of one table, newest first.
 
-    A snapshot lies in one batch, so the newest batches are enough: older ones are opened, twice as
-    many each time, only while entries are missing."""
-    held = log.batches().filter((F.col("rows") > 0) & (F.col("last_seq") > after))
-    paths = [r["path"] for r in held.orderBy(F.desc("ordinal")).select("path").collect()]
-    count = 1
-    while True:
-        entries = feed(log.read_paths(paths[:count], table_id, after=after), length)
-        if count >= len(paths) or entries.count() >= length:
-            return entries
-        count *= 2
+    Every change or marker takes up at most two events, an update's halves, so only events of the newest
+    snapshots that hold ``2 * length`` of them can be among the entries: counting narrow columns finds the
+    snapshot from which to read."""
+    events = log.read(table_id, after=after)
+    newest = events.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("snapshot_id"))
+    enough, low = 0, None
+    for row in newest.limit(2 * length).collect():  # at most that many numbers
+        enough, low = enough + row["n"], row["snapshot_id"]
+        if enough >= 2 * length:
+            break
+    return feed(log.read(table_id, after=after, min_snapshot=low), length)

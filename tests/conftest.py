@@ -28,11 +28,14 @@ def folder(tmp_path):
 
 
 @pytest.fixture
-def never_broadcast(monkeypatch):
-    """Take every size-checked join the other way."""
-    from rowtide import settings
-
-    monkeypatch.setattr(settings, "BROADCAST_MAX_ROWS", -1)
+def never_broadcast(spark):
+    """Joins as on tables too large to broadcast."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key in keys:
+        spark.conf.unset(key)
 
 
 EVENT_DDL = (

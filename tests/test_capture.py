@@ -148,7 +148,7 @@ def test_many_updates_in_one_batch(spark, lake, log):
 
 
 def test_equal_row_ids_of_two_tables_in_one_snapshot(spark, lake, log):
-    lake.commit([lake.creation("a", frame(spark, [(1, "x")]), ["id"]), lake.creation("b", frame(spark, [(1, "y")]), ["id"], offset=1)])
+    lake.commit([lake.creation("a", frame(spark, [(1, "x")]), ["id"]), lake.creation("b", frame(spark, [(1, "y")]), ["id"])])
     log.create(0)
     Capture(lake, log).publish_commits(commits_of(lake))
     assert ids(log) == ["1-1-1-insert", "2-1-1-insert"]

@@ -58,12 +58,9 @@ def test_recreation(spark):
     assert {tuple(r) for r in ep.recreated(drops, c).collect()} == {(1, "b", 7, 9), (2, "c", 8, None)}
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_every_change_meets_its_epoch(spark, broadcast, monkeypatch):
+def test_every_change_meets_its_epoch(spark, never_broadcast):
     """A table with most of the changes, a snapshot with a third of them, and both sides of every
     boundary: compared with a plain search."""
-    if not broadcast:
-        monkeypatch.setattr("rowtide.settings.BROADCAST_MAX_ROWS", -1)
     rng = random.Random(4)
     known = []
     for table in range(5):
