@@ -23,11 +23,14 @@ def subject(prefix: str, table_id: Column | str = "table_id") -> Column:
     return F.concat_ws(".", F.lit(prefix), F.col(table_id) if isinstance(table_id, str) else table_id)
 
 
-def message_id() -> Column:
+def message_id(keyed: bool = False) -> Column:
     """What tells an event from all others, and a copy of it from nothing: for a change its table, snapshot,
-    row and kind, for a marker its kind, table and snapshot."""
+    row and kind, for a marker its kind, table and snapshot. ``keyed`` takes the key into it where the row
+    id is a hash only."""
+    row = F.coalesce(F.col("rowid").cast("string"), F.lit(""))
+    key = F.nullif("rowkey", F.lit("")) if keyed else F.lit(None)
     return F.when(
-        F.col("type") == CHANGE, F.concat_ws("-", "table_id", "snapshot_id", "rowid", "change_type")
+        F.col("type") == CHANGE, F.concat_ws("-", "table_id", "snapshot_id", row, key, "change_type")
     ).otherwise(F.concat_ws("-", "type", "table_id", "snapshot_id"))
 
 
@@ -37,7 +40,7 @@ def change_events(changes: DataFrame, prefix: str) -> DataFrame:
     if isinstance(changes.schema["row"].dataType, T.StructType):
         changes = changes.withColumn("row", encode_row(changes, "row"))
     shaped = changes.withColumn("type", F.lit(CHANGE)).withColumn("subject", subject(prefix))
-    return conform(shaped, EVENT).withColumn("message_id", message_id())
+    return conform(shaped, EVENT).withColumn("message_id", message_id(keyed=True))
 
 
 def marker_events(markers: DataFrame, prefix: str) -> DataFrame:
@@ -48,7 +51,7 @@ def marker_events(markers: DataFrame, prefix: str) -> DataFrame:
         if name in markers.columns:
             markers = markers.withColumn(name, F.when(reshaped, F.col(name)))
     shaped = markers.withColumn("subject", subject(prefix))
-    return conform(shaped, EVENT).withColumn("message_id", message_id())
+    return conform(shaped, EVENT).withColumn("message_id", message_id(keyed=True))
 
 
 # --- JSON form of a row ---

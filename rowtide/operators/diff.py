@@ -5,16 +5,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from rowtide.functions.events import DELETE, INSERT, UPDATE_POST, UPDATE_PRE
 
 ROWID = "rowid"
+ROWKEY = "rowkey"  # the key itself, as JSON, where the row id is a hash of it; else empty
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def with_rowid(df: DataFrame, key: list[str], keep: list[str] = (), columns: list[str] | None = None) -> DataFrame:
-    """``keep…, rowid, row``: the user columns nested in ``row``, so that no user column can be
-    mistaken for one of ours. One integral key column is the row id; other keys are hashed."""
+    """``keep…, rowid, rowkey, row``: the user columns nested in ``row``, so that no user column can be
+    mistaken for one of ours. One integral key column is the row id; other keys are hashed, and go along
+    as JSON in ``rowkey``: rows are told apart by both, so keys that share a hash stay two rows."""
     columns = columns or [c for c in df.columns if c not in keep]
     single = len(key) == 1 and isinstance(df.schema[key[0]].dataType, _INTEGRAL)
     rowid = F.col(f"`{key[0]}`").cast("long") if single else F.xxhash64(*[F.col(f"`{c}`") for c in key])
-    return df.select(*keep, rowid.alias(ROWID), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in key]), {"ignoreNullFields": "false"})
+    rowkey = F.lit("") if single else text
+    return df.select(
+        *keep, rowid.alias(ROWID), rowkey.alias(ROWKEY), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
 
 def require_unique(df: DataFrame, by: list[str]) -> DataFrame:
@@ -36,39 +41,29 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def inserts(new: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Changes of a commit that only adds rows: no join, no shuffle."""
-    return new.select(*keep, ROWID, F.lit(INSERT).alias("change_type"), "row")
+    return new.select(*keep, ROWID, ROWKEY, F.lit(INSERT).alias("change_type"), "row")
 
 
 def deletes(old: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Changes of a commit that only removes rows."""
-    return old.select(*keep, ROWID, F.lit(DELETE).alias("change_type"), "row")
+    return old.select(*keep, ROWID, ROWKEY, F.lit(DELETE).alias("change_type"), "row")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, keep: list[str] = (), key: list[str] = ()) -> DataFrame:
-    """Rows of ``old`` and ``new`` (``keep…, rowid, row``) compared by ``keep`` and row id.
+def snapshot_diff(old: DataFrame, new: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Rows of ``old`` and ``new`` (``keep…, rowid, rowkey, row``) compared by ``keep``, row id and key.
 
-    Gives ``keep…, rowid, change_type, row``: an insert, a delete, or the two halves of an update;
-    equal rows vanish. Comparison is null-safe and takes NaN as equal to NaN. ``key`` names the
-    hashed key columns inside ``row``; two different keys with one hash fail the query.
+    Gives ``keep…, rowid, rowkey, change_type, row``: an insert, a delete, or the two halves of an update;
+    equal rows vanish. Comparison is null-safe and takes NaN as equal to NaN.
     """
-    by = [*keep, ROWID]
+    by = [*keep, ROWID, ROWKEY]
     left = require_unique(old, by).select(*by, F.col("row").alias("_old"))
     right = require_unique(new, by).select(*by, F.col("row").alias("_new"))
     joined = left.join(right, by, "full_outer")
-    if len(key) > 1 or (key and not isinstance(new.schema["row"].dataType[key[0]].dataType, _INTEGRAL)):
-        joined = joined.filter(F.assert_true(_same_key(key), "two keys share a row id").isNull())
     return joined.select(*by, F.explode(_changes()).alias("_c")).select(
         *by, F.col("_c.change_type"), F.col("_c.row")
     )
 
 
-def _same_key(key: list[str]) -> Column:
-    same = F.lit(True)
-    for name in key:
-        same = same & F.col(f"_old.`{name}`").eqNullSafe(F.col(f"_new.`{name}`"))
-    return F.col("_old").isNull() | F.col("_new").isNull() | same
-
-
 def _changes() -> Column:
     def change(kind: str, side: str) -> Column:
         return F.struct(F.lit(kind).alias("change_type"), F.col(side).alias("row"))
@@ -91,4 +86,4 @@ def diff_tables(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
         (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in new.schema.fields
     ])
-    return snapshot_diff(with_rowid(reshaped, key), with_rowid(new, key), key=key)
+    return snapshot_diff(with_rowid(reshaped, key), with_rowid(new, key))

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.events import CHANGE, DELETE, INSERT, UPDATE_POST, UPDATE_PRE
+from rowtide.schemas import with_rowkey
 
-PAIR = ["table_id", "snapshot_id", "rowid"]
+PAIR = ["table_id", "snapshot_id", "rowid", "rowkey"]
 FEED_LENGTH = 60  # fixed value: entries the feed shows
 
 
@@ -13,7 +14,7 @@ def halves(events: DataFrame) -> DataFrame:
 
 
 def pair_updates(events: DataFrame, lone: bool = False) -> DataFrame:
-    """The two halves of every update, in either order: ``table_id, snapshot_id, rowid, before,
+    """The two halves of every update, in either order: ``table_id, snapshot_id, rowid, rowkey, before,
     after, first_seq, last_seq``.
 
     Copies of a half count once. Groups are reduced before the shuffle, so many copies of one half
@@ -21,7 +22,7 @@ def pair_updates(events: DataFrame, lone: bool = False) -> DataFrame:
     """
     pre, post = F.col("change_type") == UPDATE_PRE, F.col("change_type") == UPDATE_POST
     first_pre, first_post = F.min(F.when(pre, F.col("seq"))), F.min(F.when(post, F.col("seq")))
-    paired = halves(events).groupBy(*PAIR).agg(
+    paired = with_rowkey(halves(events)).groupBy(*PAIR).agg(
         F.max(F.when(pre, F.col("row"))).alias("before"),
         F.max(F.when(post, F.col("row"))).alias("after"),
         F.least(first_pre, first_post).alias("first_seq"),
@@ -38,7 +39,7 @@ def pair_with_pending(batch: DataFrame, pending: DataFrame) -> tuple[DataFrame,
     must have been removed as a copy before.
     """
     columns = ["seq", *PAIR, "type", "change_type", "row"]
-    both = pending.select(*columns).unionByName(halves(batch).select(*columns))
+    both = with_rowkey(pending).select(*columns).unionByName(with_rowkey(halves(batch)).select(*columns))
     paired = pair_updates(both, lone=True)
     complete = F.col("before").isNotNull() & F.col("after").isNotNull()
     waiting = paired.filter(~complete).select(
@@ -75,7 +76,8 @@ def feed(events: DataFrame, length: int = FEED_LENGTH) -> DataFrame:
     """
     is_half = F.col("change_type").isin(UPDATE_PRE, UPDATE_POST)
     kind = F.when(F.col("type") != CHANGE, F.col("type")).when(is_half, "update").otherwise(F.col("change_type"))
-    place = ["kind", "table_id", "snapshot_id", "rowid"]
+    place = ["kind", "table_id", "snapshot_id", "rowid", "rowkey"]
+    events = with_rowkey(events)
     slim = events.select("seq", kind.alias("kind"), *place[1:])
     chosen = slim.groupBy(*place).agg(F.min("seq").alias("place")).orderBy(F.desc("place")).limit(length)
     wanted = chosen.select(*[F.col(c).alias(f"_{c}") for c in place], "place")

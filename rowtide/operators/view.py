@@ -7,7 +7,7 @@ from rowtide.functions.events import (
 )
 from rowtide.operators.dedup import first_copies
 from rowtide.operators.sequence import look_along
-from rowtide.schemas import VIEW, VIEW_META, conform
+from rowtide.schemas import VIEW, VIEW_META, conform, with_rowkey
 from rowtide.settings import local_table, written
 
 _NAMES = "array<string>"
@@ -119,15 +119,16 @@ def reshape(rows: DataFrame, touched: DataFrame, row: str = "row", place: str =
 
 
 def last_changes(events: DataFrame) -> DataFrame:
-    """The last event per row id that is not a pre-image: ``table_id, rowid, change_type, row,
+    """The last event per row that is not a pre-image: ``table_id, rowid, rowkey, change_type, row,
     seq``. Reduced before the shuffle, so a row changed very often costs one task little."""
     effective = events.filter((F.col("type") == CHANGE) & (F.col("change_type") != UPDATE_PRE))
     last = F.max_by(F.struct("change_type", "row", "seq"), F.col("seq"))
-    return effective.groupBy("table_id", "rowid").agg(last.alias("e")).select("table_id", "rowid", "e.*")
+    return with_rowkey(effective).groupBy("table_id", "rowid", "rowkey").agg(last.alias("e")).select(
+        "table_id", "rowid", "rowkey", "e.*")
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Rows present after the events, payload still JSON: ``table_id, rowid, row, seq``."""
+    """Rows present after the events, payload still JSON: ``table_id, rowid, rowkey, row, seq``."""
     return last_changes(events).filter(F.col("change_type") != DELETE).drop("change_type")
 
 
@@ -185,14 +186,15 @@ def materialize(
     # Only this branch carries payloads, so only here copies are removed: the place of the first
     # copy is the least one in any case.
     rows = last_changes(live if distinct else first_copies(live)).select(
-        "table_id", "rowid", "change_type", decode_row("row").alias("row"), "seq"
+        "table_id", "rowid", "rowkey", "change_type", decode_row("row").alias("row"), "seq"
     )
     if saved_rows is not None:
-        old = saved_rows.select("table_id", "rowid", F.col("row").alias("_row"), F.col("seq").alias("_seq"))
-        both = old.join(rows, ["table_id", "rowid"], "full_outer")
+        old = with_rowkey(saved_rows).select(
+            "table_id", "rowid", "rowkey", F.col("row").alias("_row"), F.col("seq").alias("_seq"))
+        both = old.join(rows, ["table_id", "rowid", "rowkey"], "full_outer")
         untouched = F.col("change_type").isNull()
         rows = both.select(
-            "table_id", "rowid", "change_type",
+            "table_id", "rowid", "rowkey", "change_type",
             F.when(untouched, F.col("_row")).otherwise(F.col("row")).alias("row"),
             F.when(untouched, F.col("_seq")).otherwise(F.col("seq")).alias("seq"),
         )
@@ -261,7 +263,7 @@ def _no_meta(like: DataFrame) -> DataFrame:
 
 def in_order(rows: DataFrame) -> DataFrame:
     """View rows by row id as a number, not as text."""
-    return rows.orderBy("table_id", F.col("rowid").cast("long"))
+    return rows.orderBy("table_id", F.col("rowid").cast("long"), "rowkey")
 
 
 def typed_view(rows: DataFrame, schema: T.StructType) -> DataFrame:

@@ -44,6 +44,7 @@ EVENT = T.StructType([
     T.StructField("table", T.StringType()),
     T.StructField("snapshot_id", T.LongType()),  # boundary snapshot on markers
     T.StructField("rowid", T.LongType()),
+    T.StructField("rowkey", T.StringType()),  # the key as JSON where the row id is a hash of it; else empty
     T.StructField("change_type", T.StringType()),
     T.StructField("row", T.StringType()),  # JSON object, nulls kept
     T.StructField("columns", T.ArrayType(T.StringType())),
@@ -63,6 +64,7 @@ ROW_MAP = T.MapType(T.StringType(), T.StringType())
 VIEW = T.StructType([
     T.StructField("table_id", T.LongType()),
     T.StructField("rowid", T.LongType()),
+    T.StructField("rowkey", T.StringType()),
     T.StructField("row", ROW_MAP),
     T.StructField("seq", T.LongType()),
 ])
@@ -77,6 +79,13 @@ VIEW_META = T.StructType([
 ])
 
 
+def with_rowkey(df):
+    """``df`` with ``rowkey`` empty where it has none, so that it can be joined and grouped by."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn("rowkey", F.coalesce("rowkey", F.lit("")) if "rowkey" in df.columns else F.lit(""))
+
+
 def conform(df, schema):
     """Select ``schema``'s columns in its order, casting, and NULL where ``df`` has none."""
     from pyspark.sql import functions as F

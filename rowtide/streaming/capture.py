@@ -121,7 +121,7 @@ class Capture:
         if only_old:
             pieces.append(deletes(old_rows(only_old), kept))
         if both:
-            pieces.append(snapshot_diff(old_rows(both), new_rows(both), kept, key))
+            pieces.append(snapshot_diff(old_rows(both), new_rows(both), kept))
         changes = pieces[0]
         for piece in pieces[1:]:
             changes = changes.unionByName(piece)

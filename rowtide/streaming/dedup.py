@@ -2,13 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowtide.operators.pairs import PAIR, pair_with_pending
+from rowtide.operators.pairs import PAIR, halves, pair_with_pending
+from rowtide.schemas import with_rowkey
 from rowtide.settings import local_table
 from rowtide.sources import files
 
-_HALF = "seq long, table_id long, snapshot_id long, rowid long, type string, change_type string, row string"
+_HALF = "seq long, table_id long, snapshot_id long, rowid long, rowkey string, type string, change_type string, row string"
 _PAIR = (
-    "table_id long, snapshot_id long, rowid long, before string, after string, first_seq long, last_seq long"
+    "table_id long, snapshot_id long, rowid long, rowkey string, before string, after string, first_seq long, last_seq long"
 )
 DUPLICATE_WINDOW = "2 minutes"  # fixed value: how long ids are remembered by default
 
@@ -27,7 +28,8 @@ def pair_stream(stream: DataFrame, path: str):
 
     Complete updates go to ``<path>/pairs/batch=<n>``, halves still alone to
     ``<path>/pending/batch=<n>``. The checkpoint lies beside them, so the batch numbers and the
-    tables cannot part; a repeated batch writes the same folders again.
+    tables cannot part; a repeated batch writes the same folders again. Copies of halves whose update was
+    given in an earlier batch are left out.
     """
     spark = stream.sparkSession
     files.make_dir(f"{path}/pairs")
@@ -35,6 +37,10 @@ def pair_stream(stream: DataFrame, path: str):
     def on_batch(batch: DataFrame, number: int) -> None:
         previous = f"{path}/pending/batch={number - 1}"
         carried = spark.read.schema(_HALF).parquet(previous) if files.exists(previous) else local_table(spark, [], _HALF)
+        if not files.subfolders(f"{path}/pairs"):  # so that there is something to read
+            local_table(spark, [], _PAIR).write.mode("overwrite").parquet(f"{path}/pairs/batch=-1")
+        earlier = spark.read.schema(f"{_PAIR}, batch int").parquet(f"{path}/pairs").filter(F.col("batch") < number)
+        batch = with_rowkey(halves(batch)).join(earlier.select(*PAIR), PAIR, "left_anti")
         complete, waiting = pair_with_pending(batch, carried)
         complete.write.mode("overwrite").parquet(f"{path}/pairs/batch={number}")
         waiting.write.mode("overwrite").parquet(f"{path}/pending/batch={number}")

@@ -74,7 +74,7 @@ class Follower:
         rows = lake.read_parts(self.table_id, state.schema, state.parts)
         rows = with_rowid(rows, state.key)
         rows = rows.select(
-            F.lit(self.table_id).cast("long").alias("table_id"), "rowid",
+            F.lit(self.table_id).cast("long").alias("table_id"), "rowid", "rowkey",
             decode_row(encode_row(rows, "row")).alias("row"), F.lit(position).cast("long").alias("seq"),
         )
         return self.store.save(fresh, rows=rows)

@@ -61,12 +61,13 @@ def test_key_that_is_not_unique_is_found(spark):
     assert not duplicate_keys(lines, ["l_orderkey", "l_linenumber"]).isEmpty()
 
 
-def test_two_keys_with_one_hash_fail(spark):
-    """Rows that share a row id but not the key must not count as an update."""
-    old = spark.createDataFrame([(7, "k1")], "rowid long, k string").select("rowid", F.struct("k").alias("row"))
-    new = spark.createDataFrame([(7, "k2")], "rowid long, k string").select("rowid", F.struct("k").alias("row"))
-    with pytest.raises(Exception, match="share a row id"):
-        snapshot_diff(old, new, key=["k"]).collect()
+def test_two_keys_with_one_hash_stay_apart(spark):
+    """Rows that share a row id but not the key are two rows, not an update."""
+    ddl = "rowid long, rowkey string, k string"
+    old, new = (spark.createDataFrame([r], ddl).select("rowid", "rowkey", F.struct("k").alias("row"))
+                for r in ((7, '{"k":"k1"}', "k1"), (7, '{"k":"k2"}', "k2")))
+    found = sorted((r["rowkey"], r["change_type"]) for r in snapshot_diff(old, new).collect())
+    assert found == [('{"k":"k1"}', "delete"), ('{"k":"k2"}', "insert")]
 
 
 def test_text_and_composite_keys(spark):
