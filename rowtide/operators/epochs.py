@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.events import SCHEMA_CHANGED, TABLE_DROPPED
 from rowtide.functions.rows import contains
-from rowtide.operators.sequence import look_along, running_count
+from rowtide.operators.sequence import look_along, number_rows, running_count
 from rowtide.settings import written
 
 
@@ -84,6 +84,28 @@ def assign_epoch(changes: DataFrame, epochs_df: DataFrame) -> DataFrame:
     return changes.join(known, ["table_id", "snapshot_id"], "left")
 
 
+def columns_at(commits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Column names (``columns``) of the tables and snapshots asked for (``table_id, snapshot_id``): those of the
+    last commit up to the snapshot, NULL where the table is not there yet or was dropped."""
+    line = asked.select("table_id", (F.col("snapshot_id") * 2 + 1).alias("_place"), "snapshot_id").distinct()
+    known = commits.filter(F.col("table_id").isNotNull()).select(
+        "table_id", (F.col("snapshot_id") * 2).alias("_place"), "op", F.col("columns").alias("_columns"))
+    seen = look_along(
+        line.unionByName(known, allowMissingColumns=True), ["table_id"], "_place",
+        {"_shape": F.when(F.col("op") != "drop", F.col("_columns")), "_gone": F.when(F.col("op") == "drop", F.lit(True))},
+    ).filter(F.col("snapshot_id").isNotNull())
+    return seen.select("table_id", "snapshot_id", F.when(F.col("_gone").isNull(), F.col("_shape")).alias("columns"))
+
+
+def history(commits: DataFrame, after: int) -> tuple[DataFrame, int]:
+    """Snapshots after one in ascending order: ``position`` (from 1), ``snapshot_id`` and the names ``created``;
+    and how many there are."""
+    names = F.coalesce(F.col("changes")["tables_created"], F.array().cast("array<string>"))
+    later = commits.filter(F.col("snapshot_id") > after).groupBy("snapshot_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(names))).alias("created"))  # one entry per table a commit creates
+    return number_rows(later, ["snapshot_id"], "position")
+
+
 def latest_epoch(epochs_df: DataFrame) -> DataFrame:
     """The newest epoch of every table id: where its reader is."""
     newest = F.max_by(F.struct("epoch", "start_snapshot", "end_snapshot", "table"), F.col("start_snapshot"))

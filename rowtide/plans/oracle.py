@@ -41,7 +41,8 @@ diff AS (
   UNION ALL SELECT 'delete', o FROM joined WHERE nc IS NULL
   UNION ALL SELECT 'update_preimage', o FROM joined WHERE oc IS NOT NULL AND nc IS NOT NULL AND o.text <> n.text
   UNION ALL SELECT 'update_postimage', n FROM joined WHERE oc IS NOT NULL AND nc IS NOT NULL AND o.text <> n.text)
-SELECT change_type, r.conv_id, r.turn, r.role, r.text FROM diff"""
+SELECT change_type, '{"conv_id":' || r.conv_id || ',"turn":' || r.turn || '}' AS rowkey,
+  r.conv_id, r.turn, r.role, r.text FROM diff"""
 
 ORACLE["duplicate_keys"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
@@ -62,8 +63,8 @@ SELECT 'change' AS type, 'changes.' || table_id AS subject,
   order_date, order_status, order_price, customer, segment FROM changed"""
 
 ORACLE["nested_rows"] = """
-SELECT vec_id AS rowid, len(embedding) AS items, CAST(embedding[1] AS FLOAT) AS first_item,
-  CAST(embedding[len(embedding)] AS FLOAT) AS last_item, label FROM embeddings"""
+SELECT vec_id AS rowid, label, CAST(i - 1 AS BIGINT) AS place, CAST(embedding[i] AS FLOAT) AS item
+FROM (SELECT vec_id, label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)"""
 
 ORACLE["document_rows"] = "SELECT doc_id, text, lang, n_chars FROM documents"
 
@@ -352,7 +353,8 @@ lags AS (SELECT r.*, (SELECT max(seq) FROM log) - last_seq AS waiting, table_hea
 SELECT *, CASE WHEN waiting_table = 0 THEN 'ended' WHEN waiting < 5000 THEN 'online' ELSE 'offline' END AS state FROM lags"""
 
 ORACLE["latency_percentiles"] = """
-WITH d AS (SELECT CAST(event_id % 97 AS DOUBLE) AS s FROM events)
+WITH n AS (SELECT ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events),
+d AS (SELECT CAST(epoch_us(after) - epoch_us(ts) AS DOUBLE) / 1000000.0 AS s FROM n WHERE after IS NOT NULL)
 SELECT CAST(0.5 AS DOUBLE) AS fraction, quantile_cont(s, 0.5) AS value FROM d
 UNION ALL SELECT CAST(0.9 AS DOUBLE), quantile_cont(s, 0.9) FROM d
 UNION ALL SELECT CAST(0.99 AS DOUBLE), quantile_cont(s, 0.99) FROM d"""
@@ -394,17 +396,25 @@ ORACLE["capture_rows"] = f"""
 WITH {_CAPTURED} SELECT message_id, status, price, order_priority, priority, customer FROM identified WHERE type = 'change'"""
 
 ORACLE["snapshot_history"] = """
-SELECT CAST(s AS BIGINT) AS snapshot_id, CASE s WHEN 2 THEN 'customer' WHEN 8 THEN 'orders' ELSE '' END AS created
-FROM range(2, 9) t(s)"""
+SELECT row_number() OVER (ORDER BY event_id) AS position, event_id + 1 AS snapshot_id,
+  CASE WHEN event_type = 'signup' THEN 'user_' || user_id ELSE '' END AS created
+FROM events WHERE event_id + 1 > 100"""
 
 _BASE = "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate"
 ORACLE["columns_at"] = f"""
-SELECT CAST(s AS BIGINT) AS snapshot_id, CASE WHEN s <= 2 THEN '{_BASE},o_orderpriority' WHEN s = 3 THEN '{_BASE}'
-  WHEN s <= 5 THEN '{_BASE},priority' WHEN s = 6 THEN '{_BASE},p2' END AS columns FROM range(1, 9) t(s)"""
+WITH e AS (SELECT user_id, event_id, event_type, {_DROP} AS is_drop FROM events),
+b AS (SELECT user_id, event_id,
+    last_value(CASE WHEN NOT is_drop THEN event_type END IGNORE NULLS) OVER w AS shape, bool_or(is_drop) OVER w AS gone
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id AS table_id, event_id AS snapshot_id, CASE WHEN coalesce(gone, FALSE) OR shape IS NULL THEN '' ELSE shape END AS columns,
+  coalesce(gone, FALSE) OR shape IS NULL AS unknown FROM b"""
 
 ORACLE["captured_epochs"] = f"""
+WITH {_CAPTURED}
 SELECT CAST(t AS BIGINT) AS table_id, n AS "table", e AS epoch, CAST(s AS BIGINT) AS start_snapshot,
-  CAST(x AS BIGINT) AS end_snapshot, k AS end_kind, c AS columns FROM (VALUES
+  CAST(x AS BIGINT) AS end_snapshot, k AS end_kind, c AS columns,
+  (SELECT count(*) FROM captured d WHERE d.type = 'change' AND d.table_id = t AND d.snapshot_id >= s
+    AND (x IS NULL OR d.snapshot_id < x)) AS changes FROM (VALUES
   (1, 'orders', 1, 1, 3, 'schema_changed', '{_BASE},o_orderpriority'), (1, 'orders', 2, 3, 4, 'schema_changed', '{_BASE}'),
   (1, 'orders', 3, 4, 6, 'schema_changed', '{_BASE},priority'), (1, 'orders', 4, 6, 7, 'table_dropped', '{_BASE},p2'),
   (2, 'customer', 1, 2, NULL, NULL, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment'),
@@ -435,3 +445,35 @@ WITH {_LOG} SELECT seq, CASE WHEN change_type LIKE 'update%' THEN 'update' ELSE
 ORACLE["ad_hoc_sql"] = f"""
 WITH {_V2} SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS customers
 FROM v2 JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
+
+ORACLE["pair_stream_copies"] = _HALVES
+
+ORACLE["feed_negative_ids"] = f"""
+WITH {_LOG} SELECT seq, CASE WHEN change_type LIKE 'update%' THEN 'update' ELSE change_type END AS kind, table_id,
+  snapshot_id AS snapshot, rowid - 1000000 AS rowid FROM log ORDER BY seq DESC LIMIT 60"""
+
+ORACLE["log_seq_groups"] = """
+WITH n AS (SELECT user_id % 4 AS table_id, event_id + 1 AS snapshot_id, row_number() OVER (ORDER BY event_id) AS i FROM events)
+SELECT 2 * i - 1 AS seq, 'schema_changed' AS type, table_id, snapshot_id FROM n
+UNION ALL SELECT 2 * i, 'change', table_id, snapshot_id FROM n"""
+
+ORACLE["follow_composite_key"] = """
+SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || '!' ELSE text END AS text FROM conversations"""
+
+ORACLE["subscription_markers"] = f"""
+WITH {_UPDATES}, {_V4}, {_TYPED},
+early AS (SELECT count(*) AS n FROM typed), late AS (SELECT count(*) AS n FROM v4 WHERE priority IS NOT NULL)
+SELECT CAST(p AS BIGINT) AS place, k AS kind, c AS columns,
+  (SELECT n FROM early) + CASE WHEN p > 2 THEN (SELECT n FROM late) ELSE 0 END AS changes
+FROM (VALUES (1, 'schema_changed', '{_BASE}'), (2, 'schema_changed', '{_BASE},priority'),
+  (3, 'schema_changed', '{_BASE},p2'), (4, 'table_dropped', NULL)) v(p, k, c)"""
+
+ORACLE["reader_restarts"] = f"""
+WITH {_LOG}, t AS (SELECT * FROM log WHERE table_id = 1), head AS (SELECT max(seq) AS head FROM log),
+cuts AS (SELECT 'half' AS step, head // 3 AS upto FROM head UNION ALL SELECT 'resumed', head FROM head),
+last AS (SELECT step, rowid, arg_max(change_type, seq) AS kind FROM t JOIN cuts ON seq <= upto
+  WHERE change_type <> 'update_preimage' GROUP BY step, rowid),
+present AS (SELECT step, count(*) AS rows FROM last WHERE kind <> 'delete' GROUP BY step)
+SELECT step, max(seq) AS last_seq, count(*) AS received, any_value(present.rows) AS rows
+FROM t JOIN cuts ON seq <= upto JOIN present USING (step) GROUP BY step
+UNION ALL SELECT s, head, 0, 0 FROM head, (VALUES ('at end'), ('started over')) v(s)"""

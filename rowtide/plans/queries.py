@@ -6,13 +6,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.events import (
-    CHANGE, clock_text, decode_row, describe, encode_row, iso_text, quoted_name, render_line, successor_name,
+    CHANGE, SCHEMA_CHANGED, clock_text, decode_row, describe, encode_row, iso_text, quoted_name, render_line, successor_name,
 )
 from rowtide.functions.rows import diff_fields as changed_fields, value_text
 from rowtide.operators import epochs as ep, metrics, pairs, positions, view
 from rowtide.operators.dedup import first_copies, not_in_log
 from rowtide.operators.diff import diff_tables, duplicate_keys as repeated_keys, inserts, with_rowid
-from rowtide.operators.sequence import assign_seq, union_log
+from rowtide.operators.sequence import assign_seq, look_along, union_log
 from rowtide.plans import workload as w
 from rowtide.settings import local_table, scratch_dir
 from rowtide.sources.lake import Lake
@@ -81,7 +81,7 @@ def diff_composite_key(spark, sf):
     after = now.filter((F.col("role") != "user") | (F.length("text") > 20)).withColumn(
         "text", F.when(F.col("role") == "user", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     changes = diff_tables(before, after, ["conv_id", "turn"])
-    return changes.select("change_type", "row.conv_id", "row.turn", "row.role", "row.text")
+    return changes.select("change_type", "rowkey", "row.conv_id", "row.turn", "row.role", "row.text")
 
 
 @query
@@ -110,9 +110,8 @@ def nested_rows(spark, sf):
     rows = with_rowid(w.table(spark, sf, "embeddings"), ["vec_id"])
     encoded = rows.select("rowid", decode_row(encode_row(rows, "row")).alias("m"))
     items = F.from_json(F.col("m")["embedding"], "array<float>")
-    return encoded.select(
-        "rowid", F.size(items).cast("long").alias("items"), items[0].alias("first_item"),
-        F.element_at(items, -1).alias("last_item"), F.col("m")["label"].cast("int").alias("label"))
+    return encoded.select("rowid", F.col("m")["label"].cast("int").alias("label"), F.posexplode(items).alias("place", "item")).select(
+        "rowid", "label", F.col("place").cast("long").alias("place"), "item")
 
 
 @query
@@ -487,9 +486,10 @@ def lag_by_reader(spark, sf):
 
 @query
 def latency_percentiles(spark, sf):
-    events = w.table(spark, sf, "events")
-    delays = events.select(F.pmod("event_id", F.lit(97)).cast("double").alias("seconds"))
-    return metrics.exact_percentiles(delays, "seconds", [0.5, 0.9, 0.99])
+    """Time from a commit to its publication, where the next event of the user stands for the publication."""
+    log = w.event_log(spark, sf)
+    timed = look_along(log, ["rowid"], "seq", {"published_at": F.col("snapshot_time")}, ahead=True)
+    return metrics.delivery_latency(timed.filter(F.col("published_at").isNotNull()), [0.5, 0.9, 0.99])
 
 
 # --- lake and streams ---
@@ -538,15 +538,18 @@ def read_latest(spark, sf):
 
 @query
 def snapshot_history(spark, sf):
-    changes = F.coalesce(F.col("changes")["tables_created"], F.array().cast("array<string>"))
-    return _lake(spark, sf).history(1).select("snapshot_id", F.concat_ws(",", changes).alias("created")).distinct()
+    """The commits of the events after the hundredth, in order, with the tables they create."""
+    found, _ = ep.history(w.event_commits(spark, sf), 100)
+    return found.select("position", "snapshot_id", F.concat_ws(",", "created").alias("created"))
 
 
 @query
 def columns_at(spark, sf):
-    lake = _lake(spark, sf)
-    found = [(s, ",".join(c) if (c := lake.columns_at(1, s)) is not None else None) for s in range(1, lake.head() + 1)]
-    return local_table(spark, found, "snapshot_id long, columns string")
+    """The columns each user's table had just before every commit to it."""
+    commits = w.event_commits(spark, sf)
+    asked = commits.select("table_id", (F.col("snapshot_id") - 1).alias("snapshot_id"))
+    return ep.columns_at(commits, asked).select("table_id", "snapshot_id", F.concat_ws(",", "columns").alias("columns"),
+                                                F.col("columns").isNull().alias("unknown"))
 
 
 @query
@@ -575,10 +578,13 @@ def capture_rows(spark, sf):
 
 @query
 def captured_epochs(spark, sf):
+    """Epochs of the lake, and how many captured changes lie in each."""
     found = ep.epochs(_lake(spark, sf).commits())
-    return found.select(
+    changes = ep.assign_epoch(_captured(spark, sf).changes().select("table_id", "snapshot_id"), found)
+    counted = changes.groupBy("table_id", "epoch").agg(_n().alias("changes"))
+    return found.join(counted, ["table_id", "epoch"], "left").select(
         "table_id", "table", "epoch", "start_snapshot", "end_snapshot", "end_kind",
-        F.concat_ws(",", "columns").alias("columns"))
+        F.concat_ws(",", "columns").alias("columns"), F.coalesce("changes", F.lit(0).cast("long")).alias("changes"))
 
 
 @query
@@ -657,6 +663,100 @@ def pair_stream(spark, sf):
     return sd.read_pairs(spark, path).select("snapshot_id", "rowid", "before", "after", "first_seq", "last_seq")
 
 
+@query
+def pair_stream_copies(spark, sf):
+    """All halves come again in a later batch of the stream: no update is given twice."""
+    schema = w.table(spark, sf, "events").schema
+    inbox, path = scratch_dir(spark, "inbox"), scratch_dir(spark, "paired")
+    for part in (1, 2):
+        w.table(spark, sf, "events").write.parquet(f"{inbox}/{part}")
+        events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(inbox)
+        sd.pair_stream(w.halves_log(events), path).trigger(availableNow=True).start().awaitTermination()
+    return sd.read_pairs(spark, path).select("snapshot_id", "rowid", "before", "after", "first_seq", "last_seq")
+
+
+@query
+def feed_negative_ids(spark, sf):
+    """Row ids below zero, as half of all hashed ones are."""
+    log = w.event_log(spark, sf).withColumn("rowid", F.col("rowid") - 1_000_000)
+    return pairs.feed(log).select("seq", "kind", "table_id", "snapshot", "rowid")
+
+
+@query
+def log_seq_groups(spark, sf):
+    """Numbers of a log of very many snapshots: each marker before the change of its snapshot."""
+    events = w.event_log(spark, sf).drop("seq")
+    markers = events.select(
+        F.lit(SCHEMA_CHANGED).alias("type"), "table_id", "table", "snapshot_id", "snapshot_time")
+    numbered, _ = assign_seq(union_log(events, markers))
+    return numbered.select("seq", "type", "table_id", "snapshot_id")
+
+
+@query
+def follow_composite_key(spark, sf):
+    """A table with a key of two columns, followed through a change of a third of its texts."""
+    now = w.table(spark, sf, "conversations")
+    lake = Lake(spark, scratch_dir(spark, "lake"), buckets=4)
+    log = EventLog(spark, scratch_dir(spark, "log"))
+    table = lake.create("conversations", now, ["conv_id", "turn"])
+    lake.replace(table, now.withColumn("text", F.when(F.col("role") == "user", F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    Capture(lake, log).run_available(scratch_dir(spark, "checkpoint"), "earliest")
+    reader = Follower(log, table, ViewStore(spark, scratch_dir(spark, "view"), buckets=4))
+    reader.run_available(scratch_dir(spark, "checkpoint"), start_after=0)
+    return view.typed_view(reader.rows(), now.schema).select("conv_id", "turn", "role", "text")
+
+
+@query
+def subscription_markers(spark, sf):
+    """What the handlers of markers are called with, and how many changes came before."""
+    sub = Subscription(_captured(spark, sf), 1, scratch_dir(spark, "position"), start_after=0)
+    told, changes = [], [0]
+
+    @sub.on_change
+    def count(part):
+        changes[0] += part.count()
+
+    @sub.on_schema_change
+    def reshaped(columns):
+        told.append(("schema_changed", ",".join(columns), changes[0]))
+
+    @sub.on_table_dropped
+    def dropped():
+        told.append(("table_dropped", None, changes[0]))
+
+    sub.run_available(scratch_dir(spark, "checkpoint"))
+    return local_table(spark, [(i, *t) for i, t in enumerate(told, 1)], "place long, kind string, columns string, changes long")
+
+
+@query
+def reader_restarts(spark, sf):
+    """A reader started at the end, started over from the first event, stopped half-way and resumed: rows and
+    position after each step."""
+    log = _published(spark, sf)
+    batches = log.batches().orderBy("ordinal").collect()
+    view_path = scratch_dir(spark, "view")
+    steps = []
+
+    def step(name, reader):
+        state = reader.store.load()
+        steps.append((name, state["last_seq"], state["received"], reader.rows().count()))
+
+    reader = Follower(log, 1, ViewStore(spark, view_path))
+    reader.open()  # nothing saved: at the end
+    step("at end", reader)
+    reader = Follower(log, 1, ViewStore(spark, scratch_dir(spark, "view")))
+    reader.open(0)
+    reader.apply(batches[:2])
+    step("half", reader)
+    reader.disconnect()
+    again = Follower(log, 1, reader.store)
+    again.reconnect(scratch_dir(spark, "checkpoint")).awaitTermination()
+    step("resumed", again)
+    again.start_over()
+    step("started over", again)
+    return local_table(spark, steps, "step string, last_seq long, received long, rows long")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Two versions of orders compared, the changes ordered into a log, the log folded back."""
     return QUERIES["materialize_orders"](spark, sf)
