@@ -25,44 +25,45 @@ MIN_CHARS = 40
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc, h, line_no, line, l1, l2`` per line that is long enough: ``doc`` is the rank of its document, ``h``
-    a hash of the whole text, ``line`` normalised, and ``l1, l2`` its 128-bit identity."""
-    rows = docs.select(rank().alias("doc"), F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
-    lines = rows.select("doc", "h", F.posexplode("lines").alias("line_no", "raw"))
-    lines = lines.select("doc", "h", "line_no", normal("raw").alias("line")).where(F.char_length("line") >= min_chars)
-    return lines.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line")})
+    """``doc, h, line_no, line, size, l1, l2`` per line that is long enough: ``doc`` is the rank of its document,
+    ``h`` a hash of the whole text, ``line`` normalised, ``size`` its code points, and ``l1, l2`` its 128-bit
+    identity. Lines are normalised inside the array, so that what is exploded is a column of its own and no
+    expression over it is worked out again for each use."""
+    lines = F.transform(F.split("text", "\n", -1), normal)
+    rows = docs.select(rank().alias("doc"), F.xxhash64("text").alias("h"), F.posexplode(lines).alias("line_no", "line"))
+    sized = rows.withColumn("size", F.char_length("line")).where(F.col("size") >= min_chars)
+    return sized.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line")})
 
 
 def rank() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
-def normal(raw: str) -> Column:
-    return F.lower(F.trim(F.col(raw)))
+def normal(raw: Column) -> Column:
+    return F.lower(F.trim(raw))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 0) and length of segment ``i`` of a line of ``length``; the last ones take the remainder."""
-    base = F.expr("0") + F.floor(length / F.lit(edits + 1)).cast("int")
-    short = F.lit(edits + 1) - (length - base * (edits + 1))  # how many segments have no extra character
-    return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``key, own, l1`` per segment of each line, and per substring that it looks up (``own`` false).
 
-
-def segment_keys(line: str = "line", edits: int = EDITS) -> Column:
-    """Array of ``key, own``: the line's own segments, and the substrings it looks up (``own`` false)."""
-    size = F.char_length(line)
+    Of the ``edits + 1`` segments the last ones take what does not divide evenly. Where lines are longer than
+    ``2 * edits``, every start that is looked up lies inside of the line. The lengths are columns of their
+    own, which keeps the expressions, and so the compiled code, small."""
+    parts = edits + 1
+    for shorter in range(parts):
+        length = F.col("size") - shorter
+        lines = lines.withColumn(f"base{shorter}", F.floor(length / parts).cast("int"))
+        lines = lines.withColumn(f"short{shorter}", F.lit(parts) - (length - F.col(f"base{shorter}") * parts))
     keys = []
-    for shorter in range(edits + 1):
-        length = size - shorter
-        for i in range(edits + 1):
-            begin, width = segment(length, i, edits)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = begin + shift
-                key = F.xxhash64(length, F.lit(i), F.substring(line, at + 1, width))
-                own = shorter == 0 and shift == 0
-                keys.append(F.when((at >= 0) & (at + width <= size), F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    for shorter in range(parts):
+        base, short = F.col(f"base{shorter}"), F.col(f"short{shorter}")
+        for i in range(parts):
+            begin = F.lit(0) if i == 0 else base if i == 1 else base * i + F.greatest(F.lit(0), F.lit(i) - short)
+            width = base if i == 0 else base + (F.lit(i) >= short).cast("int")
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                key = F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", begin + (shift + 1), width))
+                keys.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("own")))
+    return lines.select("l1", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.own", "l1")
 
 
 def within(left: str, right: str, edits: int = EDITS) -> Column:
@@ -98,7 +99,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.select(rank().alias("doc"), F.xxhash64("text").alias("h"), "text")
     rows = rows.join(asked, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc", "h"])
     lines = rows.select("doc", "h", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("line_no"))
-    return lines.select("doc", "h", "line_no", F.lower(F.trim(F.expr("lines[line_no]"))).alias("line"))
+    return lines.select("doc", "h", "line_no", normal(F.expr("lines[line_no]")).alias("line"))
 
 
 _AT = ("doc", "h", "line_no")
@@ -113,6 +114,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc, h, line_no`` of every line that an earlier one makes redundant."""
+    if min_chars <= 2 * edits:
+        raise ValueError("lines must be longer than twice the edits")
     place = F.struct("doc", "h", "line_no")
     lines = document_lines(docs, min_chars)
     seen = lines.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -121,10 +124,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
     # Buckets that hold two different lines, one of them under its own segment.
-    keys = lines.select("l1", F.explode(segment_keys(edits=edits)).alias("k")).select("k.key", "k.own", "l1").distinct()
+    keys = staged(segment_keys(lines, edits), "segments")
     live = keys.groupBy("key").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.max("own").alias("own"))
     live = live.where("a <> b AND own").select("key")
-    met = keys.join(live, "key").join(firsts.select("l1", "first"), "l1")
+    met = keys.join(live, "key").distinct().join(firsts.select("l1", "first"), "l1")
     met = staged(met.select("key", "own", "l1", "first"), "buckets")
     texts = staged(_texts(docs, met.select("first.*").distinct(), min_chars), "texts")
 
