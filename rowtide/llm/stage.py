@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.settings import scratch_dir
+from rowtide.sources import files
 
 # Bytes of a batch that Spark hands to a Python worker; rows differ in length by orders of magnitude.
 BATCH_BYTES = 8 * 1024 * 1024
@@ -27,6 +28,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``staged`` table that nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        files.delete(folder)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken = {c.lower() for c in df.columns}

@@ -12,10 +12,11 @@ levels, each a suffix array in a table, of sizes that double:
 
 An entry stands for all strings of ``length`` bytes with one anchor, which lie side by side: its *span* is
 their union. A span that an earlier text has in whole makes all its strings repeats; that settles copied text but
-for its edges. Spans that share the anchor's bytes but differ share some of their strings at most: for these
-few the strings are compared one by one, by hash.
+for its edges. Two spans that differ can still have strings in common. Of such a string at least half of what
+is not the anchor stands before the anchor, or at least half behind it, so the spans agree in a *flank*: the
+anchor and that many bytes on one side. For the few spans that do, the strings are compared one by one.
 
-Suffixes are ordered by their first three bytes and from there by a hash of the first ``gram`` (equality is
+Suffixes are ordered by their first three bytes and from there by a hash of the right flank (equality is
 all that a scan asks of them). Hashes that decide are 128 bits taken together.
 
 Defined results: a null text is empty; a null doc_id ranks last; repeated rows of one doc_id are one document,
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm.stage import bounded_batches, staged
+from rowtide.llm.stage import bounded_batches, discard, staged
 from rowtide.llm.words import SLICE_BYTES, U64, mix, prefix_sums, signed, slices, stretch_hashes
 
 LENGTH = 100
@@ -72,10 +73,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     return starts[first], count, anchor[first], row[first], sums
 
 
-def suffix_keys(data: np.ndarray, sums: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
-    """Order of the suffixes at ``anchor``: three bytes as they are, then a hash of ``gram`` bytes."""
+def suffix_keys(data: np.ndarray, sums: np.ndarray, anchor: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at ``anchor``: three bytes as they are, then a hash up to ``ends``."""
     lead = data[anchor].astype(U64) << U64(56) | data[anchor + 1].astype(U64) << U64(48) | data[anchor + 2].astype(U64) << U64(40)
-    return signed((lead | stretch_hashes(sums, anchor, anchor + gram) >> U64(24)) ^ U64(1 << 63))
+    return signed((lead | stretch_hashes(sums, anchor, ends) >> U64(24)) ^ U64(1 << 63))
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,9 +90,12 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The entries of a batch (``doc, text``): ``h`` suffix key, ``s`` hash of the span, ``doc``, ``start`` of the
-    span's first string, ``n`` strings, and ``again``: the same text has that span before. Sorted within what a
-    task works on at once."""
+    """The entries of a batch (``doc, text``): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
+    flank, ``s`` hash of the span, ``doc``, ``start`` of the span's first string, ``n`` strings, and ``again``: the
+    same text has that span before. Sorted within what a task works on at once.
+
+    Where a flank is longer than the text, no string needs it, and it is cut where the text ends."""
+    flank = (length - gram + 1) // 2
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,23 +106,24 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     start, n, anchor, row, sums = anchors(data, ends, length, gram)
                     if not len(start):
                         continue
-                    h = suffix_keys(data, sums, anchor, gram)
+                    h = suffix_keys(data, sums, anchor, np.minimum(anchor + gram + flank, ends[row + 1]))
+                    f = signed(stretch_hashes(sums, np.maximum(anchor - flank, ends[row]), anchor + gram))
                     s = stretch_hashes(sums, start, start + n + length - 1)
                     s = signed(mix(s + U64(1000003) * n.astype(U64) + U64(998244353) * (anchor - start).astype(U64)))
                     order = np.lexsort((start, row, s, h))
-                    h, s, row, start, n = h[order], s[order], row[order], start[order], n[order]
+                    h, f, s, row, start, n = h[order], f[order], s[order], row[order], start[order], n[order]
                     again = np.zeros(len(h), bool)
                     again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1]) & (row[1:] == row[:-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(s), pa.array(ids[part.first + row]),
+                        [pa.array(h), pa.array(f), pa.array(s), pa.array(ids[part.first + row]),
                          pa.array((start - ends[row] + low).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-                        ["h", "s", "doc", "start", "n", "again"])
+                        ["h", "f", "s", "doc", "start", "n", "again"])
 
-    return docs.mapInArrow(work, "h long, s long, doc long, start int, n int, again boolean")
+    return docs.mapInArrow(work, "h long, f long, s long, doc long, start int, n int, again boolean")
 
 
 class SuffixIndex:
-    """A family of levels: tables ``h, s, doc, start, n`` of the first occurrence of every span so far.
+    """A family of levels: tables ``h, f, s, doc, start, n`` of the first occurrence of every span so far.
 
     All levels have the same buckets, sorted by suffix key and span, so that scanning and merging them
     moves no row of a level between tasks."""
@@ -155,32 +160,32 @@ class SuffixIndex:
         known = staged(known.select("h", "s", "own", hit.alias("old"), (F.col("last") > F.col("own")).alias("twice")), "scanned")
         several = known.where("old OR twice").select("h", "s", "own", "old")
         repeats = entries.where("NOT again").join(several, ["h", "s"]).where("old OR doc > own").select("doc", "start", "n")
-        repeats = staged(repeats.union(entries.where("again").select("doc", "start", "n")), "repeats")
+        repeats = staged(repeats.union(entries.where("again").select("doc", "start", "n")), "repeated")
 
         firsts = entries.where("NOT again").join(
             known.where("NOT old").select("h", "s", F.col("own").alias("doc")), ["h", "s", "doc"])
-        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "s", "doc", "start", "n")
-        size, merged = 0, firsts
+        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "start", "n")
+        size, merged, old = 0, firsts, []
         while self.levels and self.levels[0][0] == size:
             merged, table = self._merged(merged, self.levels[0][1]), self.levels.pop(0)[1]
             size += 1
-            self._old = [*getattr(self, "_old", []), table]
+            old.append(table)
         self.levels.insert(0, (size, self._save(merged)))
-        for table in getattr(self, "_old", []):
+        for table in old:
             self._drop(table)
-        self._old = []
+        discard(known)
         return repeats
 
     def _merged(self, rows: DataFrame, table: str) -> DataFrame:
         """Two levels as one: no span is in both."""
         both = rows.alias("a").join(self.spark.table(table).alias("b"), ["h", "s"], "full")
-        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("doc", "start", "n")])
+        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "start", "n")])
 
     def rows(self) -> DataFrame:
         """All first occurrences."""
         found = self.spark.table(self.levels[0][1])
         for _, table in self.levels[1:]:
-            found = found.union(self.spark.table(table))
+            found = found.unionByName(self.spark.table(table))
         return found
 
     def drop(self) -> None:
@@ -190,15 +195,15 @@ class SuffixIndex:
 
 
 def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Strings of the given spans (``h, doc, start, n``) that start earlier elsewhere: ``doc, start, n`` with n = 1."""
-    asked = spans.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("spans"))
-    texts = docs.join(asked, "doc").dropDuplicates(["doc"]).select("doc", "text", "spans")
+    """Strings of the given spans (``doc, start, n``) that start earlier elsewhere: ``doc, start, n`` with n = 1."""
+    asked = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # spans of one text
+    texts = docs.join(asked, "doc").select("doc", "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 spans = batch.column(2)[i].values
-                h, start, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                start, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2))
                 doc = batch.column(0)[i].as_py()
                 data = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
                 order = np.argsort(start)
@@ -207,21 +212,23 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                     base, top = int(start[some].min()), int((start[some] + n[some]).max()) + length - 1
                     sums = prefix_sums(data[base:top])
                     at = np.concatenate([np.arange(a, a + k) for a, k in zip(start[some], n[some])]).astype(np.int64)
+                    half = length // 2
                     w = signed(stretch_hashes(sums, at - base, at - base + length))
+                    v = signed(mix(stretch_hashes(sums, at - base, at - base + half) + U64(17)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(h[some], n[some])), pa.array(w), pa.array([doc] * len(at), pa.int64()),
-                         pa.array(at.astype(np.int32))], ["h", "w", "doc", "start"])
+                        [pa.array(w), pa.array(v), pa.array([doc] * len(at), pa.int64()), pa.array(at.astype(np.int32))],
+                        ["w", "v", "doc", "start"])
 
-    strings = staged(texts.mapInArrow(work, "h long, w long, doc long, start int"), "strings")
+    strings = texts.mapInArrow(work, "w long, v long, doc long, start int")
     place = F.struct("doc", "start")
-    first = strings.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    later = strings.join(first.drop("last"), ["h", "w"]).where(place > F.col("first"))
+    first = strings.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    later = strings.join(first.drop("last"), ["w", "v"]).where(place > F.col("first"))
     return later.select("doc", "start", F.lit(1).alias("n"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """``doc, start, n`` of all strings of ``length`` bytes (``n`` side by side from ``start``) that start
-    earlier; ``docs`` has ``doc, text``."""
+    earlier; ``docs`` has ``doc, text``, and may have more."""
     spark = docs.sparkSession
     index = SuffixIndex(spark)
     cuts = docs.select(F.percentile_approx("doc", [(i + 1) / batches for i in range(batches - 1)], 10_000)).first()[0] or []
@@ -230,11 +237,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     for low, high in zip(edges[:-1], edges[1:]):
         batch = docs if low is None else docs.where(F.col("doc") > low)
         batch = batch if high is None else batch.where(F.col("doc") <= high)
-        repeats = index.add(staged(suffix_array(batch, length, gram), "batch"))
+        entries = staged(suffix_array(batch.select("doc", "text"), length, gram), "batch")
+        repeats = index.add(entries)
+        discard(entries)
         found = repeats if found is None else found.union(repeats)
-    spans = index.rows()
-    shared = spans.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    mixed = staged(spans.join(shared, "h").select("h", "doc", "start", "n"), "shared")
+    spans, mixed = index.rows(), None
+    for side in ("h", "f"):
+        shared = spans.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(side)
+        some = spans.join(shared, side).select("doc", "start", "n")
+        mixed = some if mixed is None else mixed.union(some)
+    mixed = staged(mixed.distinct(), "shared")
     index.drop()
     return found.union(single_strings(docs, mixed, length))
 
@@ -245,7 +257,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     bounded_batches(docs.sparkSession)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     rows = docs.select(rank, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = repeated(rows.select("doc", "text"), length, gram, batches)
+    gone = repeated(rows, length, gram, batches)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     joined = rows.join(gone, "doc", "left").select("doc_id", "text", "gone")
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
