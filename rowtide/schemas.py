@@ -31,6 +31,7 @@ BATCHES = T.StructType([
     T.StructField("first_seq", T.LongType()),
     T.StructField("last_seq", T.LongType()),
     T.StructField("rows", T.LongType()),
+    T.StructField("bytes", T.LongType()),  # of its files
     T.StructField("log_id", T.StringType()),
     T.StructField("published_at", T.TimestampType()),
 ])

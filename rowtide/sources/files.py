@@ -86,6 +86,13 @@ def delete(path: str) -> None:
         fs.delete_file(target)
 
 
+def folder_bytes(path: str) -> int:
+    """Size of all files below a folder."""
+    fs, target = locate(path)
+    found = fs.get_file_info(pafs.FileSelector(target, recursive=True, allow_not_found=True))
+    return sum(i.size for i in found if i.type == pafs.FileType.File)
+
+
 def subfolders(path: str) -> list[str]:
     fs, target = locate(path)
     found = fs.get_file_info(pafs.FileSelector(target, allow_not_found=True))

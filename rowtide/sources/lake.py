@@ -10,7 +10,7 @@ no rewrite and can never bring old values back under a new column of the same na
 
 import datetime as dt
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -113,6 +113,7 @@ def in_shape(df: DataFrame, old: T.StructType, new: T.StructType, keep: list[str
 class Lake:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1):
         self.spark, self.path, self.buckets = spark, check_path(spark, path), buckets
+        self._read_upto, self._states = 0, {}
         files.make_dir(self.commits_path)
 
     @property
@@ -135,11 +136,34 @@ class Lake:
         numbers = files.manifest_numbers(self.commits_path)
         return numbers[-1] if numbers else 0
 
+    def newest_state(self, table_id: int) -> TableState:
+        """Name, shape and live parts of a table now. Only manifests that were not read before are opened, so
+        a commit costs the same however long the history is."""
+        if not self._read_upto:
+            numbers = files.manifest_numbers(self.commits_path)
+            self._read_upto = numbers[0] - 1 if numbers else 0
+        head = files.present_after(self.commits_path, self._read_upto)
+        for number in range(self._read_upto + 1, head + 1):
+            for row in files.read_json(files.manifest_path(self.commits_path, number)):
+                if row["op"] != "none":
+                    old = self._states.get(row["table_id"])
+                    gone = set(row["parts_removed"])
+                    parts = [p for p in (old.parts if old else []) if p not in gone] + row["parts_added"]
+                    dropped = row["op"] == "drop"
+                    self._states[row["table_id"]] = TableState(
+                        row["table_id"], row["table"], shape_of(row["schema_json"]), list(row["key"]),
+                        [] if dropped else sorted(parts), dropped)
+            self._read_upto = number
+        if table_id not in self._states:
+            raise NoSuchTable(f"there is no table {table_id}")
+        return replace(self._states[table_id])
+
     def state(self, table_id: int, snapshot: int | None = None) -> TableState:
         """Name, shape and live parts of a table as of a snapshot."""
-        mine = self.commits().filter((F.col("table_id") == table_id) & (F.col("op") != "none"))
-        if snapshot is not None:
-            mine = mine.filter(F.col("snapshot_id") <= snapshot)
+        if snapshot is None:
+            return self.newest_state(table_id)
+        mine = self.commits().filter(
+            (F.col("table_id") == table_id) & (F.col("op") != "none") & (F.col("snapshot_id") <= snapshot))
         last = mine.orderBy(F.desc("snapshot_id")).limit(1).collect()
         if not last:
             raise NoSuchTable(f"table {table_id} does not exist at snapshot {snapshot}")

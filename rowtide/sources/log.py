@@ -54,7 +54,8 @@ class EventLog:
 
     def _put(self, manifest: dict) -> dict:
         """Make a batch visible. Its time of publication is taken here, when its rows are in place."""
-        manifest = {**manifest, "published_at": dt.datetime.now(dt.timezone.utc)}
+        size = files.folder_bytes(f"{self.events_path}/{manifest['path']}") if manifest["path"] else 0
+        manifest = {**manifest, "bytes": size, "published_at": dt.datetime.now(dt.timezone.utc)}
         files.write_json(files.manifest_path(self.batches_path, manifest["ordinal"]), [manifest], new=True)
         return manifest
 
@@ -182,19 +183,20 @@ class EventLog:
 
     def retain(
         self, max_age: dt.timedelta | None = None, max_rows: int | None = None, max_batches: int | None = None,
-        from_seq: int | None = None, now: dt.datetime | None = None,
+        from_seq: int | None = None, now: dt.datetime | None = None, max_bytes: int | None = None,
     ) -> int:
         """Remove the oldest batches beyond a limit; the newest manifest always stays, it is the
         cursor. Gives the number of batches removed."""
         now = now or dt.datetime.now(dt.timezone.utc)
         rows = self.batches().orderBy("ordinal").collect()
         removed = 0
-        kept_rows = sum(r["rows"] for r in rows)
+        kept_rows, kept_bytes = sum(r["rows"] for r in rows), sum(r["bytes"] or 0 for r in rows)
         for position, row in enumerate(rows[:-1]):
             published = row["published_at"].replace(tzinfo=dt.timezone.utc)
             beyond = (
                 (max_age is not None and now - published > max_age)
                 or (max_rows is not None and kept_rows > max_rows)
+                or (max_bytes is not None and kept_bytes > max_bytes)
                 or (max_batches is not None and len(rows) - position > max_batches)
                 or (from_seq is not None and row["last_seq"] < from_seq)
             )
@@ -204,7 +206,7 @@ class EventLog:
             files.delete(files.manifest_path(self.batches_path, row["ordinal"]))
             if row["path"]:
                 files.delete(f"{self.events_path}/{row['path']}")
-            kept_rows -= row["rows"]
+            kept_rows, kept_bytes = kept_rows - row["rows"], kept_bytes - (row["bytes"] or 0)
             removed += 1
         return removed
 
@@ -216,6 +218,12 @@ class EventLog:
             files.delete(f"{self.events_path}/{name}")
         return len(stray)
 
+    def size(self) -> DataFrame:
+        """``batches, rows, bytes`` that the log holds, from its manifests."""
+        return self.batches().agg(
+            F.count_if(F.col("rows") > 0).alias("batches"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
     # --- short cuts ---
 
     def changes(self, **where) -> DataFrame:

@@ -140,3 +140,25 @@ def test_delivery_times_are_those_of_the_manifest(spark, log_of, folder):
     row = log.delivery().join(log.read().select("seq", F.col("published_at").alias("written_at")), "seq").first()
     assert row["published_at"] >= row["written_at"]
     assert log.batches().filter("rows > 0").first()["published_at"] == row["published_at"]
+
+
+def test_retention_by_bytes_and_log_size(spark, log_of, folder):
+    log = EventLog(spark, folder).create(0)
+    for snapshot in (1, 2, 3):
+        log.publish(log_of([("insert", snapshot, "{}", snapshot)]).drop("seq"), snapshot, snapshot)
+    held = log.size().first()
+    sizes = [r["bytes"] for r in log.batches().filter("rows > 0").orderBy("ordinal").collect()]
+    assert held["batches"] == 3 and held["rows"] == 3 and held["bytes"] == sum(sizes) > 0
+    log.retain(max_bytes=sizes[1] + sizes[2])
+    assert log.size().first()["bytes"] == sizes[1] + sizes[2] and log.read().count() == 2
+
+
+def test_state_reads_new_manifests_only(spark, folder, monkeypatch):
+    lake = Lake(spark, folder)
+    table = lake.create("t", frame(spark, [(1, "x")]), ["id"])
+    opened, real = [], files.read_json
+    monkeypatch.setattr(files, "read_json", lambda path: opened.append(path) or real(path))
+    for i in range(2, 6):
+        lake.append(table, frame(spark, [(i, "x")]))
+    assert len(opened) == len(set(opened))
+    assert Lake(spark, folder).state(table).parts == lake.state(table).parts == lake.state(table, 5).parts
