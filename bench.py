@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from rowtide.operators.view import materialize  # noqa: E402
 from rowtide.plans import workload as w  # noqa: E402
-from rowtide.plans.queries import QUERIES  # noqa: E402
+from rowtide.plans import queries as registered  # noqa: E402
 from rowtide.settings import scratch_dir, scratch_scope  # noqa: E402
 from rowtide.sources.lake import Lake  # noqa: E402
 from rowtide.sources.log import EventLog  # noqa: E402
@@ -31,7 +31,7 @@ COMMITS = int(os.environ.get("BENCH_COMMITS", "1000"))
 HEADLINE = [
     "diff_orders", "event_envelope", "log_dedup", "log_seq", "materialize_events", "materialize_orders", "stop_at_drop",
     "marker_delta", "reshape", "epochs", "assign_epoch", "pair_updates", "typed_changes", "diff_fields", "feed_top60",
-    "lag_by_reader", "latency_percentiles",
+    "lag_by_reader", "latency_percentiles", "capture_stream", "follow_stream", "subscription", "pair_stream", "activity_feed",
 ]
 
 
@@ -52,6 +52,12 @@ def best(work, patience: float = 5.0) -> float:
     return first if first > patience else min(first, timed(work))
 
 
+def fresh(name: str):
+    """A query that makes the lakes and logs it reads anew."""
+    registered._made.clear()
+    return registered.QUERIES[name]
+
+
 def measures(spark) -> dict:
     found = {}
     base = spark.read.parquet(f"{SF}/orders.parquet").count()
@@ -124,11 +130,11 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    timed(lambda: run(QUERIES["diff_counts"](spark, SF)))  # start-up of the engine
+    timed(lambda: run(registered.QUERIES["diff_counts"](spark, SF)))  # start-up of the engine
     queries = {}
     with scratch_scope():
         for name in HEADLINE:
-            queries[name] = round(best(lambda: run(QUERIES[name](spark, SF))), 3)
+            queries[name] = round(best(lambda: run(fresh(name)(spark, SF))), 3)
     extra = measures(spark)
     line = {
         "metric": "headline_total_seconds", "value": round(sum(queries.values()), 3), "unit": "sec", "queries": queries,
