@@ -9,7 +9,7 @@ import datetime as dt
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType, TimestampType
 
@@ -80,6 +80,18 @@ def ship_with_jobs() -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
+def in_steps(batch: DataFrame, number: str, step: int):
+    """The rows of a micro-batch of manifests as lists that span ``step`` manifests each, in order: a backlog of
+    any length comes to the driver piece by piece."""
+    ends = batch.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    if ends["low"] is None:
+        return
+    for low in range(ends["low"], ends["high"] + 1, step):
+        rows = batch.filter(F.col(number).between(low, low + step - 1)).collect()
+        if rows:
+            yield rows
+
+
 def manifest_stream(spark: SparkSession, path: str, schema: StructType, start_after: int):
     ship_with_jobs()
     spark.dataSource.register(ManifestSource)

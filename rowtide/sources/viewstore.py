@@ -7,12 +7,13 @@ A version names the folders it consists of. A save writes only the buckets that
 version file in one step: a crash leaves the version before, complete.
 """
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.schemas import VIEW, conform
-from rowtide.settings import local_table
+from rowtide.settings import check_path, local_table
 from rowtide.sources import files
 
 _STORED = T.StructType(VIEW.fields + [T.StructField("version", T.StringType()), T.StructField("bucket", T.IntegerType())])
@@ -23,8 +24,11 @@ def bucket_of(buckets: int):
 
 
 class ViewStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    """``keep_for`` is how long a version stays readable after a newer one took its place: longer than any read
+    of it lasts. ``buckets`` should grow with the table, so that one is a few hundred megabytes at most."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, keep_for: dt.timedelta = dt.timedelta(hours=6)):
+        self.spark, self.path, self.buckets, self.keep_for = spark, check_path(spark, path), buckets, keep_for
         self._versions = f"{self.path}/versions"
 
     def load(self) -> dict | None:
@@ -57,21 +61,25 @@ class ViewStore:
             folders = {b: p for b, p in folders.items() if int(b) not in replaced}
             for name in files.subfolders(f"{self.path}/data/{folder}"):
                 folders[name.split("=")[1]] = f"{folder}/{name}"
-        state = {**state, "version": number, "buckets": buckets, "folders": folders}
+        state = {**state, "version": number, "buckets": buckets, "folders": folders, "saved_at": _now().isoformat()}
         files.write_json(files.manifest_path(self._versions, number), [state])
-        self._drop_old(number)
+        self._drop_old()
         return state
 
-    def _drop_old(self, newest: int, keep: int = 3) -> None:
-        """Old version files go, with the folders only they name; the last few stay for readers
-        that still hold them."""
+    def _drop_old(self) -> None:
+        """Versions replaced longer ago than ``keep_for`` go, with the folders only they name. The oldest are
+        looked at first, and no more than are due."""
         numbers = files.manifest_numbers(self._versions)
-        old, kept = [n for n in numbers if n <= newest - keep], [n for n in numbers if n > newest - keep]
-        if not old:
-            return
-        named = lambda n: set(files.read_json(files.manifest_path(self._versions, n))[0]["folders"].values())
-        in_use = set().union(*[named(n) for n in kept])
-        for number in old:
-            for folder in named(number) - in_use:
+        state = lambda n: files.read_json(files.manifest_path(self._versions, n))[0]
+        for number, after in zip(numbers, numbers[1:]):
+            follower = state(after)  # it took the place of `number` when it was saved
+            if _now() - dt.datetime.fromisoformat(follower["saved_at"]) < self.keep_for:
+                return
+            # A folder is named by a run of versions, so one the next version lacks is in no later one.
+            for folder in set(state(number)["folders"].values()) - set(follower["folders"].values()):
                 files.delete(f"{self.path}/data/{folder}")
             files.delete(files.manifest_path(self._versions, number))
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)

@@ -11,7 +11,7 @@ from rowtide.settings import local_table
 from rowtide.sources import files
 from rowtide.sources.lake import Lake, NoSuchTable, in_shape, retyped_columns, shape_of
 from rowtide.sources.log import EventLog
-from rowtide.sources.manifests import HistoryRemoved, manifest_stream
+from rowtide.sources.manifests import HistoryRemoved, in_steps, manifest_stream
 
 _MARKER = (
     "type string, table_id long, table string, snapshot_id long, columns array<string>, schema_json string, "
@@ -188,11 +188,15 @@ class Capture:
         and ends."""
         cursor = self.open(starting)
         stream = manifest_stream(self.spark, self.lake.commits_path, COMMITS, cursor)
-        # Only commit manifests come to the driver here; rows stay on the executors.
-        writer = stream.writeStream.foreachBatch(lambda batch, _: self.publish_commits(batch.collect()) and None)
+        # Only commit manifests come to the driver here, max_commits at a time; rows stay on the executors.
+        writer = stream.writeStream.foreachBatch(self._on_batch)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
+    def _on_batch(self, batch: DataFrame, _: int) -> None:
+        for commits in in_steps(batch, "snapshot_id", self.max_commits):
+            self.publish_commits(commits)
+
     def run_available(self, checkpoint: str, starting: str | int = "latest") -> None:
         self.start(checkpoint, starting).awaitTermination()
 

@@ -12,10 +12,14 @@ from rowtide.settings import local_table, scratch_scope
 from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
-from rowtide.sources.manifests import manifest_stream
+from rowtide.sources.manifests import in_steps, manifest_stream
 from rowtide.sources.viewstore import ViewStore, bucket_of
 
 
+# Published batches a reader takes up together.
+BATCHES_AT_ONCE = 500
+
+
 class Follower:
     """Applies the events of one table to a stored view. View and position are saved together."""
 
@@ -114,6 +118,10 @@ class Follower:
                 rows=after.rows, touched=touched,
             )
 
+    def _on_batch(self, batch: DataFrame, _: int) -> None:
+        for some in in_steps(batch, "ordinal", BATCHES_AT_ONCE):
+            self.apply(some)
+
     # --- the stream ---
 
     def start(self, checkpoint: str, start_after: int | None = None, interval: str | None = None):
@@ -121,7 +129,7 @@ class Follower:
         state = self.open(start_after)
         after = ordinal_before(self.log, state["read_upto"])
         stream = manifest_stream(self.spark, self.log.batches_path, BATCHES, after)
-        writer = stream.writeStream.foreachBatch(lambda batch, _: self.apply(batch.collect()) and None)
+        writer = stream.writeStream.foreachBatch(self._on_batch)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
         self.query = writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
         return self.query

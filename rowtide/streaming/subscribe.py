@@ -8,10 +8,11 @@ from rowtide.functions.events import CHANGE, SCHEMA_CHANGED, decode_row
 from rowtide.operators.pairs import FEED_LENGTH, feed, halves, typed_changes
 from rowtide.operators.positions import check_position
 from rowtide.schemas import BATCHES
+from rowtide.settings import scratch_scope, tracked_dir
 from rowtide.sources import files
 from rowtide.sources.log import EventLog
-from rowtide.sources.manifests import manifest_stream
-from rowtide.streaming.follow import ordinal_before
+from rowtide.sources.manifests import in_steps, manifest_stream
+from rowtide.streaming.follow import BATCHES_AT_ONCE, ordinal_before
 
 
 class Subscription:
@@ -103,25 +104,33 @@ class Subscription:
         places = F.array(*[F.lit(m["seq"]).cast("long") for m in markers]).cast("array<long>")
         stretch = F.size(F.filter(places, lambda place: place < F.col("seq")))
         filled = {r["stretch"] for r in events.filter(F.col("type") == CHANGE).select(stretch.alias("stretch")).distinct().collect()}
-        low = after
-        for number, marker in enumerate([*markers, None]):
-            high = upto if marker is None else marker["seq"]
-            if number in filled:
-                self._hand_over(changes, low, high)
-            if marker is None:
-                break
-            low = high
-            if marker["type"] == SCHEMA_CHANGED:
-                self._reshaped(marker["columns"])
-            else:
-                self._dropped()
-                self._save({**state, "position": high, "ended": True})
-                return
+        with scratch_scope():
+            parts = {0: changes}
+            if markers:  # pair once, and give each stretch its folder
+                path = tracked_dir(self.spark, "stretches")
+                changes.withColumn("stretch", stretch).write.partitionBy("stretch").parquet(path)
+                read = self.spark.read.schema(changes.schema)
+                written = {int(n.split("=")[1]) for n in files.subfolders(path) if n.startswith("stretch=")}
+                parts = {n: read.parquet(f"{path}/stretch={n}") for n in written}
+            for number, marker in enumerate([*markers, None]):
+                if number in filled:
+                    self._hand_over(parts[number] if number in parts else changes.limit(0))
+                if marker is None:
+                    break
+                if marker["type"] == SCHEMA_CHANGED:
+                    self._reshaped(marker["columns"])
+                else:
+                    self._dropped()
+                    self._save({**state, "position": marker["seq"], "ended": True})
+                    return
         self._save({**state, "position": upto})
 
-    def _hand_over(self, changes: DataFrame, low: int, high: int) -> None:
-        part = changes.filter((F.col("seq") > low) & (F.col("seq") <= high))
-        self._changed(part.select(
+    def _on_batch(self, batch: DataFrame, _: int) -> None:
+        for some in in_steps(batch, "ordinal", BATCHES_AT_ONCE):
+            self.deliver(some)
+
+    def _hand_over(self, changes: DataFrame) -> None:
+        self._changed(changes.select(
             "seq", "table_id", "type", "snapshot", "rowid", decode_row("row").alias("row"),
             decode_row("before").alias("before"),
         ))
@@ -129,7 +138,7 @@ class Subscription:
     def start(self, checkpoint: str, interval: str | None = None):
         after = ordinal_before(self.log, self.position)
         stream = manifest_stream(self.spark, self.log.batches_path, BATCHES, after)
-        writer = stream.writeStream.foreachBatch(lambda batch, _: self.deliver(batch.collect()))
+        writer = stream.writeStream.foreachBatch(self._on_batch)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
