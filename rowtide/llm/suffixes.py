@@ -91,8 +91,9 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
 
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The entries of a batch (``doc, text``): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
-    flank, ``s`` hash of the span, ``doc``, ``start`` of the span's first string, ``n`` strings, and ``again``: the
-    same text has that span before. Sorted within what a task works on at once.
+    flank, ``s`` hash of the span, ``doc``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
+    anchor behind ``start``, and ``again``: the same text has that span before. Sorted within what a task works
+    on at once.
 
     Where a flank is longer than the text, no string needs it, and it is cut where the text ends."""
     flank = (length - gram + 1) // 2
@@ -111,19 +112,20 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     s = stretch_hashes(sums, start, start + n + length - 1)
                     s = signed(mix(s + U64(1000003) * n.astype(U64) + U64(998244353) * (anchor - start).astype(U64)))
                     order = np.lexsort((start, row, s, h))
-                    h, f, s, row, start, n = h[order], f[order], s[order], row[order], start[order], n[order]
+                    h, f, s, row, start, n, anchor = (x[order] for x in (h, f, s, row, start, n, anchor))
                     again = np.zeros(len(h), bool)
                     again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1]) & (row[1:] == row[:-1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h), pa.array(f), pa.array(s), pa.array(ids[part.first + row]),
-                         pa.array((start - ends[row] + low).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-                        ["h", "f", "s", "doc", "start", "n", "again"])
+                         pa.array((start - ends[row] + low).astype(np.int32)), pa.array(n.astype(np.int16)),
+                         pa.array((anchor - start).astype(np.int16)), pa.array(again)],
+                        ["h", "f", "s", "doc", "start", "n", "a", "again"])
 
-    return docs.mapInArrow(work, "h long, f long, s long, doc long, start int, n int, again boolean")
+    return docs.mapInArrow(work, "h long, f long, s long, doc long, start int, n short, a short, again boolean")
 
 
 class SuffixIndex:
-    """A family of levels: tables ``h, f, s, doc, start, n`` of the first occurrence of every span so far.
+    """A family of levels: tables ``h, f, s, doc, start, n, a`` of the first occurrence of every span so far.
 
     All levels have the same buckets, sorted by suffix key and span, so that scanning and merging them
     moves no row of a level between tasks."""
@@ -164,7 +166,7 @@ class SuffixIndex:
 
         firsts = entries.where("NOT again").join(
             known.where("NOT old").select("h", "s", F.col("own").alias("doc")), ["h", "s", "doc"])
-        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "start", "n")
+        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "start", "n", "a")
         size, merged, old = 0, firsts, []
         while self.levels and self.levels[0][0] == size:
             merged, table = self._merged(merged, self.levels[0][1]), self.levels.pop(0)[1]
@@ -179,7 +181,7 @@ class SuffixIndex:
     def _merged(self, rows: DataFrame, table: str) -> DataFrame:
         """Two levels as one: no span is in both."""
         both = rows.alias("a").join(self.spark.table(table).alias("b"), ["h", "s"], "full")
-        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "start", "n")])
+        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "start", "n", "a")])
 
     def rows(self) -> DataFrame:
         """All first occurrences."""
@@ -206,24 +208,29 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                 start, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2))
                 doc = batch.column(0)[i].as_py()
                 data = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
-                order = np.argsort(start)
+                half, order, found = length // 2, np.argsort(start), []
                 for low in range(0, len(order), 4096):  # bounds the text hashed at once
                     some = order[low: low + 4096]
                     base, top = int(start[some].min()), int((start[some] + n[some]).max()) + length - 1
                     sums = prefix_sums(data[base:top])
-                    at = np.concatenate([np.arange(a, a + k) for a, k in zip(start[some], n[some])]).astype(np.int64)
-                    half = length // 2
-                    w = signed(stretch_hashes(sums, at - base, at - base + length))
-                    v = signed(mix(stretch_hashes(sums, at - base, at - base + half) + U64(17)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w), pa.array(v), pa.array([doc] * len(at), pa.int64()), pa.array(at.astype(np.int32))],
-                        ["w", "v", "doc", "start"])
+                    at = np.unique(np.concatenate([np.arange(a, a + k) for a, k in zip(start[some], n[some])])).astype(np.int64)
+                    w = stretch_hashes(sums, at - base, at - base + length)
+                    v = mix(stretch_hashes(sums, at - base, at - base + half) + U64(17)).astype(np.uint32)
+                    found.append((at, w, v))
+                at, w, v = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((at, v, w))
+                at, w, v = at[order], w[order], v[order]
+                again = np.zeros(len(at), bool)
+                again[1:] = (w[1:] == w[:-1]) & (v[1:] == v[:-1]) & (at[1:] > at[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
+                     pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "start", "again"])
 
-    strings = texts.mapInArrow(work, "w long, v long, doc long, start int")
-    place = F.struct("doc", "start")
-    first = strings.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    later = strings.join(first.drop("last"), ["w", "v"]).where(place > F.col("first"))
-    return later.select("doc", "start", F.lit(1).alias("n"))
+    strings = texts.mapInArrow(work, "w long, v int, doc long, start int, again boolean")
+    several = strings.where("NOT again").groupBy("w", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    several = several.where("first <> last").drop("last")
+    later = strings.join(several, ["w", "v"], "left").where("again OR doc > first")
+    return later.select("doc", "start", F.lit(1).cast("short").alias("n"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -241,12 +248,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
         repeats = index.add(entries)
         discard(entries)
         found = repeats if found is None else found.union(repeats)
-    spans, mixed = index.rows(), None
-    for side in ("h", "f"):
+    # Strings that begin ``flank`` bytes or more before the anchor hold the left flank, all others the right one.
+    spans, mixed, flank = index.rows(), None, (length - gram + 1) // 2
+    left = F.least(F.col("n").cast("int"), F.col("a") - flank + 1)
+    for side, start, n in (("f", F.col("start"), left),
+                           ("h", F.col("start") + F.greatest(left, F.lit(0)), F.col("n") - F.greatest(left, F.lit(0)))):
         shared = spans.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(side)
-        some = spans.join(shared, side).select("doc", "start", "n")
+        some = spans.join(shared, side).select("doc", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
         mixed = some if mixed is None else mixed.union(some)
-    mixed = staged(mixed.distinct(), "shared")
+    mixed = staged(mixed, "shared")
     index.drop()
     return found.union(single_strings(docs, mixed, length))
 
