@@ -146,10 +146,11 @@ def _sharing(near: DataFrame, labels: DataFrame | None, percent: int) -> DataFra
     """Pairs of different components that were both near one pivot and can be alike.
 
     With c any set, let G be what a node has and c lacks, L what c has and the node lacks. Two nodes without a
-    common element in G differ in ``|G| + |G'| + abs(|L| - |L'|)`` shingles at least, and alike ones differ in
+    common element in G differ in ``|G| + |G'| + abs(|L| - |L'|)`` shingles at least (where c is made of two
+    sets, in both of these differences of L), and alike ones differ in
     ``(100 - percent) / (100 + percent)`` of the sum of their sizes at most. So a pair is met through a common
     element of G, or where these counts allow it to do without. For c the pivot is taken together with what
-    a quarter of its group have beyond it: then only what a few nodes share, which chance edits seldom give, is
+    a third of its group have beyond it: then only what a few nodes share, which chance edits seldom give, is
     left in G, also where the pivot itself stands at the edge of its group."""
     known = _labelled(near, labels)
     known = staged(known.join(_several(known, "pivot"), "pivot"), "near")
@@ -157,16 +158,17 @@ def _sharing(near: DataFrame, labels: DataFrame | None, percent: int) -> DataFra
     often = each.groupBy("pivot", "e").agg(
         F.count(F.lit(1)).alias("f"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     group = known.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    often = staged(often.join(group, "pivot").withColumn("central", F.col("f") * 4 > F.col("m")), "elements")
+    often = staged(often.join(group, "pivot").withColumn("central", F.col("f") * 3 > F.col("m")), "elements")
     center = often.where("central").groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     has = each.join(often.where("central").select("pivot", "e"), ["pivot", "e"]).groupBy("pivot", "node").agg(
         F.count(F.lit(1)).alias("o"))
     side = known.drop("extra").join(center, "pivot", "left").join(has, ["pivot", "node"], "left").fillna(0, ["c", "o"])
     side = staged(side.select(
-        "pivot", "node", "label", "n", (F.col("lost") + F.col("c") - F.col("o")).alias("lost"),
+        "pivot", "node", "label", "n", "lost", (F.col("c") - F.col("o")).alias("less"),
         (F.col("gained") - F.col("o")).alias("gained")), "counts")
-    other = side.select("pivot", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "lost", "gained")])
-    apart = (F.col("gained") + F.col("gained2") + F.abs(F.col("lost") - F.col("lost2"))) * (100 + percent)
+    other = side.select("pivot", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "lost", "less", "gained")])
+    apart = F.col("gained") + F.col("gained2") + F.abs(F.col("lost") - F.col("lost2")) + F.abs(F.col("less") - F.col("less2"))
+    apart = apart * (100 + percent)
     counted = side.join(other, (side["pivot"] == other["pivot"]) & (F.col("node") < F.col("node2"))
                         & (F.col("label") != F.col("label2")) & (apart <= (F.col("n") + F.col("n2")) * (100 - percent)))
     rare = often.where("l0 <> l1 AND NOT central").select("pivot", "e")
