@@ -14,7 +14,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that equal or nearly equal an earlier line are taken out of their texts."""
-    return linedup.keep_lines(docs)
+    return linedup.keep_lines(docs, linedup.BY_LENGTH)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

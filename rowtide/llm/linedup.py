@@ -1,15 +1,20 @@
 """Line deduplication with a segment-partition edit join.
 
-A line goes when an earlier one (smaller doc_id, or the same and earlier in the text) is equal or at most
-``edits`` character edits away, after normalisation (lower case, no spaces at the ends). Lines of fewer than
-``min_chars`` code points are left alone. Judged on the input, so a line that goes still counts as earlier.
-
-A line is split into ``edits + 1`` segments of even length; two lines within ``edits`` edits share one of them
-nearly in place. Each line enters its segments under its length, and looks up the substrings of itself
-that may be a segment of a line as long or up to ``edits`` shorter, at the starts that leave enough edits for both
-sides. In a bucket all lines first meet the earliest one; only those that found no near line there meet all
-others. Candidates are confirmed by edit distance in a band of ``2 * edits + 1`` diagonals, kept as bits of a
-long and moved along the text a character at a time.
+A line goes when an earlier one (smaller doc_id, or the same and earlier in the text) is equal or at most so
+many character edits away as ``edits`` says, after normalisation (lower case, no spaces at the ends): a number
+for all lines, or ``BY_LENGTH``, one for every ``CHARS_AN_EDIT`` characters of the shorter line and ``MOST_EDITS``
+at most, which finds a line with a changed word. Lines of fewer than ``min_chars`` code points are left alone.
+Judged on the input, so a line that goes still counts as earlier.
+
+Lines are in classes by length, each with its number of edits ``e`` and a width. A line has ``e + 1`` blocks of
+that width, counted from its begin and from its end. Of two lines within ``e`` edits either the begin has fewer
+edits than blocks, or the end has; there the first block ``i`` with at most ``i`` edits up to its end is
+whole, and moved by ``i`` at most. So each line enters its blocks, and looks up, per block, the substrings of
+itself that are moved that little: ``((e + 1) / 2) ** 2 * 2`` keys. A line looks up in the class below as well if
+a line there can be near.
+
+In a bucket all lines first meet the earliest one; only those that found no near line there meet all
+others. Candidates are confirmed by their edit distance, which is not followed beyond what is allowed.
 
 Equal lines are one before any of this, and everything is DataFrame operations. Defined results: a null text
 has no lines; a null doc_id ranks last; rows of one doc_id and text are one document; extra columns
@@ -22,6 +27,11 @@ from rowtide.llm.stage import staged
 
 EDITS = 1
 MIN_CHARS = 40
+BY_LENGTH = "by length"
+CHARS_AN_EDIT = 20
+MOST_EDITS = 10
+
+_LONGEST = 1 << 20  # lines from here on are one class
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -43,54 +53,61 @@ def normal(raw: Column) -> Column:
     return F.lower(F.trim(raw))
 
 
-def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``key, own, l1`` per segment of each line, and per substring that it looks up (``own`` false).
-
-    Of the ``edits + 1`` segments the last ones take what does not divide evenly. Where lines are longer than
-    ``2 * edits``, every start that is looked up lies inside of the line. The lengths are columns of their
-    own, which keeps the expressions, and so the compiled code, small."""
-    parts = edits + 1
-    for shorter in range(parts):
-        length = F.col("size") - shorter
-        lines = lines.withColumn(f"base{shorter}", F.floor(length / parts).cast("int"))
-        lines = lines.withColumn(f"short{shorter}", F.lit(parts) - (length - F.col(f"base{shorter}") * parts))
-    keys = []
-    for shorter in range(parts):
-        base, short = F.col(f"base{shorter}"), F.col(f"short{shorter}")
-        for i in range(parts):
-            begin = F.lit(0) if i == 0 else base if i == 1 else base * i + F.greatest(F.lit(0), F.lit(i) - short)
-            width = base if i == 0 else base + (F.lit(i) >= short).cast("int")
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                key = F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", begin + (shift + 1), width))
-                keys.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("own")))
-    return lines.select("l1", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.own", "l1")
-
-
-def within(left: str, right: str, edits: int = EDITS) -> Column:
-    """Whether two strings, of more than ``edits`` characters each, are at most ``edits`` edits apart.
-
-    The band holds the vertical differences of ``2 * edits + 1`` rows around the diagonal as bits (``vp`` up by
-    one, ``vn`` down by one). A step over a character of ``right`` adds, in one sum, the runs of matches; the
-    band moves down a row with it. ``d`` follows the band's lower edge along the diagonal and, once that has
-    reached the last row, along the row."""
-    band, every = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    matches = " | ".join(
-        f"if(coalesce(get(p.a, cast(j + {k - edits} as int)) = p.b[j], false), {1 << k}L, 0L)" for k in range(band))
-    bind = lambda name, value, rest: f"transform(array({value}), {name} -> {rest})[0]"
-    step = bind("x", f"({matches})", bind(
-        "d0", "((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & " + f"{every}L", bind(
-            "hp", f"(s.vn | ~(d0 | s.vp)) & {every}L", bind(
-                "hn", "d0 & s.vp",
-                "named_struct("
-                f"'vp', (hn | ~(shiftright(d0, 1) | hp)) & {every}L, 'vn', shiftright(d0, 1) & hp, "
-                f"'d', if(j < size(p.a) - {edits}, s.d + if((d0 & {1 << (band - 1)}L) = 0, 1, 0), "
-                "s.d + if((hp & s.edge) = 0, 0, 1) - if((hn & s.edge) = 0, 0, 1)), "
-                f"'edge', if(j < size(p.a) - {edits}, s.edge, shiftright(s.edge, 1)))"))))
-    start = (f"named_struct('vp', {every & ~((1 << edits) - 1)}L, 'vn', 0L, 'd', {edits}, 'edge', {1 << (band - 2)}L)")
-    folded = f"aggregate(sequence(0, size(p.b) - 1), {start}, (s, j) -> {step}, s -> s.d)"
-    chars = f"transform(array(named_struct('a', split({left}, ''), 'b', split({right}, ''))), p -> {folded})[0]"
-    near = F.abs(F.char_length(left) - F.char_length(right)) <= edits
-    return F.when(near, F.expr(chars) <= edits).otherwise(False)
+def allowed(size: Column, edits: int | str) -> Column:
+    """The edits that a pair may have whose shorter line has ``size`` characters."""
+    if edits == BY_LENGTH:
+        return F.least(F.floor(size / CHARS_AN_EDIT), F.lit(MOST_EDITS)).cast("int")
+    return F.lit(edits)
+
+
+def classes(edits: int | str, min_chars: int) -> list[tuple[int, int, int]]:
+    """Least size, most edits and block width of each class of lines. A class is wider than its edits, so
+    that only neighbours can have near lines."""
+    at = lambda size: min(size // CHARS_AN_EDIT, MOST_EDITS) if edits == BY_LENGTH else edits
+    found, low = [], min_chars
+    while low < _LONGEST:
+        high = low + max(low // 4, at(low * 2) + 1)
+        found.append((low, at(high - 1), low // (at(high - 1) + 1)))
+        low = high
+    return [*found, (low, at(low), low // (at(low) + 1))]
+
+
+def look_ups(edits: int) -> list[int]:
+    """Blocks and moves as ``(side * 64 + block) * 64 + move + 32``, of a class with so many edits."""
+    sides = ((0, (edits + 2) // 2), (1, (edits + 1) // 2))
+    return [(side * 64 + i) * 64 + move + 32 for side, n in sides for i in range(n) for move in range(-i, i + 1)]
+
+
+def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``key, own, l1`` per block of each line, and per substring that it looks up (``own`` false).
+
+    What is looked up is exploded as numbers, which keeps the expressions, and so the compiled code, small."""
+    every = classes(edits, min_chars)
+    of = lambda values: F.array(*[F.lit(v) for v in values])
+    item = lambda values, c: F.get(of(values), c)
+    size = F.col("size")
+    c = sum(((size >= low).cast("int") for low, _, _ in every[1:]), F.lit(0))
+    below = F.col("c") - 1
+    near = (below >= 0) & (size < item([low for low, _, _ in every], F.col("c")) + item([e for _, e, _ in every], below))
+    downs = F.explode(F.when(near, of([0, 1])).otherwise(of([0]))).alias("down")
+    seen = lines.select("l1", "line", "size", c.alias("c")).select("l1", "line", "size", "c", downs)
+    seen = seen.withColumn("c", F.col("c") - F.col("down"))
+    e, w = item([e for _, e, _ in every], F.col("c")), item([w for _, _, w in every], F.col("c"))
+    codes = F.get(F.array(*[of(look_ups(e)) for e in range(max(e for _, e, _ in every) + 1)]), e)
+    each = seen.select("l1", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("code"))
+    block, move = F.shiftright("code", 6), F.col("code").bitwiseAND(63) - 32
+    i = block.bitwiseAND(63)
+    begin = F.when(block < 64, i * F.col("w")).otherwise(size - (i + 1) * F.col("w")) + move
+    key = F.xxhash64("c", block, F.col("line").substr(begin + 1, F.col("w")))
+    return each.select(key.alias("key"), ((F.col("down") == 0) & (move == 0)).alias("own"), "l1")
+
+
+def within(left: str, right: str, edits: int | str = EDITS) -> Column:
+    """Whether two strings are at most ``edits`` edits apart; the distance is followed in a band of that width."""
+    sizes = F.char_length(left), F.char_length(right)
+    most = allowed(F.least(*sizes), edits)
+    near = F.abs(sizes[0] - sizes[1]) <= most
+    return F.when(near, F.call_function("levenshtein", F.col(left), F.col(right), most) >= 0).otherwise(False)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -105,17 +122,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
 _AT = ("doc", "h", "line_no")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int | str) -> DataFrame:
     """Of pairs of places ``x`` and ``y`` (structs), the later place of those within ``edits``."""
     named = lambda side: texts.select(F.struct(*_AT).alias(side), F.col("line").alias(f"{side}_line"))
     met = pairs.join(named("x"), "x").join(named("y"), "y")
     return met.where(within("x_line", "y_line", edits)).select(F.greatest("x", "y").alias("gone")).distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc, h, line_no`` of every line that an earlier one makes redundant."""
-    if min_chars <= 2 * edits:
-        raise ValueError("lines must be longer than twice the edits")
+    if edits != BY_LENGTH and min_chars <= 2 * edits or edits == BY_LENGTH and min_chars < CHARS_AN_EDIT:
+        raise ValueError("lines must be longer than twice the edits, or long enough for one")
     place = F.struct("doc", "h", "line_no")
     lines = document_lines(docs, min_chars)
     seen = lines.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -124,7 +141,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
     # Buckets that hold two different lines, one of them under its own segment.
-    keys = staged(segment_keys(lines, edits), "segments")
+    keys = staged(segment_keys(lines, edits, min_chars), "segments")
     live = keys.groupBy("key").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.max("own").alias("own"))
     live = live.where("a <> b AND own").select("key")
     met = keys.join(live, "key").distinct().join(firsts.select("l1", "first"), "l1")
@@ -147,7 +164,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return equal.union(near).union(more).distinct().select("gone.*")
 
 
-def marked(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def marked(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row ``doc_id``, ``n_lines`` and ``removed``, the numbers (from 0) of its lines that go."""
     gone = repeated_lines(docs, edits, min_chars).groupBy("doc", "h").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     gone = gone.withColumnsRenamed({"doc": "_doc", "h": "_h"})
@@ -158,7 +175,7 @@ def marked(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def keep_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def keep_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` and ``n_chars``, if there, counted again. A text of
     which no word is left, but had some, goes as a whole: all it says stands elsewhere."""
     gone = repeated_lines(docs, edits, min_chars).groupBy("doc", "h").agg(F.collect_set("line_no").alias("_removed"))

@@ -51,7 +51,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of the lines of every text that equal, or nearly equal, an earlier line."""
-    return linedup.marked(_table(spark, sf_dir, "documents")).withColumn("n_removed", F.size("removed").cast("long"))
+    return linedup.marked(_table(spark, sf_dir, "documents"), linedup.BY_LENGTH).withColumn("n_removed", F.size("removed").cast("long"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,39 @@ def test_lines_are_taken_out(docs, corpus):
 
 def test_empty(empty):
     assert linedup.marked(empty).count() == 0 and linedup.keep_lines(empty).columns == empty.columns
+
+
+def test_changed_words_by_length(make):
+    """Lines of all classes with up to a dozen edits, spread or in one word, against every earlier line."""
+    r, texts = random.Random(4), {}
+    pool = [prose(200 + i, 200, 200)[: r.randrange(38, 340)] for i in range(40)] + ["ab" * 60, "ab" * 125]
+    for i in range(90):
+        line = list(r.choice(pool))
+        most, at = r.randrange(13), r.randrange(len(line))
+        for _ in range(most):
+            at = r.randrange(len(line)) if i % 2 else min(at + 1, len(line) - 1)
+            line[at: at + r.randrange(2)] = r.choice(["", "q", "Ä", "z"])
+        texts[i] = "".join(line)
+    texts |= {200: prose(300, 200, 200)[:340], 201: prose(300, 200, 200)[:340].replace(" ", " another ", 1)}
+    kept, gone = [], set()
+    for i in sorted(texts):
+        line = texts[i].strip(" ").lower()
+        if len(line) >= 40:
+            if any(abs(len(o) - len(line)) <= 10 and distance(o, line) <= min(10, min(len(o), len(line)) // 20) for o in kept):
+                gone.add((i, 0))
+            kept.append(line)
+    found = linedup.marked(make(texts, repeat=()), linedup.BY_LENGTH).where("doc_id IS NOT NULL").collect()
+    assert {(r["doc_id"], k) for r in found for k in r["removed"]} == gone
+    assert (201, 0) in gone and len(gone) > len(by_rule(texts, 1, 40)) + 10
+
+
+def test_production_finds_a_changed_word(spark, tmp_path):
+    import corpus_pipeline
+    from rowtide.llm.queries import QUERIES
+
+    line = prose(300, 200, 200)[:340]
+    docs = spark.createDataFrame([(1, line), (2, line.replace(" ", " another ", 1) + "\nother")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["removed"] for r in found} == {1: [], 2: [0]}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: line, 2: "other"}
