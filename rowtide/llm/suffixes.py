@@ -92,8 +92,8 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The entries of a batch (``doc, text``): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
     flank, ``s`` hash of the span, ``doc``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
-    anchor behind ``start``, and ``again``: the same text has that span before. Sorted within what a task works
-    on at once.
+    anchor behind ``start``, and ``again``: the same segment of the text has that span before. Sorted within what a
+    task works on at once.
 
     Where a flank is longer than the text, no string needs it, and it is cut where the text ends."""
     flank = (length - gram + 1) // 2
@@ -150,8 +150,8 @@ class SuffixIndex:
     def add(self, entries: DataFrame) -> DataFrame:
         """Scan a batch (entries of ``suffix_array``, later than all before) against the levels, and take it
         into the family. Gives the entries that an earlier text has in whole: ``doc, start, n``."""
-        distinct = entries.where("NOT again").groupBy("h", "s").agg(
-            F.min("doc").alias("own"), F.max("doc").alias("last"))
+        place = F.struct("doc", "start")  # a text in segments can have a span more than once without ``again``
+        distinct = entries.where("NOT again").groupBy("h", "s").agg(F.min(place).alias("own"), F.max(place).alias("last"))
         known = distinct
         for i, (_, table) in enumerate(self.levels):
             level = self.spark.table(table).select("h", "s", F.lit(True).alias(f"in{i}"))
@@ -161,11 +161,12 @@ class SuffixIndex:
             hit = hit | F.coalesce(F.col(f"in{i}"), F.lit(False))
         known = staged(known.select("h", "s", "own", hit.alias("old"), (F.col("last") > F.col("own")).alias("twice")), "scanned")
         several = known.where("old OR twice").select("h", "s", "own", "old")
-        repeats = entries.where("NOT again").join(several, ["h", "s"]).where("old OR doc > own").select("doc", "start", "n")
+        repeats = entries.where("NOT again").join(several, ["h", "s"]).where(F.col("old") | (place > F.col("own"))).select(
+            "doc", "start", "n")
         repeats = staged(repeats.union(entries.where("again").select("doc", "start", "n")), "repeated")
 
         firsts = entries.where("NOT again").join(
-            known.where("NOT old").select("h", "s", F.col("own").alias("doc")), ["h", "s", "doc"])
+            known.where("NOT old").select("h", "s", "own.*"), ["h", "s", "doc", "start"])
         firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "start", "n", "a")
         size, merged, old = 0, firsts, []
         while self.levels and self.levels[0][0] == size:

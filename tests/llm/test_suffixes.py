@@ -49,6 +49,14 @@ def test_long_text_in_segments(make, monkeypatch):
     assert result(make(texts)) == by_rule(texts, 100)
 
 
+def test_long_text_repeats_itself_across_segments(make, monkeypatch):
+    passage = prose(60, 80)
+    texts = {1: prose(61, 100), 2: prose(62, 3000) + passage + prose(63, 4000) + passage + prose(64, 2000) + passage}
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 5000)
+    expected = by_rule(texts, 100)
+    assert expected[2][1] >= 2 * len(passage) and result(make(texts, repeat=(2,))) == expected
+
+
 def test_family_of_levels(spark):
     index = suffixes.SuffixIndex(spark, buckets=2)
     sizes = []
