@@ -19,8 +19,8 @@ anchor and that many bytes on one side. For the few spans that do, the strings a
 Suffixes are ordered by their first three bytes and from there by a hash of the right flank (equality is
 all that a scan asks of them). Hashes that decide are 128 bits taken together.
 
-Defined results: a null text is empty; a null doc_id ranks last; repeated rows of one doc_id are one document,
-which is not its own earlier copy; texts under ``length`` bytes stay whole; extra columns are left out; an
+Defined results: a null text is empty; a null doc_id ranks last; rows of one doc_id and text are one document,
+which is not its own earlier copy; different texts of one doc_id, or without one, rank by a hash of the text; texts under ``length`` bytes stay whole; extra columns are left out; an
 empty table gives an empty table.
 """
 
@@ -90,8 +90,8 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The entries of a batch (``doc, text``): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
-    flank, ``s`` hash of the span, ``doc``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
+    """The entries of a batch (``doc, text``, and ``t`` if ``doc`` has several texts): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
+    flank, ``s`` hash of the span, ``doc``, ``t``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
     anchor behind ``start``, and ``again``: the same segment of the text has that span before. Sorted within what a
     task works on at once.
 
@@ -101,7 +101,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for part in slices(batch.column(1)):
                 for low, data, ends in segments(part.data, part.ends, length):
                     start, n, anchor, row, sums = anchors(data, ends, length, gram)
@@ -116,16 +116,17 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     again = np.zeros(len(h), bool)
                     again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1]) & (row[1:] == row[:-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(f), pa.array(s), pa.array(ids[part.first + row]),
+                        [pa.array(h), pa.array(f), pa.array(s), pa.array(ids[part.first + row]), pa.array(texts[part.first + row]),
                          pa.array((start - ends[row] + low).astype(np.int32)), pa.array(n.astype(np.int16)),
                          pa.array((anchor - start).astype(np.int16)), pa.array(again)],
-                        ["h", "f", "s", "doc", "start", "n", "a", "again"])
+                        ["h", "f", "s", "doc", "t", "start", "n", "a", "again"])
 
-    return docs.mapInArrow(work, "h long, f long, s long, doc long, start int, n short, a short, again boolean")
+    docs = docs.select("doc", "text", F.col("t") if "t" in docs.columns else F.lit(0).cast("long").alias("t"))
+    return docs.mapInArrow(work, "h long, f long, s long, doc long, t long, start int, n short, a short, again boolean")
 
 
 class SuffixIndex:
-    """A family of levels: tables ``h, f, s, doc, start, n, a`` of the first occurrence of every span so far.
+    """A family of levels: tables ``h, f, s, doc, t, start, n, a`` of the first occurrence of every span so far.
 
     All levels have the same buckets, sorted by suffix key and span, so that scanning and merging them
     moves no row of a level between tasks."""
@@ -149,8 +150,8 @@ class SuffixIndex:
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Scan a batch (entries of ``suffix_array``, later than all before) against the levels, and take it
-        into the family. Gives the entries that an earlier text has in whole: ``doc, start, n``."""
-        place = F.struct("doc", "start")  # a text in segments can have a span more than once without ``again``
+        into the family. Gives the entries that an earlier text has in whole: ``doc, t, start, n``."""
+        place = F.struct("doc", "t", "start")  # a text in segments can have a span more than once without ``again``
         distinct = entries.where("NOT again").groupBy("h", "s").agg(F.min(place).alias("own"), F.max(place).alias("last"))
         known = distinct
         for i, (_, table) in enumerate(self.levels):
@@ -162,12 +163,12 @@ class SuffixIndex:
         known = staged(known.select("h", "s", "own", hit.alias("old"), (F.col("last") > F.col("own")).alias("twice")), "scanned")
         several = known.where("old OR twice").select("h", "s", "own", "old")
         repeats = entries.where("NOT again").join(several, ["h", "s"]).where(F.col("old") | (place > F.col("own"))).select(
-            "doc", "start", "n")
-        repeats = staged(repeats.union(entries.where("again").select("doc", "start", "n")), "repeated")
+            "doc", "t", "start", "n")
+        repeats = staged(repeats.union(entries.where("again").select("doc", "t", "start", "n")), "repeated")
 
         firsts = entries.where("NOT again").join(
-            known.where("NOT old").select("h", "s", "own.*"), ["h", "s", "doc", "start"])
-        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "start", "n", "a")
+            known.where("NOT old").select("h", "s", "own.*"), ["h", "s", "doc", "t", "start"])
+        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "t", "start", "n", "a")
         size, merged, old = 0, firsts, []
         while self.levels and self.levels[0][0] == size:
             merged, table = self._merged(merged, self.levels[0][1]), self.levels.pop(0)[1]
@@ -182,7 +183,7 @@ class SuffixIndex:
     def _merged(self, rows: DataFrame, table: str) -> DataFrame:
         """Two levels as one: no span is in both."""
         both = rows.alias("a").join(self.spark.table(table).alias("b"), ["h", "s"], "full")
-        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "start", "n", "a")])
+        return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "t", "start", "n", "a")])
 
     def rows(self) -> DataFrame:
         """All first occurrences."""
@@ -198,16 +199,16 @@ class SuffixIndex:
 
 
 def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Strings of the given spans (``doc, start, n``) that start earlier elsewhere: ``doc, start, n`` with n = 1."""
-    asked = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # spans of one text
-    texts = docs.join(asked, "doc").select("doc", "text", "spans")
+    """Strings of the given spans (``doc, t, start, n``) that start earlier elsewhere: the same with n = 1."""
+    asked = spans.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # spans of one text
+    texts = docs.join(asked, ["doc", "t"]).select("doc", "text", "spans", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 spans = batch.column(2)[i].values
                 start, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2))
-                doc = batch.column(0)[i].as_py()
+                doc, t = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
                 data = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
                 half, order, found = length // 2, np.argsort(start), []
                 for low in range(0, len(order), 4096):  # bounds the text hashed at once
@@ -225,18 +226,19 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                 again[1:] = (w[1:] == w[:-1]) & (v[1:] == v[:-1]) & (at[1:] > at[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
-                     pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "start", "again"])
+                     pa.array([t] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
 
-    strings = texts.mapInArrow(work, "w long, v int, doc long, start int, again boolean")
-    several = strings.where("NOT again").groupBy("w", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    strings = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
+    text = F.struct("doc", "t")
+    several = strings.where("NOT again").groupBy("w", "v").agg(F.min(text).alias("first"), F.max(text).alias("last"))
     several = several.where("first <> last").drop("last")
-    later = strings.join(several, ["w", "v"], "left").where("again OR doc > first")
-    return later.select("doc", "start", F.lit(1).cast("short").alias("n"))
+    later = strings.join(several, ["w", "v"], "left").where(F.col("again") | (text > F.col("first")))
+    return later.select("doc", "t", "start", F.lit(1).cast("short").alias("n"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """``doc, start, n`` of all strings of ``length`` bytes (``n`` side by side from ``start``) that start
-    earlier; ``docs`` has ``doc, text``, and may have more."""
+    """``doc, t, start, n`` of all strings of ``length`` bytes (``n`` side by side from ``start``) that start
+    earlier; ``docs`` has ``doc, text, t``, and may have more."""
     spark = docs.sparkSession
     index = SuffixIndex(spark)
     cuts = docs.select(F.percentile_approx("doc", [(i + 1) / batches for i in range(batches - 1)], 10_000)).first()[0] or []
@@ -245,7 +247,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     for low, high in zip(edges[:-1], edges[1:]):
         batch = docs if low is None else docs.where(F.col("doc") > low)
         batch = batch if high is None else batch.where(F.col("doc") <= high)
-        entries = staged(suffix_array(batch.select("doc", "text"), length, gram), "batch")
+        entries = staged(suffix_array(batch.select("doc", "text", "t"), length, gram), "batch")
         repeats = index.add(entries)
         discard(entries)
         found = repeats if found is None else found.union(repeats)
@@ -255,22 +257,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     for side, start, n in (("f", F.col("start"), left),
                            ("h", F.col("start") + F.greatest(left, F.lit(0)), F.col("n") - F.greatest(left, F.lit(0)))):
         shared = spans.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(side)
-        some = spans.join(shared, side).select("doc", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
+        some = spans.join(shared, side).select("doc", "t", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
         mixed = some if mixed is None else mixed.union(some)
     mixed = staged(mixed, "shared")
     index.drop()
     return found.union(single_strings(docs, mixed, length))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc, text``) with ``t``, by which the texts of one ``doc`` differ: a hash of the text where there
+    are several (as for all rows without doc_id), else 0."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.groupBy("doc").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most")
+    several = staged(several.select("doc", F.lit(True).alias("several")), "several")
+    return docs.join(several, "doc", "left").withColumn("t", F.when(F.col("several"), h).otherwise(0)).drop("several")
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary, the bytes that stay) and ``spans`` (begin and
     end of every removed run)."""
     bounded_batches(docs.sparkSession)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     rows = docs.select(rank, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = told_apart(rows)
     gone = repeated(rows, length, gram, batches)
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    joined = rows.join(gone, "doc", "left").select("doc_id", "text", "gone")
+    gone = gone.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    joined = rows.join(gone, ["doc", "t"], "left").select("doc_id", "text", "gone")
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

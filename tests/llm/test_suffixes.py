@@ -1,3 +1,4 @@
+import functools
 import random
 
 import numpy as np
@@ -76,3 +77,24 @@ def test_repeated_rows_null_id_empty(docs, empty):
     assert [r["n_removed"] for r in found.where("doc_id = 3").collect()] == [0, 0]
     assert found.where("doc_id IS NULL").count() == 1
     assert suffixes.without_repeats(empty).count() == 0
+
+
+def test_texts_of_one_rank_are_told_apart(make):
+    """Two texts without doc_id of unequal length, one with a repeat of its own and one with a copy of the other."""
+    a, b, shared = prose(80, 30), prose(81, 400), prose(82, 60)
+    long, short = b + a[:150] + b[:900] + shared, shared + a
+    frame = make({1: prose(83, 40), 5: long + "1"}, repeat=(), nameless=False)
+    other = frame.where("doc_id = 1")
+    rows = [other, frame.where("doc_id = 5")]
+    for doc_id, text in ((None, long), (None, short), (None, short), (7, prose(84, 90)), (7, prose(84, 90) + shared)):
+        rows.append(other.withColumn("doc_id", F.lit(doc_id).cast("long")).withColumn("text", F.lit(text)))
+    for docs in (rows[0].union(rows[2]).union(rows[3]).union(rows[4]), functools.reduce(lambda x, y: x.union(y), rows)):
+        given = {((2**63 - 1) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"])
+                 for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+        ordered = sorted(given)
+        expected = by_rule(dict(enumerate(text for _, _, text in ordered)), 100)
+        wanted = {(i, expected[k]) for k, (i, _, _) in enumerate(ordered)}
+        found = suffixes.without_repeats(docs).collect()
+        assert len(found) == docs.count()
+        assert {((2**63 - 1) if r["doc_id"] is None else r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
+                for r in found} == wanted
