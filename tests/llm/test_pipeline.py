@@ -8,7 +8,7 @@ import corpus_pipeline
 from rowtide.llm.oracle import ORACLE
 from rowtide.llm.queries import QUERIES
 
-from .test_minhash import by_rule as near_by_rule
+from .test_minhash import by_rule as near_by_rule, shingles
 from .test_mix import targets
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,19 @@ def test_stages(spark, docs, corpus, tmp_path):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.columns[:3] == ["doc_id", "source", "n_tokens"]
+
+
+def test_near_dedup_from_80_percent(spark):
+    """Pairs of documents of 104 words: two changed words leave 90 of 110 shingles, three 85 of 115."""
+    rows, words = [], [f"w{i}" for i in range(4000)]
+    for g in range(12):
+        text = words[g * 104: g * 104 + 104]
+        rows.append((g * 10, " ".join(text)))
+        for k, changed in ((1, (20, 60)), (2, (20, 50, 80))):
+            other = [f"x{g}.{k}.{i}" if i in changed else w for i, w in enumerate(text)]
+            rows.append((g * 10 + k, " ".join(other)))
+    a, b, c = (shingles(t) for _, t in rows[:3])
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85 and 100 * len(a & c) / len(a | c) < 80 and 100 * len(b & c) / len(b | c) < 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1}
