@@ -70,9 +70,78 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(z.low,
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes, a bit at a time."""
+    digits = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(1, length({digits}), 2), lambda p: CAST('0x' || substr({digits}, p, 2) AS BIGINT))"
+    eight = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: {eight}), 4294967295)"
+
+
+OP11 = f"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, unnest(regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT id, run, count(*) AS n FROM t WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32("id || ':' || run")} AS h FROM r),
+g AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM g WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT *, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+      UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM e GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+             CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN c USING (word) JOIN f AS z ON z.word = c.root WHERE z.form IS NULL
+"""
+
+
+def _leaf(text: str) -> str:
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value}, '-')"
+
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUN = "list(h ORDER BY i) AS kids, sha256(string_agg(h, '' ORDER BY i)) AS h"
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS k, {_leaf('text')} AS leaf,
+         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf(_LOWERED)} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+p AS (SELECT 1 AS level, k, i // 16 AS i, any_value((n + 15) // 16) AS n, {_RUN.replace('h ORDER', 'leaf ORDER').replace('string_agg(h', 'string_agg(leaf')}
+      FROM l WHERE n > 1 GROUP BY k, i // 16
+      UNION ALL SELECT any_value(level) + 1, k, i // 16, any_value((n + 15) // 16), {_RUN} FROM p WHERE n > 1 GROUP BY k, i // 16),
+t AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n
+      FROM (SELECT k, h FROM p WHERE n = 1 UNION ALL SELECT k, leaf FROM l WHERE n = 1)),
+q AS (SELECT 1 AS level, i // 16 AS i, any_value((n + 15) // 16) AS n, {_RUN} FROM t WHERE n > 1 GROUP BY i // 16
+      UNION ALL SELECT any_value(level) + 1, i // 16, any_value((n + 15) // 16), {_RUN} FROM q WHERE n > 1 GROUP BY i // 16),
+u AS (SELECT row_number() OVER () AS rid, doc_id, k, leaf, coalesce(changed, leaf) AS now_h, i, n FROM l),
+w AS (SELECT rid, k, now_h, i, n, 0 AS level, '' AS proof FROM u
+      UNION ALL
+      SELECT w.rid, w.k, sha256(array_to_string(p.kids[:w.i % 16], '') || w.now_h || array_to_string(p.kids[w.i % 16 + 2:], '')),
+             p.i, p.n, p.level, w.proof || array_to_string(p.kids[:w.i % 16], '') || array_to_string(p.kids[w.i % 16 + 2:], '')
+      FROM w JOIN p ON p.k = w.k AND p.level = w.level + 1 AND p.i = w.i // 16),
+y AS (SELECT w.rid, t.h AS subroot, w.now_h, t.i, 0 AS level, w.proof, t.n FROM w JOIN t USING (k) WHERE w.n = 1
+      UNION ALL
+      SELECT y.rid, y.subroot, sha256(array_to_string(q.kids[:y.i % 16], '') || y.now_h || array_to_string(q.kids[y.i % 16 + 2:], '')),
+             q.i, q.level, y.proof || array_to_string(q.kids[:y.i % 16], '') || array_to_string(q.kids[y.i % 16 + 2:], ''), q.n
+      FROM y JOIN q ON q.level = y.level + 1 AND q.i = y.i // 16),
+z AS (SELECT h AS root FROM q WHERE n = 1 UNION ALL SELECT h FROM t WHERE n = 1)
+SELECT u.doc_id, u.leaf, y.subroot, z.root, sha256(y.proof) AS proof_sha256, y.now_h AS folded_root, y.now_h = z.root AS verified
+FROM y JOIN u USING (rid) CROSS JOIN z WHERE y.n = 1
+"""
+
 ORACLE: dict[str, str] = {
     "op2_warc": OP2,
     "op7_shards": OP7,
     "op8_mix": OP8,
     "op10_minhash": OP10,
+    "op11_spelling": OP11,
+    "op13_manifest": OP13,
 }

@@ -1,8 +1,8 @@
-"""Registered queries of the ten operators, each over its whole table with production parameters."""
+"""Registered queries of the operators, each over its whole table with production parameters."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, linedup, lines, merkle, minhash, mix, quality, shards, suffixes, warc
+from rowtide.llm import bpe, linedup, lines, manifest, merkle, minhash, mix, notices, quality, shards, spelling, suffixes, warc
 from rowtide.settings import scratch_dir
 
 #: Name of the tokenizer file; its folder is that of the installed ``public_tokenizers``.
@@ -83,6 +83,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with the frequent word that each is a spelling variant of."""
+    return spelling.group(spelling.count_words(_table(spark, sf_dir, "documents")))
+
+
+def op12_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every text, with the places of the notices."""
+    return notices.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document in the manifest of all."""
+    return manifest.verified(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -94,4 +109,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_merkle": op9_merkle,
     "op10_minhash": op10_minhash,
+    "op11_spelling": op11_spelling,
+    "op12_notices": op12_notices,
+    "op13_manifest": op13_manifest,
 }
