@@ -132,11 +132,13 @@ def fold(events: DataFrame) -> DataFrame:
     return last_changes(events).filter(F.col("change_type") != DELETE).drop("change_type")
 
 
-class Materialized:
-    """View and metadata after a set of events. The metadata are computed when asked for."""
+class Digest:
+    """What events do to tables: ``last``, the last change per row that is no pre-image, with its payload as a map;
+    ``touched``, what their markers do to columns (None where there is no marker); and the metadata after them,
+    computed when asked for."""
 
-    def __init__(self, rows: DataFrame, meta):
-        self.rows, self._meta = rows, meta
+    def __init__(self, last: DataFrame, touched: DataFrame | None, meta):
+        self.last, self.touched, self._meta = last, touched, meta
 
     @property
     def meta(self) -> DataFrame:
@@ -145,18 +147,25 @@ class Materialized:
         return self._meta
 
 
-def materialize(
-    events: DataFrame,
-    saved_rows: DataFrame | None = None,
-    saved_meta: DataFrame | None = None,
-    distinct: bool = False,
-    markers_expected: bool = True,
-) -> Materialized:
-    """Apply events to a saved view (or to none).
+class Materialized:
+    """View and metadata after a set of events. The metadata are computed when asked for."""
+
+    def __init__(self, rows: DataFrame, digest: Digest):
+        self.rows, self._digest = rows, digest
+
+    @property
+    def meta(self) -> DataFrame:
+        return self._digest.meta
+
+
+def digest(
+    events: DataFrame, saved_meta: DataFrame | None = None, distinct: bool = False, markers_expected: bool = True,
+) -> Digest:
+    """Reduce events to what a view needs of them; the view itself is not looked at.
 
     ``distinct`` says that no message id occurs twice, which holds for logs this package wrote; for
     other logs copies are removed first, so that an old event delivered again late cannot move the
-    view back. Events after a drop are not applied; the rows stay and the table is marked ended.
+    view back. Events after a drop count for nothing; the table is marked ended.
     A caller that knows the events to hold no marker says so with ``markers_expected``; one that
     passes ``saved_meta`` passes a row for every table the events are about.
     """
@@ -185,9 +194,29 @@ def materialize(
 
     # Only this branch carries payloads, so only here copies are removed: the place of the first
     # copy is the least one in any case.
-    rows = last_changes(live if distinct else first_copies(live)).select(
+    last = last_changes(live if distinct else first_copies(live)).select(
         "table_id", "rowid", "rowkey", "change_type", decode_row("row").alias("row"), "seq"
     )
+
+    def meta() -> DataFrame:
+        known = shapes
+        if markers is None and _shape_needed(saved_meta):
+            known = first_shapes(live)
+        return view_meta(live, markers, known, deltas, points, saved_meta)
+
+    return Digest(last, touched, meta)
+
+
+def materialize(
+    events: DataFrame,
+    saved_rows: DataFrame | None = None,
+    saved_meta: DataFrame | None = None,
+    distinct: bool = False,
+    markers_expected: bool = True,
+) -> Materialized:
+    """Apply events to a saved view (or to none); see ``digest``. After a drop the rows stay."""
+    found = digest(events, saved_meta, distinct, markers_expected)
+    rows = found.last
     if saved_rows is not None:
         old = with_rowkey(saved_rows).select(
             "table_id", "rowid", "rowkey", F.col("row").alias("_row"), F.col("seq").alias("_seq"))
@@ -199,16 +228,20 @@ def materialize(
             F.when(untouched, F.col("_seq")).otherwise(F.col("seq")).alias("seq"),
         )
     rows = rows.filter(F.col("change_type").isNull() | (F.col("change_type") != DELETE)).drop("change_type")
-    if touched is not None:
-        rows = reshape(rows, touched)
-
-    def meta() -> DataFrame:
-        known = shapes
-        if markers is None and _shape_needed(saved_meta):
-            known = first_shapes(live)
-        return view_meta(live, markers, known, deltas, points, saved_meta)
-
-    return Materialized(conform(rows, VIEW), meta)
+    if found.touched is not None:
+        rows = reshape(rows, found.touched)
+    return Materialized(conform(rows, VIEW), found)
+
+
+def merge_touched(saved: list[dict], new: list) -> list[dict]:
+    """``touched`` entries of one table after more markers: per column name the last removal and the last touch.
+    Reshaping a row by the merged list gives what reshaping it by one list after the other gives."""
+    names = {t["name"]: dict(t) for t in saved}
+    for t in new:
+        old = names.get(t["name"], {})
+        removed = t["removed_at"] if t["removed_at"] is not None else old.get("removed_at")
+        names[t["name"]] = {"name": t["name"], "removed_at": removed, "touched_at": t["touched_at"], "is_added": t["is_added"]}
+    return sorted(names.values(), key=lambda t: t["name"])
 
 
 def _shape_needed(saved_meta: DataFrame | None) -> bool:

@@ -477,3 +477,8 @@ present AS (SELECT step, count(*) AS rows FROM last WHERE kind <> 'delete' GROUP
 SELECT step, max(seq) AS last_seq, count(*) AS received, any_value(present.rows) AS rows
 FROM t JOIN cuts ON seq <= upto JOIN present USING (step) GROUP BY step
 UNION ALL SELECT s, head, 0, 0 FROM head, (VALUES ('at end'), ('started over')) v(s)"""
+
+ORACLE["follow_many_shapes"] = """
+SELECT c_custkey AS rowid, 'c_acctbal,c_custkey,c_name,x11,x19,x3,x5' AS columns, c_name AS name,
+  CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 3 END AS x3, CAST(NULL AS BIGINT) AS x5,
+  CASE WHEN c_custkey % 3 = 2 THEN c_custkey * 11 END AS x11, CAST(NULL AS BIGINT) AS x19 FROM customer"""

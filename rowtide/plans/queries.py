@@ -757,6 +757,39 @@ def reader_restarts(spark, sf):
     return local_table(spark, steps, "step string, last_seq long, received long, rows long")
 
 
+@query
+def follow_many_shapes(spark, sf):
+    """A view of customer through two dozen changes of shape in five batches: columns come, go, and one comes back."""
+    now = w.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    lake, log = Lake(spark, scratch_dir(spark, "lake")), EventLog(spark, scratch_dir(spark, "log")).create()
+    capture = Capture(lake, log)
+    table = lake.create("customer", now, ["c_custkey"])
+    reader = Follower(log, table, ViewStore(spark, scratch_dir(spark, "view")))
+    reader.open(0)
+    fields, filled = list(now.schema.fields), {}
+    for step in range(1, 25):
+        name = "x5" if step == 21 else f"x{step}"
+        if step % 2:
+            fields.append(T.StructField(name, T.LongType()))
+        elif step not in (4, 12, 20, 22):
+            fields = [f for f in fields if f.name != f"x{step - 1}"]
+        lake.alter(table, T.StructType(fields))
+        if step in (3, 5, 11):  # a third of the rows each; x5 goes with its values and is empty when it is back
+            filled = {c: v for c, v in filled.items() if c in [f.name for f in fields]} | {
+                name: F.when(F.col("c_custkey") % 3 == step % 3, F.col("c_custkey") * step)}
+            names = [f.name for f in fields]
+            lake.replace(table, now.select(*[filled.get(c, F.col(c) if c in now.columns else F.lit(None)).cast("long").alias(c)
+                                             if c.startswith("x") else F.col(c) for c in names]))
+        if step in (4, 5, 11, 18, 24):
+            done = log.newest()["end_snapshot"]
+            capture.publish_commits(lake.commits().filter(F.col("snapshot_id") > done).collect())
+            reader.apply([log.newest()])
+    row = F.col("row")
+    return reader.rows().select(
+        "rowid", F.array_join(F.array_sort(F.map_keys("row")), ",").alias("columns"), row["c_name"].alias("name"),
+        *[row[c].cast("long").alias(c) for c in ("x3", "x5", "x11", "x19")])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Two versions of orders compared, the changes ordered into a log, the log folded back."""
     return QUERIES["materialize_orders"](spark, sf)

@@ -70,6 +70,9 @@ VIEW = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+# What markers did to the columns of a table, one entry per column name ever removed or added.
+TOUCHED = "table_id long, touched array<struct<name: string, removed_at: long, touched_at: long, is_added: boolean>>"
+
 VIEW_META = T.StructType([
     T.StructField("table_id", T.LongType()),
     T.StructField("last_seq", T.LongType()),

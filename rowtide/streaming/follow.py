@@ -6,14 +6,14 @@ from rowtide.functions.events import CHANGE, decode_row, encode_row
 from rowtide.operators.diff import with_rowid
 from rowtide.operators.metrics import status, waiting
 from rowtide.operators.positions import PositionTooOld, check_position
-from rowtide.operators.view import empty_view, materialize
+from rowtide.operators.view import digest, empty_view, merge_touched
 from rowtide.schemas import BATCHES, VIEW_META
 from rowtide.settings import local_table, scratch_scope
 from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
 from rowtide.sources.manifests import in_steps, manifest_stream
-from rowtide.sources.viewstore import ViewStore, bucket_of
+from rowtide.sources.viewstore import ViewStore
 
 
 # Published batches a reader takes up together.
@@ -94,28 +94,27 @@ class Follower:
         upto = max(b["last_seq"] for b in new)
         events = self.log.read_paths([b["path"] for b in new if b["rows"]], self.table_id, after=state["read_upto"])
         found = events.agg(
-            F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"),
-            F.coalesce(F.bool_or(F.col("type") != CHANGE), F.lit(False)).alias("marked"),
+            F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.count_if(F.col("type") == CHANGE).alias("changes"),
             F.max_by("table", F.when(F.col("table") != "", F.col("seq"))).alias("table"),
-            F.collect_set(bucket_of(state["buckets"])).alias("buckets"),  # at most `buckets` numbers
         ).first()
         if not found["n"]:
             return self.store.save({**state, "read_upto": upto})
-        touched = None if found["marked"] else sorted(found["buckets"])
+        marked = found["changes"] < found["n"]
         meta = local_table(self.spark, [tuple(state[f] for f in VIEW_META.fieldNames())], VIEW_META)
         with scratch_scope():
-            after = materialize(
-                events, self.store.rows(state, touched), meta, distinct=True, markers_expected=found["marked"]
-            )
-            changed = {"last_seq": found["last"]}
-            if found["marked"] or not state["columns"]:  # else only the position moves
-                changed = after.meta.filter(F.col("table_id") == self.table_id).first().asDict()
-            return self.store.save(
+            news = digest(events, meta, distinct=True, markers_expected=marked)
+            changed, touched = {"last_seq": found["last"]}, state.get("touched", [])
+            if marked or not state["columns"]:  # else only the position moves
+                changed = news.meta.filter(F.col("table_id") == self.table_id).first().asDict()
+            if news.touched is not None:  # one entry per column name
+                for row in news.touched.filter(F.col("table_id") == self.table_id).collect():
+                    touched = merge_touched(touched, row["touched"])
+            return self.store.take(
                 {
                     **state, **changed, "read_upto": upto, "received": state["received"] + found["n"],
                     "table": found["table"] or state["table"],
                 },
-                rows=after.rows, touched=touched,
+                news.last if found["changes"] else None, touched,
             )
 
     def _on_batch(self, batch: DataFrame, _: int) -> None:

@@ -1,7 +1,11 @@
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from rowtide.operators.positions import LogWasReset, PositionTooOld, check_position, position_status
+from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
 from rowtide.sources.viewstore import ViewStore
@@ -80,17 +84,78 @@ def test_applying_a_batch_twice(world):
     assert reader.apply(batches) == once
 
 
-def test_only_touched_buckets_are_rewritten(world):
+def parquet_files(store):
+    return {str(p) for p in Path(store.path).rglob("*.parquet")}
+
+
+def test_a_changed_row_is_one_small_file_and_a_marker_none(world):
     world.lake.append(world.table, world.spark.range(100, 200).select("id", F.lit("n").alias("v")))
     world.publish()
     reader = world.follower(buckets=8)
     reader.open(0)
-    before = reader.apply(world.log.batches().collect())["folders"]
+    before = reader.apply(world.log.batches().collect())
+    assert len(before["folders"]) == 8 and before["deltas"] == []
+    there = parquet_files(reader.store)
     world.lake.append(world.table, world.rows([(1000, "z")]))
     world.publish()
-    after = reader.apply(world.log.batches().collect())["folders"]
-    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
-    assert len(view_of(reader)) == 103
+    after = reader.apply(world.log.batches().collect())
+    assert after["folders"] == before["folders"] and len(after["deltas"]) == 1
+    added = parquet_files(reader.store) - there
+    assert len(added) == 1 and Path(added.pop()).stat().st_size < 10_000
+    there = parquet_files(reader.store)
+    world.lake.alter(world.table, T.StructType([*world.lake.state(world.table).schema.fields, T.StructField("w", T.IntegerType())]))
+    world.publish()
+    marked = reader.apply(world.log.batches().collect())
+    assert parquet_files(reader.store) == there and marked["columns"] == ["id", "v", "w"]
+    assert marked["touched"] == [{"name": "w", "removed_at": None, "touched_at": 104, "is_added": True}]
+    found = view_of(reader)
+    assert len(found) == 103 and found[1000] == {"id": "1000", "v": "z", "w": None} and found[1]["w"] is None
+
+
+CHANGED = "table_id long, rowid long, rowkey string, change_type string, row map<string,string>, seq long"
+
+
+def test_view_store_equals_a_dict_through_compactions(spark, folder):
+    """Many small deltas with updates, deletes and columns that come, go and come back, merged by size, then into
+    the base; after every step the rows equal those of a plain dictionary."""
+    r = random.Random(5)
+    store = ViewStore(spark, f"{folder}/view", buckets=3, compact_from=7_000, fan=3)
+    state, rows, touched, seq, seen, kept = store.save({"table_id": 1}), {}, {}, 0, [], {}
+    for step in range(20):
+        batch = {}
+        if step % 5 == 4:  # a marker alone
+            seq += 1
+            name, adds = f"c{r.randrange(3)}", r.random() < 0.5
+            touched[name] = {"name": name, "removed_at": touched.get(name, {}).get("removed_at") if adds else seq,
+                             "touched_at": seq, "is_added": adds}
+            for row, _ in rows.values():
+                row.setdefault(name, None) if adds else row.pop(name, None)
+        else:
+            for key in r.sample(range(40), r.randrange(1, 12)):
+                seq += 1
+                row = {"id": str(key), "v": str(seq), **{n: str(seq) for n, t in touched.items() if t["is_added"]}}
+                gone = r.random() < 0.3
+                batch[key] = (1, key, "", "delete" if gone else "insert", row, seq)
+                rows.pop(key, None) if gone else rows.__setitem__(key, (row, seq))
+        changes = spark.createDataFrame(list(batch.values()), CHANGED).coalesce(1) if batch else None
+        state = store.take({**state, "last_seq": seq}, changes, sorted(touched.values(), key=lambda t: t["name"]))
+        seen.append((len(state["deltas"]), len(state["folders"])))
+        if step % 4 == 3:
+            found = {x["rowid"]: (dict(x["row"]), x["seq"]) for x in store.rows(state).collect()}
+            assert found == rows
+        kept[step] = (state, {k: (dict(row), s) for k, (row, s) in rows.items()})
+    assert max(n for n, _ in seen) >= 2 and max(n for _, n in seen) == 3 and len({s["folders"]["0"] for s, _ in kept.values() if s["folders"]}) > 1
+    old, expected = kept[10]  # a version stays readable while newer ones are written
+    assert {x["rowid"]: (dict(x["row"]), x["seq"]) for x in store.rows(old).collect()} == expected
+
+
+def test_two_readers_on_one_store(world):
+    world.publish()
+    first, second = world.follower(), world.follower()
+    state = first.open(0)
+    first.store.save(state)
+    with pytest.raises(files.AlreadyThere):
+        second.store.save(state)
 
 
 def test_crash_between_rows_and_version(world, monkeypatch):
