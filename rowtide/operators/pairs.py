@@ -13,12 +13,12 @@ def halves(events: DataFrame) -> DataFrame:
     return events.filter((F.col("type") == CHANGE) & F.col("change_type").isin(UPDATE_PRE, UPDATE_POST))
 
 
-def pair_updates(events: DataFrame, lone: bool = False) -> DataFrame:
+def pair_updates(events: DataFrame) -> DataFrame:
     """The two halves of every update, in either order: ``table_id, snapshot_id, rowid, rowkey, before,
     after, first_seq, last_seq``.
 
     Copies of a half count once. Groups are reduced before the shuffle, so many copies of one half
-    stay harmless. With ``lone`` updates that miss a half are given too.
+    stay harmless.
     """
     pre, post = F.col("change_type") == UPDATE_PRE, F.col("change_type") == UPDATE_POST
     first_pre, first_post = F.min(F.when(pre, F.col("seq"))), F.min(F.when(post, F.col("seq")))
@@ -28,26 +28,7 @@ def pair_updates(events: DataFrame, lone: bool = False) -> DataFrame:
         F.least(first_pre, first_post).alias("first_seq"),
         F.greatest(first_pre, first_post).alias("last_seq"),
     )
-    return paired if lone else paired.filter(F.col("before").isNotNull() & F.col("after").isNotNull())
-
-
-def pair_with_pending(batch: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pair a batch of events together with halves left over from earlier batches.
-
-    Gives the complete updates and the halves to carry on (events again). Meant for logs that may
-    deliver the halves of one update in different batches. A half whose update is complete already
-    must have been removed as a copy before.
-    """
-    columns = ["seq", *PAIR, "type", "change_type", "row"]
-    both = with_rowkey(pending).select(*columns).unionByName(with_rowkey(halves(batch)).select(*columns))
-    paired = pair_updates(both, lone=True)
-    complete = F.col("before").isNotNull() & F.col("after").isNotNull()
-    waiting = paired.filter(~complete).select(
-        F.coalesce("first_seq", "last_seq").alias("seq"), *PAIR, F.lit(CHANGE).alias("type"),
-        F.when(F.col("before").isNotNull(), UPDATE_PRE).otherwise(UPDATE_POST).alias("change_type"),
-        F.coalesce("before", "after").alias("row"),
-    )
-    return paired.filter(complete), waiting
+    return paired.filter(F.col("before").isNotNull() & F.col("after").isNotNull())
 
 
 def typed_changes(events: DataFrame) -> DataFrame:

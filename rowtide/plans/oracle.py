@@ -448,6 +448,22 @@ FROM v2 JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 
 ORACLE["pair_stream_copies"] = _HALVES
 
+ORACLE["pair_stream_batches"] = """
+WITH halves AS (
+  SELECT event_id + 1 AS seq, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS snapshot_id, user_id AS rowid,
+    event_type = 'view' AS pre, event_type || ' ' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS payload,
+    event_id * 10 // (SELECT count(*) FROM events) AS batch
+  FROM events WHERE event_type IN ('view', 'click')),
+complete AS (
+  SELECT snapshot_id, rowid, greatest(min(batch) FILTER (WHERE pre), min(batch) FILTER (WHERE NOT pre)) AS batch
+  FROM halves GROUP BY snapshot_id, rowid HAVING bool_or(pre) AND bool_or(NOT pre)),
+grouped AS (
+  SELECT h.snapshot_id, h.rowid, max(payload) FILTER (WHERE pre) AS before, max(payload) FILTER (WHERE NOT pre) AS after,
+    min(seq) FILTER (WHERE pre) AS p, min(seq) FILTER (WHERE NOT pre) AS q
+  FROM halves h JOIN complete c ON h.snapshot_id = c.snapshot_id AND h.rowid = c.rowid AND h.batch <= c.batch
+  GROUP BY h.snapshot_id, h.rowid)
+SELECT snapshot_id, rowid, before, after, least(p, q) AS first_seq, greatest(p, q) AS last_seq FROM grouped"""
+
 ORACLE["feed_negative_ids"] = f"""
 WITH {_LOG} SELECT seq, CASE WHEN change_type LIKE 'update%' THEN 'update' ELSE change_type END AS kind, table_id,
   snapshot_id AS snapshot, rowid - 1000000 AS rowid FROM log ORDER BY seq DESC LIMIT 60"""

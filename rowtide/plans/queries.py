@@ -675,6 +675,18 @@ def pair_stream_copies(spark, sf):
     return sd.read_pairs(spark, path).select("snapshot_id", "rowid", "before", "after", "first_seq", "last_seq")
 
 
+@query
+def pair_stream_batches(spark, sf):
+    """Ten micro-batches in the order of the events; updates whose day is two days back are forgotten."""
+    events, inbox, path = w.table(spark, sf, "events"), scratch_dir(spark, "inbox"), scratch_dir(spark, "paired")
+    count = events.count()
+    for tenth in range(10):
+        events.filter(F.floor(F.col("event_id") * 10 / count) == tenth).coalesce(1).write.parquet(f"{inbox}/{tenth}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(inbox)
+    sd.pair_stream(w.halves_log(stream), path, wait="2 days").trigger(availableNow=True).start().awaitTermination()
+    return sd.read_pairs(spark, path).select("snapshot_id", "rowid", "before", "after", "first_seq", "last_seq")
+
+
 @query
 def feed_negative_ids(spark, sf):
     """Row ids below zero, as half of all hashed ones are."""

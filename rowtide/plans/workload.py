@@ -185,6 +185,7 @@ def halves_log(events: DataFrame) -> DataFrame:
     views = F.col("event_type") == "view"
     return events.filter(F.col("event_type").isin("view", "click")).select(
         (F.col("event_id") + 1).alias("seq"), F.lit(1).cast("long").alias("table_id"),
+        F.col("ts").cast("date").cast("timestamp").alias("snapshot_time"),
         F.unix_date(F.col("ts").cast("date")).cast("long").alias("snapshot_id"), F.col("user_id").alias("rowid"),
         F.lit(CHANGE).alias("type"), F.when(views, UPDATE_PRE).otherwise(UPDATE_POST).alias("change_type"),
         F.concat(F.col("event_type"), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("row"),

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 from pathlib import Path
 
@@ -332,3 +333,26 @@ def test_pairs_over_batches(spark, folder):
     found = sorted((r["rowid"], r["before"], r["after"], r["first_seq"], r["last_seq"]) for r in sd.read_pairs(spark, f"{folder}/out").collect())
     assert found == [(1, "preimage1", "postimage1", 1, 3), (2, "preimage2", "postimage2", 2, 5), (4, "preimage4", "postimage4", 6, 7)]
     assert [r["rowid"] for r in sd.lone_halves(spark, f"{folder}/out").collect()] == [3]
+
+
+def test_pairs_cost_what_their_batch_holds(spark, folder):
+    """Twelve batches of a day each: every update is given once, state is kept for the days that may still get halves,
+    and a batch touches the state of its own updates only."""
+    ddl = "seq long, table_id long, snapshot_id long, snapshot_time timestamp, rowid long, type string, change_type string, row string"
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    half = lambda n, rowid, kind: (10_000 * n + rowid, 1, n, day(n), rowid, "change", f"update_{kind}", f"{kind}{n}-{rowid}")
+    progress = []
+    for n in range(12):
+        rows = [half(n, i, "preimage") for i in range(20)] + [half(n, i, "postimage") for i in range(15)]
+        rows += [half(n - 1, i, "postimage") for i in range(15, 19)] if n else []  # a day late
+        rows += [half(n - 1, i, "postimage") for i in range(3)] if n else []  # copies
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(f"{folder}/in")
+        query = sd.pair_stream(spark.readStream.schema(ddl).json(f"{folder}/in"), f"{folder}/out", wait="2 days").trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress.append(query.recentProgress)
+    found = sd.read_pairs(spark, f"{folder}/out").groupBy("snapshot_id", "rowid").count().collect()
+    assert len(found) == 12 * 15 + 11 * 4 and all(r["count"] == 1 for r in found)
+    last = [p["stateOperators"][0] for p in progress[-1] if p["stateOperators"] and p["numInputRows"]][-1]
+    assert last["numRowsUpdated"] == 20 + 7 and last["numRowsTotal"] <= 4 * 20
+    lone = sorted((r["snapshot_id"], r["rowid"]) for r in sd.lone_halves(spark, f"{folder}/out").collect())
+    assert (11, 19) in lone and (10, 19) in lone and (1, 19) not in lone and len(lone) <= 5 + 3
