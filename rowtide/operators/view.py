@@ -160,6 +160,7 @@ class Materialized:
 
 def digest(
     events: DataFrame, saved_meta: DataFrame | None = None, distinct: bool = False, markers_expected: bool = True,
+    markers: DataFrame | None = None,
 ) -> Digest:
     """Reduce events to what a view needs of them; the view itself is not looked at.
 
@@ -167,15 +168,17 @@ def digest(
     other logs copies are removed first, so that an old event delivered again late cannot move the
     view back. Events after a drop count for nothing; the table is marked ended.
     A caller that knows the events to hold no marker says so with ``markers_expected``; one that
-    passes ``saved_meta`` passes a row for every table the events are about.
+    passes ``saved_meta`` passes a row for every table the events are about. ``markers`` are those of the events,
+    where the caller has them apart.
     """
-    markers = points = touched = shapes = deltas = None
+    points = touched = shapes = deltas = None
     if saved_meta is not None:  # a table that ended earlier takes no more events
         over = saved_meta.filter("ended").select("table_id", F.col("last_seq").alias("ended_seq"))
         points = None if over.isEmpty() else over
     if markers_expected:
         optional = [c for c in ("message_id", "schema_json", "retyped") if c in events.columns]
-        markers = events.filter(F.col("type") != CHANGE).select("table_id", "seq", "type", "columns", *optional)
+        markers = events.filter(F.col("type") != CHANGE) if markers is None else markers
+        markers = markers.select("table_id", "seq", "type", "columns", *optional)
         markers = written(markers if distinct else first_copies(markers), "markers")
         seen = markers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == TABLE_DROPPED).alias("drops")).first()
         markers = markers if seen["n"] else None

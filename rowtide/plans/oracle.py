@@ -172,6 +172,15 @@ WITH log AS (SELECT event_id + 1 AS seq, user_id AS table_id, CASE WHEN {_DROP}
 points AS (SELECT table_id, min(seq) AS ended FROM log WHERE type = 'table_dropped' GROUP BY table_id)
 SELECT seq, log.table_id, type FROM log LEFT JOIN points USING (table_id) WHERE ended IS NULL OR seq <= ended"""
 
+ORACLE["replay_to_drop"] = f"""
+WITH log AS (SELECT event_id + 1 AS seq, user_id % 20 AS table_id, {_DROP} AS is_drop FROM events),
+points AS (SELECT table_id, min(seq) AS ended FROM log WHERE is_drop GROUP BY table_id)
+SELECT seq, CASE WHEN is_drop THEN 'table_dropped' ELSE 'change' END AS type, log.table_id,
+  CASE WHEN NOT is_drop THEN 'insert' END AS change_type
+FROM log LEFT JOIN points USING (table_id) WHERE ended IS NULL OR seq <= ended"""
+ORACLE["marker_index"] = f"""
+SELECT event_id + 1 AS seq, 'table_dropped' AS type, user_id % 20 AS table_id FROM events WHERE {_DROP}"""
+
 _NAMES = """CASE WHEN event_type <> 'error' THEN list_filter(
     ['id', CASE WHEN value > 20 THEN 'amount' END, CASE WHEN event_type IN ('click', 'purchase') THEN 'priority' END],
     lambda x: x IS NOT NULL) END"""

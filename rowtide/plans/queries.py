@@ -194,6 +194,31 @@ def replay_from(spark, sf):
     return log.read(table_id=2, after=log.head() // 2).select("seq", "message_id", "snapshot_id", "rowid", "change_type")
 
 
+@_once
+def _ending(spark, sf) -> EventLog:
+    """A log of twenty tables, some of which are dropped, published in three batches."""
+    log = EventLog(spark, scratch_dir(spark, "ending")).create()
+    events = w.ending_log(spark, sf).select(
+        (F.col("table_id") % 20).alias("table_id"), F.col("seq").alias("snapshot_id"), F.col("seq").alias("rowid"), "type",
+        F.concat_ws("-", "type", "seq").alias("message_id"), F.when(F.col("type") == CHANGE, "insert").alias("change_type"))
+    top = events.agg(F.max("snapshot_id")).first()[0]
+    for low, high in ((0, top // 3), (top // 3, 2 * top // 3), (2 * top // 3, top)):
+        log.publish(events.filter((F.col("snapshot_id") > low) & (F.col("snapshot_id") <= high)), low + 1, high)
+    return log
+
+
+@query
+def replay_to_drop(spark, sf):
+    """Events of every table up to its drop, with the drops found in the side table of markers."""
+    return _ending(spark, sf).live().select("seq", "type", "table_id", "change_type")
+
+
+@query
+def marker_index(spark, sf):
+    """All markers of the log, from the side table."""
+    return _ending(spark, sf).markers().select("seq", "type", "table_id")
+
+
 @query
 def publish_again(spark, sf):
     """The whole log published a second time: nothing may be stored twice."""

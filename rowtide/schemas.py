@@ -31,6 +31,8 @@ BATCHES = T.StructType([
     T.StructField("first_seq", T.LongType()),
     T.StructField("last_seq", T.LongType()),
     T.StructField("rows", T.LongType()),
+    T.StructField("marked", T.BooleanType()),  # whether it holds markers, which then are in the side table too
+    T.StructField("tables", T.ArrayType(T.LongType())),  # those it has events of
     T.StructField("bytes", T.LongType()),  # of its files
     T.StructField("log_id", T.StringType()),
     T.StructField("published_at", T.TimestampType()),

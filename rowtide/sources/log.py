@@ -2,6 +2,10 @@
 
     <log>/batches/<ordinal>.json                      manifest: sequence and snapshot range, folder
     <log>/events/batch=<token>/table_id=<t>/*.parquet events
+    <log>/markers/batch=<token>/table_id=<t>/*.parquet the markers among them once more, for batches that have any
+
+A range of the log is read as a join with its manifests on the batch: Spark prunes the folders of all other batches
+at run time, and no list of paths passes through the driver. Whoever needs markers only reads the side table.
 
 A batch exists from the moment its manifest does. An attempt that dies earlier leaves a folder no
 manifest names, which no reader looks at. The newest manifest is the cursor of the capture: commits
@@ -11,16 +15,19 @@ up to its ``end_snapshot`` are in the log.
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.events import CHANGE, describe
 from rowtide.operators.dedup import first_copies, not_in_log
 from rowtide.operators.positions import log_bounds
 from rowtide.operators.sequence import assign_seq, union_log
+from rowtide.operators.view import drop_points, stop_at_drop
 from rowtide.schemas import BATCHES, EVENT, LOG, conform
 from rowtide.settings import check_path, local_table
 from rowtide.sources import files
 
+_STORED = T.StructType(LOG.fields + [T.StructField("batch", T.StringType())])
+
 
 class EventLog:
     """``rows_in_order`` makes the writer sort each commit to a table by row id too, at the price of
@@ -38,17 +45,22 @@ class EventLog:
     def events_path(self) -> str:
         return f"{self.path}/events"
 
+    @property
+    def markers_path(self) -> str:
+        return f"{self.path}/markers"
+
     # --- the list of batches ---
 
     def create(self, start_snapshot: int = 0) -> "EventLog":
         """Make the log if it is not there; a new one begins after ``start_snapshot``."""
         files.make_dir(self.batches_path)
         files.make_dir(self.events_path)
+        files.make_dir(self.markers_path)
         if not files.manifest_numbers(self.batches_path):
             self._put({
                 "ordinal": 1, "batch_id": start_snapshot, "path": None, "start_snapshot": start_snapshot,
                 "end_snapshot": start_snapshot, "first_seq": 1, "last_seq": 0, "rows": 0,
-                "log_id": uuid.uuid4().hex,
+                "marked": False, "tables": [], "log_id": uuid.uuid4().hex,
             })
         return self
 
@@ -84,13 +96,14 @@ class EventLog:
 
     def publish(
         self, events: DataFrame, start_snapshot: int | None = None, end_snapshot: int | None = None,
-        distinct: bool = False,
+        distinct: bool = False, marked: bool | None = None,
     ) -> dict:
         """Append one batch of events (schema ``EVENT``) in log order; give its manifest.
 
         Ids already in the log are not stored again, so a repeated publish changes nothing. The log
         is searched only in batches whose snapshots reach those of the new events. ``distinct`` says
-        the caller knows the ids to be new, as the capture does, and skips that search.
+        the caller knows the ids to be new, as the capture does, and skips that search; ``marked`` says
+        whether there are markers among them, where the caller knows.
         """
         last = self.newest()
         if not distinct:
@@ -117,6 +130,7 @@ class EventLog:
                 ).select(LOG.fieldNames()).write.mode("overwrite").partitionBy("table_id").parquet(
                     f"{self.events_path}/{path}"
                 )
+                marked = self._keep_markers(path, marked)
         finally:
             files.delete(stage)
         if start_snapshot is None:
@@ -124,25 +138,66 @@ class EventLog:
         return self._put({
             "ordinal": last["ordinal"] + 1, "batch_id": end_snapshot, "path": path,
             "start_snapshot": start_snapshot, "end_snapshot": end_snapshot, "first_seq": last["last_seq"] + 1,
-            "last_seq": last["last_seq"] + rows, "rows": rows, "log_id": last["log_id"],
+            "last_seq": last["last_seq"] + rows, "rows": rows, "marked": bool(marked and path),
+            "tables": self._tables_in(path), "log_id": last["log_id"],
         })
 
+    def _keep_markers(self, path: str, marked: bool | None) -> bool:
+        """Write the markers of a batch that is in place to the side table, if it has any."""
+        found = self.read_paths([path]).filter(F.col("type") != CHANGE)
+        if marked is None:
+            marked = not found.isEmpty()
+        if marked:  # one per commit of the batch at most
+            found.repartition(1).write.mode("overwrite").partitionBy("table_id").parquet(f"{self.markers_path}/{path}")
+        return marked
+
+    def _tables_in(self, path: str | None) -> list[int]:
+        names = files.subfolders(f"{self.events_path}/{path}") if path else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("table_id=") and n.split("=")[1].isdigit())
+
     # --- reading ---
 
     def read(
         self, table_id: int | None = None, after: int | None = None, upto: int | None = None,
         min_snapshot: int | None = None,
     ) -> DataFrame:
-        """Events after a position, of one table if given. Batches outside the range are not opened;
-        the table is a folder level, so those of other tables are not either."""
-        held = self.batches().filter(F.col("rows") > 0)
-        if after is not None:
-            held = held.filter(F.col("last_seq") > after)
-        if upto is not None:
-            held = held.filter(F.col("first_seq") <= upto)
-        if min_snapshot is not None:
-            held = held.filter(F.col("end_snapshot") >= min_snapshot)
-        return self.read_paths([r["path"] for r in held.select("path").collect()], table_id, after, upto, min_snapshot)
+        """Events after a position, of one table if given. Batches outside the range, or without the table, are not
+        opened: their folders are pruned by the join with the manifests. Not for a range that ``retain`` may remove
+        while it is read."""
+        return self._in_range(self.events_path, F.col("rows") > 0, table_id, after, upto, min_snapshot)
+
+    def markers(
+        self, table_id: int | None = None, after: int | None = None, upto: int | None = None,
+        min_snapshot: int | None = None,
+    ) -> DataFrame:
+        """Markers of the same range, from the side table: no file with changes is opened."""
+        return self._in_range(self.markers_path, F.col("marked"), table_id, after, upto, min_snapshot)
+
+    def live(self, table_id: int | None = None, after: int | None = None) -> DataFrame:
+        """Events after a position without those that follow a drop of their table. The drops come from the side
+        table, so the events are read once."""
+        return stop_at_drop(self.read(table_id, after), drop_points(self.markers(table_id)))
+
+    def _in_range(self, path: str, held: Column, table_id, after, upto, min_snapshot) -> DataFrame:
+        for value, test in (
+            (after, F.col("last_seq") > F.lit(after)), (upto, F.col("first_seq") <= F.lit(upto)),
+            (min_snapshot, F.col("end_snapshot") >= F.lit(min_snapshot)),
+            (table_id, F.array_contains("tables", F.lit(table_id).cast("long"))),
+        ):
+            if value is not None:
+                held = held & test
+        # The manifests are listed first: what they name is in place when the folders are listed.
+        batches = self.batches().filter(held).select(F.regexp_replace("path", "^batch=", "").alias("batch"))
+        stored = self.spark.read.schema(_STORED).option("basePath", path).parquet(path)
+        return _within(stored.join(batches, "batch").select(LOG.fieldNames()), table_id, after, upto, min_snapshot)
+
+    def markers_in(self, batches: list, table_id: int) -> DataFrame:
+        """Markers of one table in published batches."""
+        paths = [f"{self.markers_path}/{b['path']}" for b in batches if b["marked"]]
+        if not paths:
+            return local_table(self.spark, [], LOG)
+        found = self.spark.read.schema(_STORED).option("basePath", self.markers_path).parquet(*paths)
+        return _within(found.select(LOG.fieldNames()), table_id)
 
     def read_paths(
         self, paths: list[str], table_id: int | None = None, after: int | None = None, upto: int | None = None,
@@ -150,25 +205,14 @@ class EventLog:
     ) -> DataFrame:
         if not paths:
             return local_table(self.spark, [], LOG)
-        found = (
-            self.spark.read.schema(T.StructType(LOG.fields + [T.StructField("batch", T.StringType())]))
-            .option("basePath", self.events_path)
-            .parquet(*[f"{self.events_path}/{p}" for p in paths])
-            .select(LOG.fieldNames())
-        )
-        for value, test in (
-            (table_id, F.col("table_id") == F.lit(table_id)), (after, F.col("seq") > F.lit(after)),
-            (upto, F.col("seq") <= F.lit(upto)), (min_snapshot, F.col("snapshot_id") >= F.lit(min_snapshot)),
-        ):
-            if value is not None:
-                found = found.filter(test)
-        return found
+        found = self.spark.read.schema(_STORED).option("basePath", self.events_path).parquet(
+            *[f"{self.events_path}/{p}" for p in paths])
+        return _within(found.select(LOG.fieldNames()), table_id, after, upto, min_snapshot)
 
     def delivery(self, after: int | None = None) -> DataFrame:
         """``seq, table_id, snapshot_time, published_at`` of the changes, with the time their batch became
         visible: rows carry the time they were written, which is earlier."""
-        token = T.StructType(LOG.fields + [T.StructField("batch", T.StringType())])
-        rows = self.spark.read.schema(token).option("basePath", self.events_path).parquet(self.events_path)
+        rows = self.spark.read.schema(_STORED).option("basePath", self.events_path).parquet(self.events_path)
         rows = rows.filter((F.col("type") == CHANGE) & (F.col("seq") > F.lit(after or 0)))
         times = self.batches().filter("rows > 0").select(
             F.regexp_replace("path", "^batch=", "").alias("batch"), F.col("published_at").alias("visible_at"))
@@ -205,6 +249,7 @@ class EventLog:
             # Manifest first: a reader must never be sent to a folder that is gone.
             files.delete(files.manifest_path(self.batches_path, row["ordinal"]))
             if row["path"]:
+                files.delete(f"{self.markers_path}/{row['path']}")
                 files.delete(f"{self.events_path}/{row['path']}")
             kept_rows, kept_bytes = kept_rows - row["rows"], kept_bytes - (row["bytes"] or 0)
             removed += 1
@@ -215,6 +260,7 @@ class EventLog:
         named = {r["path"] for r in self.batches().select("path").collect()}
         stray = [f for f in files.subfolders(self.events_path) if f not in named]
         for name in stray:
+            files.delete(f"{self.markers_path}/{name}")
             files.delete(f"{self.events_path}/{name}")
         return len(stray)
 
@@ -229,5 +275,15 @@ class EventLog:
     def changes(self, **where) -> DataFrame:
         return self.read(**where).filter(F.col("type") == CHANGE)
 
-    def markers(self, **where) -> DataFrame:
-        return self.read(**where).filter(F.col("type") != CHANGE)
+
+def _within(
+    rows: DataFrame, table_id: int | None = None, after: int | None = None, upto: int | None = None,
+    min_snapshot: int | None = None,
+) -> DataFrame:
+    for value, test in (
+        (table_id, F.col("table_id") == F.lit(table_id)), (after, F.col("seq") > F.lit(after)),
+        (upto, F.col("seq") <= F.lit(upto)), (min_snapshot, F.col("snapshot_id") >= F.lit(min_snapshot)),
+    ):
+        if value is not None:
+            rows = rows.filter(test)
+    return rows

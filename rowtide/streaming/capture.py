@@ -154,8 +154,9 @@ class Capture:
         for start in range(0, len(snapshots), self.max_commits):
             span = snapshots[start:start + self.max_commits]
             chunk = [c for c in todo if span[0] <= c["snapshot_id"] <= span[-1]]
-            events = self.events_of(self._followed(chunk, span[0] - 1))
-            published += self.log.publish(events, span[0], span[-1], distinct=True)["rows"]
+            followed = self._followed(chunk, span[0] - 1)
+            marked = bool(boundary_markers(followed))
+            published += self.log.publish(self.events_of(followed), span[0], span[-1], distinct=True, marked=marked)["rows"]
         return published
 
     # --- the stream ---

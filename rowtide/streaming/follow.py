@@ -102,7 +102,8 @@ class Follower:
         marked = found["changes"] < found["n"]
         meta = local_table(self.spark, [tuple(state[f] for f in VIEW_META.fieldNames())], VIEW_META)
         with scratch_scope():
-            news = digest(events, meta, distinct=True, markers_expected=marked)
+            markers = self.log.markers_in(new, self.table_id).filter(F.col("seq") > state["read_upto"]) if marked else None
+            news = digest(events, meta, distinct=True, markers_expected=marked, markers=markers)
             changed, touched = {"last_seq": found["last"]}, state.get("touched", [])
             if marked or not state["columns"]:  # else only the position moves
                 changed = news.meta.filter(F.col("table_id") == self.table_id).first().asDict()

@@ -98,7 +98,8 @@ class Subscription:
         after, upto = state["position"], max(b["last_seq"] for b in new)
         events = self.log.read_paths([b["path"] for b in new if b["rows"]], self.table_id, after=after)
         # One marker per change of shape: bounded by the commits of a batch.
-        markers = events.filter(F.col("type") != CHANGE).select("seq", "type", "columns").orderBy("seq").collect()
+        markers = self.log.markers_in(new, self.table_id).filter(F.col("seq") > after).select(
+            "seq", "type", "columns").orderBy("seq").collect()
         changes = self.changes(events, after)
         # Which stretches between markers hold changes: one number per stretch.
         places = F.array(*[F.lit(m["seq"]).cast("long") for m in markers]).cast("array<long>")

@@ -316,4 +316,24 @@ def test_readers_touch_the_log_only(spark, lake, log):
     lake.create("t", frame(spark, [(1, "a")]), ["id"])
     log.create(0)
     Capture(lake, log).publish_commits(commits_of(lake))
-    assert all("/log/events/" in f for f in log.read(table_id=1).inputFiles())
+    read = log.read(table_id=1).inputFiles()
+    assert any("/log/events/" in f for f in read) and all("/log/events/" in f or "/log/batches/" in f for f in read)
+
+
+def test_pruned_by_the_manifests_and_markers_apart(spark, lake, log):
+    t = lake.create("t", frame(spark, [(1, "a")]), ["id"])
+    other = lake.create("u", frame(spark, [(1, "a")]), ["id"])
+    lake.append(t, frame(spark, [(2, "b")]))
+    lake.drop(other)
+    lake.append(t, frame(spark, [(3, "c")]))
+    log.create(0)
+    Capture(lake, log, max_commits=1).publish_commits(commits_of(lake))
+    assert [(r["marked"], r["tables"]) for r in log.batches().orderBy("ordinal").collect()] == [
+        (False, []), (False, [1]), (False, [2]), (False, [1]), (True, [2]), (False, [1])]
+    late = log.read(table_id=1, after=2)
+    assert "dynamicpruning" in late._jdf.queryExecution().toString().lower() and ids(log, table_id=1, after=2) == ["1-3-2-insert", "1-5-3-insert"]
+    # Files with changes are gone: markers do not need them.
+    for path in [r["path"] for r in log.batches().filter("rows > 0").collect()]:
+        files.delete(f"{log.events_path}/{path}")
+    assert [(r["type"], r["table_id"], r["snapshot_id"]) for r in log.markers().collect()] == [("table_dropped", 2, 4)]
+    assert log.markers(table_id=1).count() == 0
