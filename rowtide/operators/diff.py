@@ -6,7 +6,7 @@ from rowtide.functions.events import DELETE, INSERT, UPDATE_POST, UPDATE_PRE
 
 ROWID = "rowid"
 ROWKEY = "rowkey"  # the key itself, as JSON, where the row id is a hash of it; else empty
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def with_rowid(df: DataFrame, key: list[str], keep: list[str] = (), columns: list[str] | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def with_rowid(df: DataFrame, key: list[str], keep: list[str] = (), columns: lis
     mistaken for one of ours. One integral key column is the row id; other keys are hashed, and go along
     as JSON in ``rowkey``: rows are told apart by both, so keys that share a hash stay two rows."""
     columns = columns or [c for c in df.columns if c not in keep]
-    single = len(key) == 1 and isinstance(df.schema[key[0]].dataType, _INTEGRAL)
+    single = len(key) == 1 and isinstance(df.schema[key[0]].dataType, INTEGRAL)
     rowid = F.col(f"`{key[0]}`").cast("long") if single else F.xxhash64(*[F.col(f"`{c}`") for c in key])
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in key]), {"ignoreNullFields": "false"})
     rowkey = F.lit("") if single else text
@@ -53,18 +53,43 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keep: list[str] = ()) -> DataF
     """Rows of ``old`` and ``new`` (``keep…, rowid, rowkey, row``) compared by ``keep``, row id and key.
 
     Gives ``keep…, rowid, rowkey, change_type, row``: an insert, a delete, or the two halves of an update;
-    equal rows vanish. Comparison is null-safe and takes NaN as equal to NaN.
+    equal rows vanish. Comparison is null-safe, takes NaN as equal to NaN, and maps as equal that have equal entries.
     """
     by = [*keep, ROWID, ROWKEY]
     left = require_unique(old, by).select(*by, F.col("row").alias("_old"))
     right = require_unique(new, by).select(*by, F.col("row").alias("_new"))
     joined = left.join(right, by, "full_outer")
-    return joined.select(*by, F.explode(_changes()).alias("_c")).select(
+    changes = _changes(old.schema["row"].dataType, new.schema["row"].dataType)
+    return joined.select(*by, F.explode(changes).alias("_c")).select(
         *by, F.col("_c.change_type"), F.col("_c.row")
     )
 
 
-def _changes() -> Column:
+def comparable(value: Column, dtype: T.DataType) -> Column:
+    """A value in a form that can be compared: maps, which have no order, as their entries sorted by key, at any
+    depth. Other values are taken as they are. Only used to compare; rows keep their own form."""
+    if not _has_map(dtype):
+        return value
+    if isinstance(dtype, T.StructType):
+        fields = [comparable(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: comparable(item, dtype.elementType))
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(value)
+    entry = lambda e: F.struct(e.getField("key").alias("key"), comparable(e.getField("value"), dtype.valueType).alias("value"))
+    return F.array_sort(F.transform(F.map_entries(value), entry))
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    return isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def _changes(old: T.DataType, new: T.DataType) -> Column:
     def change(kind: str, side: str) -> Column:
         return F.struct(F.lit(kind).alias("change_type"), F.col(side).alias("row"))
 
@@ -72,7 +97,7 @@ def _changes() -> Column:
         F.when(F.col("_old").isNull(), F.array(change(INSERT, "_new")))
         .when(F.col("_new").isNull(), F.array(change(DELETE, "_old")))
         .when(
-            ~F.col("_old").eqNullSafe(F.col("_new")),
+            ~comparable(F.col("_old"), old).eqNullSafe(comparable(F.col("_new"), new)),
             F.array(change(UPDATE_PRE, "_old"), change(UPDATE_POST, "_new")),
         )
     )

@@ -308,12 +308,36 @@ def typed_view(rows: DataFrame, schema: T.StructType) -> DataFrame:
     def typed(field: T.StructField) -> Column:
         value = F.col("row")[field.name]
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            return F.from_json(value, field.dataType)
+            return _with_keys(F.from_json(value, _text_keys(field.dataType)), field.dataType)
+        if isinstance(field.dataType, T.BinaryType):
+            return F.unbase64(value)
         return value.cast(field.dataType)
 
     return rows.select("rowid", *[typed(f).alias(f.name) for f in schema.fields])
 
 
+def _text_keys(dtype: T.DataType) -> T.DataType:
+    """The type as JSON holds it: maps have texts as keys."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _text_keys(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_text_keys(dtype.elementType))
+    return T.MapType(T.StringType(), _text_keys(dtype.valueType)) if isinstance(dtype, T.MapType) else dtype
+
+
+def _with_keys(value: Column, dtype: T.DataType) -> Column:
+    """A value read with ``_text_keys`` in its own type."""
+    if _text_keys(dtype).simpleString() == dtype.simpleString():
+        return value
+    if isinstance(dtype, T.StructType):
+        fields = [_with_keys(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: _with_keys(item, dtype.elementType))
+    entry = lambda e: F.struct(e.getField("key").cast(dtype.keyType).alias("key"), _with_keys(e.getField("value"), dtype.valueType).alias("value"))
+    return F.map_from_entries(F.transform(F.map_entries(value), entry))
+
+
 def last_table_name(events: DataFrame) -> DataFrame:
     """Latest name seen that is not empty, per table id."""
     named = F.when(F.col("table") != "", F.col("seq"))

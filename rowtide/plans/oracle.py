@@ -507,3 +507,16 @@ ORACLE["follow_many_shapes"] = """
 SELECT c_custkey AS rowid, 'c_acctbal,c_custkey,c_name,x11,x19,x3,x5' AS columns, c_name AS name,
   CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 3 END AS x3, CAST(NULL AS BIGINT) AS x5,
   CASE WHEN c_custkey % 3 = 2 THEN c_custkey * 11 END AS x11, CAST(NULL AS BIGINT) AS x19 FROM customer"""
+
+ORACLE["diff_nested"] = """
+SELECT DISTINCT conv_id AS rowid, k AS change_type, CASE WHEN k = 'update_postimage' THEN CAST(conv_id AS BIGINT) END AS extra
+FROM conversations, (VALUES ('update_preimage'), ('update_postimage')) v(k) WHERE conv_id % 3 = 0"""
+
+ORACLE["follow_typed"] = """
+WITH roles AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL
+  UNION ALL SELECT DISTINCT conv_id, 'extra', conv_id FROM conversations WHERE conv_id % 3 = 0),
+maps AS (SELECT conv_id, string_agg(role || '=' || n, ',' ORDER BY role) AS by_role FROM roles GROUP BY conv_id),
+said AS (SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns, arg_min(text, turn) AS text
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id, hex(encode(left(text, 40))) AS payload, hex(encode(CAST(conv_id AS VARCHAR))) AS raw,
+  CAST(CAST(conv_id / 8 AS DECIMAL(20, 3)) AS DOUBLE) AS price, turns, by_role FROM said JOIN maps USING (conv_id)"""

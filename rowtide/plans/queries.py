@@ -794,6 +794,31 @@ def reader_restarts(spark, sf):
     return local_table(spark, steps, "step string, last_seq long, received long, rows long")
 
 
+@query
+def diff_nested(spark, sf):
+    """Changes between two versions of rows with maps, structs and arrays of structs."""
+    old, new = w.nested_versions(spark, sf)
+    return diff_tables(old, new, ["conv_id"]).select("rowid", "change_type", F.col("row.by_role")["extra"].alias("extra"))
+
+
+@query
+def follow_typed(spark, sf):
+    """A table with binary, map, struct, array and decimal columns, captured, followed and read with its types."""
+    old, new = w.nested_versions(spark, sf)
+    lake, log = Lake(spark, scratch_dir(spark, "lake")), EventLog(spark, scratch_dir(spark, "log"))
+    table = lake.create("conversations", old, ["conv_id"])
+    lake.replace(table, new)
+    Capture(lake, log).run_available(scratch_dir(spark, "checkpoint"), "earliest")
+    reader = Follower(log, table, ViewStore(spark, scratch_dir(spark, "view")))
+    reader.run_available(scratch_dir(spark, "checkpoint"), start_after=0)
+    rows = view.typed_view(reader.rows(), lake.state(table).schema)
+    text = lambda array, part: F.array_join(F.transform(F.array_sort(array), part), ",")
+    return rows.select(
+        "conv_id", F.hex("payload").alias("payload"), F.hex("head.raw").alias("raw"), F.col("price").cast("double").alias("price"),
+        text("turns", lambda t: F.concat_ws(":", t["turn"], t["role"])).alias("turns"),
+        text(F.map_entries("by_role"), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("by_role"))
+
+
 @query
 def follow_many_shapes(spark, sf):
     """A view of customer through two dozen changes of shape in five batches: columns come, go, and one comes back."""

@@ -190,3 +190,23 @@ def halves_log(events: DataFrame) -> DataFrame:
         F.lit(CHANGE).alias("type"), F.when(views, UPDATE_PRE).otherwise(UPDATE_POST).alias("change_type"),
         F.concat(F.col("event_type"), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("row"),
     )
+
+
+def nested_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as one nested row each, and again: maps with their entries the other way round, and one entry
+    more in a third of them."""
+    said = table(spark, sf, "conversations")
+    roles = said.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    entries = roles.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("role", "n"))).alias("entries"))
+    rows = said.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"), F.min_by("text", "turn").alias("text")).join(entries, "conv_id")
+
+    def shaped(pairs):
+        return rows.select(
+            "conv_id", "turns", F.map_from_entries(pairs).alias("by_role"), F.encode(F.left("text", F.lit(40)), "UTF-8").alias("payload"),
+            F.struct(F.lit("v").alias("kind"), F.encode(F.col("conv_id").cast("string"), "UTF-8").alias("raw")).alias("head"),
+            (F.col("conv_id") / 8).cast("decimal(20,3)").alias("price"))
+
+    more = F.when(F.col("conv_id") % 3 == 0, F.array(F.struct(F.lit("extra").alias("role"), F.col("conv_id").cast("long").alias("n"))))
+    none = F.filter("entries", lambda _: F.lit(False))
+    return shaped(F.col("entries")), shaped(F.reverse(F.concat("entries", F.coalesce(more, none))))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowtide.operators.diff import duplicate_keys
+from rowtide.operators.diff import INTEGRAL, duplicate_keys
 from rowtide.schemas import COMMITS
 from rowtide.settings import check_path, local_table
 from rowtide.sources import files
@@ -77,10 +77,33 @@ def with_column_ids(schema: T.StructType, known: T.StructType | None = None, ren
         else:
             top += 1
             number = top
-        fields.append(T.StructField(f.name, f.dataType, True, {_ID: number}))
+        fields.append(T.StructField(f.name, widened(f.dataType), True, {_ID: number}))
     return T.StructType(fields)
 
 
+def widened(dtype: T.DataType) -> T.DataType:
+    """The type with nulls allowed at every depth, as stored rows are read."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, widened(f.dataType), True, f.metadata) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(widened(dtype.elementType), True)
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, widened(dtype.valueType), True)
+    return dtype
+
+
+def _renamed_key(state: "TableState", shape: T.StructType) -> list[str]:
+    """Names that the key columns of a table have in a new shape."""
+    names = {f.metadata[_ID]: f.name for f in shape.fields}
+    kept = [names.get(state.schema[k].metadata[_ID]) for k in state.key]
+    for old, new in zip(state.key, kept):
+        if new is None:
+            raise ValueError(f"{state.table}: {old} is part of the key and cannot be dropped")
+        if new != old and not (len(kept) == 1 and isinstance(state.schema[old].dataType, INTEGRAL)):
+            raise ValueError(f"{state.table}: {old} is part of a key that cannot be renamed")
+    return kept
+
+
 def shape_of(schema_json: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(schema_json))
 
@@ -336,17 +359,19 @@ class Lake:
     def altering(self, table_id: int, schema: T.StructType, renames: dict[str, str] | None = None,
                  df: DataFrame | None = None) -> TableChange:
         """Change of shape, with new contents if ``df`` is given. A changed type needs ``df``
-        unless Parquet can widen the stored one."""
+        unless Parquet can widen the stored one. Key columns stay; the only column of an integer key may be renamed,
+        others not, as their names are part of what identifies a row in the log."""
         state = self._live(table_id)
         highest = self._highest_column_id(table_id)
         shape = with_column_ids(schema, state.schema, renames, highest)
+        key = _renamed_key(state, shape)
         if df is None:
             stored = {f.metadata[_ID]: f.dataType for f in state.schema.fields}
             for f in shape.fields:
                 old = stored.get(f.metadata[_ID], f.dataType)
                 if old != f.dataType and (type(old), type(f.dataType)) not in _WIDENINGS:
                     raise ValueError(f"{f.name}: {old.simpleString()} to {f.dataType.simpleString()} needs new contents")
-        return TableChange(table_id, state.table, "alter", shape, state.key, add=df,
+        return TableChange(table_id, state.table, "alter", shape, key, add=df,
                            remove=state.parts if df is not None else [], previous=state.schema)
 
     def _highest_column_id(self, table_id: int) -> int:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from rowtide.functions.events import decode_row
-from rowtide.operators.view import materialize
+from rowtide.operators.view import materialize, typed_view
 from rowtide.sources import files
 from rowtide.sources.lake import DuplicateKey, Lake, NoSuchTable
 from rowtide.sources.log import EventLog
@@ -337,3 +337,36 @@ def test_pruned_by_the_manifests_and_markers_apart(spark, lake, log):
         files.delete(f"{log.events_path}/{path}")
     assert [(r["type"], r["table_id"], r["snapshot_id"]) for r in log.markers().collect()] == [("table_dropped", 2, 4)]
     assert log.markers(table_id=1).count() == 0
+
+
+def test_key_columns_by_id(spark, lake, log, folder):
+    t = lake.create("t", frame(spark, [(1, "a"), (2, "b")]), ["id"])
+    id_, v = lake.state(t).schema.fields
+    lake.alter(t, T.StructType([T.StructField("k", T.LongType()), v]), renames={"k": "id"})
+    assert lake.state(t).key == ["k"]
+    lake.append(t, spark.createDataFrame([(3, "c")], "k long, v string"))
+    with pytest.raises(DuplicateKey):
+        lake.append(t, spark.createDataFrame([(1, "c")], "k long, v string"))
+    with pytest.raises(ValueError, match="cannot be dropped"):
+        lake.alter(t, T.StructType([v]))
+    pair = lake.create("u", frame(spark, [(1, "a")]), ["id", "v"])
+    with pytest.raises(ValueError, match="cannot be renamed"):
+        lake.alter(pair, T.StructType([T.StructField("k", T.LongType()), v]), renames={"k": "id"})
+    log.create(0)
+    Capture(lake, log).publish_commits(commits_of(lake))
+    assert sorted(r["rowid"] for r in log.changes(table_id=t).collect()) == [1, 2, 3]
+
+
+def test_types_that_cannot_be_compared(spark, lake, log):
+    """Maps, a struct with a field that is never null, nested binary values: equal rows give nothing."""
+    make = lambda m: spark.sql(f"SELECT CAST(id AS LONG) AS id, {m} AS m, array(named_struct('a', X'00ff', 't', TIMESTAMP '2026-01-02 03:04:05')) AS s, X'01fe' AS b FROM range(3)")
+    t = lake.create("t", make("map('x', map(1, 2), 'y', map(3, 4))"), ["id"])
+    lake.replace(t, make("map('y', map(3, 4), 'x', if(id = 1, map(1, 5), map(1, 2)))"))
+    lake.alter(t, T.StructType([*lake.state(t).schema.fields, T.StructField("w", T.MapType(T.StringType(), T.StringType()))]))
+    log.create(0)
+    Capture(lake, log).publish_commits(commits_of(lake))
+    assert [r["rowid"] for r in log.changes(min_snapshot=2).filter("snapshot_id = 2").orderBy("seq").collect()] == [1, 1]
+    rows = {r["id"]: r for r in typed_view(materialize(log.read(), distinct=True).rows, lake.state(t).schema).collect()}
+    assert rows[1]["m"] == {"y": {3: 4}, "x": {1: 5}} and rows[0]["m"] == {"y": {3: 4}, "x": {1: 2}} and rows[0]["w"] is None
+    assert bytes(rows[0]["b"]) == b"\x01\xfe" and bytes(rows[0]["s"][0]["a"]) == b"\x00\xff"
+    assert rows[0]["s"][0]["t"] == dt.datetime(2026, 1, 2, 3, 4, 5)
