@@ -520,3 +520,36 @@ said AS (SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS t
   FROM conversations GROUP BY conv_id)
 SELECT conv_id, hex(encode(left(text, 40))) AS payload, hex(encode(CAST(conv_id AS VARCHAR))) AS raw,
   CAST(CAST(conv_id / 8 AS DECIMAL(20, 3)) AS DOUBLE) AS price, turns, by_role FROM said JOIN maps USING (conv_id)"""
+
+ORACLE["bootstrap_positions"] = f"""
+WITH {_CAPTURED}
+SELECT CAST(s AS VARCHAR) AS starting, count(*) AS events, CAST(min(snapshot_id) AS BIGINT) AS first_snapshot
+FROM captured JOIN (VALUES (2), (5)) v(s) ON snapshot_id > s GROUP BY s
+UNION ALL SELECT 'latest', 0, NULL UNION ALL SELECT 'later', count(*), 2 FROM region"""
+
+ORACLE["capture_after_failure"] = f"""
+WITH {_CAPTURED} SELECT message_id, type, CAST(table_id AS BIGINT) AS table_id, CAST(snapshot_id AS BIGINT) AS snapshot_id, TRUE AS died
+FROM identified"""
+ORACLE["rebuilt_log"] = f"""
+WITH {_CAPTURED} SELECT message_id, type, CAST(table_id AS BIGINT) AS table_id, CAST(snapshot_id AS BIGINT) AS snapshot_id FROM identified"""
+
+ORACLE["reset_readers"] = """
+WITH head AS (SELECT max(event_id) + 1 AS l FROM events),
+readers AS (SELECT user_id, max(event_id) + 1 + max(event_id) % 50 * 10 AS last_seq FROM events GROUP BY user_id)
+SELECT user_id, last_seq, CASE WHEN last_seq + 1 < l // 2 THEN 'too_old' WHEN last_seq > l THEN 'log_was_reset' ELSE 'resume' END AS state
+FROM readers, head"""
+
+ORACLE["cleaned_history"] = """
+SELECT CAST(i AS BIGINT) AS cursor, CASE WHEN i < 3 THEN 'removed' ELSE 'resume' END AS state, CAST(CASE WHEN i >= 3 THEN i END AS BIGINT) AS reads_after
+FROM (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region)"""
+
+ORACLE["capture_latency"] = f"""
+WITH {_CAPTURED} SELECT CAST(table_id AS BIGINT) AS table_id, count(*) AS events, count(*) AS not_early, TRUE AS ascending
+FROM captured WHERE type = 'change' GROUP BY table_id"""
+
+ORACLE["log_size"] = """
+WITH n AS (SELECT max(event_id) + 1 AS top, count(*) AS rows FROM events),
+b AS (SELECT CASE WHEN event_id + 1 <= top // 3 THEN 1 WHEN event_id + 1 <= 2 * top // 3 THEN 2 ELSE 3 END AS batch, count(*) AS k FROM events, n GROUP BY 1),
+s AS (SELECT batch, k, sum(k) OVER (ORDER BY batch DESC) AS kept FROM b)
+SELECT 'whole' AS part, 3 AS batches, sum(k) AS rows, TRUE AS has_bytes FROM b
+UNION ALL SELECT 'kept', count(*), sum(k), TRUE FROM s, n WHERE kept <= rows // 2 OR batch = 3"""

@@ -15,12 +15,14 @@ from rowtide.operators.diff import diff_tables, duplicate_keys as repeated_keys,
 from rowtide.operators.sequence import assign_seq, look_along, union_log
 from rowtide.plans import workload as w
 from rowtide.settings import local_table, scratch_dir
+from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
+from rowtide.sources.manifests import HistoryRemoved
 from rowtide.sources.sql import register_views, run_sql
 from rowtide.sources.viewstore import ViewStore
 from rowtide.streaming import dedup as sd
-from rowtide.streaming.capture import Capture
+from rowtide.streaming.capture import Capture, rebuild_log
 from rowtide.streaming.follow import Follower
 from rowtide.streaming.subscribe import Subscription, activity_feed as newest_entries
 
@@ -794,6 +796,111 @@ def reader_restarts(spark, sf):
     return local_table(spark, steps, "step string, last_seq long, received long, rows long")
 
 
+@query
+def bootstrap_positions(spark, sf):
+    """How many events captures find that start at a snapshot, at the beginning, and at the end before one more commit."""
+    lake, found = _lake(spark, sf), []
+
+    def step(name, log):
+        seen = log.read().agg(_n().alias("n"), F.min("snapshot_id").alias("first")).first()
+        found.append((name, seen["n"], seen["first"]))
+
+    for start in (2, 5):
+        log = EventLog(spark, scratch_dir(spark, "log"))
+        Capture(lake, log).run_available(scratch_dir(spark, "checkpoint"), start)
+        step(str(start), log)
+    lake, log, checkpoint = Lake(spark, scratch_dir(spark, "lake")), EventLog(spark, scratch_dir(spark, "log")), scratch_dir(spark, "checkpoint")
+    lake.create("nation", w.table(spark, sf, "nation"), ["n_nationkey"])
+    Capture(lake, log).run_available(checkpoint, "latest")
+    step("latest", log)
+    lake.create("region", w.table(spark, sf, "region"), ["r_regionkey"])
+    Capture(lake, log).run_available(checkpoint)
+    step("later", log)
+    return local_table(spark, found, "starting string, events long, first_snapshot long")
+
+
+class _FailsOnce(EventLog):
+    """Dies when the rows of a batch are written and its manifest is not."""
+
+    def _put(self, manifest: dict) -> dict:
+        if manifest["ordinal"] == 4:
+            raise RuntimeError("the writer died")
+        return super()._put(manifest)
+
+
+@query
+def capture_after_failure(spark, sf):
+    """A capture that dies in its third batch, and another one that goes on without its checkpoint: every event once."""
+    lake, path = _lake(spark, sf), scratch_dir(spark, "log")
+    died = False
+    try:
+        Capture(lake, _FailsOnce(spark, path).create(), max_commits=2).publish_commits(lake.commits().collect())
+    except RuntimeError:
+        died = True
+    log = EventLog(spark, path)
+    Capture(lake, log).run_available(scratch_dir(spark, "checkpoint"), "earliest")
+    return log.read().select("message_id", "type", "table_id", "snapshot_id", F.lit(died).alias("died"))
+
+
+@query
+def rebuilt_log(spark, sf):
+    """The log made again from the history of the tables."""
+    log = rebuild_log(_lake(spark, sf), scratch_dir(spark, "rebuilt"), scratch_dir(spark, "checkpoint"))
+    return log.read().select("message_id", "type", "table_id", "snapshot_id")
+
+
+@query
+def reset_readers(spark, sf):
+    """Readers whose positions lie before, within and past the end of the log."""
+    events = w.table(spark, sf, "events")
+    head = events.agg(F.max("event_id")).first()[0] + 1
+    readers = events.groupBy("user_id").agg((F.max("event_id") + 1 + F.max("event_id") % 50 * 10).alias("last_seq"))
+    return positions.position_status(readers, head // 2, head).withColumnRenamed("position_status", "state")
+
+
+@query
+def cleaned_history(spark, sf):
+    """Which cursors a capture can go on from when the first three of the commits, one per region, are gone."""
+    lake, regions = Lake(spark, scratch_dir(spark, "lake")), w.table(spark, sf, "region")
+    keys = sorted(r[0] for r in regions.select("r_regionkey").collect())  # one per commit
+    table = lake.create("region", regions.filter(F.col("r_regionkey") == keys[0]), ["r_regionkey"])
+    for key in keys[1:]:
+        lake.append(table, regions.filter(F.col("r_regionkey") == key))
+    for number in (1, 2, 3):
+        files.delete(files.manifest_path(lake.commits_path, number))
+    found = []
+    for cursor in range(len(keys)):
+        capture = Capture(lake, EventLog(spark, scratch_dir(spark, "log")).create(cursor))
+        try:
+            found.append((cursor, "resume", capture.open()))
+        except HistoryRemoved:
+            found.append((cursor, "removed", None))
+    return local_table(spark, found, "cursor long, state string, reads_after long")
+
+
+@query
+def capture_latency(spark, sf):
+    """Times from commit to the moment the batch became visible, by the log's own clock: all are known, none is negative,
+    and the percentiles ascend."""
+    log = _captured(spark, sf)
+    delivered = log.delivery()
+    at = [r["value"] for r in metrics.delivery_latency(delivered.withColumn("type", F.lit(CHANGE)), [0.5, 0.9, 0.99]).orderBy("fraction").collect()]
+    return delivered.groupBy("table_id").agg(
+        _n().alias("events"), F.count_if(F.col("published_at") >= F.col("snapshot_time")).alias("not_early"),
+    ).withColumn("ascending", F.lit(at == sorted(at) and at[0] > 0))
+
+
+@query
+def log_size(spark, sf):
+    """Size of a log from its manifests, and what retention by rows leaves of it."""
+    log = _published(spark, sf)
+    whole = log.size().select(F.lit("whole").alias("part"), "batches", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+    before = whole.collect()
+    log.retain(max_rows=before[0]["rows"] // 2)
+    kept = log.size().select(F.lit("kept").alias("part"), "batches", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+    return local_table(spark, [tuple(r) for r in before + kept.collect()], "part string, batches long, rows long, has_bytes boolean")
+
+
 @query
 def diff_nested(spark, sf):
     """Changes between two versions of rows with maps, structs and arrays of structs."""
