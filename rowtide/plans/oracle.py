@@ -139,6 +139,11 @@ WHERE table_id = 2 AND seq > (SELECT count(*) // 2 FROM events)"""
 ORACLE["publish_again"] = f"""
 WITH {_LOG} SELECT table_id, count(*) AS events, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY table_id"""
 
+ORACLE["publish_late_copies"] = f"""
+WITH {_LOG}, new AS (SELECT table_id FROM log WHERE snapshot_id % 5 = 0)
+SELECT table_id, count(*) + (SELECT count(*) FROM new n WHERE n.table_id = log.table_id) AS events,
+  count(*) + (SELECT count(*) FROM new n WHERE n.table_id = log.table_id) AS ids, min(seq) AS first_seq FROM log GROUP BY table_id"""
+
 ORACLE["log_bounds"] = f"WITH {_LOG} SELECT min(seq) AS first_seq, max(seq) AS last_seq FROM log"
 
 ORACLE["retained_bounds"] = f"""

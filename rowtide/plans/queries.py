@@ -232,6 +232,20 @@ def publish_again(spark, sf):
         _n().alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+@query
+def publish_late_copies(spark, sf):
+    """Copies of every seventh event of the first batch, published late with new events: only the new ones are stored."""
+    log = _published.__wrapped__(spark, sf)  # a log of its own, as it is changed here
+    events = w.event_log(spark, sf).drop("seq")
+    top = events.agg(F.max("snapshot_id")).first()[0]
+    late = events.filter((F.col("snapshot_id") <= top // 3) & (F.col("snapshot_id") % 7 == 0))
+    new = events.filter(F.col("snapshot_id") % 5 == 0).withColumn("snapshot_id", F.col("snapshot_id") + top).withColumn(
+        "message_id", F.concat_ws("-", F.lit("new"), "message_id"))
+    log.publish(late.unionByName(new))
+    return log.read().groupBy("table_id").agg(
+        _n().alias("events"), F.countDistinct("message_id").alias("ids"), F.min("seq").alias("first_seq"))
+
+
 @query
 def log_bounds(spark, sf):
     return _published(spark, sf).bounds()
@@ -893,7 +907,7 @@ def capture_latency(spark, sf):
 @query
 def log_size(spark, sf):
     """Size of a log from its manifests, and what retention by rows leaves of it."""
-    log = _published(spark, sf)
+    log = _published.__wrapped__(spark, sf)  # a log of its own, as it is changed here
     whole = log.size().select(F.lit("whole").alias("part"), "batches", "rows", (F.col("bytes") > 0).alias("has_bytes"))
     before = whole.collect()
     log.retain(max_rows=before[0]["rows"] // 2)

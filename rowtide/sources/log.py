@@ -25,6 +25,7 @@ from rowtide.operators.view import drop_points, stop_at_drop
 from rowtide.schemas import BATCHES, EVENT, LOG, conform
 from rowtide.settings import check_path, local_table
 from rowtide.sources import files
+from rowtide.sources.idfilter import IdFilters
 
 _STORED = T.StructType(LOG.fields + [T.StructField("batch", T.StringType())])
 
@@ -101,7 +102,8 @@ class EventLog:
         """Append one batch of events (schema ``EVENT``) in log order; give its manifest.
 
         Ids already in the log are not stored again, so a repeated publish changes nothing. The log
-        is searched only in batches whose snapshots reach those of the new events. ``distinct`` says
+        is searched only in batches whose snapshots reach those of the new events and whose id filter may hold
+        one of their ids. ``distinct`` says
         the caller knows the ids to be new, as the capture does, and skips that search; ``marked`` says
         whether there are markers among them, where the caller knows.
         """
@@ -112,7 +114,7 @@ class EventLog:
             payload = F.struct(*[F.col(f"`{c}`") for c in events.columns if c != "message_id"])
             events = first_copies(events.withColumn("_at", payload), order="_at").drop("_at")
             if low is not None:
-                events = not_in_log(events, self.read(min_snapshot=low))
+                events = not_in_log(events, self._holding(events, low))
         token = f"{last['ordinal'] + 1:012d}-{uuid.uuid4().hex}"
         stage = f"{self.path}/staging/{token}"
         try:
@@ -142,6 +144,17 @@ class EventLog:
             "tables": self._tables_in(path), "log_id": last["log_id"],
         })
 
+    def _holding(self, events: DataFrame, min_snapshot: int) -> DataFrame:
+        """``batch, message_id`` of the batches that may hold an id of the events."""
+        named = F.regexp_replace("path", "^batch=", "").alias("batch")
+        batches = self.batches().filter((F.col("rows") > 0) & (F.col("end_snapshot") >= F.lit(min_snapshot))).select(named, "rows")
+        stored = self.spark.read.schema(_STORED).option("basePath", self.events_path).parquet(self.events_path).select("batch", "message_id")
+        filters = IdFilters(self.spark, f"{self.path}/ids")
+        filters.build(batches, stored)
+        found = filters.holding(events.select("message_id"), batches)
+        # What is found is a small table on disk, so it is broadcast, and the comparison makes it a filter that prunes folders.
+        return stored.join(found.filter(F.length("batch") > 0), "batch")
+
     def _keep_markers(self, path: str, marked: bool | None) -> bool:
         """Write the markers of a batch that is in place to the side table, if it has any."""
         found = self.read_paths([path]).filter(F.col("type") != CHANGE)
@@ -232,22 +245,21 @@ class EventLog:
         """Remove the oldest batches beyond a limit; the newest manifest always stays, it is the
         cursor. Gives the number of batches removed."""
         now = now or dt.datetime.now(dt.timezone.utc)
-        rows = self.batches().orderBy("ordinal").collect()
-        removed = 0
-        kept_rows, kept_bytes = sum(r["rows"] for r in rows), sum(r["bytes"] or 0 for r in rows)
-        for position, row in enumerate(rows[:-1]):
-            published = row["published_at"].replace(tzinfo=dt.timezone.utc)
+        numbers, held = files.manifest_numbers(self.batches_path), self.size().first()
+        removed, kept_rows, kept_bytes = 0, held["rows"], held["bytes"]
+        for position, number in enumerate(numbers[:-1]):  # the oldest first, and no more than are due
+            row = files.read_json(files.manifest_path(self.batches_path, number))[0]
             beyond = (
-                (max_age is not None and now - published > max_age)
+                (max_age is not None and now - dt.datetime.fromisoformat(row["published_at"]) > max_age)
                 or (max_rows is not None and kept_rows > max_rows)
                 or (max_bytes is not None and kept_bytes > max_bytes)
-                or (max_batches is not None and len(rows) - position > max_batches)
+                or (max_batches is not None and len(numbers) - position > max_batches)
                 or (from_seq is not None and row["last_seq"] < from_seq)
             )
             if not beyond:
                 break
             # Manifest first: a reader must never be sent to a folder that is gone.
-            files.delete(files.manifest_path(self.batches_path, row["ordinal"]))
+            files.delete(files.manifest_path(self.batches_path, number))
             if row["path"]:
                 files.delete(f"{self.markers_path}/{row['path']}")
                 files.delete(f"{self.events_path}/{row['path']}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType, TimestampType
 
+from rowtide.settings import scratch_dir
 from rowtide.sources import files
 
 FORMAT = "rowtide_manifests"
@@ -82,14 +83,23 @@ def ship_with_jobs() -> None:
 
 def in_steps(batch: DataFrame, number: str, step: int):
     """The rows of a micro-batch of manifests as lists that span ``step`` manifests each, in order: a backlog of
-    any length comes to the driver piece by piece."""
+    any length comes to the driver piece by piece. A backlog of several steps is written once, so that
+    a manifest is opened twice, however many steps there are, and a step reads the files with its own rows only."""
     ends = batch.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
     if ends["low"] is None:
         return
-    for low in range(ends["low"], ends["high"] + 1, step):
-        rows = batch.filter(F.col(number).between(low, low + step - 1)).collect()
-        if rows:
-            yield rows
+    path = scratch_dir(batch.sparkSession, "backlog") if ends["high"] - ends["low"] >= step else None
+    try:
+        if path:
+            batch.write.parquet(path)  # the source's partitions are runs of manifests, so are these files
+            batch = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        for low in range(ends["low"], ends["high"] + 1, step):
+            rows = batch.filter(F.col(number).between(low, low + step - 1)).collect()
+            if rows:
+                yield sorted(rows, key=lambda r: r[number])
+    finally:
+        if path:
+            files.delete(path)
 
 
 def manifest_stream(spark: SparkSession, path: str, schema: StructType, start_after: int):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowtide.functions.events import CHANGE, SCHEMA_CHANGED, decode_row
 from rowtide.operators.pairs import FEED_LENGTH, feed, halves, typed_changes
 from rowtide.operators.positions import check_position
+from rowtide.operators.sequence import running_count
 from rowtide.schemas import BATCHES
 from rowtide.settings import scratch_scope, tracked_dir
 from rowtide.sources import files
@@ -89,6 +90,15 @@ class Subscription:
             complete = events.unionByName(before.filter(F.col("snapshot_id") == cut[0]["snapshot_id"]))
         return typed_changes(complete).filter(F.col("seq") > after)
 
+    @staticmethod
+    def _stretches(rows: DataFrame, markers: DataFrame) -> DataFrame:
+        """``rows`` with ``stretch``, the number of markers before each: markers are put among the rows and
+        counted along the order, a piece of it at a time, so their number does not matter to a row."""
+        places = markers.select("seq", F.lit(True).alias("_marker"))
+        both = rows.withColumn("_marker", F.lit(False)).unionByName(places, allowMissingColumns=True).withColumn("_log", F.lit(0))
+        counted = running_count(both, ["_log"], "seq", F.col("_marker"), "stretch")
+        return counted.filter(~F.col("_marker")).select(*rows.columns, "stretch")
+
     def deliver(self, batches: list) -> None:
         """Hand published batches to the handlers; those handled before are left out."""
         state = self._load()
@@ -98,18 +108,17 @@ class Subscription:
         after, upto = state["position"], max(b["last_seq"] for b in new)
         events = self.log.read_paths([b["path"] for b in new if b["rows"]], self.table_id, after=after)
         # One marker per change of shape: bounded by the commits of a batch.
-        markers = self.log.markers_in(new, self.table_id).filter(F.col("seq") > after).select(
-            "seq", "type", "columns").orderBy("seq").collect()
+        found = self.log.markers_in(new, self.table_id).filter(F.col("seq") > after)
+        markers = found.select("seq", "type", "columns").orderBy("seq").collect()  # each is one call of a handler
         changes = self.changes(events, after)
-        # Which stretches between markers hold changes: one number per stretch.
-        places = F.array(*[F.lit(m["seq"]).cast("long") for m in markers]).cast("array<long>")
-        stretch = F.size(F.filter(places, lambda place: place < F.col("seq")))
-        filled = {r["stretch"] for r in events.filter(F.col("type") == CHANGE).select(stretch.alias("stretch")).distinct().collect()}
+        held = events.filter(F.col("type") == CHANGE)
         with scratch_scope():
-            parts = {0: changes}
-            if markers:  # pair once, and give each stretch its folder
+            if not markers:
+                filled, parts = (set() if held.isEmpty() else {0}), {0: changes}
+            else:  # pair once, and give each stretch between markers its folder
+                filled = {r["stretch"] for r in self._stretches(held.select("seq"), found).select("stretch").distinct().collect()}
                 path = tracked_dir(self.spark, "stretches")
-                changes.withColumn("stretch", stretch).write.partitionBy("stretch").parquet(path)
+                self._stretches(changes, found).write.partitionBy("stretch").parquet(path)
                 read = self.spark.read.schema(changes.schema)
                 written = {int(n.split("=")[1]) for n in files.subfolders(path) if n.startswith("stretch=")}
                 parts = {n: read.parquet(f"{path}/stretch={n}") for n in written}

@@ -9,6 +9,7 @@ from rowtide.operators.positions import LogWasReset, PositionTooOld, check_posit
 from rowtide.sources import files
 from rowtide.sources.lake import Lake
 from rowtide.sources.log import EventLog
+from rowtide.sources.manifests import in_steps
 from rowtide.sources.viewstore import ViewStore
 from rowtide.streaming import dedup as sd
 from rowtide.streaming.capture import Capture
@@ -356,3 +357,32 @@ def test_pairs_cost_what_their_batch_holds(spark, folder):
     assert last["numRowsUpdated"] == 20 + 7 and last["numRowsTotal"] <= 4 * 20
     lone = sorted((r["snapshot_id"], r["rowid"]) for r in sd.lone_halves(spark, f"{folder}/out").collect())
     assert (11, 19) in lone and (10, 19) in lone and (1, 19) not in lone and len(lone) <= 5 + 3
+
+
+def test_thousands_of_markers_in_one_batch(spark, folder):
+    """Ten thousand changes of shape and a change after every thousandth, delivered in the order of the log."""
+    log = EventLog(spark, f"{folder}/log").create()
+    n = 10_000
+    markers = spark.range(1, n + 1).select(
+        F.lit("schema_changed").alias("type"), F.col("id").alias("snapshot_id"), F.array(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("columns"))
+    changes = spark.range(1000, n + 1, 1000).select(
+        F.lit("change").alias("type"), F.col("id").alias("snapshot_id"), F.lit("insert").alias("change_type"), F.col("id").alias("rowid"), F.lit("{}").alias("row"))
+    both = markers.unionByName(changes, allowMissingColumns=True).withColumn("table_id", F.lit(1)).withColumn(
+        "message_id", F.concat_ws("-", "type", "snapshot_id"))
+    log.publish(both, 1, n, distinct=True)
+    sub, calls = Subscription(log, 1, f"{folder}/sub", start_after=0), []
+    sub.on_change(lambda c: calls.extend(("change", r["rowid"]) for r in c.collect()))
+    sub.on_schema_change(lambda columns: calls.append(("shape", int(columns[0][1:]))))
+    sub.deliver(log.batches().collect())
+    expected = [x for i in range(1, n + 1) for x in [("shape", i), *([("change", i)] if i % 1000 == 0 else [])]]
+    assert calls == expected and sub.position == n + 10
+
+
+def test_a_backlog_is_read_once(spark, folder):
+    """How often a manifest of a micro-batch is opened does not depend on the number of steps."""
+    opened = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda i: opened.add(1) or i, "long")
+    batch = spark.range(1, 41).select(seen("id").alias("ordinal"))
+    steps = list(in_steps(batch.filter(F.col("ordinal") > 0), "ordinal", 7))
+    assert [[r["ordinal"] for r in s] for s in steps] == [list(range(a, min(a + 7, 41))) for a in range(1, 41, 7)]
+    assert opened.value <= 40 * 2 * 2  # bounds and rows, the function in the filter too; not once per step
