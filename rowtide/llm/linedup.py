@@ -10,8 +10,10 @@ Lines are in classes by length, each with its number of edits ``e`` and a width.
 that width, counted from its begin and from its end. Of two lines within ``e`` edits either the begin has fewer
 edits than blocks, or the end has; there the first block ``i`` with at most ``i`` edits up to its end is
 whole, and moved by ``i`` at most. So each line enters its blocks, and looks up, per block, the substrings of
-itself that are moved that little: ``((e + 1) / 2) ** 2 * 2`` keys. A line looks up in the class below as well if
-a line there can be near.
+itself that are moved that little. A block with a space in its first half is known by what follows the first
+space, for half the width: equal blocks have the same one, and substrings at neighbouring moves mostly share it, so
+that a line has a key for every word start near a block and not for every move. Blocks without such a space are known
+by all their characters. A line looks up in the class below as well if a line there can be near.
 
 In a bucket all lines first meet the earliest one; only those that found no near line there meet all
 others. Candidates are confirmed by their edit distance, which is not followed beyond what is allowed.
@@ -72,16 +74,11 @@ def classes(edits: int | str, min_chars: int) -> list[tuple[int, int, int]]:
     return [*found, (low, at(low), low // (at(low) + 1))]
 
 
-def look_ups(edits: int) -> list[int]:
-    """Blocks and moves as ``(side * 64 + block) * 64 + move + 32``, of a class with so many edits."""
-    sides = ((0, (edits + 2) // 2), (1, (edits + 1) // 2))
-    return [(side * 64 + i) * 64 + move + 32 for side, n in sides for i in range(n) for move in range(-i, i + 1)]
-
-
 def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``key, own, l1`` per block of each line, and per substring that it looks up (``own`` false).
 
-    What is looked up is exploded as numbers, which keeps the expressions, and so the compiled code, small."""
+    A block is taken with the characters it may be moved by. Every move in it is a window; windows that share the
+    first space share a key, which is made by the first of them."""
     every = classes(edits, min_chars)
     of = lambda values: F.array(*[F.lit(v) for v in values])
     item = lambda values, c: F.get(of(values), c)
@@ -93,13 +90,21 @@ def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MI
     seen = lines.select("l1", "line", "size", c.alias("c")).select("l1", "line", "size", "c", downs)
     seen = seen.withColumn("c", F.col("c") - F.col("down"))
     e, w = item([e for _, e, _ in every], F.col("c")), item([w for _, _, w in every], F.col("c"))
-    codes = F.get(F.array(*[of(look_ups(e)) for e in range(max(e for _, e, _ in every) + 1)]), e)
-    each = seen.select("l1", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("code"))
-    block, move = F.shiftright("code", 6), F.col("code").bitwiseAND(63) - 32
-    i = block.bitwiseAND(63)
-    begin = F.when(block < 64, i * F.col("w")).otherwise(size - (i + 1) * F.col("w")) + move
-    key = F.xxhash64("c", block, F.col("line").substr(begin + 1, F.col("w")))
-    return each.select(key.alias("key"), ((F.col("down") == 0) & (move == 0)).alias("own"), "l1")
+    most = max(e for _, e, _ in every)
+    codes = F.get(F.array(*[of([side * 64 + i for side in (0, 1) for i in range((e + 2 - side) // 2)]) for e in range(most + 1)]), e)
+    blocks = seen.select("l1", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("block"))
+    blocks = blocks.withColumn("i", F.col("block").bitwiseAND(63))
+    begin = F.when(F.col("block") < 64, F.col("i") * F.col("w")).otherwise(size - (F.col("i") + 1) * F.col("w"))
+    region = F.col("line").substr(begin - F.col("i") + 1, F.col("w") + 2 * F.col("i"))
+    windows = F.get(F.array(*[of(range(2 * i + 1)) for i in range(most // 2 + 1)]), F.col("i"))
+    moves = blocks.select("l1", "c", "down", "w", "block", "i", region.alias("region"))
+    moves = moves.select("*", F.explode(windows).alias("j"), F.floor(F.col("w") / 2).cast("int").alias("reach"))
+    moves = moves.withColumn("x", F.expr("locate(' ', region, j + 1)"))
+    moves = moves.withColumn("anchored", F.expr("x > 0 AND x - j <= reach"))
+    made = moves.where("NOT anchored OR j = 0 OR x - j = reach OR substr(region, j, 1) = ' '")
+    part = F.expr("CASE WHEN anchored THEN substr(region, x + 1, w - reach) ELSE substr(region, j + 1, w) END")
+    own = F.expr("down = 0 AND CASE WHEN anchored THEN j <= i AND x > i ELSE j = i END")
+    return made.select(F.xxhash64("c", "block", "anchored", part).alias("key"), own.alias("own"), "l1")
 
 
 def within(left: str, right: str, edits: int | str = EDITS) -> Column:
@@ -140,13 +145,16 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     often = firsts.where("n > 1").drop("n")
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
-    # Buckets that hold two different lines, one of them under its own segment.
-    keys = staged(segment_keys(lines, edits, min_chars), "segments")
+    # The distinct lines with their texts, and buckets that hold two of them, one under its own segment. Both sides of
+    # the join read the same exchange.
+    found = _texts(docs, firsts.select("first.*"), min_chars).withColumns({"l1": F.xxhash64("line"), "size": F.char_length("line")})
+    distinct = staged(found, "distinct-lines")
+    keys = segment_keys(distinct, edits, min_chars).repartition("key")
     live = keys.groupBy("key").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.max("own").alias("own"))
-    live = live.where("a <> b AND own").select("key")
-    met = keys.join(live, "key").distinct().join(firsts.select("l1", "first"), "l1")
+    live = live.where("a <> b AND own").select(F.col("key").alias("_key"))
+    met = keys.join(live, F.col("key") == F.col("_key"), "left_semi").distinct().join(firsts.select("l1", "first"), "l1")
     met = staged(met.select("key", "own", "l1", "first"), "buckets")
-    texts = staged(_texts(docs, met.select("first.*").distinct(), min_chars), "texts")
+    texts = staged(distinct.join(met.select("l1").distinct(), "l1", "left_semi").select(*_AT, "line"), "texts")
 
     own, other = F.when(F.col("own"), F.col("first")), F.when(~F.col("own"), F.col("first"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
