@@ -16,7 +16,8 @@ that a line has a key for every word start near a block and not for every move.
 by all their characters. A line looks up in the class below as well if a line there can be near.
 
 In a bucket all lines first meet the earliest one; only those that found no near line there meet all
-others. Candidates are confirmed by their edit distance, which is not followed beyond what is allowed.
+others. Lengths and counts of letters rule most pairs out; the others are confirmed by their edit distance, which
+is not followed beyond what is allowed.
 
 Equal lines are one before any of this, and everything is DataFrame operations. Defined results: a null text
 has no lines; a null doc_id ranks last; rows of one doc_id and text are one document; extra columns
@@ -34,6 +35,7 @@ CHARS_AN_EDIT = 20
 MOST_EDITS = 10
 
 _LONGEST = 1 << 20  # lines from here on are one class
+_COUNTED = "etaonisr"  # letters counted to tell lines apart before their texts are compared
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -75,7 +77,8 @@ def classes(edits: int | str, min_chars: int) -> list[tuple[int, int, int]]:
 
 
 def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key, own, l1`` per block of each line, and per substring that it looks up (``own`` false).
+    """``key, code`` per block of each line, and per substring that it looks up; ``code`` is twice the line's ``id``,
+    and one more for a block of its own.
 
     A block is taken with the characters it may be moved by. Every move in it is a window; windows that share the
     first space share a key, which is made by the first of them."""
@@ -87,24 +90,24 @@ def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MI
     below = F.col("c") - 1
     near = (below >= 0) & (size < item([low for low, _, _ in every], F.col("c")) + item([e for _, e, _ in every], below))
     downs = F.explode(F.when(near, of([0, 1])).otherwise(of([0]))).alias("down")
-    seen = lines.select("l1", "line", "size", c.alias("c")).select("l1", "line", "size", "c", downs)
+    seen = lines.select(F.coalesce("id", F.lit(0)).alias("id"), "line", "size", c.alias("c")).select("id", "line", "size", "c", downs)
     seen = seen.withColumn("c", F.col("c") - F.col("down"))
     e, w = item([e for _, e, _ in every], F.col("c")), item([w for _, _, w in every], F.col("c"))
     most = max(e for _, e, _ in every)
     codes = F.get(F.array(*[of([side * 64 + i for side in (0, 1) for i in range((e + 2 - side) // 2)]) for e in range(most + 1)]), e)
-    blocks = seen.select("l1", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("block"))
+    blocks = seen.select("id", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("block"))
     blocks = blocks.withColumn("i", F.col("block").bitwiseAND(63))
     begin = F.when(F.col("block") < 64, F.col("i") * F.col("w")).otherwise(size - (F.col("i") + 1) * F.col("w"))
     region = F.col("line").substr(begin - F.col("i") + 1, F.col("w") + 2 * F.col("i"))
     windows = F.get(F.array(*[of(range(2 * i + 1)) for i in range(most // 2 + 1)]), F.col("i"))
-    moves = blocks.select("l1", "c", "down", "w", "block", "i", region.alias("region"))
+    moves = blocks.select("id", "c", "down", "w", "block", "i", region.alias("region"))
     moves = moves.select("*", F.explode(windows).alias("j"), F.floor(F.col("w") / 2).cast("int").alias("reach"))
     moves = moves.withColumn("x", F.expr("locate(' ', region, j + 1)"))
     moves = moves.withColumn("anchored", F.expr("x > 0 AND x - j <= reach"))
     made = moves.where("NOT anchored OR j = 0 OR x - j = reach OR substr(region, j, 1) = ' '")
     part = F.expr("CASE WHEN anchored THEN substr(region, x + 1, w - reach) ELSE substr(region, j + 1, w) END")
-    own = F.expr("down = 0 AND CASE WHEN anchored THEN j <= i AND x > i ELSE j = i END")
-    return made.select(F.xxhash64("c", "block", "anchored", part).alias("key"), own.alias("own"), "l1")
+    own = F.expr("CASE WHEN down = 0 AND CASE WHEN anchored THEN j <= i AND x > i ELSE j = i END THEN 1 ELSE 0 END")
+    return made.select(F.xxhash64("c", "block", "anchored", part).alias("key"), (F.col("id") * 2 + own).alias("code"))
 
 
 def within(left: str, right: str, edits: int | str = EDITS) -> Column:
@@ -115,21 +118,29 @@ def within(left: str, right: str, edits: int | str = EDITS) -> Column:
     return F.when(near, F.call_function("levenshtein", F.col(left), F.col(right), most) >= 0).otherwise(False)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """The lines ``doc, h, line_no`` of ``wanted`` with their text. A text is split once for all its lines."""
-    asked = wanted.groupBy("doc", "h").agg(F.collect_set("line_no").alias("asked")).withColumnsRenamed({"doc": "_doc", "h": "_h"})
-    rows = docs.select(rank().alias("doc"), F.xxhash64("text").alias("h"), "text")
-    rows = rows.join(asked, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc", "h"])
-    lines = rows.select("doc", "h", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("line_no"))
-    return lines.select("doc", "h", "line_no", normal(F.expr("lines[line_no]")).alias("line"))
+def letters(line: str) -> Column:
+    """How often a line has each of eight letters, a byte each (255 at most)."""
+    n = lambda c: F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))), F.lit(255)).cast("long")
+    return sum((F.shiftleft(n(c), 8 * k) for k, c in enumerate(_COUNTED)), F.lit(0).cast("long"))
 
 
-_AT = ("doc", "h", "line_no")
+def possible(left: str, right: str, edits: int | str) -> Column:
+    """Whether lengths and letters of two lines (structs with ``size`` and ``letters``) allow them to be near: an
+    edit adds one letter at most, and takes one away at most."""
+    size = lambda side: F.col(f"{side}.size")
+    at = lambda side, k: F.shiftrightunsigned(F.col(f"{side}.letters"), 8 * k).bitwiseAND(255)
+    moves = [at(left, k) - at(right, k) for k in range(len(_COUNTED))]
+    more = sum((F.greatest(m, F.lit(0)) for m in moves), F.lit(0))
+    less = sum((F.greatest(-m, F.lit(0)) for m in moves), F.lit(0))
+    most = allowed(F.least(size(left), size(right)), edits)
+    return (F.abs(size(left) - size(right)) <= most) & (more <= most) & (less <= most)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int | str) -> DataFrame:
+def _confirmed(pairs: DataFrame, distinct: DataFrame, edits: int | str) -> DataFrame:
     """Of pairs of places ``x`` and ``y`` (structs), the later place of those within ``edits``."""
-    named = lambda side: texts.select(F.struct(*_AT).alias(side), F.col("line").alias(f"{side}_line"))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("first")).distinct()
+    texts = staged(distinct.select("first", "line").join(asked, "first", "left_semi"), "texts")
+    named = lambda side: texts.select(F.col("first").alias(side), F.col("line").alias(f"{side}_line"))
     met = pairs.join(named("x"), "x").join(named("y"), "y")
     return met.where(within("x_line", "y_line", edits)).select(F.greatest("x", "y").alias("gone")).distinct()
 
@@ -140,35 +151,40 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
         raise ValueError("lines must be longer than twice the edits, or long enough for one")
     place = F.struct("doc", "h", "line_no")
     lines = document_lines(docs, min_chars)
-    seen = lines.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = staged(seen, "firsts")
-    often = firsts.where("n > 1").drop("n")
+    seen = lines.groupBy("l1", "l2").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    distinct = staged(seen.withColumns({
+        "id": F.monotonically_increasing_id(), "size": F.char_length("line"), "letters": letters("line")}), "distinct-lines")
+    often = distinct.where("n > 1").select("l1", "l2", "first")
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
-    # The distinct lines with their texts, and buckets that hold two of them, one under its own segment. Both sides of
-    # the join read the same exchange.
-    found = _texts(docs, firsts.select("first.*"), min_chars).withColumns({"l1": F.xxhash64("line"), "size": F.char_length("line")})
-    distinct = staged(found, "distinct-lines")
+    # Buckets that hold two different lines, one of them under its own segment. Both sides of the join read the
+    # same exchange.
     keys = segment_keys(distinct, edits, min_chars).repartition("key")
-    live = keys.groupBy("key").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.max("own").alias("own"))
-    live = live.where("a <> b AND own").select(F.col("key").alias("_key"))
-    met = keys.join(live, F.col("key") == F.col("_key"), "left_semi").distinct().join(firsts.select("l1", "first"), "l1")
-    met = staged(met.select("key", "own", "l1", "first"), "buckets")
-    texts = staged(distinct.join(met.select("l1").distinct(), "l1", "left_semi").select(*_AT, "line"), "texts")
-
-    own, other = F.when(F.col("own"), F.col("first")), F.when(~F.col("own"), F.col("first"))
+    line_id = F.shiftright("code", 1)
+    live = keys.groupBy("key").agg(F.min(line_id).alias("a"), F.max(line_id).alias("b"), F.max(F.col("code").bitwiseAND(1)).alias("own"))
+    live = live.where("a <> b AND own = 1").select(F.col("key").alias("_key"))
+    met = keys.join(live, F.col("key") == F.col("_key")).select("key", "code").distinct()
+    met = met.select("key", (F.col("code").bitwiseAND(1) == 1).alias("own"), line_id.alias("id"))
+    met = met.join(distinct.select("id", F.struct("first", "size", "letters").alias("at")), "id")
+    met = staged(met.select("key", "own", "at"), "buckets")
+
+    own, other = F.when(F.col("own"), F.col("at")), F.when(~F.col("own"), F.col("at"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
     against = F.explode(F.array("own_pivot", F.when(F.col("own"), F.col("other_pivot")))).alias("y")
-    star = met.join(pivots, "key").select(F.col("first").alias("x"), against).where("x <> y").distinct()
-    near = staged(_confirmed(star, texts, edits), "near")
+    star = met.join(pivots, "key").select(F.col("at").alias("x"), against)
+    star = star.where((F.col("x.first") != F.col("y.first")) & possible("x", "y", edits))
+    star = staged(star.select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct(), "star")
+    near = staged(_confirmed(star, distinct, edits), "near")
 
     # The rest: lines that still stand, against all earlier ones of their buckets.
-    standing = met.join(near, met["first"] == near["gone"], "left_anti")
-    one = standing.select("key", F.col("own").alias("x_own"), F.col("first").alias("x"))
-    two = met.select("key", F.col("own").alias("y_own"), F.col("first").alias("y"))
-    rest = one.join(two, "key").where("(x_own OR y_own) AND y < x").select("x", "y").distinct()
-    rest = rest.join(star, ["x", "y"], "left_anti")
-    more = _confirmed(rest, texts, edits)
+    standing = met.join(near, met["at.first"] == near["gone"], "left_anti")
+    one = standing.select("key", F.col("own").alias("x_own"), F.col("at").alias("x"))
+    two = met.select("key", F.col("own").alias("y_own"), F.col("at").alias("y"))
+    rest = one.join(two, "key").where("(x_own OR y_own) AND y.first < x.first").where(possible("x", "y", edits))
+    rest = rest.select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct()
+    rest = staged(rest.join(star, ["x", "y"], "left_anti"), "rest")
+    more = _confirmed(rest, distinct, edits)
     return equal.union(near).union(more).distinct().select("gone.*")
 
 
