@@ -137,12 +137,12 @@ def possible(left: str, right: str, edits: int | str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, distinct: DataFrame, edits: int | str) -> DataFrame:
-    """Of pairs of places ``x`` and ``y`` (structs), the later place of those within ``edits``."""
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("first")).distinct()
-    texts = staged(distinct.select("first", "line").join(asked, "first", "left_semi"), "texts")
-    named = lambda side: texts.select(F.col("first").alias(side), F.col("line").alias(f"{side}_line"))
+    """Of pairs of lines ``x`` and ``y`` (ids), the ``later`` one of those within ``edits``."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    texts = staged(distinct.select("id", "line").join(asked, "id", "left_semi"), "texts")
+    named = lambda side: texts.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"))
     met = pairs.join(named("x"), "x").join(named("y"), "y")
-    return met.where(within("x_line", "y_line", edits)).select(F.greatest("x", "y").alias("gone")).distinct()
+    return met.where(within("x_line", "y_line", edits)).select(F.col("later").alias("id")).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -166,26 +166,28 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     live = live.where("a <> b AND own = 1").select(F.col("key").alias("_key"))
     met = keys.join(live, F.col("key") == F.col("_key")).select("key", "code").distinct()
     met = met.select("key", (F.col("code").bitwiseAND(1) == 1).alias("own"), line_id.alias("id"))
-    met = met.join(distinct.select("id", F.struct("first", "size", "letters").alias("at")), "id")
+    met = met.join(distinct.select("id", F.struct("first", "size", "letters", "id").alias("at")), "id")
     met = staged(met.select("key", "own", "at"), "buckets")
 
     own, other = F.when(F.col("own"), F.col("at")), F.when(~F.col("own"), F.col("at"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
     against = F.explode(F.array("own_pivot", F.when(F.col("own"), F.col("other_pivot")))).alias("y")
     star = met.join(pivots, "key").select(F.col("at").alias("x"), against)
-    star = star.where((F.col("x.first") != F.col("y.first")) & possible("x", "y", edits))
-    star = staged(star.select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct(), "star")
+    star = star.where((F.col("x.id") != F.col("y.id")) & possible("x", "y", edits))
+    later = F.when(F.col("x.first") > F.col("y.first"), F.col("x.id")).otherwise(F.col("y.id")).alias("later")
+    star = staged(star.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), later).distinct(), "star")
     near = staged(_confirmed(star, distinct, edits), "near")
 
     # The rest: lines that still stand, against all earlier ones of their buckets.
-    standing = met.join(near, met["at.first"] == near["gone"], "left_anti")
+    standing = met.join(near, met["at.id"] == near["id"], "left_anti")
     one = standing.select("key", F.col("own").alias("x_own"), F.col("at").alias("x"))
     two = met.select("key", F.col("own").alias("y_own"), F.col("at").alias("y"))
     rest = one.join(two, "key").where("(x_own OR y_own) AND y.first < x.first").where(possible("x", "y", edits))
-    rest = rest.select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct()
-    rest = staged(rest.join(star, ["x", "y"], "left_anti"), "rest")
+    rest = rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.id").alias("later")).distinct()
+    rest = staged(rest.join(star.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     more = _confirmed(rest, distinct, edits)
-    return equal.union(near).union(more).distinct().select("gone.*")
+    gone = distinct.select("id", F.col("first").alias("gone")).join(near.union(more).distinct(), "id").select("gone")
+    return equal.union(gone).select("gone.*")
 
 
 def marked(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
