@@ -42,12 +42,14 @@ def directory(cells: DataFrame, depth: int, top: int, max_bytes: int) -> DataFra
         child.where(F.col("depth") > top).join(above, ["depth", "parent"], "left_semi").select("depth", "prefix", "bytes"))
 
 
-def assigned(docs: DataFrame, max_bytes: int = MAX_BYTES, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def assigned(docs: DataFrame, max_bytes: int = MAX_BYTES, id_: str = "doc_id", text: str = "text",
+             carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row ``doc_id, n_bytes, shard`` (the bits of its bucket, and the number of a link where one hash holds too
-    much), ``depth`` and ``shard_bytes``."""
+    much), ``depth`` and ``shard_bytes``;
+    and the columns of ``docs`` named in ``carry``."""
     rows = staged(docs.select(
         F.col(id_).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
-        hash_bits(id_).alias("hash"), F.xxhash64(text).alias("text_hash")), "hashes")
+        hash_bits(id_).alias("hash"), F.xxhash64(text).alias("text_hash"), *carry), "hashes")
     done, open_, top = None, rows, 0
     while True:
         depth = min(BITS, top + _STEP)
@@ -69,7 +71,7 @@ def assigned(docs: DataFrame, max_bytes: int = MAX_BYTES, id_: str = "doc_id", t
         _chained(done.where(F.col("bytes") > max_bytes), max_bytes))
     bits = F.expr(f"right(lpad(conv(cast(prefix AS string), 10, 2), {BITS}, '0'), depth)")
     name = F.when(F.col("link") != 0, F.concat(bits, F.lit("/"), F.col("link").cast("string"))).otherwise(bits)
-    return chained.select("doc_id", "n_bytes", name.alias("shard"), "depth", F.col("bytes").alias("shard_bytes"))
+    return chained.select("doc_id", "n_bytes", name.alias("shard"), "depth", F.col("bytes").alias("shard_bytes"), *carry)
 
 
 def _chained(rows: DataFrame, max_bytes: int) -> DataFrame:
@@ -86,8 +88,9 @@ def _chained(rows: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
-    """Write ``docs`` to ``path`` in a folder per shard."""
-    shard = free_name(docs, "shard")
-    homes = assigned(docs, max_bytes).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard")).distinct()
-    met = docs.join(homes, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").withColumnRenamed("_shard", shard)
-    met.repartition(shard).write.partitionBy(shard).parquet(path)
+    """Write ``docs`` to ``path`` in a folder per shard. Every row gets a number of its own, which finds its shard, so
+    that rows of one id, or without one, are written once each, also where links part them."""
+    shard, row = free_name(docs, "shard"), free_name(docs, "row_number")
+    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    homes = assigned(kept, max_bytes, carry=(row,)).select(row, F.col("shard").alias(shard))
+    kept.join(homes, row).drop(row).repartition(shard).write.partitionBy(shard).parquet(path)

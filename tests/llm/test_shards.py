@@ -50,5 +50,18 @@ def test_written_shards(make, corpus, tmp_path, spark):
     assert back.count() == docs.count() and {"kept", "a.b"} <= set(back.columns)
 
 
+def test_written_rows_of_one_id_are_not_multiplied(spark, tmp_path):
+    rows = [(7, "x" * 400)] * 5 + [(7, "y" * 900)] * 2 + [(None, "z" * 600)] * 4 + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shards.write_shards(docs, str(tmp_path / "s"), max_bytes=1000)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted([(r["doc_id"], r["text"]) for r in back], key=key) == sorted(rows, key=key)
+    held = {}
+    for r in back:
+        held[r["shard"]] = held.get(r["shard"], 0) + len(r["text"] or "")
+    assert max(held.values()) <= 1000
+
+
 def test_empty(empty):
     assert shards.assigned(empty).count() == 0
