@@ -16,8 +16,11 @@ that a line has a key for every word start near a block and not for every move.
 by all their characters. A line looks up in the class below as well if a line there can be near.
 
 In a bucket all lines first meet the earliest one; only those that found no near line there meet all
-others. Lengths and counts of letters rule most pairs out; the others are confirmed by their edit distance, which
-is not followed beyond what is allowed.
+others. Before texts are compared, pairs are ruled out by what the bucket stands for. The blocks from the begin and
+those from the end do not overlap, so the differences in letters of the two parts add up to at most twice the
+edits; the part of the bucket's block has fewer edits than blocks; and a pair with an equal outermost block meets
+in the bucket of that one only. The others are confirmed by their edit distance, which is not followed beyond
+what is allowed.
 
 Equal lines are one before any of this, and everything is DataFrame operations. Defined results: a null text
 has no lines; a null doc_id ranks last; rows of one doc_id and text are one document; extra columns
@@ -35,7 +38,7 @@ CHARS_AN_EDIT = 20
 MOST_EDITS = 10
 
 _LONGEST = 1 << 20  # lines from here on are one class
-_COUNTED = "etaonisr"  # letters counted to tell lines apart before their texts are compared
+_COUNTED = "abcdefghijklmnopqrstuvwxyz ,.012"  # characters counted to tell lines apart before their texts are compared
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -76,23 +79,29 @@ def classes(edits: int | str, min_chars: int) -> list[tuple[int, int, int]]:
     return [*found, (low, at(low), low // (at(low) + 1))]
 
 
+def _item(values: list[int], at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), at)
+
+
+def class_of(size: Column, every: list[tuple[int, int, int]]) -> Column:
+    return sum(((size >= low).cast("int") for low, _, _ in every[1:]), F.lit(0))
+
+
 def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key, code`` per block of each line, and per substring that it looks up; ``code`` is twice the line's ``id``,
-    and one more for a block of its own.
+    """``key, code`` per block of each line, and per substring that it looks up; ``code`` holds the line's ``id``, the
+    block (7 bits), whether it is one of the class below, and whether it is a block of its own (see ``parts_of``).
 
     A block is taken with the characters it may be moved by. Every move in it is a window; windows that share the
     first space share a key, which is made by the first of them."""
     every = classes(edits, min_chars)
     of = lambda values: F.array(*[F.lit(v) for v in values])
-    item = lambda values, c: F.get(of(values), c)
     size = F.col("size")
-    c = sum(((size >= low).cast("int") for low, _, _ in every[1:]), F.lit(0))
     below = F.col("c") - 1
-    near = (below >= 0) & (size < item([low for low, _, _ in every], F.col("c")) + item([e for _, e, _ in every], below))
+    near = (below >= 0) & (size < _item([low for low, _, _ in every], F.col("c")) + _item([e for _, e, _ in every], below))
     downs = F.explode(F.when(near, of([0, 1])).otherwise(of([0]))).alias("down")
-    seen = lines.select(F.coalesce("id", F.lit(0)).alias("id"), "line", "size", c.alias("c")).select("id", "line", "size", "c", downs)
+    seen = lines.select(F.coalesce("id", F.lit(0)).alias("id"), "line", "size", class_of(size, every).alias("c")).select("id", "line", "size", "c", downs)
     seen = seen.withColumn("c", F.col("c") - F.col("down"))
-    e, w = item([e for _, e, _ in every], F.col("c")), item([w for _, _, w in every], F.col("c"))
+    e, w = _item([e for _, e, _ in every], F.col("c")), _item([w for _, _, w in every], F.col("c"))
     most = max(e for _, e, _ in every)
     codes = F.get(F.array(*[of([side * 64 + i for side in (0, 1) for i in range((e + 2 - side) // 2)]) for e in range(most + 1)]), e)
     blocks = seen.select("id", "line", "size", "c", "down", w.alias("w"), F.explode(codes).alias("block"))
@@ -107,7 +116,14 @@ def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MI
     made = moves.where("NOT anchored OR j = 0 OR x - j = reach OR substr(region, j, 1) = ' '")
     part = F.expr("CASE WHEN anchored THEN substr(region, x + 1, w - reach) ELSE substr(region, j + 1, w) END")
     own = F.expr("CASE WHEN down = 0 AND CASE WHEN anchored THEN j <= i AND x > i ELSE j = i END THEN 1 ELSE 0 END")
-    return made.select(F.xxhash64("c", "block", "anchored", part).alias("key"), (F.col("id") * 2 + own).alias("code"))
+    code = ((F.col("id") * 128 + F.col("block")) * 2 + F.col("down")) * 2 + own
+    return made.select(F.xxhash64("c", "block", "anchored", part).alias("key"), code.alias("code"))
+
+
+def parts_of(code: str = "code") -> dict[str, Column]:
+    """What a ``code`` holds."""
+    bits = lambda shift, mask: F.shiftright(code, shift).bitwiseAND(mask).cast("int")
+    return {"id": F.shiftright(code, 9), "block": bits(2, 127), "down": bits(1, 1), "own": bits(0, 1) == 1}
 
 
 def within(left: str, right: str, edits: int | str = EDITS) -> Column:
@@ -118,22 +134,43 @@ def within(left: str, right: str, edits: int | str = EDITS) -> Column:
     return F.when(near, F.call_function("levenshtein", F.col(left), F.col(right), most) >= 0).otherwise(False)
 
 
-def letters(line: str) -> Column:
-    """How often a line has each of eight letters, a byte each (255 at most)."""
-    n = lambda c: F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))), F.lit(255)).cast("long")
-    return sum((F.shiftleft(n(c), 8 * k) for k, c in enumerate(_COUNTED)), F.lit(0).cast("long"))
+def letters(line: Column) -> list[Column]:
+    """How often a text has each of 32 characters, four bits each, in two numbers. Counts one apart differ in one
+    bit and counts four apart in four, and from there on they come round again: two texts differ in no more bits
+    than counts."""
+    n = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(7)
+    bits = lambda c: F.call_function("shiftright", F.lit(0x0F0F), n(c)).bitwiseAND(15).cast("long")
+    return [sum((F.shiftleft(bits(c), 4 * k) for k, c in enumerate(_COUNTED[at: at + 16])), F.lit(0).cast("long")) for at in (0, 16)]
+
+
+def _sketches(lines: DataFrame, edits: int | str, min_chars: int) -> DataFrame:
+    """Per line (``id, down, first, size, line``), as one of the class that ``down`` says: ``letters`` of the part with the
+    blocks from its begin (``b0, b1``) and of the one from its end (``e0, e1``), hashes of its first block and its last
+    one, and ``most``, the edits of the class."""
+    every = classes(edits, min_chars)
+    c, size, line = F.col("c"), F.col("size"), F.col("line")
+    w, e = F.col("w"), F.col("most")
+    rows = lines.withColumn("c", class_of(size, every) - F.col("down"))
+    rows = rows.withColumns({"w": _item([w for _, _, w in every], c), "most": _item([e for _, e, _ in every], c)})
+    ends = F.floor((e + 1) / 2).cast("int") * w
+    rows = rows.withColumns({
+        "begin": line.substr(F.lit(1), F.floor((e + 2) / 2).cast("int") * w), "end": line.substr(size - ends + 1, ends),
+        "first_block": F.xxhash64(line.substr(F.lit(1), w)), "last_block": F.xxhash64(line.substr(size - w + 1, w))})
+    (b0, b1), (e0, e1) = letters(F.col("begin")), letters(F.col("end"))
+    return rows.select("id", "down", "first", "size", "most", "first_block", "last_block",
+                       b0.alias("b0"), b1.alias("b1"), e0.alias("e0"), e1.alias("e1"))
 
 
 def possible(left: str, right: str, edits: int | str) -> Column:
-    """Whether lengths and letters of two lines (structs with ``size`` and ``letters``) allow them to be near: an
-    edit adds one letter at most, and takes one away at most."""
+    """Whether two lines of a bucket (structs with ``size``, ``outer``, letters ``n0, n1`` of the part of the bucket's block
+    and ``f0, f1`` of the other part) can be near: an edit changes two counts at most, the part has ``tight`` edits
+    at most, and lines with an equal outermost block meet there."""
     size = lambda side: F.col(f"{side}.size")
-    at = lambda side, k: F.shiftrightunsigned(F.col(f"{side}.letters"), 8 * k).bitwiseAND(255)
-    moves = [at(left, k) - at(right, k) for k in range(len(_COUNTED))]
-    more = sum((F.greatest(m, F.lit(0)) for m in moves), F.lit(0))
-    less = sum((F.greatest(-m, F.lit(0)) for m in moves), F.lit(0))
+    moved = lambda *names: sum(F.bit_count(F.col(f"{left}.{n}").bitwiseXOR(F.col(f"{right}.{n}"))) for n in names)
     most = allowed(F.least(size(left), size(right)), edits)
-    return (F.abs(size(left) - size(right)) <= most) & (more <= most) & (less <= most)
+    return (
+        (F.abs(size(left) - size(right)) <= most) & (F.col(f"{left}.outer") != F.col(f"{right}.outer"))
+        & (moved("n0", "n1") <= 2 * F.col(f"{left}.tight")) & (moved("n0", "n1", "f0", "f1") <= 2 * most))
 
 
 def _confirmed(pairs: DataFrame, distinct: DataFrame, edits: int | str) -> DataFrame:
@@ -153,21 +190,27 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     lines = document_lines(docs, min_chars)
     seen = lines.groupBy("l1", "l2").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    distinct = staged(seen.withColumns({
-        "id": F.monotonically_increasing_id(), "size": F.char_length("line"), "letters": letters("line")}), "distinct-lines")
+    distinct = staged(seen.withColumns({"id": F.monotonically_increasing_id(), "size": F.char_length("line")}), "distinct-lines")
     often = distinct.where("n > 1").select("l1", "l2", "first")
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
     # Buckets that hold two different lines, one of them under its own segment. Both sides of the join read the
     # same exchange.
     keys = segment_keys(distinct, edits, min_chars).repartition("key")
-    line_id = F.shiftright("code", 1)
+    line_id = parts_of()["id"]
     live = keys.groupBy("key").agg(F.min(line_id).alias("a"), F.max(line_id).alias("b"), F.max(F.col("code").bitwiseAND(1)).alias("own"))
     live = live.where("a <> b AND own = 1").select(F.col("key").alias("_key"))
     met = keys.join(live, F.col("key") == F.col("_key")).select("key", "code").distinct()
-    met = met.select("key", (F.col("code").bitwiseAND(1) == 1).alias("own"), line_id.alias("id"))
-    met = met.join(distinct.select("id", F.struct("first", "size", "letters", "id").alias("at")), "id")
-    met = staged(met.select("key", "own", "at"), "buckets")
+    met = staged(met.select("key", *[c.alias(n) for n, c in parts_of().items()]), "met")
+    asked = met.select("id", "down").distinct()
+    known = _sketches(distinct.select("id", "first", "size", "line").join(asked, "id"), edits, min_chars)
+    at_end, i = F.col("block") >= 64, F.col("block").bitwiseAND(63)
+    side = lambda begin, end: F.when(at_end, F.col(end)).otherwise(F.col(begin))
+    at = F.struct(
+        "first", "size", F.floor((F.col("most") - at_end.cast("int")) / 2).cast("int").alias("tight"),
+        F.when(i == 0, F.col("id")).otherwise(side("first_block", "last_block")).alias("outer"),
+        side("b0", "e0").alias("n0"), side("b1", "e1").alias("n1"), side("e0", "b0").alias("f0"), side("e1", "b1").alias("f1"), "id")
+    met = staged(met.join(known, ["id", "down"]).select("key", "own", at.alias("at")), "buckets")
 
     own, other = F.when(F.col("own"), F.col("at")), F.when(~F.col("own"), F.col("at"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
