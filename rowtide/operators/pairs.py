@@ -1,6 +1,6 @@
 """Updates as one change: joining their two halves, typed changes, the activity feed."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.events import CHANGE, DELETE, INSERT, UPDATE_POST, UPDATE_PRE
 from rowtide.schemas import with_rowkey
@@ -49,32 +49,66 @@ def typed_changes(events: DataFrame) -> DataFrame:
     return single.unionByName(updates)
 
 
-def feed(events: DataFrame, length: int = FEED_LENGTH) -> DataFrame:
-    """The newest entries, newest first: ``seq, kind, snapshot, rowid, before, after, time``.
+_PLACE = ["kind", "table_id", "snapshot_id", "rowid", "rowkey"]
+ENTRY = ("place long, kind string, table_id long, snapshot_id long, rowid long, rowkey string, before string, after string, "
+         "time timestamp")
 
-    An update is one entry at the place of its first half. The entries are found on narrow columns;
-    row payloads are read for the chosen ones only.
-    """
+
+def _kind() -> Column:
     is_half = F.col("change_type").isin(UPDATE_PRE, UPDATE_POST)
-    kind = F.when(F.col("type") != CHANGE, F.col("type")).when(is_half, "update").otherwise(F.col("change_type"))
-    place = ["kind", "table_id", "snapshot_id", "rowid", "rowkey"]
-    events = with_rowkey(events)
-    slim = events.select("seq", kind.alias("kind"), *place[1:])
-    chosen = slim.groupBy(*place).agg(F.min("seq").alias("place")).orderBy(F.desc("place")).limit(length)
-    wanted = chosen.select(*[F.col(c).alias(f"_{c}") for c in place], "place")
-    payload = events.select(kind.alias("kind"), *place[1:], "change_type", "row", "snapshot_time")
+    return F.when(F.col("type") != CHANGE, F.col("type")).when(is_half, "update").otherwise(F.col("change_type")).alias("kind")
+
+
+def _with_payload(events: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The chosen entries (their place among ``by``) with their rows; few enough to be broadcast."""
+    named = [*by, *_PLACE]
+    wanted = wanted.select(*[F.col(c).alias(f"_{c}") for c in named], "place")
     same = F.lit(True)
-    for c in place:  # a marker has no row id
+    for c in named:  # a marker has no row id
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    payload = payload.join(F.broadcast(wanted), same)  # at most `length` rows
-    before = F.col("change_type").isin(UPDATE_PRE, DELETE)
-    after = F.col("change_type").isin(UPDATE_POST, INSERT)
-    entries = payload.groupBy(*place, "place").agg(
+    payload = events.select(*by, _kind(), *_PLACE[1:], "change_type", "row", "snapshot_time").join(F.broadcast(wanted), same)
+    before, after = F.col("change_type").isin(UPDATE_PRE, DELETE), F.col("change_type").isin(UPDATE_POST, INSERT)
+    return payload.groupBy(*named, "place").agg(
         F.max(F.when(before, F.col("row"))).alias("before"),
         F.max(F.when(after, F.col("row"))).alias("after"),
-        F.min("snapshot_time").alias("time"),
-    )
+        F.min("snapshot_time").alias("time"))
+
+
+def _shown(entries: DataFrame, *more: Column) -> DataFrame:
     return entries.select(
         F.col("place").alias("seq"), "kind", "table_id", F.col("snapshot_id").alias("snapshot"),
-        "rowid", "before", "after", "time",
+        "rowid", "before", "after", "time", *more,
     ).orderBy(F.desc("seq"))
+
+
+def feed(events: DataFrame, length: int = FEED_LENGTH) -> DataFrame:
+    """The newest entries, newest first: ``seq, kind, snapshot, rowid, before, after, time``.
+
+    An update is one entry at the place of its first half. The entries are found on narrow columns;
+    row payloads are read for the chosen ones only.
+    """
+    events = with_rowkey(events)
+    slim = events.select("seq", _kind(), *_PLACE[1:])
+    chosen = slim.groupBy(*_PLACE).agg(F.min("seq").alias("place")).orderBy(F.desc("place")).limit(length)
+    return _shown(_with_payload(events, chosen, []))  # at most `length` rows
+
+
+def newest_entries(events: DataFrame, length: int, by: str) -> DataFrame:
+    """The newest entries (schema ``ENTRY``) of every value of ``by``, of which there must be few: what ``merged_feed``
+    merges. The rank stops at ``length`` before the shuffle, so a value with most of the rows is no burden."""
+    events = with_rowkey(events)
+    slim = events.select(by, "seq", _kind(), *_PLACE[1:])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("place")))
+    chosen = slim.groupBy(by, *_PLACE).agg(F.min("seq").alias("place")).withColumn("rank", rank).filter(F.col("rank") <= length)
+    return _with_payload(events, chosen.drop("rank"), [by]).select("place", *_PLACE, "before", "after", "time", by)
+
+
+def merged_feed(entries: DataFrame, length: int = FEED_LENGTH) -> DataFrame:
+    """The feed of a log from the newest entries of all its parts, as ``feed`` gives it. An update whose halves are in
+    two parts is one entry again if both have it among their newest; else it shows without a half, and with ``whole``
+    false."""
+    merged = entries.groupBy(*_PLACE).agg(
+        F.min("place").alias("place"), F.max("before").alias("before"), F.max("after").alias("after"), F.min("time").alias("time"))
+    top = merged.orderBy(F.desc("place")).limit(length)
+    whole = (F.col("kind") != "update") | (F.col("before").isNotNull() & F.col("after").isNotNull())
+    return _shown(top, whole.alias("whole"))

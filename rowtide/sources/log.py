@@ -212,6 +212,20 @@ class EventLog:
         found = self.spark.read.schema(_STORED).option("basePath", self.markers_path).parquet(*paths)
         return _within(found.select(LOG.fieldNames()), table_id)
 
+    def newest_batches(self, table_id: int, after: int, most: int) -> list:
+        """Manifests of the newest batches with events of a table after a position, newest first."""
+        held = self.batches().filter(
+            (F.col("rows") > 0) & (F.col("last_seq") > F.lit(after)) & F.array_contains("tables", F.lit(table_id).cast("long")))
+        return held.select("ordinal", "path", "first_seq", "last_seq").orderBy(F.desc("ordinal")).limit(most).collect()
+
+    def in_batches(self, tokens: list[str], table_id: int, after: int | None = None) -> DataFrame:
+        """Events of one table in some batches, with a column ``batch``."""
+        if not tokens:
+            return local_table(self.spark, [], _STORED)
+        found = self.spark.read.schema(_STORED).option("basePath", self.events_path).parquet(
+            *[f"{self.events_path}/batch={t}/table_id={table_id}" for t in tokens])
+        return _within(found, table_id, after)
+
     def read_paths(
         self, paths: list[str], table_id: int | None = None, after: int | None = None, upto: int | None = None,
         min_snapshot: int | None = None,

@@ -5,14 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.functions.events import CHANGE, SCHEMA_CHANGED, decode_row
-from rowtide.operators.pairs import FEED_LENGTH, feed, halves, typed_changes
+from rowtide.operators.pairs import FEED_LENGTH, feed, halves, merged_feed, newest_entries, typed_changes
 from rowtide.operators.positions import check_position
 from rowtide.operators.sequence import running_count
 from rowtide.schemas import BATCHES
-from rowtide.settings import scratch_scope, tracked_dir
+from rowtide.settings import local_table, scratch_scope, tracked_dir
 from rowtide.sources import files
 from rowtide.sources.log import EventLog
 from rowtide.sources.manifests import in_steps, manifest_stream
+from rowtide.sources.newest import NewestEntries
 from rowtide.streaming.follow import BATCHES_AT_ONCE, ordinal_before
 
 
@@ -160,9 +161,28 @@ class Subscription:
 def activity_feed(log: EventLog, table_id: int, after: int = 0, length: int = FEED_LENGTH) -> DataFrame:
     """The newest entries of one table, newest first.
 
-    Every change or marker takes up at most two events, an update's halves, so only events of the newest
-    snapshots that hold ``2 * length`` of them can be among the entries: counting narrow columns finds the
-    snapshot from which to read."""
+    Every batch keeps its newest entries, and the feed merges those of the newest batches: each has an event of
+    the table, and an entry has two events at most, so ``2 * length`` batches are enough. Batches are opened
+    when they are asked about for the first time, and the one that ``after`` cuts. Where an update among the
+    entries lacks a half, or copies leave too few entries, the log itself is asked."""
+    newest = log.newest_batches(table_id, after, 2 * length)  # metadata of so many batches at most
+    token = lambda b: b["path"].removeprefix("batch=")
+    whole = [token(b) for b in newest if b["first_seq"] > after]
+    cut = log.in_batches([token(b) for b in newest if b["first_seq"] <= after], table_id, after)
+    entries = newest_entries(cut, length, "batch").drop("batch")
+    if whole:
+        kept = NewestEntries(log.spark, f"{log.path}/newest", table_id, length)
+        entries = entries.unionByName(kept.of(whole, lambda some: log.in_batches(some, table_id)))
+    found = merged_feed(entries, length)
+    rows = found.collect()  # `length` entries
+    if not all(r["whole"] for r in rows) or (len(rows) < length and len(newest) == 2 * length):
+        return _feed_from_log(log, table_id, after, length)
+    return local_table(log.spark, [tuple(r) for r in rows], found.schema).drop("whole").orderBy(F.desc("seq"))
+
+
+def _feed_from_log(log: EventLog, table_id: int, after: int, length: int) -> DataFrame:
+    """Only events of the newest snapshots that hold ``2 * length`` of them can be among the entries: counting
+    narrow columns finds the snapshot from which to read."""
     events = log.read(table_id, after=after)
     newest = events.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("snapshot_id"))
     enough, low = 0, None

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from rowtide.operators.pairs import feed
 from rowtide.operators.positions import LogWasReset, PositionTooOld, check_position, position_status
 from rowtide.sources import files
 from rowtide.sources.lake import Lake
@@ -308,6 +309,29 @@ def test_feed(world):
     assert len(activity_feed(world.log, world.table).collect()) == 5
 
 
+def test_feed_from_kept_entries(world, monkeypatch):
+    """From every position as the log itself says, also where it cuts a batch or an update; and once a batch was asked
+    about, its events are not opened again."""
+    world.publish()
+    for n in range(4):
+        world.lake.replace(world.table, world.rows([(k, f"x{n if k % 2 else 0}") for k in range(1 + n, 6 + n)]))
+        world.publish()
+    opened, real = [], world.log.in_batches
+
+    def watched(tokens, table_id, after=None):
+        opened.append(len(tokens))
+        return real(tokens, table_id, after)
+
+    monkeypatch.setattr(world.log, "in_batches", watched)
+    for length in (2, 5):
+        for after in range(0, world.log.head() + 1, 3):
+            expected = feed(world.log.read(world.table, after=after), length).collect()
+            assert activity_feed(world.log, world.table, after, length).collect() == expected
+        assert sum(opened) > 0
+        opened.clear()
+        assert len(activity_feed(world.log, world.table, length=length).collect()) == length and sum(opened) == 0
+
+
 def test_stream_keeps_running_and_disconnects(world):
     reader = world.follower()
     query = reader.start(f"{world.folder}/cp", start_after=0, interval="0 seconds")
