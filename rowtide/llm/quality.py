@@ -10,8 +10,10 @@ table, of bounded size whatever the corpus, is what the driver fits the model on
 are joined back by.
 
 Defined results: a null text has no words (and so fails the base rule); null ids and repeated rows are
-documents of their own; ``judge`` leaves extra columns out, ``keep_good`` passes them through, whatever
-their names.
+documents of their own, and rows of equal texts get equal verdicts, so there are no ties; texts are measured as
+a whole at any length (the vocabulary rule abstains above 1,000 words, as long texts repeat words anyway); an
+empty table gives an empty table; ``judge`` leaves extra columns out, ``keep_good`` passes them through,
+whatever their names.
 """
 
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from rowtide.llm.words import SPACE, Slice, prefix_sums, slices, stretch_hashes,
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+PRIOR_DOCS = 1_000  # documents that the prior of the model weighs as much as
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -168,14 +171,15 @@ RULES = (
 )
 
 
-def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, share: float = 0.85) -> np.ndarray:
+def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 500, share: float = 0.85, prior_docs: float = PRIOR_DOCS) -> np.ndarray:
     """Posterior probability of being good for each pattern of votes (rows of -1, 0, 1).
 
     A hidden class per document, and per class and rule the probability that a vote cast is "bad";
     abstaining says nothing. Expectation-maximisation over the weighted patterns estimates both and the
     share of good documents (``share`` is the first guess). The rules are written to blame seldom and
     for different faults, so the prior is that one in 250 good and one in 4 bad documents is blamed by a
-    rule that votes; it weighs as much as the documents, and fixes which class is the good one."""
+    rule that votes; it fixes which class is the good one. It weighs as much as ``prior_docs`` documents, so the
+    votes of a corpus outweigh it."""
     if not len(votes):
         return np.zeros(0)
     blame, praise = (votes == 0).astype(float), (votes == 1).astype(float)
@@ -189,8 +193,8 @@ def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, share: float =
         if np.abs(good - before).max() < 1e-9:
             break
         belief = np.stack([1 - good, good]) * weight
-        rate = (belief @ blame + total * prior) / (belief @ (blame + praise) + total)
-        share = float((belief[1].sum() + 0.85 * total) / (2 * total))
+        rate = (belief @ blame + prior_docs * prior) / (belief @ (blame + praise) + prior_docs)
+        share = float((belief[1].sum() + 0.85 * prior_docs) / (total + prior_docs))
     return good
 
 

@@ -55,6 +55,22 @@ def test_fit_finds_the_precise_rules():
     assert (judged == good).mean() > 0.97
 
 
+def test_votes_outweigh_the_prior():
+    """Rules whose rates are far from the prior: the same votes, of more documents, are judged better, and a rule that
+    blames at random, as often in either class, ends up without a say."""
+    r = np.random.default_rng(5)
+    rates = np.array([[0.8, 0.7, 0.9, 0.6, 0.3], [0.05, 0.1, 0.02, 0.08, 0.3]])  # bad, good; the last at random
+    good = r.random(50_000) < 0.7
+    votes = np.where(r.random((50_000, 5)) < rates[good.astype(int)], 0, 1)
+    patterns, which, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    exact = np.array([np.prod(np.where(p == 0, rates, 1 - rates), axis=1) * [0.3, 0.7] for p in patterns])
+    exact = exact[:, 1] / exact.sum(axis=1)
+    few, many = (np.abs(quality.fit(patterns, count * k) - exact) @ count / count.sum() for k in (0.01, 20.0))
+    assert many < 0.01 < few
+    judged = {tuple(p): g for p, g in zip(patterns, quality.fit(patterns, count * 20.0))}
+    assert all(abs(judged[(*p[:4], 0)] - judged[(*p[:4], 1)]) < 0.1 for p in patterns if (*p[:4], 0) in judged and (*p[:4], 1) in judged)
+
+
 def test_labels(spark):
     """Held against labels the rules never see: junk goes, good documents stay."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
