@@ -23,8 +23,10 @@ in the bucket of that one only. The others are confirmed by their edit distance,
 what is allowed.
 
 Equal lines are one before any of this, and everything is DataFrame operations. Defined results: a null text
-has no lines; a null doc_id ranks last; rows of one doc_id and text are one document; extra columns
-are passed through by ``keep_lines``, whatever their names; an empty table gives an empty table.
+has no lines; a null doc_id ranks last; rows of one doc_id and text are one document, and texts of one doc_id rank
+by a hash of the text, so that of two lines one is always the earlier; a text of any length is its lines, and lines of
+2 ** 20 code points or more are one class; extra columns are passed through by ``keep_lines``, whatever their
+names; an empty table gives an empty table.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F

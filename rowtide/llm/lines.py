@@ -9,7 +9,8 @@ A unit that its own text has before is found where the text is read; only a text
 shuffled, and counted per digest before that, so a unit in every document costs no more than any other.
 
 Defined results: a null text has no units; a null doc_id ranks last; rows of one doc_id and text are
-one document; extra columns are left out; an empty table gives an empty table.
+one document, and texts of one doc_id rank by a hash of the text, so there are no ties; a text of any length is taken
+whole, by one task; extra columns are left out; an empty table gives an empty table.
 """
 
 import hashlib

@@ -17,8 +17,9 @@ above, and links of a group support one another.
 
 Candidates are confirmed on the full shingle sets. Defined results: null or empty texts, and texts
 without words, have an empty set and are linked with nothing; rows of one doc_id count as one document of
-the graph; rows without doc_id are not linked (``component_id`` null, kept); extra columns are left out;
-an empty table gives an empty table.
+the graph; rows without doc_id are not linked (``component_id`` null, kept); of a group the smallest doc_id stays,
+so there are no ties; all shingles of a text count, at any length; extra columns are left out; an empty table
+gives an empty table.
 """
 
 from collections.abc import Iterator

@@ -13,7 +13,8 @@ source; only the sum of all sizes and the number of drawn blocks come to the dri
 
 Defined results: a null text has size 0, a null source is a source of its own (the last), equal ids of a source
 stand next to each other in the order of their sizes; sources without words have target 0. Extra columns are
-passed through by ``mixed`` and left out by ``drawn``. An empty table gives an empty table.
+passed through by ``mixed`` and left out by ``drawn``. A text of any length is drawn as a whole or not. An empty table
+gives an empty table.
 """
 
 import math
@@ -200,7 +201,8 @@ def drawn(
 
 def mixed(docs: DataFrame, seed: str = SEED, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are drawn, put together by shard and shuffled
-    within. Rows of one doc_id and source must be alike in size to be told apart by nothing else."""
+    within. Rows are told apart by doc_id, source and size: those alike in all three take
+    the shards of all of them in turns, so that none is multiplied."""
     plan = drawn(docs, seed=seed, **settings).where(F.size("shards") > 0).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "shards")
     # Equal rows of the plan are one, with all their shards, so that repeated rows are not multiplied.
