@@ -1,4 +1,10 @@
-"""A corpus from raw documents to token ids in five stages, each a Parquet table that the next one reads."""
+"""A corpus from raw documents to token ids in five stages, each a Parquet table that the next one reads.
+
+Defined results: a null or empty text has no words and goes with the quality rules; rows without doc_id stay in the line
+dedup's order (they rank last), are not linked by the near dedup, and are drawn and encoded like others; repeated rows
+of one doc_id and text count as one document where lines are compared and as rows of their own in the mix; texts of
+any length are taken whole; extra columns are passed through up to the encoding; an empty table gives an empty table.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
