@@ -30,7 +30,7 @@ def by_rule(texts, edits, min_chars):
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3, 4])
-def test_bit_parallel_distance(spark, edits):
+def test_bounded_distance(spark, edits):
     r, rows = random.Random(edits), []
     for _ in range(600):
         a = [r.choice("abc") for _ in range(r.randrange(edits + 1, 22))]
