@@ -13,6 +13,7 @@ from rowtide.settings import local_table, tracked_dir
 
 # Rows of one key that share a piece at most, when the order column has no repeated value.
 CELL_WIDTH = 65_536
+PIECE_BITS = 16  # rows of one partition that are numbered together, as a power of two
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
@@ -59,25 +60,25 @@ def number_rows(
 
 def number_groups(
     df: DataFrame, groups: list[str], inside: list[str], out: str = "seq", base: int = 0, stage: str | None = None,
+    piece_bits: int = PIECE_BITS,
 ) -> tuple[DataFrame, int]:
     """Number rows ``base+1, base+2, …`` with the ``groups`` in order; give them and their count.
 
-    Rows stay in the partitions they come in and are sorted there only, so a group of any size is spread
-    as its rows were. Within a group the partitions follow one another, each ordered by ``inside``. The
-    counts per group and partition are numbered like rows with a weight, whatever their number, and
-    joined back.
+    Rows are written as they come, and dealt in pieces of ``2 ** piece_bits`` rows of a partition, so neither
+    a group nor a partition of any size is sorted as a whole. Within a group the pieces follow one another,
+    each ordered by ``inside``. The counts per group and piece are numbered like rows with a weight, whatever
+    their number, and stand before the rows of their piece as one row more.
     """
-    staged = _staged(df.sortWithinPartitions(*groups, *inside), stage and f"{stage}/placed")
-    pieces = staged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    pieces = pieces.withColumnRenamed("_part", "_from")  # _part is taken while the pieces are numbered
-    ended, count = number_rows(pieces, [*groups, "_from"], "_end", base, stage and f"{stage}/pieces", weight="_n")
-    offsets = ended.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_from"),
-        (F.col("_end") - F.col("_n") + 1 - F.col("_first")).alias("_offset"))
-    same = staged["_part"] == offsets["_from"]
-    for i, g in enumerate(groups):
-        same = same & staged[g].eqNullSafe(offsets[f"_g{i}"])
-    numbered = staged.join(offsets, same).withColumn(out, (F.col("_place") + F.col("_offset")).cast("long"))
+    staged = _staged(df, stage and f"{stage}/placed").withColumn("_piece", F.shiftright("_place", piece_bits))
+    pieces = staged.groupBy(*groups, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    ended, count = number_rows(pieces, [*groups, "_piece"], "_end", base, stage and f"{stage}/pieces", weight="_n")
+    starts = ended.select(*groups, "_piece", (F.col("_end") - F.col("_n")).alias("_start"))
+    both = staged.withColumn("_start", F.lit(None).cast("long")).unionByName(starts, allowMissingColumns=True)
+    # The last group column comes first: a writer with a folder per value of it need not sort again.
+    piece = W.partitionBy(*reversed(groups), "_piece").orderBy(F.desc_nulls_last("_start"), *inside, "_place")
+    start = F.first("_start", ignorenulls=True).over(piece.rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = both.withColumn("_base", start).withColumn("_number", F.row_number().over(piece) - 1)
+    numbered = placed.filter(F.col("_start").isNull()).withColumn(out, F.col("_base") + F.col("_number"))
     return numbered.select(out, *[c for c in df.columns if c != out]), count
 
 
@@ -96,8 +97,8 @@ def assign_seq(
     events: DataFrame, base: int = 0, stage: str | None = None, total_order: bool = False
 ) -> tuple[DataFrame, int]:
     """Give the events of ``union_log`` the next numbers of the log: snapshots ascending, markers
-    in their place, tables ascending. Within one commit to one table the order is free, so no
-    shuffle is spent on it; ``total_order`` sorts by row id there too."""
+    in their place, tables ascending. Within one commit to one table the order is free, so rows are
+    sorted in pieces only; ``total_order`` sorts by row id there too."""
     if total_order:
         numbered, count = number_rows(events, EVENT_ORDER, "seq", base, stage)
     else:

@@ -33,6 +33,19 @@ def test_hot_group_is_gap_free(spark):
     assert [g for _, g in places] == sorted(g for _, g in places)
 
 
+def test_groups_are_sorted_in_pieces_of_a_partition(spark):
+    """A partition of any size is never sorted as a whole: rows are ordered within pieces, which follow one another."""
+    df = spark.range(10).select(F.lit(None).cast("long").alias("g"), (9 - F.col("id")).alias("rowid")).coalesce(1)
+    numbered, count = number_groups(df, ["g"], ["rowid"], base=5, piece_bits=2)
+    found = [(r["seq"], r["rowid"]) for r in numbered.orderBy("seq").collect()]
+    assert count == 10 and found == list(zip(range(6, 16), [6, 7, 8, 9, 2, 3, 4, 5, 0, 1]))
+    mixed = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").alias("rowid")).repartition(3)
+    numbered, count = number_groups(mixed, ["g"], ["rowid"], piece_bits=4)
+    places = [(r["seq"], r["g"]) for r in numbered.orderBy("seq").collect()]
+    assert count == 1000 and [p for p, _ in places] == list(range(1, 1001))
+    assert [g for _, g in places] == sorted(g for _, g in places)
+
+
 def test_numbers_do_not_depend_on_the_number_of_groups(spark, folder):
     """One input staged once: many more groups beside it, and other joins, leave its numbers as they are."""
     few = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").alias("rowid")).repartition(4)
