@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.events import CHANGE, DELETE, INSERT, UPDATE_POST, UPDATE_PRE
+from rowtide.operators.sequence import CELL_WIDTH
 from rowtide.schemas import with_rowkey
 
 PAIR = ["table_id", "snapshot_id", "rowid", "rowkey"]
@@ -18,11 +19,13 @@ def pair_updates(events: DataFrame, lone: bool = False) -> DataFrame:
     after, first_seq, last_seq``.
 
     Copies of a half count once. Groups are reduced before the shuffle, so many copies of one half
-    stay harmless. With ``lone`` updates that miss a half are given too.
+    stay harmless, and rows are dealt by key and stretch of the log before that: reducing sorts them, which
+    a task with a whole file of rows cannot do in memory. With ``lone`` updates that miss a half are given too.
     """
     pre, post = F.col("change_type") == UPDATE_PRE, F.col("change_type") == UPDATE_POST
     first_pre, first_post = F.min(F.when(pre, F.col("seq"))), F.min(F.when(post, F.col("seq")))
-    paired = with_rowkey(halves(events)).groupBy(*PAIR).agg(
+    dealt = with_rowkey(halves(events)).repartition(*PAIR, F.floor(F.col("seq") / CELL_WIDTH))
+    paired = dealt.groupBy(*PAIR).agg(
         F.max(F.when(pre, F.col("row"))).alias("before"),
         F.max(F.when(post, F.col("row"))).alias("after"),
         F.least(first_pre, first_post).alias("first_seq"),

@@ -58,6 +58,16 @@ def test_pairs_in_any_order_and_number(log_of):
     assert (lone["before"], lone["after"], lone["first_seq"]) == ("p", None, 1)
 
 
+def test_pairs_are_reduced_in_small_parts(log_of):
+    """Rows are dealt before they are reduced, so that no task sorts all rows of a file of the log."""
+    log = log_of([("update_preimage", 1, "p", 7), ("update_postimage", 1, "q", 7)] * 3)
+    plan = pair_updates(log.withColumn("seq", F.col("seq") * 50_000))  # the copies lie in several stretches
+    assert [(r["before"], r["after"], r["first_seq"], r["last_seq"]) for r in plan.collect()] == [("p", "q", 50_000, 100_000)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    lowest = [line for line in text.splitlines() if "Exchange" in line or "Aggregate" in line][-1]
+    assert "REPARTITION_BY_COL" in lowest
+
+
 def test_typed_changes(log_of):
     log = log_of([("insert", 1, "a"), ("update_postimage", 1, "b", 2), ("update_preimage", 1, "a", 2), ("delete", 1, "b", 3), ("schema_changed", [])])
     found = [tuple(r) for r in typed_changes(log).orderBy("seq").select("seq", "type", "snapshot", "row", "before").collect()]
