@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.events import CHANGE, describe
-from rowtide.operators.dedup import first_copies, not_in_log
+from rowtide.operators.dedup import least_copies, not_in_log
 from rowtide.operators.positions import log_bounds
 from rowtide.operators.sequence import assign_seq, union_log
 from rowtide.operators.view import drop_points, stop_at_drop
@@ -110,9 +110,7 @@ class EventLog:
         last = self.newest()
         if not distinct:
             low = events.agg(F.min("snapshot_id").alias("s")).first()["s"]
-            # Copies of an id may differ in what they carry; the least by all columns stays.
-            payload = F.struct(*[F.col(f"`{c}`") for c in events.columns if c != "message_id"])
-            events = first_copies(events.withColumn("_at", payload), order="_at").drop("_at")
+            events = least_copies(events)  # copies of an id may differ in what they carry
             if low is not None:
                 events = not_in_log(events, self._holding(events, low))
         token = f"{last['ordinal'] + 1:012d}-{uuid.uuid4().hex}"

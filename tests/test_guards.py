@@ -193,3 +193,22 @@ def test_id_filters_spare_batches(spark, folder):
         for path in Path(f"{log.events_path}/batch={token}").rglob("*.parquet"):
             path.write_bytes(b"not parquet")
     assert log.publish(events(7_000, 7_003), 1, 1)["rows"] == 0
+
+
+def test_id_filters_are_made_and_asked_in_small_parts(spark, folder, never_broadcast):
+    """An id has its bits in one bitmap, and no batch is gathered in one task to make its filter."""
+    from rowtide.sources.idfilter import _BITS, IdFilters, places
+
+    ids = spark.range(3_000).select(
+        F.when(F.col("id") < 2_900, "a").otherwise("b").alias("batch"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"))
+    found = ids.select(places("message_id", F.lit(8).cast("long")).alias("p")).select(
+        F.size(F.array_distinct(F.transform("p", lambda p: F.floor((p - 1) / _BITS)))).alias("n"),
+        F.array_min("p").alias("low"), F.array_max("p").alias("high"))
+    assert found.agg(F.max("n"), F.min("low") >= 1, F.max("high") <= 8 * _BITS).first() == (1, True, True)
+    filters = IdFilters(spark, f"{folder}/ids")
+    plan = filters._bitmaps(ids, [("a", 8), ("b", 1)])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(batch" not in plan and "hashpartitioning(filter" in plan
+    sizes = spark.createDataFrame([("a", 2_900), ("b", 100)], "batch string, rows long")
+    filters.build(sizes, ids)
+    held = lambda low, high: {r["batch"] for r in filters.holding(ids.offset(low).limit(high - low).select("message_id"), sizes).collect()}
+    assert held(0, 2_900) >= {"a"} and held(2_900, 3_000) >= {"b"} and held(0, 3_000) == {"a", "b"}

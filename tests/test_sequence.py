@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtide.operators import sequence
-from rowtide.operators.dedup import first_copies, not_in_log
+from rowtide.operators.dedup import first_copies, least_copies, not_in_log
 from rowtide.operators.metrics import exact_percentiles
 from rowtide.operators.sequence import assign_seq, look_along, number_groups, number_rows, running_count, union_log
 from rowtide.schemas import EVENT
@@ -103,6 +103,14 @@ def test_first_copies_of_a_hot_id(spark):
     assert not_in_log(df, df.filter("message_id = 'hot'")).count() == 6000
 
 
+def test_least_copies(spark):
+    rows = [("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, "q"), ("b", 0, "p"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "message_id string, k int, `v.w` string").select("k", "message_id", "`v.w`")
+    found = least_copies(df)
+    assert found.columns == df.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", "y"), (None, "b", "q"), (1, None, "n")], key=str)
+
+
 def test_percentiles(spark):
     rng = random.Random(2)
     values = [7.0] * 400 + [rng.random() * 20 for _ in range(777)]
