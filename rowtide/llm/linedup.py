@@ -31,7 +31,7 @@ names; an empty table gives an empty table.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.llm.stage import staged
+from rowtide.llm.stage import bucketed, discard, staged
 
 EDITS = 1
 MIN_CHARS = 40
@@ -175,13 +175,15 @@ def possible(left: str, right: str, edits: int | str) -> Column:
         & (moved("n0", "n1") <= 2 * F.col(f"{left}.tight")) & (moved("n0", "n1", "f0", "f1") <= 2 * most))
 
 
-def _confirmed(pairs: DataFrame, distinct: DataFrame, edits: int | str) -> DataFrame:
+def _confirmed(pairs: DataFrame, distinct: DataFrame, edits: int | str, label: str) -> DataFrame:
     """Of pairs of lines ``x`` and ``y`` (ids), the ``later`` one of those within ``edits``."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     texts = staged(distinct.select("id", "line").join(asked, "id", "left_semi"), "texts")
     named = lambda side: texts.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"))
     met = pairs.join(named("x"), "x").join(named("y"), "y")
-    return met.where(within("x_line", "y_line", edits)).select(F.col("later").alias("id")).distinct()
+    found = staged(met.where(within("x_line", "y_line", edits)).select(F.col("later").alias("id")).distinct(), label)
+    discard(texts)
+    return found
 
 
 def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -193,27 +195,39 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     seen = lines.groupBy("l1", "l2").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     distinct = staged(seen.withColumns({"id": F.monotonically_increasing_id(), "size": F.char_length("line")}), "distinct-lines")
-    often = distinct.where("n > 1").select("l1", "l2", "first")
+    often = staged(distinct.where("n > 1").select("l1", "l2", "first"), "often")
     equal = lines.select(place.alias("gone"), "l1", "l2").join(often, ["l1", "l2"]).where("gone > first").select("gone")
 
     # Buckets that hold two different lines, one of them under its own segment. Both sides of the join read the
-    # same exchange.
+    # same exchange, and what is kept of a bucket is one number, so the keys are not sorted.
     keys = segment_keys(distinct, edits, min_chars).repartition("key")
     line_id = parts_of()["id"]
     live = keys.groupBy("key").agg(F.min(line_id).alias("a"), F.max(line_id).alias("b"), F.max(F.col("code").bitwiseAND(1)).alias("own"))
-    live = live.where("a <> b AND own = 1").select(F.col("key").alias("_key"))
+    live = live.where("a <> b AND own = 1").select(F.col("key").alias("_key")).hint("shuffle_hash")
     met = keys.join(live, F.col("key") == F.col("_key")).select("key", "code").distinct()
     met = staged(met.select("key", *[c.alias(n) for n, c in parts_of().items()]), "met")
     asked = met.select("id", "down").distinct()
-    known = _sketches(distinct.select("id", "first", "size", "line").join(asked, "id"), edits, min_chars)
+    known = staged(_sketches(distinct.select("id", "first", "size", "line").join(asked, "id"), edits, min_chars), "sketches")
     at_end, i = F.col("block") >= 64, F.col("block").bitwiseAND(63)
     side = lambda begin, end: F.when(at_end, F.col(end)).otherwise(F.col(begin))
     at = F.struct(
         "first", "size", F.floor((F.col("most") - at_end.cast("int")) / 2).cast("int").alias("tight"),
         F.when(i == 0, F.col("id")).otherwise(side("first_block", "last_block")).alias("outer"),
         side("b0", "e0").alias("n0"), side("b1", "e1").alias("n1"), side("e0", "b0").alias("f0"), side("e1", "b1").alias("f1"), "id")
-    met = staged(met.join(known, ["id", "down"]).select("key", "own", at.alias("at")), "buckets")
+    with bucketed(met.join(known, ["id", "down"]).select("key", "own", at.alias("at")), "buckets", "key") as buckets:
+        discard(met)
+        discard(known)
+        near, more = _near(buckets, distinct, edits)
+    gone = distinct.select("id", F.col("first").alias("gone")).join(near.union(more).distinct(), "id").select("gone")
+    gone = staged(gone, "gone")
+    for done in (near, more, distinct):
+        discard(done)
+    return equal.union(gone).select("gone.*")
+
 
+def _near(met: DataFrame, distinct: DataFrame, edits: int | str) -> tuple[DataFrame, DataFrame]:
+    """``id`` of every line with an earlier one near it in a bucket (``key, own, at``): those near the earliest line
+    of a bucket, and those near another one."""
     own, other = F.when(F.col("own"), F.col("at")), F.when(~F.col("own"), F.col("at"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
     against = F.explode(F.array("own_pivot", F.when(F.col("own"), F.col("other_pivot")))).alias("y")
@@ -221,7 +235,7 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     star = star.where((F.col("x.id") != F.col("y.id")) & possible("x", "y", edits))
     later = F.when(F.col("x.first") > F.col("y.first"), F.col("x.id")).otherwise(F.col("y.id")).alias("later")
     star = staged(star.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), later).distinct(), "star")
-    near = staged(_confirmed(star, distinct, edits), "near")
+    near = _confirmed(star, distinct, edits, "near")
 
     # The rest: lines that still stand, against all earlier ones of their buckets.
     standing = met.join(near, met["at.id"] == near["id"], "left_anti")
@@ -230,9 +244,10 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     rest = one.join(two, "key").where("(x_own OR y_own) AND y.first < x.first").where(possible("x", "y", edits))
     rest = rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.id").alias("later")).distinct()
     rest = staged(rest.join(star.select("x", "y"), ["x", "y"], "left_anti"), "rest")
-    more = _confirmed(rest, distinct, edits)
-    gone = distinct.select("id", F.col("first").alias("gone")).join(near.union(more).distinct(), "id").select("gone")
-    return equal.union(gone).select("gone.*")
+    more = _confirmed(rest, distinct, edits, "more")
+    discard(star)
+    discard(rest)
+    return near, more
 
 
 def marked(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
