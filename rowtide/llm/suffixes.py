@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm.stage import bounded_batches, discard, staged
+from rowtide.llm.stage import bounded_batches, discard, shuffles_removed, staged
 from rowtide.llm.words import SLICE_BYTES, U64, mix, prefix_sums, signed, slices, stretch_hashes
 
 LENGTH = 100
@@ -141,8 +141,9 @@ class SuffixIndex:
     def _save(self, rows: DataFrame) -> str:
         self._made += 1
         table = f"{self._name}_{self._made}"
-        (rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h", "s").sortBy("h", "s")
-         .saveAsTable(table))
+        with shuffles_removed(self.spark):
+            (rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h", "s").sortBy("h", "s")
+             .saveAsTable(table))
         return table
 
     def _drop(self, table: str) -> None:
@@ -169,20 +170,20 @@ class SuffixIndex:
         firsts = entries.where("NOT again").join(
             known.where("NOT old").select("h", "s", "own.*"), ["h", "s", "doc", "t", "start"])
         firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "t", "start", "n", "a")
-        size, merged, old = 0, firsts, []
+        size, merged = 0, self._save(firsts)
+        discard(known)
         while self.levels and self.levels[0][0] == size:
-            merged, table = self._merged(merged, self.levels[0][1]), self.levels.pop(0)[1]
+            pair = merged, self.levels.pop(0)[1]
+            merged = self._save(self._merged(*pair))
             size += 1
-            old.append(table)
-        self.levels.insert(0, (size, self._save(merged)))
-        for table in old:
-            self._drop(table)
-        discard(known)
+            for table in pair:
+                self._drop(table)
+        self.levels.insert(0, (size, merged))
         return repeats
 
-    def _merged(self, rows: DataFrame, table: str) -> DataFrame:
-        """Two levels as one: no span is in both."""
-        both = rows.alias("a").join(self.spark.table(table).alias("b"), ["h", "s"], "full")
+    def _merged(self, newer: str, older: str) -> DataFrame:
+        """Two levels as one: no span is in both. Their buckets meet as they are."""
+        both = self.spark.table(newer).alias("a").join(self.spark.table(older).alias("b"), ["h", "s"], "full")
         return both.select("h", "s", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("f", "doc", "t", "start", "n", "a")])
 
     def rows(self) -> DataFrame:
@@ -228,12 +229,17 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                     [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
                      pa.array([t] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
 
-    strings = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
+    # Each of these is written before the next begins, so that texts are hashed once and one shuffle is there at a time.
+    strings = staged(texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean"), "strings")
     text = F.struct("doc", "t")
     several = strings.where("NOT again").groupBy("w", "v").agg(F.min(text).alias("first"), F.max(text).alias("last"))
-    several = several.where("first <> last").drop("last")
-    later = strings.join(several, ["w", "v"], "left").where(F.col("again") | (text > F.col("first")))
-    return later.select("doc", "t", "start", F.lit(1).cast("short").alias("n"))
+    several = staged(several.where("first <> last").drop("last"), "several")
+    later = strings.where("NOT again").join(several, ["w", "v"]).where(text > F.col("first")).select("doc", "t", "start")
+    later = later.union(strings.where("again").select("doc", "t", "start"))
+    later = staged(later.select("doc", "t", "start", F.lit(1).cast("short").alias("n")), "later")
+    discard(strings)
+    discard(several)
+    return later
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -258,8 +264,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
                            ("h", F.col("start") + F.greatest(left, F.lit(0)), F.col("n") - F.greatest(left, F.lit(0)))):
         shared = spans.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(side)
         some = spans.join(shared, side).select("doc", "t", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
+        some = staged(some, "shared")  # one side after the other: each shuffles all spans
         mixed = some if mixed is None else mixed.union(some)
-    mixed = staged(mixed, "shared")
     index.drop()
     return found.union(single_strings(docs, mixed, length))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.llm import linedup, stage
+from rowtide.llm import linedup, stage, suffixes
 from .conftest import prose
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,3 +52,15 @@ def test_lines_leave_no_shuffle_and_no_table(spark, make):
     linedup.repeated_lines(docs, linedup.BY_LENGTH)
     assert not shuffle_files(spark) - before
     assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_strings_are_hashed_once(spark, make, monkeypatch):
+    """Of the strings that are compared one by one, texts and shuffles are done with when they are handed on."""
+    docs = make({i: prose(i % 9, 150) + f" {i}" for i in range(30)}, repeat=(), nameless=False)
+    docs = docs.select(F.col("doc_id").alias("doc"), "text", F.lit(0).cast("long").alias("t"))
+    spans = docs.select("doc", "t", F.lit(0).alias("start"), F.lit(200).cast("short").alias("n"))
+    before = shuffle_files(spark)
+    found = suffixes.single_strings(docs, spans)
+    assert not shuffle_files(spark) - before
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("doc").count().where("count = 200").count() == 21
