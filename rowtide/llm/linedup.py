@@ -16,7 +16,9 @@ that a line has a key for every word start near a block and not for every move.
 by all their characters. A line looks up in the class below as well if a line there can be near.
 
 In a bucket all lines first meet the earliest one; only those that found no near line there meet all
-others. Before texts are compared, pairs are ruled out by what the bucket stands for. The blocks from the begin and
+others. In a crowd, a bucket of more than ``CROWD`` rows, they meet as texts, each until it finds a near one, so
+that what is written grows with the lines and not with their pairs: lines of one template that are all further apart than
+their edits share most blocks and letters, and nothing but their texts tells them apart. Before texts are compared, pairs are ruled out by what the bucket stands for. The blocks from the begin and
 those from the end do not overlap, so the differences in letters of the two parts add up to at most twice the
 edits; the part of the bucket's block has fewer edits than blocks; and a pair with an equal outermost block meets
 in the bucket of that one only. The others are confirmed by their edit distance, which is not followed beyond
@@ -29,6 +31,8 @@ by a hash of the text, so that of two lines one is always the earlier; a text of
 names; an empty table gives an empty table.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.llm.stage import bucketed, discard, staged
@@ -38,6 +42,8 @@ MIN_CHARS = 40
 BY_LENGTH = "by length"
 CHARS_AN_EDIT = 20
 MOST_EDITS = 10
+CROWD = 128  # rows of a bucket from which its pairs are not written before they are confirmed
+CROWD_PIECE = 1024  # lines of a crowd that one task holds against all others
 
 _LONGEST = 1 << 20  # lines from here on are one class
 _COUNTED = "abcdefghijklmnopqrstuvwxyz ,.012"  # characters counted to tell lines apart before their texts are compared
@@ -217,17 +223,17 @@ def repeated_lines(docs: DataFrame, edits: int | str = EDITS, min_chars: int = M
     with bucketed(met.join(known, ["id", "down"]).select("key", "own", at.alias("at")), "buckets", "key") as buckets:
         discard(met)
         discard(known)
-        near, more = _near(buckets, distinct, edits)
-    gone = distinct.select("id", F.col("first").alias("gone")).join(near.union(more).distinct(), "id").select("gone")
-    gone = staged(gone, "gone")
-    for done in (near, more, distinct):
+        found = _near(buckets, distinct, edits)
+    near = functools.reduce(DataFrame.union, found).distinct()
+    gone = staged(distinct.select("id", F.col("first").alias("gone")).join(near, "id").select("gone"), "gone")
+    for done in (*found, distinct):
         discard(done)
     return equal.union(gone).select("gone.*")
 
 
-def _near(met: DataFrame, distinct: DataFrame, edits: int | str) -> tuple[DataFrame, DataFrame]:
+def _near(met: DataFrame, distinct: DataFrame, edits: int | str) -> list[DataFrame]:
     """``id`` of every line with an earlier one near it in a bucket (``key, own, at``): those near the earliest line
-    of a bucket, and those near another one."""
+    of a bucket, those near another one of a crowd, and those near another one elsewhere."""
     own, other = F.when(F.col("own"), F.col("at")), F.when(~F.col("own"), F.col("at"))
     pivots = met.groupBy("key").agg(F.min(own).alias("own_pivot"), F.min(other).alias("other_pivot"))
     against = F.explode(F.array("own_pivot", F.when(F.col("own"), F.col("other_pivot")))).alias("y")
@@ -238,16 +244,40 @@ def _near(met: DataFrame, distinct: DataFrame, edits: int | str) -> tuple[DataFr
     near = _confirmed(star, distinct, edits, "near")
 
     # The rest: lines that still stand, against all earlier ones of their buckets.
-    standing = met.join(near, met["at.id"] == near["id"], "left_anti")
-    one = standing.select("key", F.col("own").alias("x_own"), F.col("at").alias("x"))
+    crowds = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowds = staged(crowds.select("key", F.ceil(F.col("n") / CROWD_PIECE).cast("int").alias("pieces")), "crowds")
+    crowd = _in_crowds(met.join(crowds, "key"), near, distinct, edits)
+    met = met.join(crowds, "key", "left_anti")
+    settled = near.union(crowd)
+    one = met.join(settled, met["at.id"] == settled["id"], "left_anti").select("key", F.col("own").alias("x_own"), F.col("at").alias("x"))
     two = met.select("key", F.col("own").alias("y_own"), F.col("at").alias("y"))
     rest = one.join(two, "key").where("(x_own OR y_own) AND y.first < x.first").where(possible("x", "y", edits))
     rest = rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.id").alias("later")).distinct()
     rest = staged(rest.join(star.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     more = _confirmed(rest, distinct, edits, "more")
-    discard(star)
-    discard(rest)
-    return near, more
+    for done in (star, crowds, rest):
+        discard(done)
+    return [near, crowd, more]
+
+
+def _in_crowds(met: DataFrame, near: DataFrame, distinct: DataFrame, edits: int | str) -> DataFrame:
+    """``id`` of every line but those of ``near`` with an earlier one near it in a crowd (``key, own, at, pieces``).
+
+    A line is held against the others until one is near, and no pair is written. Each piece of a crowd meets all of it."""
+    texts = distinct.select("id", "line").join(met.select(F.col("at.id").alias("id")).distinct(), "id", "left_semi")
+    rows = staged(met.withColumn("id", F.col("at.id")).join(texts, "id"), "crowd-lines")
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    one = rows.join(near, "id", "left_anti").select(
+        F.col("key").alias("x_key"), piece.alias("x_piece"), F.col("own").alias("x_own"), F.col("at").alias("x"), F.col("line").alias("x_line"))
+    two = rows.select(
+        F.col("key").alias("y_key"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("y_piece"),
+        F.col("own").alias("y_own"), F.col("at").alias("y"), F.col("line").alias("y_line"))
+    met_there = (F.col("x_key") == F.col("y_key")) & (F.col("x_piece") == F.col("y_piece"))
+    earlier = F.expr("(x_own OR y_own) AND y.first < x.first")
+    found = one.join(two, met_there & earlier & possible("x", "y", edits) & within("x_line", "y_line", edits), "left_semi")
+    found = staged(found.select(F.col("x.id").alias("id")).distinct(), "crowd")
+    discard(rows)
+    return found
 
 
 def marked(docs: DataFrame, edits: int | str = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

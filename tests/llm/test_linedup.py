@@ -114,6 +114,34 @@ def test_changed_words_by_length(make):
     assert (201, 0) in gone and len(gone) > len(by_rule(texts, 1, 40)) + 10
 
 
+def test_pairs_of_a_template_are_not_written(make, monkeypatch):
+    """Lines of one template, each with words of its own order, which has the same letters; a few near each other but
+    not near the first."""
+    r, words, texts = random.Random(11), prose(400, 200, 200)[:230].split(" "), {}
+    for i in range(40):
+        line, some = list(words), r.sample(range(len(words) // 2, len(words) - 4), 6)
+        for at, word in zip(some, r.sample([words[k] for k in some], 6)):
+            line[at] = word
+        texts[i] = " ".join(line)
+    texts |= {100 + i: texts[i * 7].replace("e", "q", 3) for i in range(1, 6)}
+    pairs, confirmed = [], linedup._confirmed
+
+    def counted(found, distinct, edits, label):
+        pairs.append((label, found.count()))
+        return confirmed(found, distinct, edits, label)
+
+    monkeypatch.setattr(linedup, "_confirmed", counted)
+    monkeypatch.setattr(linedup, "CROWD", 8, raising=False)
+    monkeypatch.setattr(linedup, "CROWD_PIECE", 16, raising=False)
+    found = linedup.marked(make(texts, repeat=()), linedup.BY_LENGTH).where("doc_id IS NOT NULL").collect()
+    near = lambda a, b: abs(len(a) - len(b)) <= 10 and distance(a, b) <= min(10, min(len(a), len(b)) // 20)
+    line = {i: t.strip(" ").lower() for i, t in texts.items()}
+    gone = {(i, 0) for i in line if any(near(line[j], line[i]) for j in line if j < i)}
+    assert {(r["doc_id"], k) for r in found for k in r["removed"]} == gone
+    assert {(100 + i, 0) for i in range(1, 6)} <= gone and len(gone) < 30
+    assert dict(pairs)["more"] <= 4 * len(texts)
+
+
 def test_production_finds_a_changed_word(spark, tmp_path):
     import corpus_pipeline
     from rowtide.llm.queries import QUERIES
