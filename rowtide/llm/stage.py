@@ -21,10 +21,7 @@ def bounded_batches(spark: SparkSession, bytes_: int = BATCH_BYTES) -> None:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is run inside loses its shuffle files as soon as it is done, not when the driver happens to collect its
-    garbage. For results that are written: nothing reads those files again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _switched_on(spark: SparkSession, key: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
@@ -33,6 +30,17 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is run inside loses its shuffle files as soon as it is done, not when the driver happens to collect its
+    garbage. For results that are written: nothing reads those files again."""
+    return _switched_on(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
+def buckets_in_order(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is run inside takes a bucket of one file as sorted, as it was written, and does not sort it again."""
+    return _switched_on(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering")
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder (``spark.checkpoint.dir``) and read it back.
 
@@ -45,15 +53,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def bucketed(df: DataFrame, label: str, column: str) -> Iterator[DataFrame]:
-    """``df`` as a table in buckets of ``column``, which is grouped and joined by it without a shuffle; it is there inside
-    only."""
+def bucketed(df: DataFrame, label: str, *columns: str) -> Iterator[DataFrame]:
+    """``df`` as a table in buckets of ``columns``, which is grouped and joined by them without a shuffle; it is there
+    inside only."""
     spark, table = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         with shuffles_removed(spark):
-            rows = df.repartition(n, column).write.format("parquet").option("compression", "zstd")
-            rows.bucketBy(n, column).sortBy(column).saveAsTable(table)
+            rows = df.repartition(n, *columns).write.format("parquet").option("compression", "zstd")
+            rows.bucketBy(n, *columns).sortBy(*columns).saveAsTable(table)
         yield spark.table(table)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

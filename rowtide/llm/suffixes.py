@@ -7,7 +7,8 @@ levels, each a suffix array in a table, of sizes that double:
 * a batch gets a suffix array of its own. It holds a suffix where it can matter only: of the ``gram``-byte
   strings in any ``length`` bytes the one with the smallest hash (the leftmost of equals) is the anchor, so
   two equal strings have their anchor at the same place, and about two suffixes in ``length - gram`` are kept;
-* the batch is scanned against each level by a merge join, level and batch being bucketed and sorted alike;
+* the batch is scanned against each level by a merge join, level and batch being bucketed and sorted alike, so a
+  batch is shuffled and sorted once;
 * then it becomes a level, and equally large levels are merged, by a merge join as well, into one of twice the size.
 
 An entry stands for all strings of ``length`` bytes with one anchor, which lie side by side: its *span* is
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm.stage import bounded_batches, discard, shuffles_removed, staged
+from rowtide.llm.stage import bounded_batches, bucketed, buckets_in_order, shuffles_removed, staged
 from rowtide.llm.words import SLICE_BYTES, U64, mix, prefix_sums, signed, slices, stretch_hashes
 
 LENGTH = 100
@@ -141,7 +142,7 @@ class SuffixIndex:
     def _save(self, rows: DataFrame) -> str:
         self._made += 1
         table = f"{self._name}_{self._made}"
-        with shuffles_removed(self.spark):
+        with shuffles_removed(self.spark), buckets_in_order(self.spark):
             (rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h", "s").sortBy("h", "s")
              .saveAsTable(table))
         return table
@@ -152,26 +153,21 @@ class SuffixIndex:
     def add(self, entries: DataFrame) -> DataFrame:
         """Scan a batch (entries of ``suffix_array``, later than all before) against the levels, and take it
         into the family. Gives the entries that an earlier text has in whole: ``doc, t, start, n``."""
-        place = F.struct("doc", "t", "start")  # a text in segments can have a span more than once without ``again``
-        distinct = entries.where("NOT again").groupBy("h", "s").agg(F.min(place).alias("own"), F.max(place).alias("last"))
-        known = distinct
-        for i, (_, table) in enumerate(self.levels):
-            level = self.spark.table(table).select("h", "s", F.lit(True).alias(f"in{i}"))
-            known = known.join(level, ["h", "s"], "left")
-        hit = F.lit(False)
-        for i in range(len(self.levels)):
-            hit = hit | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        known = staged(known.select("h", "s", "own", hit.alias("old"), (F.col("last") > F.col("own")).alias("twice")), "scanned")
-        several = known.where("old OR twice").select("h", "s", "own", "old")
-        repeats = entries.where("NOT again").join(several, ["h", "s"]).where(F.col("old") | (place > F.col("own"))).select(
-            "doc", "t", "start", "n")
-        repeats = staged(repeats.union(entries.where("again").select("doc", "t", "start", "n")), "repeated")
-
-        firsts = entries.where("NOT again").join(
-            known.where("NOT old").select("h", "s", "own.*"), ["h", "s", "doc", "t", "start"])
-        firsts = firsts.dropDuplicates(["h", "s"]).select("h", "f", "s", "doc", "t", "start", "n", "a")
-        size, merged = 0, self._save(firsts)
-        discard(known)
+        batch = self._save(entries.repartition(self.buckets, "h", "s"))
+        rows = self.spark.table(batch)  # a text in segments can have a span more than once without ``again``
+        fresh, again = rows.where("NOT again"), rows.where("again")
+        firsts = fresh.groupBy("h", "s").agg(F.min(F.struct("doc", "t", "start", "f", "n", "a")).alias("own"))
+        for _, table in self.levels:
+            firsts = firsts.join(self.spark.table(table).select("h", "s"), ["h", "s"], "left_anti")
+        size, merged = 0, self._save(firsts.select("h", "own.f", "s", "own.doc", "own.t", "own.start", "own.n", "own.a"))
+        # What is not a first occurrence stands earlier. No place of a span is before that of its first occurrence.
+        own = self.spark.table(merged).select(
+            F.col("h").alias("_h"), F.col("s").alias("_s"), F.struct("doc", "t", "start").alias("own"))
+        itself = (F.col("h") == F.col("_h")) & (F.col("s") == F.col("_s")) & (F.col("own") >= F.struct("doc", "t", "start"))
+        with buckets_in_order(self.spark):
+            repeats = fresh.join(own, itself, "left_anti").union(again).select("doc", "t", "start", "n")
+            repeats = staged(repeats, "repeated")
+        self._drop(batch)
         while self.levels and self.levels[0][0] == size:
             pair = merged, self.levels.pop(0)[1]
             merged = self._save(self._merged(*pair))
@@ -229,17 +225,15 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                     [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
                      pa.array([t] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
 
-    # Each of these is written before the next begins, so that texts are hashed once and one shuffle is there at a time.
-    strings = staged(texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean"), "strings")
+    # Texts are hashed once, and their strings are shuffled and sorted once: they are grouped and joined as they lie.
     text = F.struct("doc", "t")
-    several = strings.where("NOT again").groupBy("w", "v").agg(F.min(text).alias("first"), F.max(text).alias("last"))
-    several = staged(several.where("first <> last").drop("last"), "several")
-    later = strings.where("NOT again").join(several, ["w", "v"]).where(text > F.col("first")).select("doc", "t", "start")
-    later = later.union(strings.where("again").select("doc", "t", "start"))
-    later = staged(later.select("doc", "t", "start", F.lit(1).cast("short").alias("n")), "later")
-    discard(strings)
-    discard(several)
-    return later
+    found = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
+    with bucketed(found, "strings", "w", "v") as strings, buckets_in_order(docs.sparkSession):
+        several = strings.where("NOT again").groupBy("w", "v").agg(F.min(text).alias("first"), F.max(text).alias("last"))
+        several = several.where("first <> last").drop("last")
+        later = strings.where("NOT again").join(several, ["w", "v"]).where(text > F.col("first")).select("doc", "t", "start")
+        later = later.union(strings.where("again").select("doc", "t", "start"))
+        return staged(later.select("doc", "t", "start", F.lit(1).cast("short").alias("n")), "later")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -253,17 +247,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     for low, high in zip(edges[:-1], edges[1:]):
         batch = docs if low is None else docs.where(F.col("doc") > low)
         batch = batch if high is None else batch.where(F.col("doc") <= high)
-        entries = staged(suffix_array(batch.select("doc", "text", "t"), length, gram), "batch")
-        repeats = index.add(entries)
-        discard(entries)
+        repeats = index.add(suffix_array(batch.select("doc", "text", "t"), length, gram))
         found = repeats if found is None else found.union(repeats)
     # Strings that begin ``flank`` bytes or more before the anchor hold the left flank, all others the right one.
     spans, mixed, flank = index.rows(), None, (length - gram + 1) // 2
     left = F.least(F.col("n").cast("int"), F.col("a") - flank + 1)
     for side, start, n in (("f", F.col("start"), left),
                            ("h", F.col("start") + F.greatest(left, F.lit(0)), F.col("n") - F.greatest(left, F.lit(0)))):
-        shared = spans.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(side)
-        some = spans.join(shared, side).select("doc", "t", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
+        dealt = spans.select(side, "doc", "t", "start", "n", "a").repartition(side)  # one exchange is read twice, unsorted
+        shared = dealt.groupBy(side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col(side).alias("_side"))
+        some = dealt.join(shared.hint("shuffle_hash"), F.col(side) == F.col("_side"))
+        some = some.select("doc", "t", start.cast("int").alias("start"), n.cast("int").alias("n")).where("n > 0")
         some = staged(some, "shared")  # one side after the other: each shuffles all spans
         mixed = some if mixed is None else mixed.union(some)
     index.drop()
