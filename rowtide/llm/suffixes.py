@@ -31,9 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowtide.llm.stage import bounded_batches, bucketed, buckets_in_order, shuffles_removed, staged
+from rowtide.llm.stage import bounded_batches, buckets_in_order, shuffles_removed, staged
 from rowtide.llm.words import SLICE_BYTES, U64, mix, prefix_sums, signed, slices, stretch_hashes
 
 LENGTH = 100
@@ -90,11 +90,20 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
         yield low, part, np.array([0, len(part)])
 
 
+def text_ranks(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The place of every row's document in their order; rows of one document have the same."""
+    order = np.lexsort((texts, ids))
+    new = (ids[order][1:] != ids[order][:-1]) | (texts[order][1:] != texts[order][:-1])
+    ranks = np.zeros(len(ids), np.int64)
+    ranks[order[1:]] = np.cumsum(new)
+    return ranks
+
+
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The entries of a batch (``doc, text``, and ``t`` if ``doc`` has several texts): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
     flank, ``s`` hash of the span, ``doc``, ``t``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
-    anchor behind ``start``, and ``again``: the same segment of the text has that span before. Sorted within what a
-    task works on at once.
+    anchor behind ``start``, and ``again``: an earlier place in what a task works on at once has that span. Nothing more is
+    asked of such an entry, so its ``h`` is a number of its own, and many copies do not meet in one bucket.
 
     Where a flank is longer than the text, no string needs it, and it is cut where the text ends."""
     flank = (length - gram + 1) // 2
@@ -104,6 +113,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         for batch in batches:
             ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for part in slices(batch.column(1)):
+                ranks = text_ranks(ids[part.first: part.last], texts[part.first: part.last])
                 for low, data, ends in segments(part.data, part.ends, length):
                     start, n, anchor, row, sums = anchors(data, ends, length, gram)
                     if not len(start):
@@ -112,10 +122,14 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     f = signed(stretch_hashes(sums, np.maximum(anchor - flank, ends[row]), anchor + gram))
                     s = stretch_hashes(sums, start, start + n + length - 1)
                     s = signed(mix(s + U64(1000003) * n.astype(U64) + U64(998244353) * (anchor - start).astype(U64)))
-                    order = np.lexsort((start, row, s, h))
+                    order = np.lexsort((start - ends[row], ranks[row], s, h))
                     h, f, s, row, start, n, anchor = (x[order] for x in (h, f, s, row, start, n, anchor))
-                    again = np.zeros(len(h), bool)
-                    again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1]) & (row[1:] == row[:-1])
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+                    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+                    place = start - ends[row]
+                    again = (ranks[row] != ranks[row[first]]) | (place != place[first])
+                    h = np.where(again, signed(mix(h.view(U64) + ranks[row].astype(U64) * U64(1000003) + start.astype(U64))), h)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h), pa.array(f), pa.array(s), pa.array(ids[part.first + row]), pa.array(texts[part.first + row]),
                          pa.array((start - ends[row] + low).astype(np.int32)), pa.array(n.astype(np.int16)),
@@ -225,15 +239,12 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
                     [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
                      pa.array([t] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
 
-    # Texts are hashed once, and their strings are shuffled and sorted once: they are grouped and joined as they lie.
+    # Texts are hashed once, and their strings are shuffled and sorted once.
+    strings = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
     text = F.struct("doc", "t")
-    found = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
-    with bucketed(found, "strings", "w", "v") as strings, buckets_in_order(docs.sparkSession):
-        several = strings.where("NOT again").groupBy("w", "v").agg(F.min(text).alias("first"), F.max(text).alias("last"))
-        several = several.where("first <> last").drop("last")
-        later = strings.where("NOT again").join(several, ["w", "v"]).where(text > F.col("first")).select("doc", "t", "start")
-        later = later.union(strings.where("again").select("doc", "t", "start"))
-        return staged(later.select("doc", "t", "start", F.lit(1).cast("short").alias("n")), "later")
+    strings = strings.withColumn("first", F.min(text).over(Window.partitionBy("w", "v")))
+    later = strings.where(F.col("again") | (text > F.col("first")))
+    return staged(later.select("doc", "t", "start", F.lit(1).cast("short").alias("n")), "later")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:

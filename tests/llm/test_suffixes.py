@@ -71,6 +71,35 @@ def test_family_of_levels(spark):
     index.drop()
 
 
+def test_copies_within_a_slice_do_not_meet_in_one_bucket(make):
+    """Of equal texts one entry of each span is asked for; rows of one document are not each other's copies."""
+    entries = suffixes.suffix_array(make({i: prose(70, 200) for i in range(30)}, repeat=(0,)).where(
+        "doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text").coalesce(1))
+    rows = entries.collect()
+    fresh = [r for r in rows if not r["again"]]
+    assert {r["doc"] for r in fresh} == {0} and len({r["start"] for r in fresh}) * 2 == len(fresh)
+    assert len(rows) == 31 * len(fresh) // 2 and len({r["h"] for r in rows}) > len(rows) // 2
+
+
+def test_entries_are_shuffled_once(spark, capfd):
+    """A batch is dealt by its spans once; its firsts and its repeats are made in these buckets."""
+    index = suffixes.SuffixIndex(spark, buckets=2)
+    plans, save = [], suffixes.SuffixIndex._save
+
+    def seen(self, rows):
+        rows.explain()
+        plans.append(capfd.readouterr().out)
+        return save(self, rows)
+
+    suffixes.SuffixIndex._save, batch = seen, spark.createDataFrame([(1, prose(1, 60))], "doc long, text string")
+    try:
+        index.add(suffixes.suffix_array(batch))
+    finally:
+        suffixes.SuffixIndex._save = save
+        index.drop()
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) == 1
+
+
 def test_repeated_rows_null_id_empty(docs, empty):
     found = suffixes.without_repeats(docs)
     assert found.count() == docs.count()
