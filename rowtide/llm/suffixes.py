@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowtide.llm.stage import bounded_batches, buckets_in_order, shuffles_removed, staged
-from rowtide.llm.words import SLICE_BYTES, U64, mix, prefix_sums, signed, slices, stretch_hashes
+from rowtide.llm.words import SLICE_BYTES, U64, Slice, mix, prefix_sums, signed, slices, stretch_hashes
 
 LENGTH = 100
 GRAM = 24
@@ -99,6 +100,17 @@ def text_ranks(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def in_order(first: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """The order by ``first`` and, among equals, by the others in turn; these are sorted where ``first`` has equals only."""
+    order = np.argsort(first)
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = first[order[1:]] == first[order[:-1]]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    some = order[tied]
+    order[tied] = some[np.lexsort([x[some] for x in (*others[::-1], first)])]
+    return order
+
+
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The entries of a batch (``doc, text``, and ``t`` if ``doc`` has several texts): ``h`` suffix key (a hash of the right flank), ``f`` hash of the left
     flank, ``s`` hash of the span, ``doc``, ``t``, ``start`` of the span's first string, ``n`` strings, ``a`` place of the
@@ -122,7 +134,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     f = signed(stretch_hashes(sums, np.maximum(anchor - flank, ends[row]), anchor + gram))
                     s = stretch_hashes(sums, start, start + n + length - 1)
                     s = signed(mix(s + U64(1000003) * n.astype(U64) + U64(998244353) * (anchor - start).astype(U64)))
-                    order = np.lexsort((start - ends[row], ranks[row], s, h))
+                    order = in_order(h, s, ranks[row], start - ends[row])
                     h, f, s, row, start, n, anchor = (x[order] for x in (h, f, s, row, start, n, anchor))
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
@@ -164,9 +176,10 @@ class SuffixIndex:
     def _drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
-    def add(self, entries: DataFrame) -> DataFrame:
+    def add(self, entries: DataFrame, last: bool = False) -> DataFrame:
         """Scan a batch (entries of ``suffix_array``, later than all before) against the levels, and take it
-        into the family. Gives the entries that an earlier text has in whole: ``doc, t, start, n``."""
+        into the family. Gives the entries that an earlier text has in whole: ``doc, t, start, n``. No level is merged
+        with the ``last`` batch, as no other is scanned against it."""
         batch = self._save(entries.repartition(self.buckets, "h", "s"))
         rows = self.spark.table(batch)  # a text in segments can have a span more than once without ``again``
         fresh, again = rows.where("NOT again"), rows.where("again")
@@ -182,7 +195,7 @@ class SuffixIndex:
             repeats = fresh.join(own, itself, "left_anti").union(again).select("doc", "t", "start", "n")
             repeats = staged(repeats, "repeated")
         self._drop(batch)
-        while self.levels and self.levels[0][0] == size:
+        while not last and self.levels and self.levels[0][0] == size:
             pair = merged, self.levels.pop(0)[1]
             merged = self._save(self._merged(*pair))
             size += 1
@@ -209,6 +222,15 @@ class SuffixIndex:
         self.levels = []
 
 
+def spans_of(column: pa.Array, part: Slice) -> tuple[np.ndarray, ...]:
+    """Row in the slice, first start and number of all spans that a column lists for the rows of a slice."""
+    lists = column.slice(part.first, part.last - part.first)
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    spans = lists.flatten()
+    start, n = (spans.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    return np.repeat(np.arange(len(count)), count), start, n
+
+
 def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """Strings of the given spans (``doc, t, start, n``) that start earlier elsewhere: the same with n = 1."""
     asked = spans.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # spans of one text
@@ -216,28 +238,33 @@ def single_strings(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                spans = batch.column(2)[i].values
-                start, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2))
-                doc, t = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
-                data = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
-                half, order, found = length // 2, np.argsort(start), []
-                for low in range(0, len(order), 4096):  # bounds the text hashed at once
-                    some = order[low: low + 4096]
-                    base, top = int(start[some].min()), int((start[some] + n[some]).max()) + length - 1
-                    sums = prefix_sums(data[base:top])
-                    at = np.unique(np.concatenate([np.arange(a, a + k) for a, k in zip(start[some], n[some])])).astype(np.int64)
-                    w = stretch_hashes(sums, at - base, at - base + length)
-                    v = mix(stretch_hashes(sums, at - base, at - base + half) + U64(17)).astype(np.uint32)
-                    found.append((at, w, v))
-                at, w, v = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((at, v, w))
-                at, w, v = at[order], w[order], v[order]
+            ids, ts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            for part in slices(batch.column(1)):
+                row, start, n = spans_of(batch.column(2), part)
+                start = part.ends[row] + start
+                order, half, found = np.argsort(start), length // 2, []
+                bound = len(order) if len(part.data) <= 2 * SLICE_BYTES else 4096  # of a very long text, what is hashed at once
+                for low in range(0, len(order), bound):
+                    some = order[low: low + bound]
+                    first, count = start[some], n[some].astype(np.int64)
+                    base, top = int(first.min()), int((first + count).max()) + length - 1
+                    sums = prefix_sums(part.data[base:top])
+                    at = np.repeat(first - base - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    w = stretch_hashes(sums, at, at + length)
+                    v = mix(stretch_hashes(sums, at, at + half) + U64(17)).astype(np.uint32)
+                    found.append((at + base, np.repeat(row[some], count), w, v))
+                if not found:
+                    continue
+                at, row, w, v = (np.concatenate(x) for x in zip(*found))
+                rank = text_ranks(ids[part.first: part.last], ts[part.first: part.last])[row]
+                place = at - part.ends[row]
+                order = in_order(w, v, rank, place)
+                one, two = order[1:], order[:-1]
                 again = np.zeros(len(at), bool)
-                again[1:] = (w[1:] == w[:-1]) & (v[1:] == v[:-1]) & (at[1:] > at[:-1])
+                again[one] = (w[one] == w[two]) & (v[one] == v[two]) & (rank[one] == rank[two]) & (place[one] > place[two])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array([doc] * len(at), pa.int64()),
-                     pa.array([t] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
+                    [pa.array(signed(w)), pa.array(v.view(np.int32)), pa.array(ids[part.first + row]), pa.array(ts[part.first + row]),
+                     pa.array(place.astype(np.int32)), pa.array(again)], ["w", "v", "doc", "t", "start", "again"])
 
     # Texts are hashed once, and their strings are shuffled and sorted once.
     strings = texts.mapInArrow(work, "w long, v int, doc long, t long, start int, again boolean")
@@ -258,7 +285,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     for low, high in zip(edges[:-1], edges[1:]):
         batch = docs if low is None else docs.where(F.col("doc") > low)
         batch = batch if high is None else batch.where(F.col("doc") <= high)
-        repeats = index.add(suffix_array(batch.select("doc", "text", "t"), length, gram))
+        repeats = index.add(suffix_array(batch.select("doc", "text", "t"), length, gram), last=high is None)
         found = repeats if found is None else found.union(repeats)
     # Strings that begin ``flank`` bytes or more before the anchor hold the left flank, all others the right one.
     spans, mixed, flank = index.rows(), None, (length - gram + 1) // 2
@@ -294,30 +321,33 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     gone = repeated(rows, length, gram, batches)
     gone = gone.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     joined = rows.join(gone, ["doc", "t"], "left").select("doc_id", "text", "gone")
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out = [[], [], [], [], []]
-                for text, gone in zip(part.column(1), part.column(2)):
-                    data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                    cover = np.zeros(len(data) + 1, np.int32)
-                    if gone.is_valid:
-                        start, n = (gone.values.field(j).to_numpy(zero_copy_only=False) for j in range(2))
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + n + length - 1, -1)
-                    away = np.cumsum(cover)[:-1] > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], away.view(np.int8), [0]))))
-                    for column, value in zip(out, (
-                        len(data), int(away.sum()), len(edges) // 2, data[~away].tobytes(),
-                        [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])],
-                    )):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), span]
+            for part in slices(batch.column(1)):
+                row, start, n = spans_of(batch.column(2), part)
+                start, ends, size = part.ends[row] + start, part.ends, len(part.data)
+                cover = np.zeros(size + 1, np.int32)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + n + length - 1, -1)
+                away = np.cumsum(cover, out=cover)[:-1] > 0
+                edge = np.zeros(size + 1, bool)  # a run ends where its text does
+                edge[ends] = True
+                begins, stops = edge[:-1].copy(), edge[1:].copy()
+                begins[1:] |= ~away[:-1]
+                stops[:-1] |= ~away[1:]
+                begins, stops = np.flatnonzero(begins & away), np.flatnonzero(stops & away) + 1
+                before = ends[np.searchsorted(ends, begins, "right") - 1]
+                spans = np.searchsorted(begins, ends).astype(np.int32)
+                removed = np.concatenate(([0], np.cumsum(stops - begins)))[spans]
+                kept = np.ascontiguousarray(part.data[~away])
+                offsets = (ends - removed).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+                    [batch.column(0).slice(part.first, part.last - part.first), pa.array(np.diff(ends)), pa.array(np.diff(removed)),
+                     pa.array(np.diff(spans).astype(np.int64)),
+                     pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)]),
+                     pa.ListArray.from_arrays(pa.array(spans), pa.StructArray.from_arrays(
+                         [pa.array((x - before).astype(np.int32)) for x in (begins, stops)], ["start", "stop"]))],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     return joined.mapInArrow(

@@ -71,6 +71,35 @@ def test_family_of_levels(spark):
     index.drop()
 
 
+def test_no_level_is_merged_with_the_last_batch(make, monkeypatch):
+    """Four batches: the first two become one level; nothing is scanned against what the fourth would be merged into."""
+    merges, merged = [], suffixes.SuffixIndex._merged
+    monkeypatch.setattr(suffixes.SuffixIndex, "_merged", lambda self, *pair: merges.append(pair) or merged(self, *pair))
+    texts = {i: prose(i % 9, 80)[i:] for i in range(12)}
+    assert result(make(texts, repeat=()), batches=4) == by_rule(texts, 100)
+    assert len(merges) == 1
+
+
+def test_strings_of_a_slice_are_hashed_together(make, spark):
+    """Strings keep their texts and places, with a text between them that is not asked for, and a row that is there twice."""
+    passage = prose(65, 60)
+    texts = {i: prose(60 + i, 20) + passage + prose(80 + i, 10 * i) for i in range(4)}
+    docs = make(texts, repeat=(2,), nameless=False).coalesce(1).select(
+        F.col("doc_id").alias("doc"), "text", F.lit(0).cast("long").alias("t"))
+    at = {i: len(t[: t.index(passage)].encode()) for i, t in texts.items()}
+    spans = spark.createDataFrame([(i, 0, at[i] + k, 10) for i in (0, 2, 3) for k in (0, 10)], "doc long, t long, start int, n short")
+    found = {(r["doc"], r["start"]) for r in suffixes.single_strings(docs, spans).collect()}
+    assert found == {(i, at[i] + k) for i in (2, 3) for k in range(20)}
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 10**6])
+def test_in_order(kinds):
+    r = np.random.default_rng(kinds)
+    columns = [r.integers(0, kinds, 500) for _ in range(3)]
+    assert (np.stack(columns)[:, suffixes.in_order(*columns)] == np.stack(columns)[:, np.lexsort(columns[::-1])]).all()
+    assert len(suffixes.in_order(*(c[:0] for c in columns))) == 0
+
+
 def test_copies_within_a_slice_do_not_meet_in_one_bucket(make):
     """Of equal texts one entry of each span is asked for; rows of one document are not each other's copies."""
     entries = suffixes.suffix_array(make({i: prose(70, 200) for i in range(30)}, repeat=(0,)).where(
