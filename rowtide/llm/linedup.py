@@ -10,8 +10,8 @@ Lines are in classes by length, each with its number of edits ``e`` and a width.
 that width, counted from its begin and from its end. Of two lines within ``e`` edits either the begin has fewer
 edits than blocks, or the end has; there the first block ``i`` with at most ``i`` edits up to its end is
 whole, and moved by ``i`` at most. So each line enters its blocks, and looks up, per block, the substrings of
-itself that are moved that little. A block with a space in its first half is known by what follows the first
-space, for half the width: equal blocks have the same one, and substrings at neighbouring moves mostly share it, so
+itself that are moved that little. A block with a space in its first third is known by what follows the first
+space, for two thirds of the width: equal blocks have the same one, and substrings at neighbouring moves mostly share it, so
 that a line has a key for every word start near a block and not for every move. Blocks without such a space are known
 by all their characters. A line looks up in the class below as well if a line there can be near.
 
@@ -77,11 +77,15 @@ def allowed(size: Column, edits: int | str) -> Column:
 
 def classes(edits: int | str, min_chars: int) -> list[tuple[int, int, int]]:
     """Least size, most edits and block width of each class of lines. A class is wider than its edits, so
-    that only neighbours can have near lines."""
+    that only neighbours can have near lines. All lines of a class may have its number of edits, where that goes by
+    length, and blocks are nearly as wide as the longest line allows: what short blocks share by chance grows with the
+    square of the lines."""
     at = lambda size: min(size // CHARS_AN_EDIT, MOST_EDITS) if edits == BY_LENGTH else edits
     found, low = [], min_chars
     while low < _LONGEST:
-        high = low + max(low // 4, at(low * 2) + 1)
+        high = low + max(low // (8 if low < 1024 else 4), at(low * 2) + 1)
+        if edits == BY_LENGTH and at(low) < MOST_EDITS:
+            high = -(-(low + at(low * 2) + 1) // CHARS_AN_EDIT) * CHARS_AN_EDIT
         found.append((low, at(high - 1), low // (at(high - 1) + 1)))
         low = high
     return [*found, (low, at(low), low // (at(low) + 1))]
@@ -118,7 +122,7 @@ def segment_keys(lines: DataFrame, edits: int | str = EDITS, min_chars: int = MI
     region = F.col("line").substr(begin - F.col("i") + 1, F.col("w") + 2 * F.col("i"))
     windows = F.get(F.array(*[of(range(2 * i + 1)) for i in range(most // 2 + 1)]), F.col("i"))
     moves = blocks.select("id", "c", "down", "w", "block", "i", region.alias("region"))
-    moves = moves.select("*", F.explode(windows).alias("j"), F.floor(F.col("w") / 2).cast("int").alias("reach"))
+    moves = moves.select("*", F.explode(windows).alias("j"), F.floor(F.col("w") / 3).cast("int").alias("reach"))
     moves = moves.withColumn("x", F.expr("locate(' ', region, j + 1)"))
     moves = moves.withColumn("anchored", F.expr("x > 0 AND x - j <= reach"))
     made = moves.where("NOT anchored OR j = 0 OR x - j = reach OR substr(region, j, 1) = ' '")

@@ -152,3 +152,35 @@ def test_production_finds_a_changed_word(spark, tmp_path):
     found = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["removed"] for r in found} == {1: [], 2: [0]}
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: line, 2: "other"}
+
+
+def test_classes_have_the_edits_of_their_lines():
+    """Under the most edits, all lines of a class may have its number; a class is wider than the edits of the one below."""
+    for least in range(linedup.CHARS_AN_EDIT, 230):
+        every = linedup.classes(linedup.BY_LENGTH, least)
+        for (low, e, w), (high, _, _) in zip(every, every[1:]):
+            assert e == min((high - 1) // 20, 10) and w * (e + 1) <= low and high - low > e
+            assert high > 200 or low == least or e == low // 20
+
+
+@pytest.mark.parametrize("least", [27, 59])
+def test_lines_on_both_sides_of_a_class(make, least):
+    """Lines a few characters longer and shorter than where a class begins, with as many edits as they may have, and one more."""
+    r, texts = random.Random(least), {}
+    for i, size in enumerate([40, 60, 80, 120, 160, 200, 226, 254] * 2):
+        line = prose(500 + i, 200, 200)[: size - 2 + r.randrange(4)].strip(" ").ljust(size - 2, "z")
+        texts[10 * i] = line
+        for k in range(1, 9):
+            other = list(line)
+            for _ in range(min(len(line) // 20, 10) + r.randrange(-1, 2)):
+                at = r.randrange(len(other))
+                other[at: at + r.randrange(2)] = r.choice(["", "q", "zz"])
+            texts[10 * i + k] = "".join(other).strip(" ")
+    kept, gone = [], set()
+    for i in sorted(texts):
+        if len(line := texts[i].lower()) >= least:
+            if any(abs(len(o) - len(line)) <= 10 and distance(o, line) <= min(10, min(len(o), len(line)) // 20) for o in kept):
+                gone.add((i, 0))
+            kept.append(line)
+    found = linedup.marked(make(texts, repeat=()), linedup.BY_LENGTH, least).where("doc_id IS NOT NULL").collect()
+    assert {(r["doc_id"], k) for r in found for k in r["removed"]} == gone and len(gone) > 25
